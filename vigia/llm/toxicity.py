@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import BYTE_CODE, LOWER, SIGNS, U64, slices, span_hashes, words
+from .kernels import BYTE_CODE, LOWER, SIGNS, U64, slices, span_hashes, text_bytes, words
 
 #: n-gram lengths in bytes, with a mark before and behind each word.
 LENGTHS = (3, 4, 5)
@@ -90,28 +90,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(data, offsets), -30, 30)))
 
 
-def fit(bags: list[tuple[list[bytes], int]], steps: int = 60, seed: int = 17, rate: float = 0.15, decay: float = 1e-5) -> Model:
-    """Train embeddings and softmax weights together on (distinct words of a text, label) pairs."""
-    vocabulary = sorted({w for ws, _ in bags for w in ws})
-    labels = np.array([y for _, y in bags], dtype=float)
+def fit(bags: pa.ListArray, toxic: np.ndarray, steps: int = 60, seed: int = 17, rate: float = 0.15, decay: float = 1e-5) -> Model:
+    """Train embeddings and softmax weights together on texts' distinct words (lists of binary) and their labels."""
+    sizes = np.diff(bags.offsets.to_numpy())
+    labels = toxic[sizes > 0].astype(float)
     size = 1 << BUCKET_BITS
-    if not vocabulary or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(size, np.float32), -30.0)
-    number = {w: i for i, w in enumerate(vocabulary)}
-    lists = [np.array(sorted(number[w] for w in ws), dtype=np.int64) for ws, _ in bags]
-    keep = np.array([len(x) > 0 for x in lists])
-    lists, labels = [x for x in lists if len(x)], labels[keep]
-    member, at = np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    doc = np.repeat(np.arange(len(lists)), np.diff(at))
-    data = np.frombuffer(b"".join(vocabulary), np.uint8)
-    ends = np.cumsum([len(w) for w in vocabulary])
-    marked, _, owner = _marked(data, ends - [len(w) for w in vocabulary], ends)
-    pairs = [(owner[where], bucket) for where, bucket in _grams(marked, owner)]
+    coded = bags.flatten().dictionary_encode()
+    member, at = coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(at))
+    data, edges = text_bytes(coded.dictionary.cast(pa.large_binary()))
+    n_words = len(edges) - 1
+    marked, _, owner = _marked(data, edges[:-1], edges[1:])
+    pairs = [(owner[where].astype(np.int32), bucket.astype(np.int32)) for where, bucket in _grams(marked, owner)]
     word, bucket = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     order = np.argsort(word, kind="stable")
     word, bucket = word[order], bucket[order]
     used, bucket = np.unique(bucket, return_inverse=True)
-    grams = np.bincount(word, minlength=len(vocabulary))
+    grams = np.bincount(word, minlength=n_words)
     start = np.concatenate(([0], np.cumsum(grams)))[:-1]
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
@@ -129,7 +126,7 @@ def fit(bags: list[tuple[list[bytes], int]], steps: int = 60, seed: int = 17, ra
         chance = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
         error = (chance - labels) * share / len(labels)
         part = error[doc] * np.exp(SHARPNESS * (score[member] + bias - pooled[doc]))
-        by_word = np.bincount(member, weights=part, minlength=len(vocabulary)).astype(np.float32)
+        by_word = np.bincount(member, weights=part, minlength=n_words).astype(np.float32)
         g_direction = average.T @ by_word
         g_out = np.stack([-g_direction, g_direction], axis=1) + decay * out
         spread = (by_word / grams)[word][by_bucket]
@@ -168,15 +165,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, **
     """Fit on at most ``sample_each`` labelled rows of either label, those with the smallest hash of the id.
 
     Held-out rows are left out.  The sample's ids are chosen from ``labels`` alone, so ``docs`` is read once and
-    only the sample's distinct words reach the driver.  Rows with a null id or label are ignored; a doc_id that
+    only the sample's distinct words reach the one task that fits; the driver gets the weights.  Rows with a null id or label are ignored; a doc_id that
     repeats in ``labels`` takes its largest label.  Without both labels the model scores every text near 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~in_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample_each).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample_each))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * sample_each rows at most
-    bags = sample.select("text", "toxic").mapInArrow(_bags, "words array<binary>, toxic int")
-    return fit(sorted((sorted(bytes(w) for w in r["words"]), r["toxic"]) for r in bags.toLocalIterator()), **options)
+    bags = sample.select("text", "toxic").mapInArrow(_bags, "words array<binary>, toxic int").repartition(1).sortWithinPartitions("words", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        model = fit(whole.column("words").chunk(0), whole.column("toxic").to_numpy(), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    row = bags.mapInArrow(learn, "weight binary, bias double").first()
+    return Model(np.zeros(1 << BUCKET_BITS, np.float32), -30.0) if row is None else Model(np.frombuffer(row["weight"], np.float32), row["bias"])
 
 
 def score_toxicity(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
