@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, list_array, mix, shingles, slices
 from .storage import cut
 
-#: Values kept of each set.  Two sets of Jaccard 0.75 share at least LEAST of the K smallest values of
-#: their union but for about 3 pairs in a million: P(Binomial(24, 0.75) < 8).
-K, LEAST = 24, 8
+#: Smallest values kept of each set, and how many of them have an inverted list.
+K, INDEX = 64, 16
+#: What a pair of Jaccard 0.75 shares but for about 3 pairs in a million: LEAST indexed values, P(Binomial(16, 0.75) < 4),
+#: and this share of the union's K smallest values, P(Binomial(64, 0.75) < 32).
+LEAST, SHARE = 4, 0.5
 #: Longest inverted list whose pairs are all emitted; longer ones go through leaders and blocks.
 LIST_CAP = 32
 #: Members of one block of a long list.
@@ -84,11 +86,11 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _estimate(pairs: DataFrame, k: int, least: int) -> DataFrame:
+def _estimate(pairs: DataFrame, k: int) -> DataFrame:
     """Keep pairs whose share of common values among the k smallest of the union is large enough."""
     union = F.slice(F.array_sort(F.array_union("sk_a", "sk_b")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sk_a", "sk_b"), union))
-    return pairs.withColumn("estimate", common / F.size(union)).where(F.col("estimate") >= least / k)
+    return pairs.withColumn("estimate", common / F.size(union)).where(F.col("estimate") >= SHARE)
 
 
 def _sized(a: str, b: str, percent: int):
@@ -104,7 +106,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both)).select("a", "b").distinct()
 
 
-def _block_pairs(k: int, least: int, percent: int):
+def _block_pairs(percent: int):
     """Pairs between one block of rows of other components and one block of all rows of a long list."""
 
     def run(key: tuple, odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
@@ -118,23 +120,24 @@ def _block_pairs(k: int, least: int, percent: int):
             for a, n, comp, sketch in odd[["id", "n", "comp", "sketch"]].itertuples(index=False):
                 lo, hi = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
                 shared = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]), minlength=len(every))
-                need = np.where(np.minimum(n, sizes) >= k, least, 1)
-                fits = (shared >= need) & (comps != comp) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
+                fits = (shared >= SHARE * np.minimum(len(sketch), lengths)) & (comps != comp) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
                 out += [(min(a, b), max(a, b)) for b in ids[fits].tolist()]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, least: int = LEAST, list_cap: int = LIST_CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, list_cap: int = LIST_CAP) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles have a Jaccard index of ``percent`` / 100 or more.
 
     Steps: (1) every whole text becomes its set of hashed shingles, of which the ``k`` smallest values are kept;
     (2) texts with equal sets form one class, so copies never meet each other; (3) an inverted list a
-    retained value; each class is held against one pseudo-random leader of each of its lists and the best
+    retained value, for the INDEX smallest; each class is held against one pseudo-random leader of each of its lists and the best
     candidate by the union-sketch estimate is verified on the full sets; (4) short lists emit their pairs that are not yet
-    in one component; (5) of longer lists, classes with at least ``least`` values in long lists that are
-    still outside the list's main component are held against the whole list, block by block.  No list is cut or skipped.
+    in one component; (5) a pair that no short list holds shares LEAST values of long lists.  Classes with so many get new
+    lists, of their sketch's values that are rarest among them: as many as leave no room for a pair that could pass the estimate
+    without one of them in common.  Short ones of these emit their pairs; in long ones, what lies outside the list's main
+    component is held against the whole list, block by block.  No list is cut or skipped.
 
     Defined results: null text counts as empty; a text without words has ``n_shingles`` 0 and is its own
     component; rows that repeat a ``doc_id`` are grouped each by its own text; a row with null ``doc_id`` is linked with
@@ -149,7 +152,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = cut(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
     nodes = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
 
-    posts = nodes.select("id", "n", F.explode("sketch").alias("v"))
+    posts = nodes.select("id", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("v"))
     lists = posts.groupBy("v").agg(F.count("*").alias("df"), F.min(F.struct(F.xxhash64("id", "v").alias("h"), F.col("id"))).getField("id").alias("leader")).where("df > 1")
     posts = cut(posts.join(lists, "v"))
 
@@ -158,7 +161,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     seen = posts.select("id").distinct()
     own = cut(nodes.join(seen, "id"))
     with_sketches = lambda p: p.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sk_a")), "a").join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sk_b")), "b").where(_sized("na", "nb", percent))
-    best = _estimate(with_sketches(pairs), k, least).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+    best = _estimate(with_sketches(pairs), k).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
     texts = docs.where("doc_id is not null").mapInArrow(_full_sets(width, _id_filter(seen)), "doc_id bigint, full array<bigint>")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = cut(texts.join(seen, texts["doc_id"] == seen["id"], "left_semi").select(F.col("doc_id").alias("id"), "full").repartition(n_parts, "id"))
@@ -166,18 +169,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     comp = components(links)
 
     # short lists: all pairs between components
-    hot = posts.where(F.col("df") > list_cap).select("id", "v")
-    hot_count = hot.groupBy("id").agg(F.count("*").alias("hot"))
+    hot_count = posts.where(F.col("df") > list_cap).groupBy("id").agg(F.count("*").alias("hot"))
     at = own.join(comp.withColumnRenamed("node", "id"), "id", "left").join(hot_count, "id", "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("comp"), F.coalesce("hot", F.lit(0)).alias("hot"))
     at = cut(at)
-    short = posts.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
-    one, two = (short.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "comp", "hot")]) for x in "ab")
-    met = one.join(two, "v").where("id_a < id_b and comp_a <> comp_b").where(_sized("n_a", "n_b", percent))
-    met = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("hot_a", "hot_b")).alias("hot"), F.first(F.least("n_a", "n_b")).alias("n"))
-    met = met.where(F.col("shared") + F.col("hot") >= F.when(F.col("n") >= k, least).otherwise(1)).select("a", "b")
+    enough = F.when(F.col("n") >= INDEX, LEAST).otherwise(1)
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        """Pairs of different components in each (short) list, with the number of lists that they share."""
+        one, two = (rows.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "comp", "hot")]) for x in "ab")
+        met = one.join(two, "v").where("id_a < id_b and comp_a <> comp_b").where(_sized("n_a", "n_b", percent))
+        return met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("hot_a", "hot_b")).alias("hot"), F.first(F.least("n_a", "n_b")).alias("n"))
 
-    # long lists: what the leaders left outside the main component
-    long = hot.join(at.where(F.col("hot") >= F.when(F.col("n") >= k, least).otherwise(1)), "id").select("v", "id", "n", "sketch", "comp")
+    short = posts.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
+    met = pairs_of(short).where(F.col("shared") + F.col("hot") >= enough).select("a", "b")
+
+    # classes of many long lists: lists of their rarest values
+    dense = at.where(F.col("hot") >= enough)
+    held = dense.select("id", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    rare = held.join(held.groupBy("v").agg(F.count("*").alias("df")), "v")
+    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= F.col("m") - F.ceil(SHARE * F.col("m")) + 1)
+    rare = cut(rare.where("df > 1").select("id", "v", "df"))
+    few = rare.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
+    met = met.unionByName(pairs_of(few).select("a", "b"))
+
+    # their long lists: what the leaders left outside the main component
+    long = rare.where(F.col("df") > list_cap).select("id", "v").join(at.select("id", "n", "sketch", "comp"), "id").select("v", "id", "n", "sketch", "comp")
     sizes = long.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
     sizes = sizes.where(F.col("all") > F.col("most")).withColumns({"blocks": F.ceil(F.col("all") / BLOCK).cast("int"), "odd_blocks": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")})
     long = cut(long.join(sizes, "v"))
@@ -186,11 +202,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     odd = long.where("comp <> main").select("v", "id", "n", "comp", "sketch", of("odd_blocks").alias("x"), upto("blocks").alias("y"))
     every = long.select(*[F.col(c).alias(c) for c in ("v", "id", "n", "comp", "sketch")], of("blocks").alias("y"), upto("odd_blocks").alias("x"))
     if long.isEmpty():
-        more = met
+        more = met.distinct()
     else:
-        blocks = odd.groupBy("v", "x", "y").cogroup(every.groupBy("v", "x", "y")).applyInPandas(_block_pairs(k, least, percent), "a bigint, b bigint")
+        blocks = odd.groupBy("v", "x", "y").cogroup(every.groupBy("v", "x", "y")).applyInPandas(_block_pairs(percent), "a bigint, b bigint")
         more = met.unionByName(blocks).distinct()
-    more = _estimate(with_sketches(more), k, least)
+    more = _estimate(with_sketches(more), k)
     links = links.unionByName(_verified(more, full, percent))
     comp = components(links)
 
