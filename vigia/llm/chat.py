@@ -120,7 +120,8 @@ def _format(path: str, budget: int, history: int):
                 role, text = role or "", text or ""
                 turn = (seen, role, text, len(count.encode_ordinary(render(role, text)[0])))
                 base = system[3] if system and window else 0
-                if new and base + sum(t[3] for t in new) + turn[3] > budget:
+                carried = sum(t[3] for t in past) if window else 0
+                if new and base + carried + sum(t[3] for t in new) + turn[3] > budget:
                     emit()
                     new = []
                 new.append(turn)
@@ -179,8 +180,8 @@ def format_conversations(turns: DataFrame, path: str = VOCABULARY, budget: int =
     """Windows of formatted conversations: ``conv_id, window, first_turn, repeated, kept_system, n_tokens, text, loss``.
 
     ``turns``: conv_id, turn, role, text.  A conversation's rows go in the order of turn, then role, then text (ties and repeated
-    rows all count as turns).  A window takes whole turns while their tokens fit ``budget``; one turn over the budget makes
-    a window of its own.  A later window begins with the conversation's system turn, if its first turn is one, and repeats the last turns
+    rows all count as turns).  A window takes whole turns while their tokens, with what it repeats, fit ``budget``; one turn over the
+    budget makes a window of its own, and a history that would not fit beside its first turn is shortened.  A later window begins with the conversation's system turn, if its first turn is one, and repeats the last turns
     that fit ``history`` tokens; neither is under the loss mask again, so each assistant text is masked in once.
     ``loss`` holds code point spans of escaped assistant texts.  Null text and role are empty; a null turn comes first; rows of a null conv_id
     form one conversation; an empty table gives no rows; other columns are ignored.  Turns are streamed in sorted order: a

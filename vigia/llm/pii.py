@@ -70,7 +70,8 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str):
     def check(x: Column) -> Column:
         if kind == "ip":
-            return F.forall(F.split(x["m"], r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(F.split(x["m"], r"\."), lambda p: F.coalesce(F.substring(F.concat(F.lit("0"), F.ltrim(F.lit("0"), p)), 1, 4).cast("int"), F.lit(0)) <= 255)
+            plain = lambda p: F.ltrim(p, F.lit("0"))
+            return F.forall(F.split(x["m"], r"\."), lambda p: (F.length(plain(p)) < 3) | ((F.length(plain(p)) == 3) & (plain(p) <= "255")))
         if kind == "card":
             n = F.length(_digits(x["m"]))
             return F.when((n >= 16) & (n <= 19), _luhn(_digits(x["m"]))).otherwise(False)
