@@ -74,7 +74,7 @@ def astronomical_season(day: Column, hemisphere: str = "south") -> Column:
     """summer, autumn, winter or spring by month; the hemispheres are half a year apart."""
     shift = 0 if hemisphere == "south" else 2
     names = F.array(*[F.lit(SEASONS[(k + shift) % 4]) for k in range(4)])
-    return F.element_at(names, (F.floor((F.month(day) % 12) / 3) + 1).cast("int"))
+    return F.when(day.isNotNull(), F.element_at(names, (F.floor((F.month(day) % 12) / 3) + 1).cast("int")))
 
 
 def climatic_season(day: Column, region: str) -> Column:
@@ -91,8 +91,8 @@ def dry_or_rainy(day: Column, region: str) -> Column:
 
 
 def named(number: Column, names: list[str]) -> Column:
-    """The name with that number, from 1."""
-    return F.element_at(F.array(*map(F.lit, names)), number)
+    """The name with that number, from 1; null for null."""
+    return F.when(number.isNotNull(), F.element_at(F.array(*map(F.lit, names)), number))
 
 
 def age_in_years(event: Column, birth: Column) -> Column:
