@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigia.llm import decontaminate, linededup, minhash, pieces, toxicity
 from vigia.llm.storage import new_folder
@@ -21,8 +22,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; a repeated row of its id stays with it."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    """One document, that of the smallest id, of each group of near duplicates; rows that repeat its id stay with it."""
+    gone = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
