@@ -86,11 +86,16 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _estimate(pairs: DataFrame, k: int) -> DataFrame:
-    """Keep pairs whose share of common values among the k smallest of the union is large enough."""
-    union = F.slice(F.array_sort(F.array_union("sk_a", "sk_b")), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect("sk_a", "sk_b"), union))
-    return pairs.withColumn("estimate", common / F.size(union)).where(F.col("estimate") >= SHARE)
+def _estimate(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Keep pairs whose share of common values among the k smallest of the union is large enough.
+
+    Sets of at most k values are whole in their sketches, so that for two of them the Jaccard index itself decides.
+    """
+    union = F.array_union("sk_a", "sk_b")
+    common = F.array_intersect("sk_a", "sk_b")
+    low = F.slice(F.array_sort(union), 1, k)
+    whole = (F.col("na") <= k) & (F.col("nb") <= k)
+    return pairs.withColumn("estimate", F.when(whole, F.size(common) / F.size(union)).otherwise(F.size(F.array_intersect(common, low)) / F.size(low))).where(F.col("estimate") >= F.when(whole, percent / 100).otherwise(SHARE))
 
 
 def _sized(a: str, b: str, percent: int):
@@ -98,15 +103,18 @@ def _sized(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links by their whole sets."""
-    left = full.select(F.col("id").alias("a"), F.col("full").alias("fa"))
-    right = full.select(F.col("id").alias("b"), F.col("full").alias("fb"))
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links by their whole sets, which are made anew for the texts of these pairs only."""
+    pairs = cut(pairs.select("a", "b"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    full = texts.mapInArrow(_full_sets(width, _id_filter(ids)), "doc_id bigint, full array<bigint>")
+    left = full.select(F.col("doc_id").alias("a"), F.col("full").alias("fa"))
+    right = full.select(F.col("doc_id").alias("b"), F.col("full").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both)).select("a", "b").distinct()
+    return cut(pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both)).select("a", "b").distinct())
 
 
-def _block_pairs(percent: int):
+def _block_pairs(k: int, percent: int):
     """Pairs between one block of rows of other components and one block of all rows of a long list."""
 
     def run(key: tuple, odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +128,9 @@ def _block_pairs(percent: int):
             for a, n, comp, sketch in odd[["id", "n", "comp", "sketch"]].itertuples(index=False):
                 lo, hi = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
                 shared = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]), minlength=len(every))
-                fits = (shared >= SHARE * np.minimum(len(sketch), lengths)) & (comps != comp) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
+                exact = (n <= k) & (sizes <= k)
+                near = np.where(exact, 100 * shared >= percent * (n + sizes - shared), shared >= SHARE * np.minimum(len(sketch), lengths))
+                fits = near & (comps != comp) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
                 out += [(min(a, b), max(a, b)) for b in ids[fits].tolist()]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -161,11 +171,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     seen = posts.select("id").distinct()
     own = cut(nodes.join(seen, "id"))
     with_sketches = lambda p: p.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sk_a")), "a").join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sk_b")), "b").where(_sized("na", "nb", percent))
-    best = _estimate(with_sketches(pairs), k).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    texts = docs.where("doc_id is not null").mapInArrow(_full_sets(width, _id_filter(seen)), "doc_id bigint, full array<bigint>")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    full = cut(texts.join(seen, texts["doc_id"] == seen["id"], "left_semi").select(F.col("doc_id").alias("id"), "full").repartition(n_parts, "id"))
-    links = cut(_verified(best, full, percent))
+    best = _estimate(with_sketches(pairs), k, percent).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+    texts = docs.where("doc_id is not null")
+    links = _verified(best, texts, width, percent)
     comp = components(links)
 
     # short lists: all pairs between components
@@ -185,9 +193,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # classes of many long lists: lists of their rarest values
     dense = at.where(F.col("hot") >= enough)
-    held = dense.select("id", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    held = dense.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     rare = held.join(held.groupBy("v").agg(F.count("*").alias("df")), "v")
-    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= F.col("m") - F.ceil(SHARE * F.col("m")) + 1)
+    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= F.col("m") - F.ceil(F.when(F.col("n") <= k, percent / 100).otherwise(SHARE) * F.col("m")) + 1)
     rare = cut(rare.where("df > 1").select("id", "v", "df"))
     few = rare.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
     met = met.unionByName(pairs_of(few).select("a", "b"))
@@ -204,10 +212,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if long.isEmpty():
         more = met.distinct()
     else:
-        blocks = odd.groupBy("v", "x", "y").cogroup(every.groupBy("v", "x", "y")).applyInPandas(_block_pairs(percent), "a bigint, b bigint")
+        blocks = odd.groupBy("v", "x", "y").cogroup(every.groupBy("v", "x", "y")).applyInPandas(_block_pairs(k, percent), "a bigint, b bigint")
         more = met.unionByName(blocks).distinct()
-    more = _estimate(with_sketches(more), k)
-    links = links.unionByName(_verified(more, full, percent))
+    more = _estimate(with_sketches(more), k, percent)
+    links = links.unionByName(_verified(more, texts, width, percent))
     comp = components(links)
 
     copies = classes.where("copies > 1").select("s1", "s2", "n_shingles", "id")
