@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
+from .fits import poisson_bounds
 
 #: Name: (numerator, denominator, multiplier, interval).
 CATALOGUE = {
@@ -13,12 +14,24 @@ CATALOGUE = {
     "aging_index": ("pop_elderly", "pop_young", 100, None),
     "urbanization_rate": ("pop_urban", "pop_total", 100, "binomial"),
     "illiteracy_rate": ("pop_illiterate", "pop_15_plus", 100, "binomial"),
+    "water_connection_rate": ("hh_water", "total_hh", 100, "binomial"),
+    "sewage_connection_rate": ("hh_sewage", "total_hh", 100, "binomial"),
+    "gini_index": ("gini_value", "1", 1, None),
     "infant_mortality_rate": ("deaths_infant", "live_births", 1000, "poisson"),
-    "crude_birth_rate": ("live_births", "pop_total", 1000, "poisson"),
-    "crude_mortality_rate": ("deaths_total", "pop_total", 1000, "poisson"),
-    "sanitation_coverage": ("households_sanitation", "households_total", 100, "binomial"),
-    "water_coverage": ("households_water", "households_total", 100, "binomial"),
-    "sex_ratio": ("pop_male", "pop_female", 100, None),
+    "maternal_mortality_ratio": ("deaths_maternal", "live_births", 100000, "poisson"),
+    "premature_dcn_mortality": ("deaths_dcn_30_69", "pop_30_69", 100000, "poisson"),
+    "homicide_rate": ("deaths_homicide", "pop_total", 100000, "poisson"),
+    "traffic_mortality_rate": ("deaths_traffic", "pop_total", 100000, "poisson"),
+    "arbovirus_incidence_rate": ("cases_arbovirus", "pop_total", 100000, "poisson"),
+    "tb_incidence_rate": ("cases_tb_new", "pop_total", 100000, "poisson"),
+    "icsap_hospitalization_rate": ("hosp_icsap", "pop_total", 10000, "poisson"),
+    "respiratory_hospitalization_rate": ("hosp_resp", "pop_total", 10000, "poisson"),
+    "low_birth_weight_proportion": ("births_low_weight", "live_births", 100, "binomial"),
+    "general_fertility_rate": ("live_births", "pop_women_15_49", 1000, "poisson"),
+    "cesarean_proportion": ("deliveries_cesarean", "total_deliveries", 100, "binomial"),
+    "prenatal_early_coverage": ("prenatal_early", "live_births", 100, "binomial"),
+    "beds_per_capita": ("cnes_beds", "pop_total", 1000, None),
+    "doctors_per_capita": ("cnes_doctors", "pop_total", 1000, None),
 }
 
 
@@ -30,7 +43,10 @@ def available(columns: list[str]) -> list[str]:
 
 
 def compute_indicators(df: DataFrame, names: list[str] | None = None, intervals: bool = True) -> DataFrame:
-    """One column an indicator; binomial ones also ``_lo`` and ``_hi`` (Wilson).  A denominator of 0 gives null."""
+    """One column an indicator; ``intervals`` adds ``_lo`` and ``_hi``: Wilson's for shares, the exact one for Poisson counts.
+
+    A denominator of 0 gives null.
+    """
     for name in names or available(df.columns):
         top, bottom, times, kind = CATALOGUE[name]
         x, n = F.expr(top), F.nullif(F.expr(bottom).cast("double"), F.lit(0.0))
@@ -38,6 +54,9 @@ def compute_indicators(df: DataFrame, names: list[str] | None = None, intervals:
         if intervals and kind == "binomial":
             lo, hi = wilson(x, n)
             df = df.withColumns({f"{name}_lo": times * lo, f"{name}_hi": times * hi})
+        elif intervals and kind == "poisson":
+            df = poisson_bounds(df.withColumn("__count", x), "__count")
+            df = df.withColumns({f"{name}_lo": times * F.col("__count_lo") / n, f"{name}_hi": times * F.col("__count_hi") / n}).drop("__count", "__count_lo", "__count_hi")
     return df
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, thermal, windows
-from .operators import aggregate, derive, events, exposure, filters, indicators, joins, models, quality, spatial, standardize
+from .operators import aggregate, derive, events, exposure, filters, fits, grids, indicators, joins, models, quality, spatial, standardize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -700,3 +700,102 @@ def spatial_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     squares = [(float(i * 3 + j), [(3.0 * i + a, 3.0 * j + b) for a, b in ((0, 0), (3, 0), (3, 3), (0, 3))]) for i in range(3) for j in range(3)]
     polygons = spark.createDataFrame(squares, "polygon double, ring array<struct<x:double,y:double>>")
     return spatial.points_in_polygons(points, polygons, "event_id", "polygon")
+
+
+# --- grids ----------------------------------------------------------------------------------------
+
+
+@register("grid_reanalysis", "SELECT event_id, round(value + 250 - 273.15, 6) AS tair_dry_bulb_c, round(value * 1000 * 0.01, 6) AS patm_hpa, round(value / 1000 * 1000, 6) AS rainfall_mm FROM events")
+def grid_reanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return _rounded(grids.convert_reanalysis(table(spark, sf_dir, "events").select("event_id", (v + 250).alias("t2m"), (v * 1000).alias("sp"), (v / 1000).alias("tp"))))
+
+
+@register("grid_pollutants", """WITH p AS (SELECT user_id AS code_muni, CAST(ts AS DATE) AS date, event_type, avg(value) AS v FROM events GROUP BY ALL)
+SELECT code_muni, date, round(max(v) FILTER (WHERE event_type = 'click'), 6) AS pm25, round(max(v) FILTER (WHERE event_type = 'view'), 6) AS o3, round(max(v) FILTER (WHERE event_type = 'error'), 6) AS no2 FROM p WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL""")
+def grid_pollutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("code_muni"), F.to_date("ts").alias("date"), "event_type").agg(F.avg("value").alias("value"))
+    return _rounded(grids.merge_pollutants({n: p.where(F.col("event_type") == e) for n, e in (("pm25", "click"), ("o3", "view"), ("no2", "error"))}, [2024]))
+
+
+@register("grid_flash_droughts", "SELECT o_custkey % 50 AS code_muni, CAST(date_trunc('year', o_orderdate) AS DATE) AS date, count(*) AS n_fd_events, CAST(sum(o_orderkey % 30 + 1) AS BIGINT) AS fd_total_days, round(avg(o_totalprice), 4) AS fd_mean_severity, max(o_totalprice) AS fd_max_severity FROM orders GROUP BY ALL")
+def grid_flash_droughts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.to_date("o_orderdate")
+    e = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("code_muni"), first.alias("fstdate"), F.date_add(first, (F.col("o_orderkey") % 30).cast("int")).alias("lstdate"), F.col("o_totalprice").alias("sv"))
+    return _rounded(grids.flash_droughts(e), 4)
+
+
+@register("grid_fires", "SELECT floor(x / 3) * 3 + floor(y / 3) AS code_muni, date, count(*) AS n_fires, round(avg(value), 4) AS frp_mean FROM (SELECT (event_id % 89) / 10.01 + 0.001 AS x, (event_id % 83) / 9.97 + 0.003 AS y, CAST(ts AS DATE) AS date, value FROM events) GROUP BY ALL")
+def grid_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fires = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 89) / 10.01 + 0.001).alias("x"), ((F.col("event_id") % 83) / 9.97 + 0.003).alias("y"), F.to_date("ts").alias("date"), F.col("value").alias("frp"))
+    squares = [(float(i * 3 + j), [(3.0 * i + a, 3.0 * j + b) for a, b in ((0, 0), (3, 0), (3, 3), (0, 3))]) for i in range(3) for j in range(3)]
+    return _rounded(grids.fires_by_municipality(fires, spark.createDataFrame(squares, "code_muni double, ring array<struct<x:double,y:double>>")), 4)
+
+
+@register("grid_cleared_area", "SELECT o_custkey % 40 AS code_muni, year(o_orderdate) AS year, o_orderpriority AS biome, round(sum(o_totalprice), 2) AS area_km2, count(DISTINCT o_custkey) AS n_polygons FROM orders GROUP BY ALL")
+def grid_cleared_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("code_muni"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("biome"), F.col("o_custkey").alias("uid"), F.col("o_totalprice").alias("km2"))
+    return _rounded(grids.cleared_area(o), 2)
+
+
+_ZONE = " ".join(f"WHEN {'state IN (' + ', '.join(map(str, s)) + ') AND ' if s else ''}lat > {a[0]} AND lat <= {a[1]} AND lon > {o[0]} AND lon <= {o[1]} THEN '{z}'" for z, s, a, o in grids.ZONES)
+
+
+@register("grid_climate_zone", f"SELECT c_custkey, CASE {_ZONE} END AS zone FROM (SELECT c_custkey, c_custkey % 43 + 11 AS state, -33.5 + c_custkey % 38 AS lat, -73.5 + c_custkey % 39 AS lon FROM customer)")
+def grid_climate_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", grids.climate_zone(k % 43 + 11, -33.5 + k % 38, -73.5 + k % 39).alias("zone"))
+
+
+@register("series_quality", """WITH d AS (SELECT l_linenumber AS k, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_partkey % 3 = 0 THEN l_quantity ELSE 0 END) AS v FROM lineitem WHERE l_suppkey % 50 = 0 GROUP BY ALL),
+c AS (SELECT k, count(DISTINCT date) AS n_obs, max(date) - min(date) + 1 AS span FROM d GROUP BY 1), m AS (SELECT k, date_trunc('month', date) AS m, sum(v) AS s FROM d GROUP BY ALL), l AS (SELECT k, quantile_cont(s, 0.75) + 1.5 * (quantile_cont(s, 0.75) - quantile_cont(s, 0.25)) AS lim FROM m GROUP BY 1),
+o AS (SELECT k, count(*) FILTER (WHERE s > lim) AS n_outliers FROM m JOIN l USING (k) GROUP BY 1), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) - row_number() OVER (PARTITION BY k, v = 0 ORDER BY date) AS g FROM d), z AS (SELECT k, max(n) AS longest_zero_run FROM (SELECT k, count(*) AS n FROM g WHERE v = 0 GROUP BY k, g) GROUP BY 1)
+SELECT k, n_obs, span, n_outliers, coalesce(longest_zero_run, 0) AS longest_zero_run, round(n_obs / span, 6) AS completeness, round(greatest(0, 100 * n_obs / span - 5 * n_outliers - CASE WHEN coalesce(longest_zero_run, 0) > 7 THEN 10 ELSE 0 END), 6) AS score FROM c LEFT JOIN o USING (k) LEFT JOIN z USING (k)""")
+def series_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").where("l_suppkey % 50 = 0").groupBy(F.col("l_linenumber").alias("k"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity")).otherwise(0.0)).alias("v"))
+    return _rounded(quality.series_quality(d, "k", "date", "v"))
+
+
+@register("station_missing", "SELECT user_id % 10 AS station, round(avg(CASE WHEN event_id % 7 = 0 THEN 1.0 ELSE 0.0 END), 6) AS missing_v FROM events GROUP BY 1")
+def station_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("station"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    return _rounded(joins.station_missing_share(e, "station", ["v"]))
+
+
+# --- fits: no SQL ---------------------------------------------------------------------------------
+
+
+@register("fit_spi")
+def fit_spi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fits.drought_spi(_monthly(spark, sf_dir), "station", "rain")
+
+
+@register("fit_distributed_lag")
+def fit_distributed_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    health, _ = _series(spark, sf_dir)
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("x"))
+    climate = exposure.daily(raw, "k", "date", ["x"])
+    return fits.distributed_lag_model(health.groupBy("k", "date").agg(F.count("*").alias("n")), climate, "k", "n", "x", lags=5)
+
+
+@register("fit_baseline")
+def fit_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = aggregate.aggregate_series(table(spark, sf_dir, "orders"), "o_orderdate", "day", "count", ["o_orderstatus"])
+    return fits.baseline(days, "o_orderstatus", "n", "1999-01-01")
+
+
+@register("fit_interrupted_series")
+def fit_interrupted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = aggregate.aggregate_series(table(spark, sf_dir, "orders"), "o_orderdate", "month", "count", ["o_orderpriority"])
+    return fits.interrupted_series(models.interrupted_design(months, "date", "1998-01-01", 1), "o_orderpriority", "n", ["time", "step", "slope", "sin1", "cos1"])
+
+
+@register("fit_pooled")
+def fit_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    effects = fit_interrupted_series(spark, sf_dir).where("term = 'slope'").withColumn("all", F.lit("all"))
+    return fits.pooled(effects, "all", "estimate", "se")
+
+
+@register("fit_poisson_bounds")
+def fit_poisson_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fits.poisson_bounds(table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), "n")
