@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 
+#: Edges that a task of a round reads at least, but for the last.
+TASK_EDGES = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph.
 
@@ -20,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(big.alias("u"), small.alias("v")).distinct())
     mark = _mark(edges)
     while mark[0]:
+        edges = edges.coalesce(-(-mark[0] // TASK_EDGES))  # few edges in many partitions are many small files a round
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -21,8 +21,8 @@ K, INDEX = 64, 16
 LEAST, SHARE = 4, 0.5
 #: Longest inverted list whose pairs are all emitted; longer ones go through leaders and blocks.
 LIST_CAP = 32
-#: Members of one block of a long list.
-BLOCK = 512
+#: Members of one block of a family.
+BLOCK = 2048
 #: Bits of the filter that says which texts take part in links: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 WIDTH, PERCENT = 5, 75
@@ -115,7 +115,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def _block_pairs(k: int, percent: int):
-    """Pairs between one block of rows of other components and one block of all rows of a long list."""
+    """Pairs between one block of rows of other components and one block of all rows of a family."""
 
     def run(key: tuple, odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -125,13 +125,17 @@ def _block_pairs(k: int, percent: int):
             flat, owner = np.concatenate(every["sketch"].to_list()), np.repeat(np.arange(len(every)), lengths)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
+            sketches = every["sketch"].to_list()
             for a, n, comp, sketch in odd[["id", "n", "comp", "sketch"]].itertuples(index=False):
                 lo, hi = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
                 shared = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]), minlength=len(every))
                 exact = (n <= k) & (sizes <= k)
                 near = np.where(exact, 100 * shared >= percent * (n + sizes - shared), shared >= SHARE * np.minimum(len(sketch), lengths))
                 fits = near & (comps != comp) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
-                out += [(min(a, b), max(a, b)) for b in ids[fits].tolist()]
+                for i in np.flatnonzero(fits):
+                    low = np.union1d(sketch, sketches[i])[:k]
+                    if exact[i] or np.searchsorted(np.intersect1d(sketch, sketches[i]), low[-1], "right") >= SHARE * len(low):
+                        out.append((min(a, int(ids[i])), max(a, int(ids[i]))))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -146,8 +150,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     candidate by the union-sketch estimate is verified on the full sets; (4) short lists emit their pairs that are not yet
     in one component; (5) a pair that no short list holds shares LEAST values of long lists.  Classes with so many get new
     lists, of their sketch's values that are rarest among them: as many as leave no room for a pair that could pass the estimate
-    without one of them in common.  Short ones of these emit their pairs; in long ones, what lies outside the list's main
-    component is held against the whole list, block by block.  No list is cut or skipped.
+    without one of them in common.  Short ones of these emit their pairs; classes that long ones tie together are a family, and
+    what lies outside a family's main component is held against the whole family, block by block.  No list is cut or skipped.
 
     Defined results: null text counts as empty; a text without words has ``n_shingles`` 0 and is its own
     component; rows that repeat a ``doc_id`` are grouped each by its own text; a row with null ``doc_id`` is linked with
@@ -200,8 +204,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     few = rare.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
     met = met.unionByName(pairs_of(few).select("a", "b"))
 
-    # their long lists: what the leaders left outside the main component
-    long = rare.where(F.col("df") > list_cap).select("id", "v").join(at.select("id", "n", "sketch", "comp"), "id").select("v", "id", "n", "sketch", "comp")
+    # classes that long ones of these lists tie together are a family; what the leaders left outside its main component
+    tied = rare.where(F.col("df") > list_cap).select("id", "v")
+    heads = tied.groupBy("v").agg(F.min("id").alias("head"))
+    family = components(tied.join(heads, "v").select(F.col("id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("v"))
+    long = at.join(tied.select("id").distinct(), "id", "left_semi").join(family, "id", "left").select(F.coalesce("v", "id").alias("v"), "id", "n", "sketch", "comp")
     sizes = long.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
     sizes = sizes.where(F.col("all") > F.col("most")).withColumns({"blocks": F.ceil(F.col("all") / BLOCK).cast("int"), "odd_blocks": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")})
     long = cut(long.join(sizes, "v"))
