@@ -66,9 +66,10 @@ _FUNS = {
 }
 
 
-@register("agg_named_list", f"SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_returnflag, {', '.join(f'round({s}, 4) AS {n}' for n, s in _FUNS.items())} FROM lineitem GROUP BY ALL")
+@register("agg_named_list", f"SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_returnflag, {', '.join(f'round({s}, {2 if n == "sum" else 7}) AS {n}' for n, s in _FUNS.items())} FROM lineitem GROUP BY ALL")
 def agg_named_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(aggregate.aggregate_series(table(spark, sf_dir, "lineitem"), "l_shipdate", "month", {n: (n, "l_extendedprice") for n in _FUNS}, ["l_returnflag"]), 4)
+    out = aggregate.aggregate_series(table(spark, sf_dir, "lineitem"), "l_shipdate", "month", {n: (n, "l_extendedprice") for n in _FUNS}, ["l_returnflag"])
+    return _rounded(out.withColumn("sum", F.round("sum", 2)), 7)
 
 
 @register("agg_complete_calendar", """
@@ -725,11 +726,11 @@ def grid_flash_droughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(grids.flash_droughts(e), 4)
 
 
-@register("grid_fires", "SELECT floor(x / 3) * 3 + floor(y / 3) AS code_muni, date, count(*) AS n_fires, round(avg(value), 4) AS frp_mean FROM (SELECT (event_id % 89) / 10.01 + 0.001 AS x, (event_id % 83) / 9.97 + 0.003 AS y, CAST(ts AS DATE) AS date, value FROM events) GROUP BY ALL")
+@register("grid_fires", "SELECT floor(x / 3) * 3 + floor(y / 3) AS code_muni, date, count(*) AS n_fires, round(avg(value), 9) AS frp_mean FROM (SELECT (event_id % 89) / 10.01 + 0.001 AS x, (event_id % 83) / 9.97 + 0.003 AS y, CAST(ts AS DATE) AS date, value FROM events) GROUP BY ALL")
 def grid_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     fires = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 89) / 10.01 + 0.001).alias("x"), ((F.col("event_id") % 83) / 9.97 + 0.003).alias("y"), F.to_date("ts").alias("date"), F.col("value").alias("frp"))
     squares = [(float(i * 3 + j), [(3.0 * i + a, 3.0 * j + b) for a, b in ((0, 0), (3, 0), (3, 3), (0, 3))]) for i in range(3) for j in range(3)]
-    return _rounded(grids.fires_by_municipality(fires, spark.createDataFrame(squares, "code_muni double, ring array<struct<x:double,y:double>>")), 4)
+    return _rounded(grids.fires_by_municipality(fires, spark.createDataFrame(squares, "code_muni double, ring array<struct<x:double,y:double>>")), 9)
 
 
 @register("grid_cleared_area", "SELECT o_custkey % 40 AS code_muni, year(o_orderdate) AS year, o_orderpriority AS biome, round(sum(o_totalprice), 2) AS area_km2, count(DISTINCT o_custkey) AS n_polygons FROM orders GROUP BY ALL")
