@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, text``: the pieces of each document and the text decoded from them."""
-    return pieces.decode(pieces.encode(docs))
+    return pieces.round_trip(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", drop_contaminated), ("pieces", encode_pieces)]

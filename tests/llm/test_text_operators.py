@@ -117,7 +117,9 @@ def test_pieces_round_trip_and_seed(spark, sf_dir):
     assert got == sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=str)
     one, two, other = (sorted(map(tuple, (r["ids"] for r in pieces.encode(docs, seed=s).collect()))) for s in (3, 3, 4))
     assert one == two != other
-    assert pieces.encode(docs.limit(0)).count() == 0
+    both = lambda df: sorted(((r["doc_id"], r["ids"], r["text"]) for r in df.collect()), key=str)
+    assert both(pieces.round_trip(docs, seed=3)) == both(pieces.decode(encoded))
+    assert pieces.encode(docs.limit(0)).count() == pieces.round_trip(docs.limit(0)).count() == 0
 
 
 def test_dropout_cuts_equal_words_differently(spark):

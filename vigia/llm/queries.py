@@ -41,7 +41,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs))
+    out = pieces.round_trip(docs)
     return out.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), _sha(F.col("text")).alias("text_sha256"))
 
 
