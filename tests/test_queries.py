@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import re
 
 import duckdb
 import pytest
@@ -42,6 +43,19 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
 
 
+PART = re.compile(r"FROM \w+ WHERE \w+ (?:% \d+ = 0|> 400000)")
+
+
+def test_queries_on_parts_are_registered_over_whole_tables(spark, duck, sf_dir):
+    parts = [name for name, sql in queries.ORACLE_SQL.items() if PART.search(sql)]
+    assert len(parts) >= 19
+    for name in parts:
+        assert f"{name}_whole" in queries.QUERIES and not PART.search(queries.ORACLE_SQL[f"{name}_whole"])
+    days = duck.sql("select count(*) from (select distinct l_linenumber, cast(l_shipdate as date) from lineitem)").fetchall()[0][0]
+    assert queries.QUERIES["heat_flags_whole"](spark, sf_dir).count() == days
+    assert queries.flagship(spark, sf_dir).agg({"n": "sum"}).first()[0] == duck.sql("select count(*) from orders").fetchall()[0][0]
+
+
 def test_flagship(spark, sf_dir):
     assert queries.flagship(spark, sf_dir).count() > 0
 
