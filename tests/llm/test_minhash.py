@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from vigia.llm.kernels import shingles
 from vigia.llm.minhash import near_duplicates
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -93,3 +95,23 @@ def test_blocks_find_what_leaders_miss(spark):
         assert result(near_duplicates(docs, list_cap=2)) == brute(rows)
     finally:
         m.BLOCK = old
+
+
+def test_hot_families_of_whole_and_cut_sets(spark):
+    def sketch(text, k=64):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return set(shingles(data, np.array([0, len(data)]))[0][:k].tolist())
+
+    rng, rows, found = random.Random(11), [], 0
+    own = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    while found < 5:  # 64 shingles, all of them in a text of 85, whose sketch leaves 17 or more of them out
+        inner = own(68)
+        pair = " ".join(inner), " ".join(inner + own(21))
+        if len(sketch(pair[0]) - sketch(pair[1])) < 17:
+            continue
+        rows += [(1000 * found + i, text) for i, text in enumerate(pair)]
+        # texts that share the small values of both, so that all their lists are long, and are no links
+        rows += [(1000 * found + 2 + i, " ".join(own(16) + inner + own(16))) for i in range(40)]
+        found += 1
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(near_duplicates(docs, list_cap=6)) == brute(rows)

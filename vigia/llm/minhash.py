@@ -198,8 +198,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # classes of many long lists: lists of their rarest values
     dense = at.where(F.col("hot") >= enough)
     held = dense.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    rare = held.join(held.groupBy("v").agg(F.count("*").alias("df")), "v")
-    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= F.col("m") - F.ceil(F.when(F.col("n") <= k, percent / 100).otherwise(SHARE) * F.col("m")) + 1)
+    # two whole sets are held to percent, a whole and a cut one only to SHARE: where a list has a cut set small enough for a whole partner
+    mixed = (F.col("n") > k) & (percent * F.col("n") <= 100 * k)
+    rare = held.join(held.groupBy("v").agg(F.count("*").alias("df"), F.max(mixed).alias("mixed")), "v")
+    share = F.when((F.col("n") <= k) & ~(F.col("mixed") & (100 * F.col("n") > percent * k)), percent / 100).otherwise(SHARE)
+    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= F.col("m") - F.ceil(share * F.col("m")) + 1)
     rare = cut(rare.where("df > 1").select("id", "v", "df"))
     few = rare.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
     met = met.unionByName(pairs_of(few).select("a", "b"))
