@@ -128,6 +128,32 @@ def test_dropout_cuts_equal_words_differently(spark):
     assert len(set(rows)) > 1
 
 
+def test_each_occurrence_draws_its_own_cut():
+    text = b" ".join([b"internationalization"] * 3000)
+    run = lambda e: e.encode(np.array([7], np.uint64), np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist()
+    once, encoder = run(pieces.Encoder(seed=1)), pieces.Encoder(seed=1)
+    cuts, word, known = set(), [], pieces.load(pieces.MODEL)
+    for i in once:
+        if known.raw[i].startswith(b" ") and word:
+            cuts.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(cuts) > 20
+    assert run(encoder) == run(encoder) == once  # with and without kept units
+
+    class Plain(pieces.Encoder):  # merges every occurrence anew
+        def _places(self, *a):
+            place = super()._places(*a)
+            self.met_count[:], self.met_first[:], self.met = 1, 0, np.zeros(1, np.uint64)
+            return place
+
+    skipped, pieces._skipped = pieces._skipped, lambda key, candidate, dropout: np.ones(len(key), bool) if not candidate.any() else skipped(key, candidate, dropout)
+    try:
+        assert run(Plain(seed=1)) == once
+    finally:
+        pieces._skipped = skipped
+
+
 def test_invalid_bytes_survive(spark):
     docs = spark.createDataFrame([(1,)], "doc_id bigint").select("doc_id", F.expr("cast(unhex('61FF62') as string)").alias("text"))
     (row,) = pieces.decode(pieces.encode(docs)).select(F.hex(F.col("text").cast("binary")).alias("h")).collect()

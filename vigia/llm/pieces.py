@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 from .kernels import U64, list_array, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Share of candidate merges that are skipped, and different segmentations a word can get for one seed.
-DROPOUT, VARIANTS = 0.1, 2
+#: Share of candidate merges that are skipped.
+DROPOUT = 0.1
 SPACE, LITERAL = 0x2581, 0x110000  # the model's mark for a space; stands for that mark as the text's own character
 #: Longest unit that goes through the table of many units; longer ones are merged one by one with a heap.
 WIDE = 40
-#: Segmented units that a task keeps for later slices.
+#: Units merged without dropout that a task keeps for later slices.
 KEEP = 300_000
 
 _NO = np.iinfo(np.int32).max
@@ -128,16 +128,22 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _skipped(key: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, dropout: float) -> np.ndarray:
-    """Keyed hash of a candidate merge: the unit's key, where the left symbol starts, and the two symbols."""
+def _candidate(start: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A candidate merge as a number: where the left symbol starts, and the two symbols."""
     with np.errstate(over="ignore"):
-        x = mix(key + start.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + (left.astype(np.uint64) << U64(32)) + right.astype(np.uint64))
-    return (x >> U64(11)).astype(np.float64) < dropout * float(1 << 53)
+        return start.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + (left.astype(np.uint64) << U64(32)) + right.astype(np.uint64)
 
 
-def _merge_table(pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def _skipped(key: np.ndarray, candidate: np.ndarray, dropout: float) -> np.ndarray:
+    """By a keyed hash of the candidate merge."""
+    with np.errstate(over="ignore"):
+        return (mix(key + candidate) >> U64(11)).astype(np.float64) < dropout * float(1 << 53)
+
+
+def _merge_table(pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray, key: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merge many short units: rows of ``symbols`` (n, widest).  Each row's agenda is its row of candidate ranks;
-    a step takes the best candidate of each row.  Returns the symbols and which of them are still there."""
+    a step takes the best candidate of each row.  Returns the symbols and which of them are still there; ``met`` gets
+    the rows and candidates that came up."""
     n, wide = symbols.shape
     there = np.arange(wide)[None, :] < lengths[:, None]
     nxt, prev = np.tile(np.arange(1, wide + 1), (n, 1)), np.tile(np.arange(-1, wide - 1), (n, 1))
@@ -150,9 +156,13 @@ def _merge_table(pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray, key:
         row, at, after = row[ok], at[ok], after[ok]
         left, right = symbols[row, at], symbols[row, after]
         value = pieces.pair_rank(left, right)
-        if dropout > 0:
+        if dropout > 0 or met is not None:
             hit = np.flatnonzero(value != _NO)
-            value[hit[_skipped(key[row[hit]], at[hit], left[hit], right[hit], dropout)]] = _NO
+            candidate = _candidate(at[hit], left[hit], right[hit])
+            if met is not None:
+                met.append((row[hit], candidate))
+            if dropout > 0:
+                value[hit[_skipped(key[row[hit]], candidate, dropout)]] = _NO
         rank[row, at] = value
 
     row, at = np.nonzero(np.arange(wide)[None, :] < lengths[:, None] - 1)
@@ -189,7 +199,7 @@ def _merge_long(pieces: Pieces, symbols: np.ndarray, key: int, dropout: float) -
     def push(i: int) -> None:
         if i >= 0 and nxt[i] < n and (piece := pieces.merges.get((sym[i], sym[nxt[i]]))) is not None:
             one = lambda x, kind=np.int64: np.array([x], kind)
-            if not (dropout > 0 and _skipped(one(key, np.uint64), one(i), one(sym[i]), one(sym[nxt[i]]), dropout)[0]):
+            if not (dropout > 0 and _skipped(one(key, np.uint64), _candidate(one(i), one(sym[i]), one(sym[nxt[i]])), dropout)[0]):
                 heapq.heappush(agenda, (int(pieces.rank[piece]), i, sym[i], sym[nxt[i]]))
 
     for i in range(n):
@@ -221,19 +231,21 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Encoder:
-    """Encodes slices of texts; keeps segmented units from one slice to the next, KEEP of them at most."""
+    """Encodes slices of texts.  Every occurrence of a unit draws its own skipped merges.  What a unit gives without dropout,
+    and the candidate merges that come up on the way, is kept from one slice to the next, KEEP units at most: an occurrence
+    that skips none of these candidates has that result, every other one is merged anew."""
 
-    def __init__(self, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT):
         self.pieces, self.seed, self.dropout = load(path), seed, dropout
-        self.variants = variants if dropout > 0 else 1
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.count, self.first, self.ids, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        self.flat = np.zeros(0, np.int32)
+        none = lambda kind=np.int64: np.zeros(0, kind)
+        self.known, self.count, self.first, self.flat = none(np.uint64), none(), none(), none(np.int32)
+        self.met_count, self.met_first, self.met = none(), none(), none(np.uint64)
 
     def encode(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text.  ``keys``: a uint64 of each text, from which its units draw their variant."""
+        """Ids of each text.  ``keys``: a uint64 of each text, which keys its units' hashes."""
         codes, at = _codes(data, offsets)
         if not len(codes):
             return [np.zeros(0, np.int32) for _ in keys]
@@ -245,36 +257,61 @@ class Encoder:
         row = np.searchsorted(at, begin, "right") - 1
         with np.errstate(over="ignore"):
             nth = np.arange(len(begin)) - np.searchsorted(row, row)
-            variant = mix(keys[row] + U64(self.seed) * U64(0xD6E8FEB86659FD93) + nth.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) % U64(self.variants)
+            key = mix(mix(keys[row] + U64(self.seed) * U64(0xD6E8FEB86659FD93)) + nth.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
             letters = mix(codes.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F) + (np.arange(len(codes)) - np.repeat(begin, end - begin)).astype(np.uint64) * U64(0x9FB21C651E98DF25))
-            unit = mix(np.add.reduceat(letters, begin) + (end - begin).astype(np.uint64) + (variant + U64(1)) * U64(0xFF51AFD7ED558CCD))
+            unit = mix(np.add.reduceat(letters, begin) + (end - begin).astype(np.uint64))
+        count, first, flat = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64), self.flat
+        anew = (end - begin > WIDE) & (self.dropout > 0)
+        if len(short := np.flatnonzero(~anew)):
+            place = self._places(unit[short], codes, begin[short], end[short])
+            count[short], first[short], flat = self.count[place], self.first[place], self.flat
+            if self.dropout > 0:
+                n = self.met_count[place]
+                owner = np.repeat(np.arange(len(short)), n)
+                candidate = self.met[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.met_first[place], n)]
+                anew[short[owner[_skipped(key[short[owner]], candidate, self.dropout)]]] = True
+        if len(anew := np.flatnonzero(anew)):
+            count[anew], own, more = self._segment(codes, begin[anew], end[anew], key[anew], self.dropout)
+            first[anew] = own + len(flat)
+            flat = np.concatenate([flat, more])
+        source = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = flat[source]
+        cuts = total[np.searchsorted(row, np.arange(len(at)))]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _places(self, unit: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where each unit is among the known ones; new ones are merged without dropout."""
         distinct, one, which = np.unique(unit, return_index=True, return_inverse=True)
-        if self.held > KEEP:
+        if len(self.known) > KEEP:
             self.forget()
         place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         new = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
-            self._learn(distinct[new], variant[one[new]], codes, begin[one[new]], end[one[new]])
+            names, met = distinct[new], [] if self.dropout > 0 else None
+            count, first, flat = self._segment(codes, begin[one[new]], end[one[new]], np.zeros(len(new), np.uint64), 0.0, met)
+            owner, candidate = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            met_count = np.bincount(owner, minlength=len(new))
+            at = np.searchsorted(self.known, names)  # both are sorted
+            put = lambda old, x: np.insert(old, at, x)
+            self.known, self.count, self.first = put(self.known, names), put(self.count, count), put(self.first, first + len(self.flat))
+            self.met_count, self.met_first = put(self.met_count, met_count), put(self.met_first, np.cumsum(met_count) - met_count + len(self.met))
+            self.flat, self.met = np.concatenate([self.flat, flat]), np.concatenate([self.met, candidate[np.argsort(owner, kind="stable")]])
             place = np.searchsorted(self.known, distinct)
-        place = place[which]
-        count = self.count[place]
-        source = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[place], count)
-        total = np.concatenate(([0], np.cumsum(count)))
-        ids = self.flat[source]
-        cuts = total[np.searchsorted(row, np.arange(len(at)))]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return place[which]
 
-    def _learn(self, names: np.ndarray, variant: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+    def _segment(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each unit has, where they begin, and all ids; ``met`` gets the candidates of units up to WIDE."""
         size = end - begin
-        with np.errstate(over="ignore"):
-            key = mix(names + U64(self.seed) * U64(0xFF51AFD7ED558CCD) + variant)
-        count, parts = np.zeros(len(names), np.int64), []
-        order = []
+        count, parts, order = np.zeros(len(size), np.int64), [], []
         for low, high in ((1, 6), (7, 12), (13, WIDE)):
             for chunk in np.array_split(mine, max(1, len(mine) // 8_000)) if len(mine := np.flatnonzero((size >= low) & (size <= high))) else []:
                 wide = int(size[chunk].max())
                 cell = np.minimum(begin[chunk][:, None] + np.arange(wide)[None, :], len(codes) - 1)
-                symbols, there = _merge_table(self.pieces, self.pieces.symbol_of(codes[cell]), size[chunk], key[chunk], self.dropout)
+                own = None if met is None else []
+                symbols, there = _merge_table(self.pieces, self.pieces.symbol_of(codes[cell]), size[chunk], key[chunk], dropout, own)
+                if own is not None:
+                    met.extend((chunk[row], candidate) for row, candidate in own)
                 ids, n = self.pieces.ids_of(symbols[there], codes[cell][there])
                 each = there.sum(axis=1)
                 count[chunk] = np.add.reduceat(n, np.cumsum(each) - each)
@@ -283,18 +320,15 @@ class Encoder:
         for i in np.flatnonzero(size > WIDE).tolist():
             own = codes[begin[i] : end[i]]
             symbols = self.pieces.symbol_of(own)
-            left = _merge_long(self.pieces, symbols, int(key[i]), self.dropout)
+            left = _merge_long(self.pieces, symbols, int(key[i]), dropout)
             ids, n = self.pieces.ids_of(symbols[left], own[left])
             count[i] = n.sum()
             parts.append(ids)
             order.append(np.array([i]))
         order = np.concatenate(order)
-        first = np.zeros(len(names), np.int64)
-        first[order] = np.cumsum(count[order]) - count[order] + len(self.flat)
-        self.flat = np.concatenate([self.flat, *parts])
-        at = np.searchsorted(self.known, names)  # both are sorted
-        self.known, self.count, self.first = np.insert(self.known, at, names), np.insert(self.count, at, count), np.insert(self.first, at, first)
-        self.held = len(self.known)
+        first = np.zeros(len(size), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return count, first, np.concatenate(parts)
 
 
 def decode_bytes(ids: np.ndarray, pieces: Pieces) -> bytes:
@@ -307,21 +341,21 @@ def _texts(ids: list[np.ndarray], pieces: Pieces) -> pa.Array:
     return pa.array([decode_bytes(x, pieces) for x in ids], pa.binary()).view(pa.string())
 
 
-def encode(docs: DataFrame, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT) -> DataFrame:
     """``doc_id, ids`` (array<int>) of each whole text under the piece model at ``path``.
 
     Merging follows an agenda of candidate merges, best piece first; each candidate is skipped for good if a hash keyed
-    with ``seed``, the word, its variant, the place and the two symbols falls below ``dropout``.  A word takes one of ``variants``
-    variants by a hash of seed, doc_id and its number in the text, so equal words are cut differently in different places, and a rerun gives the same ids.
+    with ``seed``, doc_id, the word's number in the text, the place and the two symbols falls below ``dropout``.  Every occurrence
+    of a word so draws for itself, and a rerun gives the same ids.
     With dropout 0 the ids are the model's own.  Characters without a piece, bytes that are no UTF-8, and the space mark as
     a character of the text become byte pieces, so that decoding gives every text back.
 
-    Null and empty texts get no ids; a null doc_id counts as 0 for the draw; repeated rows are encoded alike; other columns are ignored.
+    Null and empty texts get no ids; a null doc_id counts as 0 in the key; repeated rows are encoded alike; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, seed, dropout, variants)
+        encoder = Encoder(path, seed, dropout)
         for part, data, offsets in slices(batches):
             ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(encoder.encode(ids, data, offsets), pa.int32())], names=["doc_id", "ids"])
@@ -344,12 +378,12 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("text", T.StringType())]))
 
 
-def round_trip(docs: DataFrame, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT) -> DataFrame:
     """``doc_id, ids, text``: what ``decode(encode(docs))`` gives, in one pass, so that a task holds one Python process."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, seed, dropout, variants)
+        encoder = Encoder(path, seed, dropout)
         for part, data, offsets in slices(batches):
             keys = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             ids = encoder.encode(keys, data, offsets)
