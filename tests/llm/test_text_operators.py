@@ -291,6 +291,21 @@ def test_html_extraction(page, text):
     assert htmltext.extract(page) == text
 
 
+PARA, GIANT, TINY = "x " * 99 + "x", "y " * 49_999 + "y", "tiny"
+
+
+@pytest.mark.parametrize("page,lines", [
+    ("".join(f"<p>{t}</p>" for t in [PARA] * 25 + [GIANT] + [PARA] * 25), [PARA] * 25 + [GIANT] + [PARA] * 25),
+    ("<article>" + f"<p>{PARA}</p>" * 20 + "</article>" + "<p>tiny</p>" * 8 + "<article>" + f"<p>{TINY}</p>" * 20 + "</article>", [PARA] * 20 + [TINY] * 20),
+    (f"<div class='content has-sidebar no-ads'><p>{PARA}</p></div><div class='sidebar'>s</div>", [PARA]),
+    (f"<div class='layout-sidebar'><nav>n</nav><article><p>{PARA}</p></article><div class='ad'>a</div></div>", [PARA]),
+    (f"<form><main><p>{PARA}</p></main></form><form>f</form>", [PARA]),
+    (f"<div hidden><article>h</article></div><div id='comments'><article class='comment'>c</article></div><p>{PARA}</p>", [PARA]),
+])
+def test_html_keeps_all_content(page, lines):
+    assert htmltext.extract(page).split("\n") == lines
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<article><p>é𝔘</p></article>"), (None, "v", "<p>" + LONG)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.extract_text(pages).collect()}

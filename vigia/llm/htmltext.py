@@ -19,7 +19,11 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 FURNITURE = frozenset("ad ads advert advertisement alert author-box banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies copyright disclaimer discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 #: Elements that hold the article where a page has one.
 ARTICLE = ("article", "main")
-#: Smoothing radius in lines, and the threshold as a share of the ratios' mean.
+#: Words after which a name tells a state of the page and not what the element is: has-sidebar, no-ads.
+STATE = frozenset("has hide is no not with without".split())
+#: How an element drops its content: by its name or as a form around the page, unless an article is inside; or always.
+LOOSE, FIRM = 1, 2
+#: Smoothing radius in lines, and the threshold as a share of the ratios' median.
 SIGMA, SHARE = 1.0, 0.5
 
 _SPACES = re.compile(r"\s+")
@@ -30,20 +34,31 @@ def _is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for word in re.split(r"[^a-z0-9-]+", re.sub(r"(?<=[a-z])(?=[A-Z])|_", "-", value).lower()):
-                if word in FURNITURE or not FURNITURE.isdisjoint(word.split("-")):
+                parts = word.split("-")
+                parts = parts[: next((k for k, part in enumerate(parts) if part in STATE), len(parts))]
+                if "-".join(parts) in FURNITURE or not FURNITURE.isdisjoint(parts):
                     return True
-        elif name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
     return False
 
 
+def _drops(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """LOOSE or FIRM if the element's content is none of the page's, else 0."""
+    if tag in DROPPED and tag != "form":
+        return FIRM
+    if tag in ("html", "body", *ARTICLE):
+        return 0
+    if any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs):
+        return FIRM
+    return LOOSE if tag == "form" or _is_furniture(attrs) else 0
+
+
 class _Lines(HTMLParser):
     """Turns parser events into lines: text, number of tags, number of the outermost article (0: none), in page furniture or not."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # name, drops its content, is an article
+        self.open: list[tuple[str, int, bool]] = []  # name, how it drops its content, is an article
         self.text: list[str] = []
         self.tags = 0
         self.dropped = self.articles = self.number = 0
@@ -57,7 +72,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         article = tag in ARTICLE or (tag == "div" and ("role", "main") in attrs)
-        drops = tag in DROPPED or (tag not in ("html", "body", *ARTICLE) and _is_furniture(attrs))
+        drops = _drops(tag, attrs)
         if tag in BLOCKS or drops or article:
             self.end_line()
         self.tags += 1
@@ -67,8 +82,11 @@ class _Lines(HTMLParser):
             self.close("p", stop=BLOCKS)
         if tag == "li":
             self.close("li", stop=frozenset(("ul", "ol", "menu")))
+        if article and not _is_furniture(attrs):
+            self.open = [(name, 0 if how == LOOSE else how, inner) for name, how, inner in self.open]
+            self.dropped = sum(how > 0 for _, how, _ in self.open)
         self.open.append((tag, drops, article))
-        self.dropped += drops
+        self.dropped += drops > 0
         self.number += article and not self.articles
         self.articles += article
 
@@ -76,7 +94,7 @@ class _Lines(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 for _, drops, article in self.open[k:]:
-                    self.dropped -= drops
+                    self.dropped -= drops > 0
                     self.articles -= article
                 del self.open[k:]
                 return
@@ -113,19 +131,18 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
     """The lines of the content regions.
 
-    Each line's ratio is its characters over its tags; the smoothed ratios are cut at a share of their mean, and
-    the lines above it form clusters.  Where the page has article elements, the content is every line of the outermost
-    articles that a cluster touches (of all articles, if none does); else every line from the first to
-    the last cluster line, so that short lines between long ones stay.  Furniture lines are never content.
+    Each line's ratio is its characters over its tags; the smoothed ratios are cut at a share of their median, which
+    a few very long lines don't lift, and the lines above it form clusters.  Where the page has article elements, the content is
+    every line of all outermost articles; else every line from the first to the last cluster line, so that short lines
+    between long ones stay.  Furniture lines are never content.
     """
     clean = [x for x in lines if not x[3]]
     if not clean:
         return []
+    if any(x[2] for x in clean):
+        return [x[0] for x in clean if x[2]]
     ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _, _ in clean]))
-    inside = np.flatnonzero(ratio >= SHARE * ratio.mean())
-    if articles := {x[2] for x in clean if x[2]}:
-        touched = {clean[k][2] for k in inside} - {0} or articles
-        return [x[0] for x in clean if x[2] in touched]
+    inside = np.flatnonzero(ratio >= SHARE * np.median(ratio))
     return [x[0] for x in clean[inside[0] : inside[-1] + 1]]
 
 
