@@ -21,10 +21,10 @@ K, INDEX = 64, 16
 LEAST, SHARE = 4, 0.5
 #: Longest inverted list whose pairs are all emitted; longer ones go through leaders and blocks.
 LIST_CAP = 32
-#: Members of one block of a family.
-BLOCK = 2048
-#: Bits of the filter that says which texts take part in links: a fixed size, whatever the input.
-FILTER_BITS = 1 << 23
+#: Members of one block of a family, and shingles of all of them: what one task holds of either side.
+BLOCK, BLOCK_SHINGLES = 8192, 4_000_000
+#: Bits a text of the filter that says which texts take part in links, and the most bits that it has (8 MB).
+TEXT_BITS, MOST_BITS = 16, 1 << 26
 WIDTH, PERCENT = 5, 75
 
 _SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch array<bigint>"
@@ -44,46 +44,36 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) % U64(FILTER_BITS)).astype(np.int64)
-
-
-def _full_sets(width: int, bits: np.ndarray):
+def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = _slot(batch.column("doc_id").to_numpy(zero_copy_only=False))
-                batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
-                if batch.num_rows:
-                    yield batch
-
-        for part, data, offsets in slices(wanted()):
+        for part, data, offsets in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), list_array(shingles(data, offsets, width), pa.int64())], names=["doc_id", "full"])
 
     return run
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the slots of ``ids``; false hits are removed by a join later."""
+def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, full``: the whole sets of the texts in ``ids`` (distinct ``id``), and of few others.
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    A bitmap of the ids goes to the tasks that read the texts, so that no text is shuffled.  It has TEXT_BITS bits an id and
+    MOST_BITS at most: beyond, more texts that are not asked for come along, and the join with what asked for them drops them.
+    """
+    bits = 64
+    while bits < min(MOST_BITS, TEXT_BITS * ids.count()):
+        bits *= 2
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(bits))
+    words = ids.select(slot("id").alias("s")).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits >> 6, np.int64)
+    bitmap[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _slot(batch.column("id").to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        chunk = 1 << 12
-        used = [c for c in range(0, len(bits), chunk) if bits[c : c + chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([bits[c : c + chunk].tobytes() for c in used], pa.binary())], names=["at", "bits"])
+            at = batch.column("slot").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1))
+            if batch.num_rows:
+                yield batch
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]])
-        return pd.DataFrame({"at": [key[0]], "bits": [np.bitwise_or.reduce(stack, axis=0).tobytes()]})
-
-    parts = ids.coalesce(16).mapInArrow(local, "at bigint, bits binary")
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in parts.groupBy("at").applyInPandas(merge, "at bigint, bits binary").toLocalIterator():
-        bits[row["at"] : row["at"] + (1 << 12)] = np.frombuffer(row["bits"], np.uint8)
-    return bits
+    return texts.withColumn("slot", slot("doc_id")).mapInArrow(lambda batches: _full_sets(width)(wanted(batches)), "doc_id bigint, full array<bigint>")
 
 
 def _estimate(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -103,38 +93,64 @@ def _sized(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links by their whole sets, which are made anew for the texts of these pairs only."""
-    pairs = cut(pairs.select("a", "b"))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = texts.mapInArrow(_full_sets(width, _id_filter(ids)), "doc_id bigint, full array<bigint>")
-    left = full.select(F.col("doc_id").alias("a"), F.col("full").alias("fa"))
-    right = full.select(F.col("doc_id").alias("b"), F.col("full").alias("fb"))
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links by their whole sets."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("full").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
-    return cut(pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both)).select("a", "b").distinct())
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both)).select("a", "b").distinct()
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-def _block_pairs(k: int, percent: int):
-    """Pairs between one block of rows of other components and one block of all rows of a family."""
+class _Postings:
+    """Inverted lists of the values of many sets: how many values each set shares with another one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.flat, self.n = np.concatenate(sets), len(sets)
+        owner = np.repeat(np.arange(self.n), [len(x) for x in sets])
+        order = np.argsort(self.flat, kind="stable")
+        self.flat, self.owner = self.flat[order], owner[order]
+
+    def shared(self, values: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.flat, values, "left"), np.searchsorted(self.flat, values, "right")
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+def _block_links(k: int, percent: int):
+    """Links between one block of classes outside their family's main component and one block of the whole family.
+
+    Inverted lists of the sketches count what each pair shares; a pair that shares less than the estimate needs is dropped, as
+    the estimate can't be larger; the whole sets decide on the others.  A link within what the block has linked already says
+    nothing new, so a block gives fewer links than it has components.
+    """
 
     def run(key: tuple, odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(odd) and len(every):
-            ids, sizes, comps = (every[c].to_numpy() for c in ("id", "n", "comp"))
-            lengths = np.array([len(x) for x in every["sketch"]])
-            flat, owner = np.concatenate(every["sketch"].to_list()), np.repeat(np.arange(len(every)), lengths)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            sketches = every["sketch"].to_list()
-            for a, n, comp, sketch in odd[["id", "n", "comp", "sketch"]].itertuples(index=False):
-                lo, hi = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
-                shared = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]), minlength=len(every))
+            ids, sizes = every["id"].to_numpy(), every["n"].to_numpy()
+            full = every["full"].to_list()
+            held = np.minimum(sizes, k)
+            sketches, whole = _Postings([x[:k] for x in full]), None
+            _, label = np.unique(np.concatenate([every["comp"].to_numpy(), odd["comp"].to_numpy()]), return_inverse=True)
+            root = np.arange(label.max() + 1)  # of each component, after the links found here
+            label, own = label[: len(every)], label[len(every) :]
+            for a, n, mine, values in zip(odd["id"].tolist(), odd["n"].tolist(), own.tolist(), odd["full"].to_list(), strict=True):
+                shared = sketches.shared(values[:k])
                 exact = (n <= k) & (sizes <= k)
-                near = np.where(exact, 100 * shared >= percent * (n + sizes - shared), shared >= SHARE * np.minimum(len(sketch), lengths))
-                fits = near & (comps != comp) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
-                for i in np.flatnonzero(fits):
-                    low = np.union1d(sketch, sketches[i])[:k]
-                    if exact[i] or np.searchsorted(np.intersect1d(sketch, sketches[i]), low[-1], "right") >= SHARE * len(low):
+                near = np.where(exact, 100 * shared >= percent * (n + sizes - shared), shared >= SHARE * np.minimum(min(n, k), held))
+                near &= (root[label] != root[mine]) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
+                if not near.any():
+                    continue
+                whole = whole or _Postings(full)
+                both = whole.shared(values)
+                for i in np.flatnonzero(near & (100 * both >= percent * (n + sizes - both))).tolist():
+                    if root[label[i]] != root[mine]:
+                        root[root == root[label[i]]] = root[mine]
                         out.append((min(a, int(ids[i])), max(a, int(ids[i]))))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -151,7 +167,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     in one component; (5) a pair that no short list holds shares LEAST values of long lists.  Classes with so many get new
     lists, of their sketch's values that are rarest among them: as many as leave no room for a pair that could pass the estimate
     without one of them in common.  Short ones of these emit their pairs; classes that long ones tie together are a family, and
-    what lies outside a family's main component is held against the whole family, block by block.  No list is cut or skipped.
+    what lies outside a family's main component is held against the whole family, block by block, with whole sets, so that a
+    block says at once which of its components are one.  No list is cut or skipped.
 
     Defined results: null text counts as empty; a text without words has ``n_shingles`` 0 and is its own
     component; rows that repeat a ``doc_id`` are grouped each by its own text; a row with null ``doc_id`` is linked with
@@ -175,9 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     seen = posts.select("id").distinct()
     own = cut(nodes.join(seen, "id"))
     with_sketches = lambda p: p.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sk_a")), "a").join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sk_b")), "b").where(_sized("na", "nb", percent))
-    best = _estimate(with_sketches(pairs), k, percent).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+    best = cut(_estimate(with_sketches(pairs), k, percent).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")))
     texts = docs.where("doc_id is not null")
-    links = _verified(best, texts, width, percent)
+    links = cut(_links(best, _sets_of(_ids(best), texts, width), percent))
     comp = components(links)
 
     # short lists: all pairs between components
@@ -211,21 +228,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     tied = rare.where(F.col("df") > list_cap).select("id", "v")
     heads = tied.groupBy("v").agg(F.min("id").alias("head"))
     family = components(tied.join(heads, "v").select(F.col("id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("v"))
-    long = at.join(tied.select("id").distinct(), "id", "left_semi").join(family, "id", "left").select(F.coalesce("v", "id").alias("v"), "id", "n", "sketch", "comp")
-    sizes = long.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    sizes = sizes.where(F.col("all") > F.col("most")).withColumns({"blocks": F.ceil(F.col("all") / BLOCK).cast("int"), "odd_blocks": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")})
+    long = at.join(tied.select("id").distinct(), "id", "left_semi").join(family, "id", "left").select(F.coalesce("v", "id").alias("v"), "id", "n", "comp")
+    sizes = long.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("v").agg(F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks_of = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.where("c > main.c").select("v", F.col("main.comp").alias("main"), blocks_of(F.col("c"), F.col("s")).alias("blocks"), blocks_of(F.expr("c - main.c"), F.expr("s - main.s")).alias("odd_blocks"))
     long = cut(long.join(sizes, "v"))
-    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    odd = long.where("comp <> main").select("v", "id", "n", "comp", "sketch", of("odd_blocks").alias("x"), upto("blocks").alias("y"))
-    every = long.select(*[F.col(c).alias(c) for c in ("v", "id", "n", "comp", "sketch")], of("blocks").alias("y"), upto("odd_blocks").alias("x"))
-    if long.isEmpty():
-        more = met.distinct()
-    else:
-        blocks = odd.groupBy("v", "x", "y").cogroup(every.groupBy("v", "x", "y")).applyInPandas(_block_pairs(k, percent), "a bigint, b bigint")
-        more = met.unionByName(blocks).distinct()
-    more = _estimate(with_sketches(more), k, percent)
-    links = links.unionByName(_verified(more, texts, width, percent))
+
+    more = cut(_estimate(with_sketches(met.distinct()), k, percent).select("a", "b"))
+    sets = _sets_of(_ids(more).unionByName(long.select("id")).distinct(), texts, width)
+    links = links.unionByName(_links(more, sets, percent))
+    if not long.isEmpty():
+        of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = long.join(sets.withColumnRenamed("doc_id", "id"), "id")
+        odd = rows.where("comp <> main").select("v", "id", "n", "comp", "full", of("odd_blocks").alias("x"), upto("blocks").alias("y"))
+        every = rows.select(*[F.col(c).alias(c) for c in ("v", "id", "n", "comp", "full")], of("blocks").alias("y"), upto("odd_blocks").alias("x"))
+        links = links.unionByName(odd.groupBy("v", "x", "y").cogroup(every.groupBy("v", "x", "y")).applyInPandas(_block_links(k, percent), "a bigint, b bigint"))
     comp = components(links)
 
     copies = classes.where("copies > 1").select("s1", "s2", "n_shingles", "id")
