@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import complete_rolling_sum, run_ids
 
 #: Rows that a run needs, by method.
 LEAST = {"WHO": 3, "WMO": 5, "INMET": 5, "EHF": 3, "UTCI": 3, "WBGT": 3, "HI": 3, "ECF": 3}
+#: Methods that hold an index's daily maximum against its own percentile.
+INDEX_METHODS = ("UTCI", "WBGT", "HI")
 
 
 def daily_extremes(hourly: DataFrame, station: str, timestamp: str, temperature: str, index: str | None = None) -> DataFrame:
@@ -104,3 +106,81 @@ def hazen_position(monthly: DataFrame, station: str, rain: str, pet: str, scale:
     w = Window.partitionBy(station, F.col("rolling").isNull()).orderBy("rolling")
     n = F.count("rolling").over(Window.partitionBy(station))
     return df.withColumn("position", F.when(F.col("rolling").isNotNull(), (F.rank().over(w) - 0.5) / n))
+
+
+def index_flags(days: DataFrame, station: str, index: str, method: str, percentile: float = 0.9, around: int = 15, least: int = 10) -> DataFrame:
+    """``station, date, <method>``: days on which the index's maximum lies over its percentile of that time of the year."""
+    base = days.where(F.col(index).isNotNull()).select(station, F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("k"), "date", index)
+    base = base.withColumn("doy", F.pmod(F.dayofyear("date") - 1 + F.col("k"), F.lit(366)) + 1).groupBy(station, "doy").agg(F.percentile(index, percentile).alias("p"), F.count("*").alias("n"))
+    df = days.withColumn("doy", F.dayofyear("date")).join(base.where(F.col("n") >= least), [station, "doy"], "left")
+    return df.select(station, "date", F.coalesce(F.col(index) > F.col("p"), F.lit(False)).alias(method))
+
+
+def waves(days: DataFrame, station: str, methods: list[str], percentile: float = 0.9, least: int | None = None, cold: bool = False, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Daily flags of several methods in one table, each kept only in runs that are long enough, and ``any`` of them.
+
+    ``days``: one row a station and day with tmax, tmin, tmean, and ``utci_max``, ``wbgt_max`` or ``hi_max`` for the methods on
+    these indices; where such a column is missing, its method's flag is null.
+    """
+    out = wave_flags(days, day_baseline(days, station, 1 - percentile if cold else percentile, first=first, last=last), station, cold).drop("doy", "tmax_p", "tmin_p", "tmax_hist", "tmin_hist")
+    factor = "ECF" if cold else "EHF"
+    if factor in methods:
+        out = out.join(excess_heat(days, station, cold).select(station, "date", factor, "factor"), [station, "date"], "left")
+    for method in methods:
+        index = f"{method.lower()}_max"
+        if method in INDEX_METHODS:
+            out = out.join(index_flags(days, station, index, method, percentile), [station, "date"], "left") if index in days.columns else out.withColumn(method, F.lit(None).cast("boolean"))
+        elif method not in out.columns:
+            raise ValueError(f"unknown method: {method}")
+        if method not in INDEX_METHODS or index in days.columns:
+            out = keep_runs(out, method, [station], "date", least or LEAST[method])
+    return out.drop(*[m for m in ("WHO", "WMO", "INMET") if m not in methods]).withColumn("any", F.coalesce(F.array_max(F.array(*methods)), F.lit(False)))
+
+
+def active_days(flags: DataFrame, method: str, station: str) -> DataFrame:
+    """Days of each station on which the method's flag holds, per year."""
+    return flags.where(F.col(method)).groupBy(station, F.year("date").alias("year")).agg(F.count("*").alias("n_days"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile by a rational approximation (relative error under 1.2e-9)."""
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+    def poly(k: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + v
+        return out
+
+    q = p - 0.5
+    r = q * q
+    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
+    return F.when(p < 0.02425, poly(c, low) / poly(d, low)).when(p <= 1 - 0.02425, q * poly(a, r) / poly(b, r)).otherwise(-poly(c, high) / poly(d, high))
+
+
+def drought_spei(monthly: DataFrame, station: str, rain: str, pet: str, scale: int = 3, first: str | None = None, last: str | None = None, least: int = 24) -> DataFrame:
+    """Standardised rolling water balance: its Hazen position among the calibration months, as a normal quantile.
+
+    A value's rank is the number of calibration values up to it; calibration months are those from ``first`` to ``last`` (all, if not given),
+    and a station with fewer than ``least`` of them gets nulls.
+    """
+    df = monthly.withColumn("balance", F.col(rain) - F.col(pet))
+    df = df.withColumn("rolling", complete_rolling_sum("balance", [station], "date", scale))
+    inside = F.col("rolling").isNotNull()
+    if first:
+        inside = inside & (F.col("date") >= F.lit(first).cast("date"))
+    if last:
+        inside = inside & (F.col("date") <= F.lit(last).cast("date"))
+    upto = Window.partitionBy(station).orderBy("rolling").rangeBetween(Window.unboundedPreceding, 0)
+    rank = F.sum(inside.cast("int")).over(upto)
+    n = F.sum(inside.cast("int")).over(Window.partitionBy(station))
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (rank - 0.5) / n))
+    return df.withColumn("spei", F.when(F.col("rolling").isNotNull() & (n >= least), normal_quantile(p)))
+
+
+def drought_class(index: Column) -> Column:
+    """Class of a standardised drought index."""
+    return F.when(index <= -2, "extremely dry").when(index <= -1.5, "severely dry").when(index <= -1, "moderately dry").when(index < 1, "near normal").when(index < 1.5, "moderately wet").when(index < 2, "very wet").when(index.isNotNull(), "extremely wet")

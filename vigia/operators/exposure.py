@@ -107,3 +107,31 @@ def seasonal(health: DataFrame, climate: DataFrame, key: str, value: str, least_
     season = lambda d: F.element_at(F.array(*map(F.lit, ("DJF", "MAM", "JJA", "SON"))), (F.floor((F.month(d) % 12) / 3) + 1).cast("int"))
     means = climate.groupBy(key, F.year("date").alias("__y"), season(F.col("date")).alias("__s")).agg(F.avg(value).alias(f"season_{value}"), F.count(value).alias("__n")).where(F.col("__n") >= least_days).drop("__n")
     return health.withColumns({"__y": F.year("date"), "__s": season(F.col("date"))}).join(means, [key, "__y", "__s"], "left").drop("__y", "__s")
+
+
+#: Strategies by name, with the arguments that each needs.
+STRATEGIES = {
+    "exact": (exact, ()), "discrete_lag": (discrete_lag, ("lag",)), "distributed_lag": (distributed_lag, ("lags",)), "moving_window": (moving_window, ("days",)), "offset_window": (offset_window, ("near", "far")),
+    "degree_days": (degree_days, ("days", "base")), "seasonal": (seasonal, ()), "threshold_exceedance": (exceedance, ("days", "threshold")), "weighted_window": (weighted_window, ()), "cold_wave_exceedance": (exceedance, ("days", "threshold")),
+}
+
+
+def join_climate(health: DataFrame, climate: DataFrame, key: str, date: str, variables: list[str], strategy: str = "exact", stations: DataFrame | None = None, rules: dict[str, str] | None = None, **options) -> DataFrame:
+    """Climate joined to health rows by a named strategy, one variable after the other.
+
+    ``climate``: rows of places and times, or of stations if ``stations`` (``key, station``: each place's station) is given; it is made a row
+    a place and day first.  ``options`` go to the strategy.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}; one of {', '.join(STRATEGIES)}")
+    run, needed = STRATEGIES[strategy]
+    if missing := [n for n in needed if n not in options]:
+        raise ValueError(f"{strategy} needs {', '.join(missing)}")
+    if strategy == "cold_wave_exceedance":
+        options["cold"] = True
+    if stations is not None:
+        climate = climate.join(stations.select(key, "station").distinct(), "station")
+    days = daily(climate, key, date, variables, rules)
+    for v in variables:
+        health = run(health, days.select(key, "date", v), key, v, **options)
+    return health

@@ -5,6 +5,9 @@ A group is one place's daily series, bounded by the calendar; the rows come from
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,23 +17,27 @@ from ..functions import kernels
 from .exposure import distributed_lag
 
 
-def drought_spi(monthly: DataFrame, key: str, rain: str, scale: int = 3, least: int = 24) -> DataFrame:
-    """Standardised precipitation of rolling sums: gamma by moments with a share of zeros, then the normal quantile."""
+def drought_spi(monthly: DataFrame, key: str, rain: str, scale: int = 3, least: int = 24, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Standardised precipitation of rolling sums: gamma by moments with a share of zeros, then the normal quantile.
+
+    The gamma is fitted on the months from ``first`` to ``last`` (all, if not given); probabilities keep machine epsilon from 0 and 1.
+    """
     from ..functions.windows import complete_rolling_sum
 
     df = monthly.withColumn("rolling", complete_rolling_sum(rain, [key], "date", scale))
-    stats = df.where("rolling is not null").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("rolling") > 0).alias("n_pos"), F.avg(F.when(F.col("rolling") > 0, F.col("rolling"))).alias("m"), F.var_samp(F.when(F.col("rolling") > 0, F.col("rolling"))).alias("v"))
+    inside = [F.col("rolling").isNotNull(), *([F.col("date") >= F.lit(first).cast("date")] if first else []), *([F.col("date") <= F.lit(last).cast("date")] if last else [])]
+    stats = df.where(reduce(and_, inside)).groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("rolling") > 0).alias("n_pos"), F.avg(F.when(F.col("rolling") > 0, F.col("rolling"))).alias("m"), F.var_samp(F.when(F.col("rolling") > 0, F.col("rolling"))).alias("v"))
 
     @F.pandas_udf("double")
     def standardise(x: pd.Series, n: pd.Series, n_pos: pd.Series, m: pd.Series, v: pd.Series) -> pd.Series:
-        def one(x, n, n_pos, m, v):
-            if pd.isna(x) or pd.isna(v) or v <= 0 or n < least or n_pos < 4:
-                return None
-            zero = 1 - n_pos / n
-            p = zero + (1 - zero) * kernels.gamma_p(m * m / v, x * m / v) if x > 0 else zero
-            return kernels.normal_quantile(min(1 - 1e-6, max(1e-6, p)))
-
-        return pd.Series([one(*r) for r in zip(x, n, n_pos, m, v, strict=True)], dtype="float64")
+        x, n, n_pos, m, v = (s.to_numpy(float, na_value=np.nan) for s in (x, n, n_pos, m, v))
+        out = np.full(len(x), np.nan)
+        eps = np.finfo(float).eps
+        for k in np.flatnonzero(~np.isnan(x) & (v > 0) & (n >= least) & (n_pos >= 4)):
+            zero = 1 - n_pos[k] / n[k]
+            p = zero + (1 - zero) * kernels.gamma_p(m[k] * m[k] / v[k], x[k] * m[k] / v[k]) if x[k] > 0 else zero
+            out[k] = kernels.normal_quantile(min(1 - eps, max(eps, p)))
+        return pd.Series(out).astype("float64").where(~np.isnan(out), None)
 
     return df.join(stats, key, "left").withColumn("spi", standardise("rolling", "n", "n_pos", "m", "v")).drop("n", "n_pos", "m", "v")
 
@@ -122,3 +129,61 @@ def pooled(effects: DataFrame, group: str, effect: str, se: str) -> DataFrame:
 
     kind = dict(effects.dtypes)[group]
     return effects.select(group, effect, se).where(F.col(se) > 0).groupBy(group).applyInPandas(fit, f"{group} {kind}, effect double, se double, tau2 double, q double, i2 double, p double, n bigint")
+
+
+def drought_scales(monthly: DataFrame, key: str, rain: str, scales: list[int], **options) -> DataFrame:
+    """``spi_<scale>`` of several scales in one table."""
+    out = monthly
+    for scale in scales:
+        one = drought_spi(monthly.select(key, "date", rain), key, rain, scale, **options).select(key, "date", F.col("spi").alias(f"spi_{scale}"))
+        out = out.join(one, [key, "date"], "left")
+    return out
+
+
+def conditional_fit(design: DataFrame, key: str, cases: str, terms: list[str]) -> DataFrame:
+    """Conditional Poisson fit of a case-crossover design: ``key, term, estimate, se, ratio``.
+
+    Each stratum's number of cases is held fixed, so that its own level drops out of the likelihood: cases share a stratum's days in proportion to exp(terms).
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [key, "term", "estimate", "se", "ratio"]
+        pdf = pdf.dropna()
+        if pdf.empty:
+            return pd.DataFrame(columns=names)
+        x, y = pdf[terms].to_numpy(float), pdf[cases].to_numpy(float)
+        scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+        x = (x - x.mean(axis=0)) / scale
+        _, at = np.unique(pdf["stratum"].to_numpy(), return_inverse=True)
+        total = np.bincount(at, weights=y)
+        coef = np.zeros(len(terms))
+        for _ in range(50):
+            e = np.exp(np.clip(x @ coef, -50, 50))
+            share = e / np.bincount(at, weights=e)[at]
+            centre = np.column_stack([np.bincount(at, weights=share * c) for c in x.T])[at]
+            mu = total[at] * share
+            info = ((x - centre).T * mu) @ (x - centre)
+            step = np.linalg.pinv(info) @ (x.T @ (y - mu))
+            coef = coef + np.clip(step, -2, 2)
+            if np.abs(step).max(initial=0) < 1e-10:
+                break
+        se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(info))))
+        return pd.DataFrame({key: pdf[key].iloc[0], "term": terms, "estimate": coef / scale, "se": se / scale, "ratio": np.exp(np.clip(coef / scale, -700, 700))})
+
+    kind = dict(design.dtypes)[key]
+    return design.select(key, "stratum", cases, *terms).groupBy(key).applyInPandas(fit, f"{key} {kind}, term string, estimate double, se double, ratio double")
+
+
+def pooled_moments(effects: DataFrame, group: list[str], effect: str, se: str) -> DataFrame:
+    """Random-effects mean (DerSimonian-Laird) in closed form, by sums alone: ``n, effect, se, tau2, q, i2`` per group."""
+    w = 1 / F.pow(se, 2)
+    known = effects.where((F.col(se) > 0) & F.col(effect).isNotNull())
+    one = known.groupBy(*group).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.sum(w * F.col(effect)).alias("wy"), F.sum(w * F.pow(effect, 2)).alias("wyy"))
+    q = F.greatest(F.col("wyy") - F.pow("wy", 2) / F.col("w"), F.lit(0.0))
+    tau2 = F.greatest((q - (F.col("n") - 1)) / F.nullif(F.col("w") - F.col("ww") / F.col("w"), F.lit(0.0)), F.lit(0.0))
+    one = one.select(*group, "n", q.alias("q"), F.coalesce(tau2, F.lit(0.0)).alias("tau2"))
+    again = known.join(one.select(*group, "tau2"), group) if group else known.crossJoin(one.select("tau2"))
+    v = 1 / (F.pow(se, 2) + F.col("tau2"))
+    two = again.groupBy(*group).agg((F.sum(v * F.col(effect)) / F.sum(v)).alias("effect"), (1 / F.sqrt(F.sum(v))).alias("se"))
+    out = one.join(two, group) if group else one.crossJoin(two)
+    return out.withColumn("i2", F.when(F.col("q") > 0, F.greatest((F.col("q") - (F.col("n") - 1)) / F.col("q"), F.lit(0.0))).otherwise(0.0))

@@ -15,12 +15,8 @@ REANALYSIS = {
     "t2m": ("tair_dry_bulb_c", 1.0, -273.15, "mean"), "t2m_max": ("tair_max_c", 1.0, -273.15, "max"), "t2m_min": ("tair_min_c", 1.0, -273.15, "min"), "td2m": ("dew_point_c", 1.0, -273.15, "mean"),
     "u10": ("ws_10m_u_m_s", 1.0, 0.0, "mean"), "v10": ("ws_10m_v_m_s", 1.0, 0.0, "mean"), "sp": ("patm_hpa", 0.01, 0.0, "mean"), "tp": ("rainfall_mm", 1000.0, 0.0, "sum"),
 }
-#: Approximate climate zones, first fitting rule first: zone, state codes (none: any), latitudes and longitudes (from, to; from excluded).
-ZONES = (
-    ("BSh", (22, 23, 24, 25, 26, 27), (-12, 90), (-45, 180)), ("Cf", (41, 42, 43), (-90, -23), (-180, 180)), ("Cf", (33,), (-90, 90), (-44, 180)), ("Cw", (31, 32, 35, 52, 53), (-90, -15), (-180, 180)), ("Cw", (41, 42, 43), (-23, 90), (-180, 180)),
-    ("Aw", (11, 12, 14, 17, 21, 50, 51, 52, 53), (-90, 90), (-180, 180)), ("Aw", (31, 35), (-15, 90), (-180, 180)), ("Aw", (29,), (-14, 90), (-180, 180)), ("As", (21, 22, 26, 27, 28, 29), (-90, 90), (-40, 180)), ("Am", (13, 15, 16), (-90, 90), (-180, 180)),
-    ("Aw", (), (-23, 90), (-180, 180)), ("Cf", (), (-90, 90), (-180, 180)),
-)
+#: Pollutants that come by the year only, and those that come by the day.
+ANNUAL_ONLY, DAILY = ("o3", "co"), ("pm25",)
 
 
 def convert_reanalysis(df: DataFrame) -> DataFrame:
@@ -61,9 +57,68 @@ def cleared_area(overlaps: DataFrame) -> DataFrame:
 
 
 def climate_zone(state: Column, lat: Column, lon: Column) -> Column:
-    """Approximate Köppen zone by state and coordinates."""
-    fits = lambda rule: (state.isin(*rule[1]) if rule[1] else F.lit(True)) & (lat > rule[2][0]) & (lat <= rule[2][1]) & (lon > rule[3][0]) & (lon <= rule[3][1])
-    return F.coalesce(*[F.when(fits(rule), rule[0]) for rule in ZONES])
+    """Approximate Köppen zone by state code and coordinates: the first rule that fits."""
+    south = state.isin(41, 42, 43)
+    return (
+        F.when(state.isin(23, 24, 25, 26, 27, 22) & (lat > -12) & (lon > -45), "BSh")
+        .when(south & (lat < -23), "Cf")
+        .when((state == 33) & (lon > -44), "Cf")
+        .when(state.isin(31, 35, 32, 52, 53) & (lat < -15), "Cw")
+        .when(south & (lat >= -23), "Cw")
+        .when(state.isin(51, 50, 52, 53, 11, 12, 14, 17, 21), "Aw")
+        .when(state.isin(31, 35) & (lat >= -15), "Aw")
+        .when((state == 29) & (lat > -14), "Aw")
+        .when(state.isin(21, 22, 26, 27, 28, 29) & (lon > -40), "As")
+        .when(state.isin(13, 16, 15), "Am")
+        .when(state.isin(11, 12, 14, 16) & (lat > -5), "Af")
+        .when(lat > -23, "Aw")
+        .otherwise("Cf")
+    )
+
+
+def zone_by_area(overlaps: DataFrame, key: str = "code_muni") -> DataFrame:
+    """Zone that covers most of each place: ``overlaps`` has the key, zone and km2; ties go to the first name."""
+    area = overlaps.groupBy(key, "zone").agg(F.sum("km2").alias("km2"))
+    return area.groupBy(key).agg(F.min_by("zone", F.struct(-F.col("km2"), "zone")).alias("zone"), F.sum("km2").alias("area_km2"))
+
+
+def available_resolution(pollutant: str, wanted: str) -> str:
+    """The wanted resolution, or annual where the pollutant has no finer one."""
+    if pollutant in ANNUAL_ONLY and wanted in ("monthly", "daily"):
+        return "annual"
+    return "annual" if wanted == "daily" and pollutant not in DAILY else wanted
+
+
+def pollutant_panel(panels: dict[tuple[str, str], DataFrame], pollutants: list[str], resolution: str) -> DataFrame:
+    """``code_muni, date, pollutant, value, resolution``: each pollutant at the wanted resolution or the one it has.
+
+    ``panels``: {(pollutant, resolution): table with code_muni, date, value}; an annual value stands on the year's first day.
+    """
+    parts = []
+    for name in pollutants:
+        at = available_resolution(name, resolution)
+        if (name, at) in panels:
+            parts.append(panels[name, at].select("code_muni", F.col("date").cast("date").alias("date"), F.lit(name).alias("pollutant"), F.col("value").cast("double").alias("value"), F.lit(at).alias("resolution")))
+    if not parts:
+        raise ValueError("none of the pollutants has a panel at its resolution")
+    return union_sources(parts)
+
+
+def drought_severity(cells: DataFrame, weights: DataFrame, cell: str = "cell", zone: str = "code_muni") -> DataFrame:
+    """Monthly Palmer index per municipality: the covered cells' weighted mean, and its class."""
+    from .spatial import zonal_mean
+
+    x = F.col("pdsi")
+    grade = F.when(x <= -4, "extreme drought").when(x <= -3, "severe drought").when(x <= -2, "moderate drought").when(x <= -1, "mild drought").when(x < 1, "normal").when(x < 2, "slightly wet").when(x < 3, "moderately wet").when(x < 4, "very wet").otherwise("extremely wet")
+    return zonal_mean(cells, weights, cell, zone, "pdsi", ["date"]).withColumn("class", F.when(x.isNotNull(), grade))
+
+
+def daily_reanalysis(hourly: DataFrame, key: str = "code_muni", timestamp: str = "ts") -> DataFrame:
+    """Hourly variables in standard units, rolled up by each one's rule to a row a place and day."""
+    from .aggregate import roll_up_hours
+
+    rules = {name: rule for source, (name, _, _, rule) in REANALYSIS.items() if source in hourly.columns}
+    return roll_up_hours(convert_reanalysis(hourly), [key], timestamp, rules)
 
 
 def coverage_ratio(health: DataFrame, grid: DataFrame, date: str = "date") -> DataFrame:

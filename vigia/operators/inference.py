@@ -122,9 +122,9 @@ def fill_gaps(df: DataFrame, station: str, timestamp: str, value: str, most_miss
         if gap.any() and (~gap).sum() >= least_rows:
             t = pd.to_datetime(pdf[timestamp])
             hour, day = t.dt.hour.to_numpy() / 24, t.dt.dayofyear.to_numpy() / 365.25
-            near = lambda s: s.interpolate(limit_direction="both").to_numpy()
-            # neighbours as a gap would see them: the value itself is never its own predictor
-            before, after = near(pdf[value].shift(1)), near(pdf[value].shift(-1))
+            # the last value strictly before and the first strictly after: a value is never its own predictor
+            before, after = pdf[value].ffill().shift(1), pdf[value].bfill().shift(-1)
+            before, after = before.fillna(after).to_numpy(), after.fillna(before).to_numpy()
             x = np.column_stack([np.ones(len(pdf)), before, after, *[f(2 * np.pi * k * u) for u in (hour, day) for k in (1, 2) for f in (np.sin, np.cos)]])
             a = x[~gap]
             coef = np.linalg.solve(a.T @ a + ridge * np.eye(x.shape[1]), a.T @ pdf[value].to_numpy()[~gap])

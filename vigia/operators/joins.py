@@ -48,8 +48,8 @@ def upsert(base: DataFrame, patch: DataFrame, by: list[str], columns: list[str])
     return base.join(new, by, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-#: Cells of the nearest-station search, in degrees.
-CELL = 5.0
+#: Cells of the nearest-station search, in degrees, and stations that it takes at most (a world's network has some 100,000).
+CELL, MOST_STATIONS = 5.0, 200_000
 
 
 def nearest_station(places: DataFrame, stations: DataFrame, place: str, station: str) -> DataFrame:
@@ -58,6 +58,8 @@ def nearest_station(places: DataFrame, stations: DataFrame, place: str, station:
     Stations are fewer than places and have a fixed number of fields; a place is held against the stations of its own and
     the neighbouring cells first, and against all of them only where that can't be shown to be the nearest.
     """
+    if stations.limit(MOST_STATIONS + 1).count() > MOST_STATIONS:
+        raise ValueError(f"the search takes {MOST_STATIONS} stations at most")
     s = stations.select(F.col(station), F.col("lat").alias("lat_s"), F.col("lon").alias("lon_s")).withColumns({"cx": F.floor(F.col("lon_s") / CELL), "cy": F.floor(F.col("lat_s") / CELL)})
     around = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
     p = places.select(F.col(place), F.col("lat").alias("lat_p"), F.col("lon").alias("lon_p"))
@@ -68,10 +70,68 @@ def nearest_station(places: DataFrame, stations: DataFrame, place: str, station:
     # a station outside the nine cells is at least one cell away, measured along the parallel farther from the equator
     safe = CELL * 111.0 * F.cos(F.radians(F.least(F.abs("lat_p") + CELL, F.lit(89.9))))
     sure = first.where(F.col("m.km") <= F.least(safe, F.lit(CELL * 111.0)))
-    rest = best(p.join(sure.select(place), place, "left_anti").join(F.broadcast(s.drop("cx", "cy")), F.lit(True)))
+    left = p.join(sure.select(place), place, "left_anti")
+    every = s.agg(F.collect_list(F.struct(F.col(station), "lat_s", "lon_s")).alias("__all"))
+    rest = best(left.crossJoin(every).select(*p.columns, F.explode("__all").alias("__s")).select(*p.columns, "__s.*"))
     return sure.unionByName(rest).select(place, F.col(f"m.{station}").alias(station), F.col("m.km").alias("distance_km"))
 
 
 def station_missing_share(df: DataFrame, station: str, variables: list[str]) -> DataFrame:
     """Share of missing values of each variable per station."""
     return df.groupBy(station).agg(*[F.avg(F.col(v).isNull().cast("double")).alias(f"missing_{v}") for v in variables])
+
+
+def level_join(df: DataFrame, places: DataFrame, levels: DataFrame, key: str, level: str) -> DataFrame:
+    """Records with the area of a level (semi-arid, metropolitan, health region, biome ...) that their municipality belongs to.
+
+    ``levels``: ``code_muni, level`` and the area's columns, one or more rows a municipality (a municipality in two areas gives two rows).  The
+    join is inner on the first six digits, after ``places`` (if any) has added the municipality's own columns.
+    """
+    wanted = levels.where(F.lower("level") == level.lower())
+    out = spatial_key_join(df, places.drop("level"), key, "code_muni").drop("code_muni") if places is not None else df
+    return spatial_key_join(out, wanted.drop("level"), key, "code_muni").drop("code_muni")
+
+
+def facility_join(df: DataFrame, facilities: DataFrame, key: str = "facility_code") -> DataFrame:
+    """Left join on the seven-digit facility code with the latest row of each facility (by ``update_date`` where there is one)."""
+    pad = lambda c: F.lpad(F.regexp_replace(F.col(c).cast("string"), "[^0-9]", ""), 7, "0")
+    order = [F.desc("update_date")] if "update_date" in facilities.columns else []
+    one = facilities.withColumn("__f", pad(key))
+    one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__f").orderBy(*order, *[c for c in facilities.columns if c != key]))).where("__n = 1").drop("__n", key)
+    return df.withColumn("__f", pad(key)).join(one, "__f", "left").drop("__f")
+
+
+def station_quality(df: DataFrame, station: str, variables: list[str], how: str = "any") -> DataFrame:
+    """Share of known values of each station: of rows with any of the variables, with all of them, or the mean over the variables."""
+    known = [F.col(v).isNotNull() for v in variables]
+    rule = {"any": lambda: F.avg(reduce(lambda a, b: a | b, known).cast("double")), "all": lambda: F.avg(reduce(lambda a, b: a & b, known).cast("double")), "mean": lambda: reduce(lambda a, b: a + b, [F.avg(k.cast("double")) for k in known]) / len(known)}
+    if how not in rule:
+        raise ValueError(f"unknown rule: {how}; one of any, all, mean")
+    return df.groupBy(station).agg(rule[how]().alias("quality"))
+
+
+def match_stations(places: DataFrame, stations: DataFrame, quality: DataFrame, place: str, station: str, k: int = 3, least: float = 0.7, within_km: float | None = None, most: int = 50_000) -> DataFrame:
+    """The ``k`` nearest stations of good quality of each place: ``place, station, distance_km, quality, nth``.
+
+    Stations whose share of known values is under ``least`` are left out.  The others (a country's stations, ``most`` at most, else an error) go
+    to every task, and each place keeps its k nearest: no table of pairs is shuffled.
+    """
+    good = stations.join(quality.where(F.col("quality") >= least), station).select(F.col(station).alias("s"), F.col("lat").cast("double").alias("la"), F.col("lon").cast("double").alias("lo"), "quality")
+    if good.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} stations")
+    listed = good.agg(F.array_sort(F.collect_list(F.struct("s", "la", "lo", "quality"))).alias("__all"))
+    km = lambda x: F.round(haversine_km(F.col("lat"), F.col("lon"), x["la"], x["lo"]), 6)
+    near = F.array_sort(F.transform("__all", lambda x: F.struct(km(x).alias("distance_km"), x["s"].alias("s"), x["quality"].alias("quality"))))
+    if within_km is not None:
+        near = F.filter(near, lambda x: x["distance_km"] <= within_km)
+    out = places.crossJoin(listed).select(place, F.posexplode(F.slice(near, 1, k)).alias("nth", "m"))
+    return out.select(place, F.col("m.s").alias(station), F.col("m.distance_km").alias("distance_km"), F.col("m.quality").alias("quality"), (F.col("nth") + 1).alias("nth"))
+
+
+def recover_coordinates(df: DataFrame, stations: DataFrame, station: str) -> DataFrame:
+    """Missing or impossible coordinates replaced by the station table's (one row a station: the mean of valid ones)."""
+    valid = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
+    known = stations.where(valid).groupBy(station).agg(F.avg("lat").alias("__lat"), F.avg("lon").alias("__lon"))
+    keep = F.coalesce(valid, F.lit(False))
+    out = df.join(known, station, "left")
+    return out.withColumns({"lat": F.when(keep, F.col("lat")).otherwise(F.col("__lat")), "lon": F.when(keep, F.col("lon")).otherwise(F.col("__lon"))}).drop("__lat", "__lon")

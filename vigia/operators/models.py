@@ -92,3 +92,47 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Fold number by a hash of the group, so that a group is never split."""
     return df.withColumn("fold", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(k)).cast("int"))
+
+
+def sensitivity_ranking(curves: DataFrame, stratum: str, hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """Relative risk of each stratum at its hot and cold exposure, the sensitivity index (sum of the log risks), and ranks.
+
+    ``curves``: ``stratum, exposure, log_rr``; ``hot`` and ``cold``: ``stratum, point``.
+    """
+    at = lambda points, name: interpolate_at(curves, stratum, "exposure", "log_rr", points, "point").select(stratum, F.col("value").alias(name))
+    df = at(hot, "hot_log_rr").join(at(cold, "cold_log_rr"), stratum, "full")
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.rank().over(Window.orderBy(F.desc_nulls_last(c))))  # noqa: E731  one row a stratum
+    return df.select(stratum, F.exp("hot_log_rr").alias("hot_rr"), F.exp("cold_log_rr").alias("cold_rr"), (F.col("hot_log_rr") + F.col("cold_log_rr")).alias("sensitivity_index"), rank("hot_log_rr").alias("hot_rank"), rank("cold_log_rr").alias("cold_rank"))
+
+
+def normalised(x: str, how: str = "minmax") -> tuple[list, object]:
+    """Aggregates and the score (0 to 1, or standard deviations) of a column under a normalisation."""
+    if how == "minmax":
+        return [F.min(x).alias(f"__a_{x}"), F.max(x).alias(f"__b_{x}")], lambda: F.when(F.col(f"__b_{x}") > F.col(f"__a_{x}"), (F.col(x) - F.col(f"__a_{x}")) / (F.col(f"__b_{x}") - F.col(f"__a_{x}"))).when(F.col(x).isNotNull(), 0.5)
+    if how == "zscore":
+        return [F.avg(x).alias(f"__a_{x}"), F.stddev_samp(x).alias(f"__b_{x}")], lambda: (F.col(x) - F.col(f"__a_{x}")) / F.nullif(F.col(f"__b_{x}"), F.lit(0.0))
+    raise ValueError(f"unknown normalisation: {how}; one of minmax, zscore, rank")
+
+
+def weighted_pillars(df: DataFrame, key: str, pillars: dict[str, dict[str, float]], how: str = "minmax", inverted: tuple[str, ...] = ()) -> DataFrame:
+    """Each pillar as the weighted mean of its normalised indicators (of those that are there); ``how``: minmax, zscore or rank."""
+    columns = [c for group in pillars.values() for c in group]
+    if how == "rank":
+        score = {}
+        for c in columns:
+            levels = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__m"))
+            total = levels.agg(F.sum("__m").alias("__t"))
+            levels = levels.crossJoin(total).withColumn(f"__s_{c}", (F.sum("__m").over(Window.orderBy(c)) - (F.col("__m") - 1) / 2 - 0.5) / F.col("__t")).drop("__m", "__t")
+            df = df.join(levels, c, "left")
+            score[c] = F.col(f"__s_{c}")
+    else:
+        made = {c: normalised(c, how) for c in columns}
+        df = df.crossJoin(df.agg(*[a for aggs, _ in made.values() for a in aggs]))
+        score = {c: f() for c, (_, f) in made.items()}
+    flip = {c: ((1 - s) if how != "zscore" else -s) if c in inverted else s for c, s in score.items()}
+    out = {}
+    for name, group in pillars.items():
+        top = sum((F.coalesce(flip[c] * w, F.lit(0.0)) for c, w in group.items()), F.lit(0.0))
+        mass = sum((F.when(flip[c].isNotNull(), w).otherwise(0.0) for c, w in group.items()), F.lit(0.0))
+        out[name] = top / F.nullif(mass, F.lit(0.0))
+    return df.select(key, *[x.alias(n) for n, x in out.items()])

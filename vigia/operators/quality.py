@@ -123,3 +123,133 @@ def series_quality(df: DataFrame, key: str, date: str, value: str, max_gap: int
     share = F.col("n_obs") / F.col("span")
     score = F.greatest(F.lit(0.0), 100 * share - 5 * F.col("n_outliers") - F.when(F.col("longest_zero_run") > max_gap, 10).otherwise(0))
     return out.withColumns({"completeness": share, "score": score})
+
+
+def diurnal_range(hourly: DataFrame, station: str, timestamp: str, high: str = "tair_max_c", low: str = "tair_min_c", mean: str = "tair_dry_bulb_c") -> DataFrame:
+    """Daily range per station: maximum less minimum of the extreme columns, where the daily mean gap of these varies by over 0.5 (they
+    are then daily or hourly extremes), else of the air temperature."""
+    day = F.to_date(timestamp).alias("date")
+    per_day = hourly.groupBy(station, day).agg(F.avg(F.col(high) - F.col(low)).alias("gap"), (F.max(high) - F.min(low)).alias("extremes"), (F.max(mean) - F.min(mean)).alias("plain"))
+    spread = per_day.groupBy(station).agg(F.stddev_samp("gap").alias("sd"))
+    return per_day.join(spread, station).select(station, "date", F.round(F.when(F.col("sd") > 0.5, F.col("extremes")).otherwise(F.col("plain")), 2).alias("diurnal_range"))
+
+
+def place_report(df: DataFrame, column: str, top: int = 10) -> DataFrame:
+    """Distinct and missing municipalities, distinct states (first two digits), and the most frequent ones: a top-k report."""
+    code = F.trim(F.col(column).cast("string"))
+    known = F.when(code.rlike("^[0-9]{6,7}$"), code)
+    counts = df.groupBy(known.alias("code")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.count("code").alias("n_municipalities"), F.countDistinct(F.substring("code", 1, 2)).alias("n_states"), F.coalesce(F.sum(F.when(F.col("code").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"))
+    return counts.where("code is not null").orderBy(F.desc("n"), "code").limit(top).crossJoin(total)
+
+
+#: Variables that the derivation stage adds.
+DERIVED = ("age_years", "age_group", "year", "month", "day_of_week", "epidemiological_week", "season", "climate_risk_group", "climatic_season")
+
+
+def derived_presence(df: DataFrame, names: tuple[str, ...] = DERIVED) -> DataFrame:
+    """Which derived variables the table has, and how complete they are."""
+    there = [n for n in names if n in df.columns]
+    one = df.agg(F.count("*").alias("n"), *[F.count(n).alias(f"k_{n}") for n in there])
+    rows = F.array(*[F.struct(F.lit(n).alias("variable"), F.lit(n in there).alias("present"), (F.col(f"k_{n}") if n in there else F.lit(0)).cast("bigint").alias("n_known")) for n in names])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def quality_report(df: DataFrame, diagnosis: str | None = None, date: str | None = None, demographics: list[str] | None = None, place: str | None = None, top: int = 10) -> DataFrame:
+    """All parts of the report as one long table: ``section, item, value``; the score is the weighted mean of the parts there are.
+
+    Completeness comes from the flags of the columns, demographics and places from the share of known values, dates from the share
+    neither missing nor before 1900 nor in the future, diagnoses from the share of valid codes.
+    """
+    item = lambda section, name, value: F.struct(F.lit(section).alias("section"), F.lit(name).alias("item"), value.cast("double").alias("value"))
+    n = F.count("*")
+    share = lambda good: F.when(n > 0, 100 * F.count_if(good) / n)
+    known = lambda c: F.coalesce(~F.lower(F.trim(F.col(c).cast("string"))).isin("ignorado", "ignored", "9", "99", ""), F.lit(False))
+    columns = [c for c in df.columns]
+    aggs = {"rows": n, **{f"missing {c}": F.when(n > 0, 100 * F.count_if(F.col(c).isNull()) / n) for c in columns}}
+    parts: dict[str, Column] = {}
+    if date:
+        d = F.col(date).cast("date")
+        parts["dates"] = share(d.between(F.lit("1900-01-01").cast("date"), F.current_date()))
+    if diagnosis:
+        parts["diagnosis"] = share(F.coalesce(F.col(diagnosis).rlike("^[A-Za-z][0-9]{2}"), F.lit(False)))
+    for c in demographics or []:
+        aggs[f"known {c}"] = share(known(c))
+    if demographics:
+        parts["demographics"] = reduce(lambda a, b: a + b, [share(known(c)) for c in demographics]) / len(demographics)
+    if place:
+        aggs["known place"] = share(F.coalesce(F.trim(F.col(place).cast("string")).rlike("^[0-9]{6,7}$"), F.lit(False)))
+    one = df.agg(*[x.alias(f"a{k}") for k, x in enumerate(aggs.values())], *[x.alias(f"p_{k}") for k, x in parts.items()])
+    missing = [f"a{k}" for k, name in enumerate(aggs) if name.startswith("missing ")]
+    grade = reduce(lambda a, b: a + b, [F.when(F.col(c) < 5, 1.0).when(F.col(c) < 20, 0.5).otherwise(0.0) for c in missing]) * 100 / len(missing)
+    one = one.withColumn("p_completeness", grade)
+    weights = {"completeness": 0.4, "demographics": 0.2, "diagnosis": 0.2, "dates": 0.2}
+    used = ["completeness", *parts]
+    score = reduce(lambda a, b: a + b, [weights[k] * F.col(f"p_{k}") for k in used]) / sum(weights[k] for k in used)
+    section = {"rows": "overview", "missing": "missing", "known": "demographics"}
+    rows = [item("places" if name == "known place" else section[name.split(" ")[0]], name.split(" ", 1)[-1], F.col(f"a{k}")) for k, name in enumerate(aggs)]
+    rows += [item("parts", k, F.col(f"p_{k}")) for k in used] + [item("score", "score", score)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+#: Rules for the scale on which a variable's gaps are predicted: part of its name, transform.
+TRANSFORMS = (("rainfall", "log1p"), ("ws_", "sqrt"), ("gust", "sqrt"), ("sr_kj", "sqrt"))
+
+
+def transform_of(variable: str) -> str:
+    return next((kind for part, kind in TRANSFORMS if part in variable), "none")
+
+
+def transformed(x: Column, kind: str) -> Column:
+    return {"log1p": F.log1p(x), "sqrt": F.sqrt(x), "none": x}[kind]
+
+
+def restored(x: Column, kind: str) -> Column:
+    """Back from the transform's scale; what lies under its range is 0."""
+    low = F.greatest(x, F.lit(0.0))
+    return {"log1p": F.expm1(low), "sqrt": low * low, "none": x}[kind]
+
+
+def smooth_extremes(df: DataFrame, predicted: str, truth: str, keys: list[str], times: float = 5.0, share: float = 0.3) -> DataFrame:
+    """Predictions over ``times`` interquartile ranges outside the known values' quartiles are drawn to the known mean by ``share``."""
+    q = F.percentile(truth, F.array(F.lit(0.25), F.lit(0.75)))
+    known = df.groupBy(*keys).agg(q.alias("__q"), F.avg(truth).alias("__mean"))
+    df = df.join(known, keys)
+    width = times * (F.col("__q")[1] - F.col("__q")[0])
+    far = (F.col(predicted) < F.col("__q")[0] - width) | (F.col(predicted) > F.col("__q")[1] + width)
+    return df.withColumn(predicted, F.when(far, share * F.col("__mean") + (1 - share) * F.col(predicted)).otherwise(F.col(predicted))).drop("__q", "__mean")
+
+
+def zero_nights(df: DataFrame, timestamp: str, radiation: str = "sr_kj_m2", start: int = 18, end: int = 6) -> DataFrame:
+    """Missing radiation at night is 0."""
+    h = F.hour(timestamp)
+    return df.withColumn(radiation, F.when(((h >= start) | (h < end)) & F.col(radiation).isNull(), 0.0).otherwise(F.col(radiation)))
+
+
+def inject_gaps(df: DataFrame, value: str, order: list[str], share: float = 0.2, mechanism: str = "MCAR", depends_on: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """``value`` made missing in a share of the rows, with the truth kept in ``<value>_truth``.
+
+    MCAR: rows by a keyed hash.  MAR: more often where ``depends_on`` are high.  MNAR: more often where the value is far from its mean.
+    Each row draws by u ** (1 / weight), u a hash of ``order`` (the row's key); the rows with the largest draws lose their value, which is weighted
+    sampling without replacement; the cut is the exact quantile of the draws.
+    """
+    u = (F.pmod(F.crc32(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in order]).cast("binary")), F.lit(1_000_003)) + 1) / 1_000_004.0
+    if mechanism == "MCAR":
+        weighted = df.withColumn("__w", F.lit(1.0))
+    elif mechanism == "MAR":
+        if not depends_on:
+            raise ValueError("MAR needs depends_on")
+        stats = df.agg(*[f(c).alias(f"__{n}_{c}") for c in depends_on for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+        z = reduce(lambda a, b: a + b, [F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0)), F.lit(0.0)) for c in depends_on]) / len(depends_on)
+        scored = df.crossJoin(stats).withColumn("__z", z).drop(*stats.columns)
+        span = scored.agg(F.min("__z").alias("__lo"), F.max("__z").alias("__hi"))
+        weighted = scored.crossJoin(span).withColumn("__w", F.coalesce((F.col("__z") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)), F.lit(0.5))).drop("__z", "__lo", "__hi")
+    elif mechanism == "MNAR":
+        stats = df.agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+        weighted = df.crossJoin(stats).withColumn("__w", F.abs(F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    else:
+        raise ValueError(f"unknown mechanism: {mechanism}; one of MCAR, MAR, MNAR")
+    drawn = weighted.withColumn("__u", F.when(F.col(value).isNotNull() & (F.col("__w") > 0), F.pow(u, 1 / F.col("__w"))))
+    cut = drawn.agg(F.percentile("__u", 1 - share).alias("__cut"))
+    out = drawn.crossJoin(cut).withColumn(f"{value}_truth", F.col(value))
+    return out.withColumn(value, F.when(F.coalesce(F.col("__u") > F.col("__cut"), F.lit(False)), None).otherwise(F.col(value))).drop("__w", "__u", "__cut")

@@ -7,7 +7,6 @@ lineitem quantities are a climate series, part types are coded diagnoses.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly records per group, zero-filled."""
-    return QUERIES["agg_complete_calendar_whole"](spark, sf_dir)
+    return QUERIES["agg_complete_calendar"](spark, sf_dir)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -74,11 +73,11 @@ def agg_named_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("agg_complete_calendar", """
-WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY ALL),
+WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
 g AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM m), (SELECT max(date) FROM m), INTERVAL 1 MONTH)) AS DATE) AS date)
 SELECT g.date, p.o_orderpriority, coalesce(m.n, 0) AS n FROM g CROSS JOIN (SELECT DISTINCT o_orderpriority FROM m) p LEFT JOIN m ON m.date = g.date AND m.o_orderpriority = p.o_orderpriority""")
-def agg_complete_calendar(spark: SparkSession, sf_dir: str, rows: str = "o_totalprice > 400000") -> DataFrame:
-    return aggregate.aggregate_series(table(spark, sf_dir, "orders").where(rows), "o_orderdate", "month", "count", ["o_orderpriority"], complete=True)
+def agg_complete_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.aggregate_series(table(spark, sf_dir, "orders"), "o_orderdate", "month", "count", ["o_orderpriority"], complete=True)
 
 
 @register("agg_geo_valid", "SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS date, count(*) AS n FROM orders WHERE o_custkey % 10 <> 0 GROUP BY ALL")
@@ -127,9 +126,9 @@ def cid_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("demo_filter", "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 100 BETWEEN 20 AND 60 AND c_nationkey IN (3, 7, 11)")
 def demo_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").withColumns({"segment": F.lower("c_mktsegment"), "age_years": F.col("c_custkey") % 100, "code_muni": F.concat(F.lpad(F.col("c_nationkey").cast("string"), 6, "1"), F.lit("9"))})
-    out = filters.filter_demographics(df, {"segment": ["building", "machinery"]}, age=(20, 60), municipalities=["111113", "1111179", "111111"])
-    return out.where("c_nationkey in (3, 7, 11)").select("c_custkey", "c_mktsegment", "c_nationkey")
+    df = table(spark, sf_dir, "customer").withColumns({"segment": F.lower("c_mktsegment"), "age_years": F.col("c_custkey") % 100, "code_muni": F.concat((F.col("c_nationkey") + 300000).cast("string"), F.lit("9"))})
+    out = filters.filter_demographics(df, {"segment": ["building", "machinery"]}, age=(20, 60), municipalities=["300003", "3000079", "300011"])
+    return out.select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
 @register("demo_drop_ignored", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('FURNITURE') AND c_custkey % 5 <> 0")
@@ -252,12 +251,12 @@ def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- exposure windows -----------------------------------------------------------------------------
 
-_CLIMATE = "SELECT l_linenumber AS k, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS x FROM lineitem WHERE l_suppkey % 20 = 0 GROUP BY ALL"
+_CLIMATE = "SELECT l_linenumber AS k, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS x FROM lineitem GROUP BY ALL"
 _HEALTH = "SELECT o_orderkey, CAST(o_custkey % 7 + 1 AS INTEGER) AS k, CAST(o_orderdate AS DATE) AS date FROM orders"
 
 
-def _series(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> tuple[DataFrame, DataFrame]:
-    raw = table(spark, sf_dir, "lineitem").where(rows).select(F.col("l_linenumber").alias("k"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("x"))
+def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("x"))
     health = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7 + 1).cast("int").alias("k"), F.to_date("o_orderdate").alias("date"))
     return health, exposure.daily(raw, "k", "date", ["x"])
 
@@ -267,56 +266,56 @@ def _range_sql(near: int, far: int, columns: str) -> str:
 
 
 @register("clim_exact", f"WITH c AS ({_CLIMATE}), h AS ({_HEALTH}) SELECT h.o_orderkey, h.k, h.date, round(x, 6) AS x FROM h LEFT JOIN c USING (k, date)")
-def clim_exact(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.exact(*_series(spark, sf_dir, rows), "k", "x"))
+def clim_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.exact(*_series(spark, sf_dir), "k", "x"))
 
 
 @register("clim_discrete_lag", f"WITH c AS ({_CLIMATE}), h AS ({_HEALTH}) SELECT h.o_orderkey, h.k, h.date, round(x, 6) AS lag3_x FROM h LEFT JOIN c ON c.k = h.k AND c.date = h.date - 3")
-def clim_discrete_lag(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.discrete_lag(*_series(spark, sf_dir, rows), "k", "x", 3))
+def clim_discrete_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.discrete_lag(*_series(spark, sf_dir), "k", "x", 3))
 
 
 @register("clim_distributed_lag", _range_sql(0, 4, ", ".join(f"round(max(CASE WHEN c.date = h.date - {k} THEN x END), 6) AS x_lag{k}" for k in range(5))))
-def clim_distributed_lag(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.distributed_lag(*_series(spark, sf_dir, rows), "k", "x", 4))
+def clim_distributed_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.distributed_lag(*_series(spark, sf_dir), "k", "x", 4))
 
 
 @register("clim_moving_window", _range_sql(0, 7, "CASE WHEN count(x) / 8.0 >= 0.7 THEN round(avg(x), 6) END AS x_mean_w7"))
-def clim_moving_window(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.moving_window(*_series(spark, sf_dir, rows), "k", "x", 7))
+def clim_moving_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.moving_window(*_series(spark, sf_dir), "k", "x", 7))
 
 
 @register("clim_offset_window", _range_sql(7, 13, "CASE WHEN count(x) / 7.0 >= 0.7 THEN round(sum(x), 6) END AS off7to13_x"))
-def clim_offset_window(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.offset_window(*_series(spark, sf_dir, rows), "k", "x", 7, 13, "sum"))
+def clim_offset_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.offset_window(*_series(spark, sf_dir), "k", "x", 7, 13, "sum"))
 
 
 @register("clim_degree_days", _range_sql(0, 7, "CASE WHEN count(x) / 8.0 >= 0.7 THEN round(sum(greatest(x - 20, 0.0)) FILTER (WHERE x IS NOT NULL), 6) END AS gdd_w7tbase20"))
-def clim_degree_days(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.degree_days(*_series(spark, sf_dir, rows), "k", "x", 7, 20))
+def clim_degree_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.degree_days(*_series(spark, sf_dir), "k", "x", 7, 20))
 
 
 @register("clim_exceedance", _range_sql(0, 7, "CASE WHEN count(x) / 8.0 >= 0.7 THEN count(CASE WHEN x > 27.5 THEN 1 END) END AS nexc7_gt27p5_x, CASE WHEN count(x) / 8.0 >= 0.7 THEN round(count(CASE WHEN x > 27.5 THEN 1 END) / count(x), 4) END AS pexc7_gt27p5_x"))
-def clim_exceedance(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return exposure.exceedance(*_series(spark, sf_dir, rows), "k", "x", 7, 27.5)
+def clim_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.exceedance(*_series(spark, sf_dir), "k", "x", 7, 27.5)
 
 
 @register("clim_cold_wave", _range_sql(0, 5, "CASE WHEN count(x) / 6.0 >= 0.7 THEN count(CASE WHEN x < 20 THEN 1 END) END AS ncold5_lt20_x, CASE WHEN count(x) / 6.0 >= 0.7 THEN round(count(CASE WHEN x < 20 THEN 1 END) / count(x), 4) END AS pcold5_lt20_x"))
-def clim_cold_wave(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return exposure.exceedance(*_series(spark, sf_dir, rows), "k", "x", 5, 20, cold=True)
+def clim_cold_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.exceedance(*_series(spark, sf_dir), "k", "x", 5, 20, cold=True)
 
 
 @register("clim_weighted_window", _range_sql(0, 3, "CASE WHEN count(x) / 4.0 >= 0.7 THEN round(sum(x * (1 - 0.3 * (h.date - c.date))) / sum(CASE WHEN x IS NOT NULL THEN 1 - 0.3 * (h.date - c.date) END), 6) END AS wwin3_x"))
-def clim_weighted_window(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.weighted_window(*_series(spark, sf_dir, rows), "k", "x", days=3))
+def clim_weighted_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.weighted_window(*_series(spark, sf_dir), "k", "x", days=3))
 
 
 _SEASON = "CASE WHEN month({0}) IN (12, 1, 2) THEN 'DJF' WHEN month({0}) <= 5 THEN 'MAM' WHEN month({0}) <= 8 THEN 'JJA' ELSE 'SON' END"
 
 
 @register("clim_seasonal", f"WITH c AS ({_CLIMATE}), h AS ({_HEALTH}), s AS (SELECT k, year(date) AS y, {_SEASON.format('date')} AS s, avg(x) AS season_x, count(x) AS n FROM c GROUP BY ALL HAVING count(x) >= 60) SELECT o_orderkey, h.k, h.date, round(season_x, 6) AS season_x FROM h LEFT JOIN s ON s.k = h.k AND s.y = year(h.date) AND s.s = {_SEASON.format('h.date')}")
-def clim_seasonal(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 20 = 0") -> DataFrame:
-    return _rounded(exposure.seasonal(*_series(spark, sf_dir, rows), "k", "x"))
+def clim_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(exposure.seasonal(*_series(spark, sf_dir), "k", "x"))
 
 
 # --- thermal indices ------------------------------------------------------------------------------
@@ -418,25 +417,25 @@ def imputation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- events, anomalies, drought -------------------------------------------------------------------
 
-_DAYS = "SELECT l_linenumber AS station, CAST(l_shipdate AS DATE) AS date, max(l_quantity + l_partkey % 97 / 97.0) AS tmax, min(l_quantity + l_partkey % 97 / 97.0) AS tmin, avg(l_quantity + l_partkey % 97 / 97.0) AS tmean FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY ALL"
+_DAYS = "SELECT l_linenumber AS station, CAST(l_shipdate AS DATE) AS date, max(l_quantity + l_partkey % 97 / 97.0) AS tmax, min(l_quantity + l_partkey % 97 / 97.0) AS tmin, avg(l_quantity + l_partkey % 97 / 97.0) AS tmean FROM lineitem GROUP BY ALL"
 _BASE = f"""days AS ({_DAYS}), spread AS (SELECT station, ((dayofyear(date) - 1 + k) % 366 + 366) % 366 + 1 AS doy, tmax, tmin FROM days, (SELECT unnest(range(-15, 16)) AS k)),
 base AS (SELECT station, doy, CASE WHEN count(tmax) >= 10 THEN quantile_cont(tmax, 0.9) END AS tmax_p, CASE WHEN count(tmax) >= 10 THEN quantile_cont(tmin, 0.9) END AS tmin_p, avg(tmax) AS tmax_hist, avg(tmin) AS tmin_hist FROM spread GROUP BY ALL),
 flags AS (SELECT d.station, d.date, d.tmax, coalesce(d.tmax > tmax_p, false) AS WHO, coalesce(d.tmax > tmax_p AND d.tmin > tmin_p, false) AS WMO, coalesce(d.tmax > tmax_hist + 5, false) AS INMET, d.tmax - tmax_hist AS anomaly FROM days d LEFT JOIN base b ON b.station = d.station AND b.doy = dayofyear(d.date))"""
 
 
-def _days(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    raw = table(spark, sf_dir, "lineitem").where(rows).select(F.col("l_linenumber").alias("station"), "l_shipdate", (F.col("l_quantity") + F.col("l_partkey") % 97 / 97.0).alias("t"))
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("station"), "l_shipdate", (F.col("l_quantity") + F.col("l_partkey") % 97 / 97.0).alias("t"))
     return events.daily_extremes(raw, "station", "l_shipdate", "t")
 
 
-def _flags(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    days = _days(spark, sf_dir, rows)
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _days(spark, sf_dir)
     return events.wave_flags(days, events.day_baseline(days, "station"), "station")
 
 
 @register("heat_flags", f"WITH {_BASE} SELECT station, date, WHO, WMO, INMET, round(anomaly, 6) AS anomaly FROM flags")
-def heat_flags(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    return _rounded(_flags(spark, sf_dir, rows).select("station", "date", "WHO", "WMO", "INMET", "anomaly"))
+def heat_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_flags(spark, sf_dir).select("station", "date", "WHO", "WMO", "INMET", "anomaly"))
 
 
 _EVENTS = f"""WITH {_BASE}, g AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY date) - row_number() OVER (PARTITION BY station, INMET ORDER BY date) AS g FROM flags),
@@ -444,33 +443,33 @@ ev AS (SELECT station, min(date) AS start_date, max(date) AS end_date, count(*)
 
 
 @register("heat_events", f"{_EVENTS} SELECT station, start_date, end_date, n_days, round(mean_value, 6) AS mean_value, round(peak_value, 6) AS peak_value, round(mean_anomaly, 6) AS mean_anomaly, round(total_anomaly, 6) AS total_anomaly, end_date - start_date + 1 AS duration, round((end_date - start_date + 1) * mean_anomaly, 6) AS severity, station || '_INMET_' || row_number() OVER (PARTITION BY station ORDER BY start_date) AS event_id FROM ev")
-def heat_events(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    return _rounded(events.wave_events(_flags(spark, sf_dir, rows), "INMET", "station", "tmax", least=2))
+def heat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(events.wave_events(_flags(spark, sf_dir), "INMET", "station", "tmax", least=2))
 
 
 @register("heat_summary", f"{_EVENTS} SELECT station, year(start_date) AS year, count(*) AS n_events, CAST(sum(end_date - start_date + 1) AS BIGINT) AS total_days, round(avg(end_date - start_date + 1), 6) AS mean_duration, round(max(peak_value), 6) AS peak_value, round(avg((end_date - start_date + 1) * mean_anomaly), 6) AS mean_severity FROM ev GROUP BY ALL")
-def heat_summary(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    return _rounded(events.wave_summary(events.wave_events(_flags(spark, sf_dir, rows), "INMET", "station", "tmax", least=2), "station"))
+def heat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(events.wave_summary(events.wave_events(_flags(spark, sf_dir), "INMET", "station", "tmax", least=2), "station"))
 
 
 @register("heat_runs", f"WITH {_BASE}, g AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY date) - row_number() OVER (PARTITION BY station, WHO ORDER BY date) AS g FROM flags) SELECT station, date, WHO AND count(*) OVER (PARTITION BY station, WHO, g) >= 2 AS WHO FROM g")
-def heat_runs(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    return events.keep_runs(_flags(spark, sf_dir, rows), "WHO", ["station"], "date", 2).select("station", "date", "WHO")
+def heat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.keep_runs(_flags(spark, sf_dir), "WHO", ["station"], "date", 2).select("station", "date", "WHO")
 
 
 @register("heat_factor", f"""
 WITH d AS ({_DAYS}), t AS (SELECT station, date, CASE WHEN count(tmean) OVER a = 3 THEN avg(tmean) OVER a END AS t3, avg(tmean) OVER b AS t30 FROM d WINDOW a AS (PARTITION BY station ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS (PARTITION BY station ORDER BY date ROWS BETWEEN 32 PRECEDING AND 3 PRECEDING)),
 l AS (SELECT station, quantile_cont(tmean, 0.95) AS lim FROM d GROUP BY 1), f AS (SELECT t.station, date, CASE WHEN t3 IS NOT NULL THEN (t3 - lim) * greatest(1.0, t3 - t30) END AS factor FROM t JOIN l USING (station))
 SELECT station, date, round(factor, 6) AS factor, coalesce(max(CASE WHEN factor > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 0) = 1 AS EHF FROM f""")
-def heat_factor(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    return _rounded(events.excess_heat(_days(spark, sf_dir, rows), "station").select("station", "date", "factor", "EHF"))
+def heat_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(events.excess_heat(_days(spark, sf_dir), "station").select("station", "date", "factor", "EHF"))
 
 
 @register("cold_flags", f"""WITH days AS ({_DAYS}), spread AS (SELECT station, ((dayofyear(date) - 1 + k) % 366 + 366) % 366 + 1 AS doy, tmax, tmin FROM days, (SELECT unnest(range(-15, 16)) AS k)),
 base AS (SELECT station, doy, CASE WHEN count(tmax) >= 10 THEN quantile_cont(tmin, 0.1) END AS p, avg(tmin) AS h FROM spread GROUP BY ALL)
 SELECT d.station, d.date, coalesce(tmin < p, false) AS WHO, coalesce(tmin < h - 5, false) AS INMET, round(h - tmin, 6) AS anomaly FROM days d LEFT JOIN base b ON b.station = d.station AND b.doy = dayofyear(d.date)""")
-def cold_flags(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 10 = 0") -> DataFrame:
-    days = _days(spark, sf_dir, rows)
+def cold_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _days(spark, sf_dir)
     return _rounded(events.wave_flags(days, events.day_baseline(days, "station", 0.1), "station", cold=True).select("station", "date", "WHO", "INMET", "anomaly"))
 
 
@@ -617,9 +616,9 @@ def model_its_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.interrupted_design(aggregate.aggregate_series(table(spark, sf_dir, "orders"), "o_orderdate", "month"), "date", "1998-01-01", 1)
 
 
-@register("model_case_crossover", """WITH m AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, sum(o_totalprice) AS x FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1), s AS (SELECT date, n, strftime(date, '%Y-%m') AS stratum, lag(x, 2) OVER (ORDER BY date) AS exposure FROM m) SELECT date, n, stratum, round(exposure, 4) AS exposure FROM s QUALIFY sum(n) OVER (PARTITION BY stratum) > 0""")
-def model_case_crossover(spark: SparkSession, sf_dir: str, rows: str = "o_custkey % 5 = 0") -> DataFrame:
-    days = table(spark, sf_dir, "orders").where(rows).groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("x"))
+@register("model_case_crossover", """WITH m AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, sum(o_totalprice) AS x FROM orders GROUP BY 1), s AS (SELECT date, n, strftime(date, '%Y-%m') AS stratum, lag(x, 2) OVER (ORDER BY date) AS exposure FROM m) SELECT date, n, stratum, round(exposure, 4) AS exposure FROM s QUALIFY sum(n) OVER (PARTITION BY stratum) > 0""")
+def model_case_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("x"))
     return models.case_crossover(days, "date", "n", "x", lag=2).select("date", "n", "stratum", F.round("exposure", 4).alias("exposure"))
 
 
@@ -740,21 +739,24 @@ def grid_cleared_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(grids.cleared_area(o), 2)
 
 
-_ZONE = " ".join(f"WHEN {'state IN (' + ', '.join(map(str, s)) + ') AND ' if s else ''}lat > {a[0]} AND lat <= {a[1]} AND lon > {o[0]} AND lon <= {o[1]} THEN '{z}'" for z, s, a, o in grids.ZONES)
+_ZONE = """WHEN state IN (22, 23, 24, 25, 26, 27) AND lat > -12 AND lon > -45 THEN 'BSh' WHEN state IN (41, 42, 43) AND lat < -23 THEN 'Cf' WHEN state = 33 AND lon > -44 THEN 'Cf'
+WHEN state IN (31, 32, 35, 52, 53) AND lat < -15 THEN 'Cw' WHEN state IN (41, 42, 43) AND lat >= -23 THEN 'Cw' WHEN state IN (11, 12, 14, 17, 21, 50, 51, 52, 53) THEN 'Aw'
+WHEN state IN (31, 35) AND lat >= -15 THEN 'Aw' WHEN state = 29 AND lat > -14 THEN 'Aw' WHEN state IN (21, 22, 26, 27, 28, 29) AND lon > -40 THEN 'As' WHEN state IN (13, 15, 16) THEN 'Am'
+WHEN state IN (11, 12, 14, 16) AND lat > -5 THEN 'Af' WHEN lat > -23 THEN 'Aw' ELSE 'Cf'"""
 
 
-@register("grid_climate_zone", f"SELECT c_custkey, CASE {_ZONE} END AS zone FROM (SELECT c_custkey, c_custkey % 43 + 11 AS state, -33.5 + c_custkey % 38 AS lat, -73.5 + c_custkey % 39 AS lon FROM customer)")
+@register("grid_climate_zone", f"SELECT c_custkey, CASE {_ZONE} END AS zone FROM (SELECT c_custkey, c_custkey % 43 + 11 AS state, -33 + c_custkey % 38 AS lat, -73.5 + c_custkey % 39 AS lon FROM customer)")
 def grid_climate_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", grids.climate_zone(k % 43 + 11, -33.5 + k % 38, -73.5 + k % 39).alias("zone"))
+    return table(spark, sf_dir, "customer").select("c_custkey", grids.climate_zone(k % 43 + 11, -33 + k % 38, -73.5 + k % 39).alias("zone"))
 
 
-@register("series_quality", """WITH d AS (SELECT l_linenumber AS k, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_partkey % 3 = 0 THEN l_quantity ELSE 0 END) AS v FROM lineitem WHERE l_suppkey % 50 = 0 GROUP BY ALL),
+@register("series_quality", """WITH d AS (SELECT l_linenumber AS k, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_partkey % 3 = 0 THEN l_quantity ELSE 0 END) AS v FROM lineitem GROUP BY ALL),
 c AS (SELECT k, count(DISTINCT date) AS n_obs, max(date) - min(date) + 1 AS span FROM d GROUP BY 1), m AS (SELECT k, date_trunc('month', date) AS m, sum(v) AS s FROM d GROUP BY ALL), l AS (SELECT k, quantile_cont(s, 0.75) + 1.5 * (quantile_cont(s, 0.75) - quantile_cont(s, 0.25)) AS lim FROM m GROUP BY 1),
 o AS (SELECT k, count(*) FILTER (WHERE s > lim) AS n_outliers FROM m JOIN l USING (k) GROUP BY 1), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) - row_number() OVER (PARTITION BY k, v = 0 ORDER BY date) AS g FROM d), z AS (SELECT k, max(n) AS longest_zero_run FROM (SELECT k, count(*) AS n FROM g WHERE v = 0 GROUP BY k, g) GROUP BY 1)
 SELECT k, n_obs, span, n_outliers, coalesce(longest_zero_run, 0) AS longest_zero_run, round(n_obs / span, 6) AS completeness, round(greatest(0, 100 * n_obs / span - 5 * n_outliers - CASE WHEN coalesce(longest_zero_run, 0) > 7 THEN 10 ELSE 0 END), 6) AS score FROM c LEFT JOIN o USING (k) LEFT JOIN z USING (k)""")
-def series_quality(spark: SparkSession, sf_dir: str, rows: str = "l_suppkey % 50 = 0") -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").where(rows).groupBy(F.col("l_linenumber").alias("k"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity")).otherwise(0.0)).alias("v"))
+def series_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity")).otherwise(0.0)).alias("v"))
     return _rounded(quality.series_quality(d, "k", "date", "v"))
 
 
@@ -764,20 +766,6 @@ def station_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(joins.station_missing_share(e, "station", ["v"]))
 
 
-# --- whole tables: queries above that take some of the rows, over all of them ----------------------
-
-_PARTS = {
-    "o_totalprice > 400000": "agg_complete_calendar",
-    "l_suppkey % 20 = 0": "clim_exact clim_discrete_lag clim_distributed_lag clim_moving_window clim_offset_window clim_degree_days clim_exceedance clim_cold_wave clim_weighted_window clim_seasonal",
-    "l_suppkey % 10 = 0": "heat_flags heat_events heat_summary heat_runs heat_factor cold_flags",
-    "o_custkey % 5 = 0": "model_case_crossover",
-    "l_suppkey % 50 = 0": "series_quality",
-}
-for _part, _names in _PARTS.items():
-    for _name in _names.split():
-        register(f"{_name}_whole", ORACLE_SQL[_name].replace(f" WHERE {_part}", ""))(partial(QUERIES[_name], rows="true"))
-
-
 # --- fits: no SQL ---------------------------------------------------------------------------------
 
 
