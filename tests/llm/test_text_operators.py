@@ -187,8 +187,18 @@ def test_warc_index_blocks_and_surt(spark, tmp_path):
     pages = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/p/"), (F.col("id") % 3).cast("string")).alias("url"), F.col("id").cast("string").alias("html"))
     warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=500)
     warc.write_index(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/i", shards=2, block_captures=8)
-    found = warc.look_up(spark, warc.surt_keys(pages), f"file://{tmp_path}/i", 2)
+    found = warc.look_up(spark, warc.surt_keys(pages), f"file://{tmp_path}/i").cache()
     assert sorted(r["page_id"] for r in found.collect()) == list(range(500))
+    some = spark.createDataFrame([("example,h)/p/1",), ("example,h)/p/11",), ("",), ("zz",)], "key string")
+    assert sorted(r["page_id"] for r in warc.look_up(spark, some, f"file://{tmp_path}/i").collect()) == list(range(1, 500, 3))
+    index = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/i").select("shard", "block", "first_key", "last_key").orderBy("shard", "block").collect()]
+    assert len({r[0] for r in index}) == 2 and all(a[3] <= b[2] for a, b in zip(index, index[1:], strict=False))
+    read = sorted(tuple(r) for r in warc.read_captures(spark, f"file://{tmp_path}/w", found).collect())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(warc, "_has_ranges", lambda path: False)
+        assert sorted(tuple(r) for r in warc.read_captures(spark, f"file://{tmp_path}/w", found).collect()) == read
+        patch.setattr(warc, "READ_BYTES", 1)
+        assert [r[1] for r in read] == [len(str(i)) for i in range(500)]
     assert spark.read.parquet(f"file://{tmp_path}/i").agg(F.max("captures")).first()[0] == 8
 
 
