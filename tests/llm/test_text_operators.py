@@ -316,6 +316,42 @@ def test_html_keeps_all_content(page, lines):
     assert htmltext.extract(page).split("\n") == lines
 
 
+LINKS = "".join(f"<li><a href='/{i}'>go {i}</a></li>" for i in range(8))
+
+
+@pytest.mark.parametrize("page,lines", [
+    (f"<div class='content no-sidebar'><p>{PARA}</p></div>", [PARA]),
+    (f"<article><h1 class='post-header'>Title</h1><p>{PARA}</p><p class='share-price'>{TINY}</p></article>", ["Title", PARA, TINY]),
+    (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><div class='body'><p>{PARA}</p></div><footer>f</footer></article>", ["Title", PARA]),
+    (f"<div class='page'><div class='box'><ul>{LINKS}</ul></div><div class='story'><h2>Head</h2><p>{PARA}</p><p>{TINY}</p><p>{PARA}</p></div><div class='box2'><ul>{LINKS}</ul></div></div>", ["Head", PARA, TINY, PARA]),
+    (f"<article class='teaser'><ul>{LINKS}</ul></article><div class='story'>" + f"<p>{PARA}</p>" * 5 + "</div>", [PARA] * 5),
+    (f"<div><h1>Title</h1><div class='text'><p>{PARA}</p><p>{PARA}</p></div></div><ul>{LINKS}</ul>", ["Title", PARA, PARA]),
+    (f"<div class='post'><p>{PARA}</p></div><ul>{LINKS}</ul><div class='post'><p>{PARA}</p></div>", [PARA, *(f"go {i}" for i in range(8)), PARA]),
+])
+def test_html_regions(page, lines):
+    assert htmltext.extract(page).split("\n") == lines
+
+
+def test_html_clusters_decide(monkeypatch):
+    page = f"<div class='box'><ul>{LINKS}</ul></div><div class='story'>" + f"<p>{PARA}</p>" * 3 + "</div>"
+    assert htmltext.extract(page).split("\n") == [PARA] * 3
+    monkeypatch.setattr(htmltext, "cluster_lines", lambda lines: np.ones(len(lines), dtype=bool))
+    monkeypatch.setattr(htmltext, "SHARE", 0.99)
+    assert len(htmltext.extract(page).split("\n")) == 11
+
+
+def test_html_against_plain_patterns(spark, sf_dir):
+    import html
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(pages).collect()}
+    for row in pages.collect():
+        body = " ".join(re.findall(r"<article\b.*?>(.*?)(?:</article>|<footer|$)", row["html"] or "", re.DOTALL))
+        blocks = re.split(r"</?(?:p|h1|br|li|ul|div)\b[^>]*>", body)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert got[row["page_id"]] == "\n".join(b for b in plain if b)
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<article><p>é𝔘</p></article>"), (None, "v", "<p>" + LONG)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.extract_text(pages).collect()}

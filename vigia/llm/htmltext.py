@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -11,68 +12,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import slices
+
 #: Fixed tables of HTML: elements that end a block, that never hold article text, and that have no end tag.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = frozenset("aside button datalist footer form head header iframe input label menu nav noscript object script select style svg template textarea title".split())
+DROPPED = frozenset("aside button datalist footer form head iframe input label menu nav noscript object script select style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id and role names that mark page furniture.
-FURNITURE = frozenset("ad ads advert advertisement alert author-box banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies copyright disclaimer discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
-#: Elements that hold the article where a page has one.
-ARTICLE = ("article", "main")
-#: Words after which a name tells a state of the page and not what the element is: has-sidebar, no-ads.
-STATE = frozenset("has hide is no not with without".split())
-#: How an element drops its content: by its name or as a form around the page, unless an article is inside; or always.
+#: Elements that can be a content region, those that hold one article, and headings.
+REGIONS = frozenset("article body div main section td".split())
+ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Fixed names: an element is page furniture if one of its class, id or role names is, as a whole, one of these.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list comment-form complementary contentinfo cookie cookies cookie-banner cookie-consent cookie-notice"
+    " disqus footer gdpr header masthead menu main-menu mobile-menu nav navbar navigation newsletter newsletter-signup notice notices page-footer page-header pagination pop-up popup promo recommended related related-articles related-posts"
+    " replies respond search share share-buttons sharing sidebar side-bar site-footer site-header site-nav skip-link social social-links social-share sponsored subscribe tag-cloud toolbar top-bar widget widgets".split()
+)
+#: How an element drops its content: unless an article is inside, or always.
 LOOSE, FIRM = 1, 2
-#: Smoothing radius in lines, and the threshold as a share of the ratios' median.
-SIGMA, SHARE = 1.0, 0.5
+#: Smoothing radius in lines; characters a tag from which a line is full text; factor between the two levels of a page with two.
+SIGMA, FULL, APART = 1.0, 100.0, 3.0
+#: Share of the text of all cluster lines that the content region holds.
+SHARE = 0.9
 
 _SPACES = re.compile(r"\s+")
-_NAMES = re.compile(r"[a-z]+(?:-[a-z]+)*")
+
+
+def _names(attrs: list[tuple[str, str | None]]) -> set[str]:
+    return {name for key, value in attrs if key in ("class", "id", "role") and value for name in value.lower().replace("_", "-").split()}
 
 
 def _is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
-    for name, value in attrs:
-        if name in ("class", "id", "role") and value:
-            for word in re.split(r"[^a-z0-9-]+", re.sub(r"(?<=[a-z])(?=[A-Z])|_", "-", value).lower()):
-                parts = word.split("-")
-                parts = parts[: next((k for k, part in enumerate(parts) if part in STATE), len(parts))]
-                if "-".join(parts) in FURNITURE or not FURNITURE.isdisjoint(parts):
-                    return True
-    return False
-
-
-def _drops(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """LOOSE or FIRM if the element's content is none of the page's, else 0."""
+    return not FURNITURE.isdisjoint(_names(attrs))
+
+
+def _drops(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """LOOSE or FIRM if the element's content is none of the page's, else 0.  A header is the page's, or an article's own."""
     if tag in DROPPED and tag != "form":
         return FIRM
-    if tag in ("html", "body", *ARTICLE):
+    if tag in ("html", "body", *ARTICLES):
         return 0
     if any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs):
         return FIRM
+    if tag == "header":
+        return 0 if in_article else LOOSE
     return LOOSE if tag == "form" or _is_furniture(attrs) else 0
 
 
+@dataclass
+class Line:
+    """One block's text, the tags since the line before, the region it stands in, and if it is a heading."""
+
+    text: str
+    tags: int
+    region: int
+    heading: bool
+
+
+@dataclass
+class Region:
+    """An element that can be the content region: the one around it, its tag and class, and its article (the outermost)."""
+
+    parent: int
+    kind: tuple[str, str]
+    article: int = -1
+
+
+@dataclass
+class _Open:
+    tag: str
+    drops: int
+    article: bool
+    region: int = field(default=-1)
+
+
 class _Lines(HTMLParser):
-    """Turns parser events into lines: text, number of tags, number of the outermost article (0: none), in page furniture or not."""
+    """Turns parser events into lines and regions, without what page furniture holds."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, how it drops its content, is an article
+        self.lines: list[Line] = []
+        self.regions = [Region(-1, ("", ""))]
+        self.open: list[_Open] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.dropped = self.articles = self.number = 0
+        self.tags = self.dropped = 0
 
     def end_line(self) -> None:
         text = _SPACES.sub(" ", "".join(self.text)).strip()
+        if text and not self.dropped:
+            self.lines.append(Line(text, self.tags, self.region(), any(x.tag in HEADINGS for x in self.open[-3:])))
         if text:
-            self.lines.append((text, self.tags, self.number if self.articles else 0, self.dropped > 0))
             self.tags = 0
         self.text = []
 
+    def region(self) -> int:
+        return next((x.region for x in reversed(self.open) if x.region >= 0), 0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        article = tag in ARTICLE or (tag == "div" and ("role", "main") in attrs)
-        drops = _drops(tag, attrs)
+        article = tag in ARTICLES or (tag == "div" and ("role", "main") in attrs)
+        drops = _drops(tag, attrs, any(x.article for x in self.open))
         if tag in BLOCKS or drops or article:
             self.end_line()
         self.tags += 1
@@ -83,27 +121,32 @@ class _Lines(HTMLParser):
         if tag == "li":
             self.close("li", stop=frozenset(("ul", "ol", "menu")))
         if article and not _is_furniture(attrs):
-            self.open = [(name, 0 if how == LOOSE else how, inner) for name, how, inner in self.open]
-            self.dropped = sum(how > 0 for _, how, _ in self.open)
-        self.open.append((tag, drops, article))
+            for x in self.open:
+                x.drops = 0 if x.drops == LOOSE else x.drops
+            self.dropped = sum(x.drops > 0 for x in self.open)
+        elif article:
+            drops = LOOSE
+        self.open.append(_Open(tag, drops, article))
         self.dropped += drops > 0
-        self.number += article and not self.articles
-        self.articles += article
+        if tag in REGIONS or article:
+            around = self.region()
+            self.open[-1].region = len(self.regions)
+            own = self.regions[around].article
+            self.regions.append(Region(around, (tag, dict(attrs).get("class") or ""), own if own >= 0 else len(self.regions) if tag == "article" else -1))
 
     def close(self, tag: str, stop: frozenset = frozenset()) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                for _, drops, article in self.open[k:]:
-                    self.dropped -= drops > 0
-                    self.articles -= article
+            x = self.open[k]
+            if x.tag == tag:
+                self.dropped -= sum(y.drops > 0 for y in self.open[k:])
                 del self.open[k:]
                 return
-            if self.open[k][0] in stop or self.open[k][2] or self.open[k][1]:
-                if tag not in (x[0] for x in self.open) or stop or tag in ("p", "b", "i", "a", "span", "em", "strong"):
+            if x.tag in stop or x.article or x.drops:
+                if tag not in (y.tag for y in self.open) or stop or tag in ("p", "b", "i", "a", "span", "em", "strong"):
                     return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in DROPPED or tag in ARTICLE:
+        if tag in BLOCKS or tag in DROPPED or tag in ARTICLES:
             self.end_line()
         self.tags += 1
         self.close(tag)
@@ -111,7 +154,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
-    def finish(self) -> list[tuple[str, int, int, bool]]:
+    def finish(self) -> list[Line]:
         self.close_()
         self.end_line()
         return self.lines
@@ -128,28 +171,63 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(values) / full(np.ones(len(values)))
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
-    """The lines of the content regions.
+def cluster_lines(lines: list[Line]) -> np.ndarray:
+    """Which lines lie in a content cluster.
 
-    Each line's ratio is its characters over its tags; the smoothed ratios are cut at a share of their median, which
-    a few very long lines don't lift, and the lines above it form clusters.  Where the page has article elements, the content is
-    every line of all outermost articles; else every line from the first to the last cluster line, so that short lines
-    between long ones stay.  Furniture lines are never content.
+    A line's ratio is its characters over its tags, FULL at most, so that one very long line sets no level.  The logarithms of the
+    smoothed ratios are cut where the two parts are furthest apart in variance; parts whose levels differ by less
+    than APART are one, and all lines are content.
+    """
+    ratio = np.log(smooth(np.array([min(FULL, len(x.text) / max(1, x.tags)) for x in lines])))
+    level = np.sort(ratio)
+    n = np.arange(1, len(level))
+    low = np.cumsum(level)[:-1]
+    high = level.sum() - low
+    gap = high / (len(level) - n) - low / n
+    if not len(n):
+        return np.ones(len(lines), dtype=bool)
+    best = int(np.argmax(gap**2 * n * (len(level) - n)))
+    return ratio > level[best] if gap[best] >= np.log(APART) else np.ones(len(lines), dtype=bool)
+
+
+def content_lines(lines: list[Line], regions: list[Region]) -> list[str]:
+    """The lines of the content region.
+
+    The region is the innermost element that holds SHARE of the text of the cluster lines; it grows to the article that it
+    stands in, and to elements around it that add headings only.  Elements of the same class beside it (or articles beside an article) are content
+    too.  Every line of the region is kept, so that short lines stay with the long ones.
     """
-    clean = [x for x in lines if not x[3]]
-    if not clean:
+    if not lines:
         return []
-    if any(x[2] for x in clean):
-        return [x[0] for x in clean if x[2]]
-    ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _, _ in clean]))
-    inside = np.flatnonzero(ratio >= SHARE * np.median(ratio))
-    return [x[0] for x in clean[inside[0] : inside[-1] + 1]]
+    inside = cluster_lines(lines)
+    mass = np.zeros(len(regions))
+    for line, content in zip(lines, inside.tolist(), strict=True):
+        mass[line.region] += len(line.text) * content
+    plain = np.zeros(len(regions))  # lines that are no headings
+    for line in lines:
+        plain[line.region] += not line.heading
+    for k in range(len(regions) - 1, 0, -1):
+        mass[regions[k].parent] += mass[k]
+        plain[regions[k].parent] += plain[k]
+    at = 0
+    for k in range(1, len(regions)):  # an element comes after the one around it
+        if regions[k].parent == at and mass[k] >= SHARE * mass[0]:
+            at = k
+    if regions[at].article >= 0:
+        at = regions[at].article
+    while at and plain[regions[at].parent] == plain[at]:
+        at = regions[at].parent
+    kind, around = regions[at].kind, regions[at].parent
+    alike = [k == at or (at > 0 and regions[k].parent == around and regions[k].kind[0] == kind[0] and (kind[0] == "article" or (kind[1] != "" and regions[k].kind[1] == kind[1]))) for k in range(len(regions))]
+    for k in range(1, len(regions)):
+        alike[k] = alike[k] or alike[regions[k].parent]
+    return [x.text for x in lines if alike[x.region]]
 
 
 def extract(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
-    return "\n".join(content_lines(parser.finish()))
+    return "\n".join(content_lines(parser.finish(), parser.regions))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -161,9 +239,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [extract(h) if h else "" for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for part, _, _ in slices(batches, "html"):
+            texts = [extract(h.as_py() or "") for h in part.column("html")]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
