@@ -19,6 +19,9 @@ K, INDEX = 64, 16
 #: What a pair of Jaccard 0.75 shares but for about 3 pairs in a million: LEAST indexed values, P(Binomial(16, 0.75) < 4),
 #: and this share of the union's K smallest values, P(Binomial(64, 0.75) < 32).
 LEAST, SHARE = 4, 0.5
+#: Values of each class of many long lists that get new lists, and how many of them such a pair shares but for about 2 pairs in a million,
+#: P(Binomial(28, 0.75) < 10).
+LISTED, NEEDED = 28, 10
 #: Longest inverted list whose pairs are all emitted; longer ones go through leaders and blocks.
 LIST_CAP = 32
 #: Members of one block of a family, and shingles of all of them: what one task holds of either side.
@@ -165,7 +168,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     retained value, for the INDEX smallest; each class is held against one pseudo-random leader of each of its lists and the best
     candidate by the union-sketch estimate is verified on the full sets; (4) short lists emit their pairs that are not yet
     in one component; (5) a pair that no short list holds shares LEAST values of long lists.  Classes with so many get new
-    lists, of their sketch's values that are rarest among them: as many as leave no room for a pair that could pass the estimate
+    lists, of those of their LISTED smallest values that are rarest among them: as many as leave no room for a pair that could pass the estimate
     without one of them in common.  Short ones of these emit their pairs; classes that long ones tie together are a family, and
     what lies outside a family's main component is held against the whole family, block by block, with whole sets, so that a
     block says at once which of its components are one.  No list is cut or skipped.
@@ -176,31 +179,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Returns ``doc_id, n_shingles, component_id, kept`` for each row.
     """
-    spark = docs.sparkSession
+    gathered = lambda df: cut(df, gather=True)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = cut(docs.mapInArrow(_sketches(width, k), _SKETCH))
     named = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = cut(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    classes = gathered(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
     nodes = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
 
     posts = nodes.select("id", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("v"))
     lists = posts.groupBy("v").agg(F.count("*").alias("df"), F.min(F.struct(F.xxhash64("id", "v").alias("h"), F.col("id"))).getField("id").alias("leader")).where("df > 1")
-    posts = cut(posts.join(lists, "v"))
+    posts = gathered(posts.join(lists, "v"))
 
     # leaders: the best candidate of each class first
     pairs = posts.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     seen = posts.select("id").distinct()
-    own = cut(nodes.join(seen, "id"))
+    own = gathered(nodes.join(seen, "id"))
     with_sketches = lambda p: p.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sk_a")), "a").join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sk_b")), "b").where(_sized("na", "nb", percent))
-    best = cut(_estimate(with_sketches(pairs), k, percent).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")))
+    best = gathered(_estimate(with_sketches(pairs), k, percent).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")))
     texts = docs.where("doc_id is not null")
-    links = cut(_links(best, _sets_of(_ids(best), texts, width), percent))
+    links = gathered(_links(best, _sets_of(_ids(best), texts, width), percent))
     comp = components(links)
 
     # short lists: all pairs between components
     hot_count = posts.where(F.col("df") > list_cap).groupBy("id").agg(F.count("*").alias("hot"))
     at = own.join(comp.withColumnRenamed("node", "id"), "id", "left").join(hot_count, "id", "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("comp"), F.coalesce("hot", F.lit(0)).alias("hot"))
-    at = cut(at)
+    at = gathered(at)
     enough = F.when(F.col("n") >= INDEX, LEAST).otherwise(1)
 
     def pairs_of(rows: DataFrame) -> DataFrame:
@@ -214,13 +217,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # classes of many long lists: lists of their rarest values
     dense = at.where(F.col("hot") >= enough)
-    held = dense.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    # two whole sets are held to percent, a whole and a cut one only to SHARE: where a list has a cut set small enough for a whole partner
-    mixed = (F.col("n") > k) & (percent * F.col("n") <= 100 * k)
+    held = dense.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    # two sets that are whole in their lists are held to percent, others only to NEEDED: where a list has a cut set small enough for a whole partner
+    mixed = (F.col("n") > LISTED) & (percent * F.col("n") <= 100 * LISTED)
     rare = held.join(held.groupBy("v").agg(F.count("*").alias("df"), F.max(mixed).alias("mixed")), "v")
-    share = F.when((F.col("n") <= k) & ~(F.col("mixed") & (100 * F.col("n") > percent * k)), percent / 100).otherwise(SHARE)
-    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= F.col("m") - F.ceil(share * F.col("m")) + 1)
-    rare = cut(rare.where("df > 1").select("id", "v", "df"))
+    m = F.least("n", F.lit(LISTED))
+    needed = F.when((F.col("n") <= LISTED) & ~(F.col("mixed") & (100 * F.col("n") > percent * LISTED)), F.ceil(percent * m / 100)).otherwise(F.ceil(NEEDED * m / LISTED))
+    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).where(F.col("nth") <= m - needed + 1)
+    rare = gathered(rare.where("df > 1").select("id", "v", "df"))
     few = rare.where(F.col("df") <= list_cap).select("id", "v").join(at.select("id", "n", "comp", "hot"), "id")
     met = met.unionByName(pairs_of(few).select("a", "b"))
 
@@ -232,9 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sizes = long.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("v").agg(F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     blocks_of = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
     sizes = sizes.where("c > main.c").select("v", F.col("main.comp").alias("main"), blocks_of(F.col("c"), F.col("s")).alias("blocks"), blocks_of(F.expr("c - main.c"), F.expr("s - main.s")).alias("odd_blocks"))
-    long = cut(long.join(sizes, "v"))
+    long = gathered(long.join(sizes, "v"))
 
-    more = cut(_estimate(with_sketches(met.distinct()), k, percent).select("a", "b"))
+    more = gathered(_estimate(with_sketches(met.distinct()), k, percent).select("a", "b"))
     sets = _sets_of(_ids(more).unionByName(long.select("id")).distinct(), texts, width)
     links = links.unionByName(_links(more, sets, percent))
     if not long.isEmpty():
