@@ -249,7 +249,7 @@ def inject_gaps(df: DataFrame, value: str, order: list[str], share: float = 0.2,
         weighted = df.crossJoin(stats).withColumn("__w", F.abs(F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
     else:
         raise ValueError(f"unknown mechanism: {mechanism}; one of MCAR, MAR, MNAR")
-    drawn = weighted.withColumn("__u", F.when(F.col(value).isNotNull() & (F.col("__w") > 0), F.pow(u, 1 / F.col("__w"))))
+    drawn = weighted.withColumn("__u", F.when(F.col(value).isNotNull() & (F.col("__w") > 0), F.pow(u, 1 / F.col("__w"))).otherwise(0.0))
     cut = drawn.agg(F.percentile("__u", 1 - share).alias("__cut"))
     out = drawn.crossJoin(cut).withColumn(f"{value}_truth", F.col(value))
     return out.withColumn(value, F.when(F.coalesce(F.col("__u") > F.col("__cut"), F.lit(False)), None).otherwise(F.col(value))).drop("__w", "__u", "__cut")
