@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,36 @@ def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> t
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+#: Shares of the named aggregates that are quantiles.
+QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+
+
+def aggregates(wanted: dict[str, tuple[str, str]]) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates for {output: (name, column)}, all quantiles of a column in one; and each output as a column of the result."""
+    plain, shares = {}, {}
+    for output, (name, column) in wanted.items():
+        if name in QUANTILES:
+            shares.setdefault(column, []).append(output)
+        else:
+            plain[output] = aggregate(name, F.col(column)).alias(output)
+    made, out = list(plain.values()), {k: F.col(k) for k in plain}
+    for n, (column, outputs) in enumerate(shares.items()):
+        made.append(F.percentile(column, F.array(*[F.lit(QUANTILES[wanted[o][0]]) for o in outputs])).alias(f"__quantiles{n}"))
+        out |= {o: F.get(f"__quantiles{n}", F.lit(k)) for k, o in enumerate(outputs)}
+    return made, out
+
+
+def with_rank(df: DataFrame, value: str, name: str, cells: int = 256) -> DataFrame:
+    """Average rank (from 1) of each row's ``value``, in parallel: rows are counted by cells between approximate quantiles, and ranked within
+    their cell, so that no task sees the whole table.  Rows without a value get null."""
+    known = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__m"))
+    edges = known.agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 10_000).alias("__edges"))
+    known = known.crossJoin(edges).withColumn("__cell", F.size(F.filter("__edges", lambda x: x < F.col(value)))).drop("__edges")
+    before = known.groupBy("__cell").agg(F.sum("__m").alias("__n"))
+    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a cell
+    inside = F.sum("__m").over(Window.partitionBy("__cell").orderBy(value))
+    ranked = known.withColumn("__inside", inside).join(before.select("__cell", "__before"), "__cell")
+    ranked = ranked.select(value, (F.col("__before") + F.col("__inside") - (F.col("__m") - 1) / 2).alias(name))
+    return df.join(ranked, value, "left").select(*df.columns, name)

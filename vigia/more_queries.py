@@ -62,6 +62,23 @@ def cid_every_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+_SEASON_SQL = lambda wet, between, name: f"CASE WHEN month(o_orderdate) IN ({wet}) THEN 'rainy' WHEN month(o_orderdate) IN ({between}) THEN 'transition' ELSE 'dry' END AS {name}"
+
+
+@register("calendar_regions", f"""SELECT o_orderkey, {_SEASON_SQL('12, 1, 2, 3, 4, 5', '6, 11', 'norte')}, {_SEASON_SQL('3, 4, 5, 6, 7', '2, 8', 'nordeste')}, {_SEASON_SQL('11, 12, 1, 2, 3', '4, 10', 'centro_oeste')}, {_SEASON_SQL('11, 12, 1, 2, 3', '4, 10', 'sudeste')},
+CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' WHEN month(o_orderdate) <= 5 THEN 'spring' WHEN month(o_orderdate) <= 8 THEN 'summer' ELSE 'autumn' END AS north FROM orders""")
+def calendar_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import dates
+
+    d = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[dates.climatic_season(d, r).alias(r.replace("-", "_")) for r in dates.CLIMATIC], dates.astronomical_season(d, "north").alias("north"))
+
+
+@register("agg_by_window", "SELECT make_date(year(o_orderdate), (month(o_orderdate) - 1) // 4 * 4 + 1, 1) AS date, count(*) AS n FROM orders GROUP BY 1")
+def agg_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.aggregate_series(table(spark, sf_dir, "orders"), "o_orderdate", "4 months")
+
+
 # --- heat waves over all methods ------------------------------------------------------------------
 
 _MORE_DAYS = f"days AS (SELECT *, tmax + 2 AS utci_max, (tmax + tmin) / 2 AS wbgt_max, tmean + 1 AS hi_max FROM ({_DAYS}))"

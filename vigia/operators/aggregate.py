@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bucket, step_sql
 from ..functions.stats import aggregate as named_aggregate
+from ..functions.stats import aggregates as named_aggregates
 
 INVALID_GEO = ("0", "000000", "")
 
@@ -25,8 +26,8 @@ def aggregate_series(df: DataFrame, date: str, unit: str = "day", funs: str | di
     by = by or []
     wanted = funs if isinstance(funs, dict) else {name or ("n" if funs == "count" else f"{funs}_{value}"): (funs, value or date)}
     rows = df.where(F.col(date).isNotNull()).withColumn("__bucket", bucket(F.col(date), unit))
-    out = rows.groupBy("__bucket", *by).agg(*[named_aggregate(fun, F.col(column)).alias(alias) for alias, (fun, column) in wanted.items()])
-    out = out.withColumnRenamed("__bucket", "date")
+    made, outputs = named_aggregates(wanted)
+    out = rows.groupBy("__bucket", *by).agg(*made).select(F.col("__bucket").alias("date"), *by, *[x.alias(name) for name, x in outputs.items()])
     if complete:
         out = complete_calendar(out, "date", unit, by, [a for a, (fun, _) in wanted.items() if fun == "count"])
     return out.select("date", *by, *wanted)

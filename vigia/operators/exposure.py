@@ -1,8 +1,8 @@
 """Exposure windows: climate series joined to health rows by ten temporal strategies.
 
-Climate is first one row a key and day.  Every windowed strategy then is one pass of a range frame over the key's days:
-health rows and climate days are united, the frame runs over the day number, and the health rows are kept.  No
-range join, no explosion, one shuffle on the key.
+Climate is first one row a key and day.  Every windowed strategy then is one pass of a range frame over the key's days: the
+days that health rows have and the climate days are united, the frame runs over the day number, and health rows join by key and
+day, so that a large place's rows never lie in one task.  No range join, no explosion.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ def _over_days(health: DataFrame, climate: DataFrame, key: str, value: str, make
 
     ``climate``: one row a key and day.  Health rows may share key and day; they carry a null value.
     """
-    own = [c for c in health.columns if c not in (key, "date")]
-    left = health.select(key, F.col("date").cast("date").alias("date"), F.struct(*own).alias("__row") if own else F.lit(1).alias("__row"), F.lit(True).alias("__keep"), F.lit(None).cast("double").alias("__x"))
-    right = climate.where(F.col(value).isNotNull()).select(key, "date", F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.lit(False).alias("__keep"), F.col(value).cast("double").alias("__x"))
+    health = health.withColumn("date", F.col("date").cast("date"))
+    wanted = health.select(key, "date").distinct().select(key, "date", F.lit(True).alias("__keep"), F.lit(None).cast("double").alias("__x"))
+    known = climate.where(F.col(value).isNotNull()).select(key, "date", F.lit(False).alias("__keep"), F.col(value).cast("double").alias("__x"))
     frame = Window.partitionBy(key).orderBy(F.unix_date("date")).rangeBetween(start, end)
-    both = left.unionByName(right).withColumns(make(frame)).where("__keep")
-    return both.select(key, "date", *([f"__row.{c}" for c in own]), *make(frame))
+    days = wanted.unionByName(known).withColumns(make(frame)).where("__keep").select(key, "date", *make(frame))
+    return health.join(days, [key, "date"], "left")
 
 
 def _guarded(x: Column, n: Column, size: int, share: float) -> Column:

@@ -59,43 +59,58 @@ def _time_basis(dates: pd.Series, per_year: int) -> np.ndarray:
     return kernels.natural_spline(t, kernels.spline_knots(t, df), t.min(), t.max() + 1e-9)
 
 
-def distributed_lag_model(health: DataFrame, climate: DataFrame, key: str, cases: str, exposure: str, lags: int = 21, per_year: int = 4, points: int = 25) -> DataFrame:
-    """Exposure-response curve per place: ``key, exposure, log_rr, se, rr, dispersion``, centred at the median.
+def distributed_lag_model(health: DataFrame, climate: DataFrame, key: str, cases: str, exposure: str, lags: int = 21, per_year: int = 4, points: int = 25, covariates: list[str] | None = None, reference: float | None = None, reference_quantile: float = 0.5, family: str = "quasipoisson") -> DataFrame:
+    """Exposure-response curve per place: ``key, exposure, log_rr, se, rr, dispersion``, centred at ``reference`` or the exposure's quantile.
+
+    ``covariates``: further numeric columns of ``health``.  ``family``: quasipoisson, or poisson (dispersion 1).
 
     ``health``: daily cases per key and date; ``climate``: daily exposure.  The lag matrix is made in Spark; the quasi-Poisson
     fit of each place runs in one task on its daily series.  Places with too few days give no rows.
     """
     lagged = distributed_lag(health, climate, key, exposure, lags)
     columns = [f"{exposure}_lag{k}" for k in range(lags + 1)]
+    more = list(covariates or [])
+    if family not in ("quasipoisson", "poisson"):
+        raise ValueError(f"unknown family: {family}; one of quasipoisson, poisson")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         names = [key, "exposure", "log_rr", "se", "rr", "dispersion"]
-        pdf = pdf.sort_values("date").dropna(subset=[*columns, cases])
+        pdf = pdf.sort_values("date").dropna(subset=[*columns, cases, *more])
         if len(pdf) < 60:
             return pd.DataFrame(columns=names)
         cross, spec = kernels.cross_basis(pdf[columns].to_numpy(float))
-        x = np.column_stack((np.ones(len(pdf)), cross, _time_basis(pdf["date"], per_year)))
+        x = np.column_stack((np.ones(len(pdf)), cross, _time_basis(pdf["date"], per_year), pdf[more].to_numpy(float)))
         model = kernels.poisson_regression(x, pdf[cases].to_numpy(float))
         seen = pdf[columns[0]].to_numpy(float)
         at = np.linspace(*np.quantile(seen, [0.01, 0.99]), points)
-        log_rr, se = kernels.overall_curve(spec, model, at, float(np.median(seen)))
+        log_rr, se = kernels.overall_curve(spec, model, at, float(np.quantile(seen, reference_quantile)) if reference is None else reference)
+        if family == "poisson":
+            se = se / np.sqrt(max(model.dispersion, 1e-300))
         return pd.DataFrame({key: pdf[key].iloc[0], "exposure": at, "log_rr": log_rr, "se": se, "rr": np.exp(log_rr), "dispersion": model.dispersion})
 
     kind = dict(health.dtypes)[key]
-    return lagged.select(key, "date", cases, *columns).groupBy(key).applyInPandas(fit, f"{key} {kind}, exposure double, log_rr double, se double, rr double, dispersion double")
+    return lagged.select(key, "date", cases, *more, *columns).groupBy(key).applyInPandas(fit, f"{key} {kind}, exposure double, log_rr double, se double, rr double, dispersion double")
+
 
+def baseline(series: DataFrame, key: str, cases: str, control_until: str, per_year: int = 2, harmonics: int = 2, trend: str = "linear") -> DataFrame:
+    """Expected cases per key and date, from a seasonal log-linear model of the days before ``control_until``.
 
-def baseline(series: DataFrame, key: str, cases: str, control_until: str, per_year: int = 2, harmonics: int = 2) -> DataFrame:
-    """Expected cases per key and date, from a seasonal log-linear model of the days before ``control_until``."""
+    ``trend``: linear, or a natural spline of ``per_year`` terms a year over these days that goes on as a line.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         day = pd.to_datetime(pdf["date"])
         t = (day - day.min()).dt.days.to_numpy(float)
         wave = [f(2 * np.pi * k * day.dt.dayofyear / 365.25) for k in range(1, harmonics + 1) for f in (np.sin, np.cos)]
-        x = np.column_stack((np.ones(len(pdf)), t / max(1.0, t.max()), *wave))
         y = pdf[cases].to_numpy(float)
         use = (day < pd.Timestamp(control_until)).to_numpy() & ~np.isnan(y)
+        line = (t / max(1.0, t.max()))[:, None]
+        if trend == "spline" and use.sum() > 10:
+            own = t[use]
+            terms = max(2, round(per_year * (own.max() + 1) / 365.25))
+            line = kernels.natural_spline(t, kernels.spline_knots(own, terms), own.min(), own.max() + 1e-9)
+        x = np.column_stack((np.ones(len(pdf)), line, *wave))
         if use.sum() <= x.shape[1]:
             return pdf.assign(expected=np.nan)
         model = kernels.poisson_regression(x[use], y[use])
@@ -187,3 +202,9 @@ def pooled_moments(effects: DataFrame, group: list[str], effect: str, se: str) -
     two = again.groupBy(*group).agg((F.sum(v * F.col(effect)) / F.sum(v)).alias("effect"), (1 / F.sqrt(F.sum(v))).alias("se"))
     out = one.join(two, group) if group else one.crossJoin(two)
     return out.withColumn("i2", F.when(F.col("q") > 0, F.greatest((F.col("q") - (F.col("n") - 1)) / F.col("q"), F.lit(0.0))).otherwise(0.0))
+
+
+def pooled_curves(curves: DataFrame, by: str = "exposure") -> DataFrame:
+    """Places' exposure-response curves (``exposure, log_rr, se`` on one grid) pooled point by point, with the relative risk and its interval."""
+    out = pooled_moments(curves, [by], "log_rr", "se")
+    return out.withColumns({"rr": F.exp("effect"), "rr_lo": F.exp(F.col("effect") - 1.96 * F.col("se")), "rr_hi": F.exp(F.col("effect") + 1.96 * F.col("se"))})

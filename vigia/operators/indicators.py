@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import wilson
+from ..functions.stats import wilson, with_rank
 from .fits import poisson_bounds
 
 #: Name: (numerator, denominator, multiplier, interval).
@@ -89,20 +89,12 @@ def cross_correlation(df: DataFrame, date: str, x: str, y: str, most: int = 7) -
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks; ranks come from counts of distinct values, so that ties are one row."""
-
-    def ranked(c: str, name: str) -> DataFrame:
-        values = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(c).agg(F.count("*").alias("m"))
-        below = F.sum("m").over(Window.orderBy(c))
-        return values.withColumn(name, below - (F.col("m") - 1) / 2).drop("m")
-
+    """Rank correlation with average ranks."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    return rows.join(ranked(x, "rx"), x).join(ranked(y, "ry"), y).agg(F.corr("rx", "ry").alias("rho"))
+    return with_rank(with_rank(rows, x, "__rx"), y, "__ry").agg(F.corr("__rx", "__ry").alias("rho"))
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
     """Lorenz curve's Gini index of a non-negative value, from ranks."""
-    w = Window.orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("m"))
-    ranked = ranked.withColumn("i", F.sum("m").over(w) - (F.col("m") - 1) / 2)
+    ranked = with_rank(df.where(F.col(value).isNotNull()).select(value), value, "i").groupBy(value, "i").agg(F.count("*").alias("m"))
     return ranked.agg((2 * F.sum(F.col("i") * F.col("m") * F.col(value)) / (F.sum("m") * F.sum(F.col("m") * F.col(value))) - (F.sum("m") + 1) / F.sum("m")).alias("gini"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .spatial import MOST_AREAS
 
 
 def normal_cdf(x: Column) -> Column:
@@ -46,8 +47,10 @@ def permutation_test(areas: DataFrame, weights: DataFrame, key: str, value: str,
     Areas and links are a country's municipalities at most; both are held by each task (the caller's tables are
     aggregated to a row an area and link).
     """
-    table = areas.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null").toPandas()
-    links = weights.select("src", "dst", "w").toPandas()
+    table = areas.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null").limit(MOST_AREAS + 1).toPandas()
+    links = weights.select("src", "dst", "w").limit(40 * MOST_AREAS + 1).toPandas()
+    if len(table) > MOST_AREAS or len(links) > 40 * MOST_AREAS:
+        raise ValueError(f"the test takes {MOST_AREAS} areas and {40 * MOST_AREAS} links at most")
     at = {k: i for i, k in enumerate(table["k"])}
     links = links[links["src"].isin(at) & links["dst"].isin(at)]
     src, dst, w = links["src"].map(at).to_numpy(int), links["dst"].map(at).to_numpy(int), links["w"].to_numpy(float)

@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import with_rank
+
 
 def attributable(df: DataFrame, cases: str, rr: str, exposure: str, low: float | None = None, high: float | None = None, by: list[str] | None = None) -> DataFrame:
     """Attributable number sum(y (1 - 1/RR)) over the exposure range, and its fraction of all cases."""
@@ -33,12 +35,16 @@ def excess(df: DataFrame, observed: str, expected: str, order: str, by: list[str
     return df.withColumns({"excess": o - e, "z": F.when(e > 0, (o - e) / F.sqrt(e)), "flag": F.when(e > 0, (o - e) / F.sqrt(e) > z), "cum_excess": F.sum(o - e).over(w)})
 
 
-def interrupted_design(df: DataFrame, date: str, interruption: str, harmonics: int = 2) -> DataFrame:
-    """Time, step and slope after the interruption, and yearly harmonics."""
+def interrupted_design(df: DataFrame, date: str, interruption: str | list[str], harmonics: int = 2) -> DataFrame:
+    """Time, step and slope after the interruption, and yearly harmonics; of several interruptions, ``step1``, ``slope1``, ``step2`` and so on."""
     first = df.agg(F.min(F.col(date).cast("date")).alias("__first"))
     d = F.col(date).cast("date")
-    start = F.lit(interruption).cast("date")
-    df = df.crossJoin(first).withColumns({"time": F.datediff(d, "__first"), "step": (d >= start).cast("int"), "slope": F.greatest(F.datediff(d, start), F.lit(0))}).drop("__first")
+    dates = {"": interruption} if isinstance(interruption, str) else {str(k): x for k, x in enumerate(interruption, 1)}
+    terms = {"time": F.datediff(d, "__first")}
+    for k, x in dates.items():
+        start = F.lit(x).cast("date")
+        terms |= {f"step{k}": (d >= start).cast("int"), f"slope{k}": F.greatest(F.datediff(d, start), F.lit(0))}
+    df = df.crossJoin(first).withColumns(terms).drop("__first")
     wave = {f"{name}{k}": F.round(fun(2 * pi * k * F.dayofyear(d) / 365.25), 9) for k in range(1, harmonics + 1) for name, fun in (("sin", F.sin), ("cos", F.cos))}
     return df.withColumns(wave)
 
@@ -120,11 +126,8 @@ def weighted_pillars(df: DataFrame, key: str, pillars: dict[str, dict[str, float
     if how == "rank":
         score = {}
         for c in columns:
-            levels = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__m"))
-            total = levels.agg(F.sum("__m").alias("__t"))
-            levels = levels.crossJoin(total).withColumn(f"__s_{c}", (F.sum("__m").over(Window.orderBy(c)) - (F.col("__m") - 1) / 2 - 0.5) / F.col("__t")).drop("__m", "__t")
-            df = df.join(levels, c, "left")
-            score[c] = F.col(f"__s_{c}")
+            df = with_rank(df, c, f"__r_{c}").crossJoin(df.agg(F.count(c).alias(f"__n_{c}")))
+            score[c] = (F.col(f"__r_{c}") - 0.5) / F.col(f"__n_{c}")
     else:
         made = {c: normalised(c, how) for c in columns}
         df = df.crossJoin(df.agg(*[a for aggs, _ in made.values() for a in aggs]))

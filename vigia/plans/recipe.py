@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators import aggregate, derive, filters, joins, quality, standardize
+from ..operators import aggregate, derive, exposure, filters, joins, quality, standardize
 from .meta import HealthFrame, Stage
 
 #: Names a recipe may use, and the stage that each leads to.
@@ -24,6 +24,15 @@ STEPS: dict[str, tuple[Callable[..., DataFrame], Stage | None]] = {
     "aggregate_series": (aggregate.aggregate_series, Stage.AGGREGATE),
     "grid_join": (joins.grid_join, Stage.CLIMATE),
     "quality_control": (quality.quality_control, None),
+    "repair_columns": (standardize.repair_columns, Stage.CLEAN),
+    "apply_dictionary": (standardize.apply_dictionary, Stage.STAND),
+    "spatial_key_join": (joins.spatial_key_join, Stage.SPATIAL),
+    "zip_join": (joins.zip_join, Stage.SPATIAL),
+    "level_join": (joins.level_join, Stage.SPATIAL),
+    "facility_join": (joins.facility_join, Stage.SPATIAL),
+    "census_join": (joins.census_join, Stage.CENSUS),
+    "join_climate": (exposure.join_climate, Stage.CLIMATE),
+    "zero_nights": (quality.zero_nights, None),
 }
 
 

@@ -13,8 +13,15 @@ FORMATS = {"parquet": "parquet", "parq": "parquet", "pq": "parquet", "csv": "csv
 STATION_COLUMNS = ("rainfall_mm", "patm_mb", "patm_max_mb", "patm_min_mb", "sr_kj_m2", "tair_dry_bulb_c", "dew_tmean_c", "tair_max_c", "tair_min_c", "dew_tmax_c", "dew_tmin_c", "rh_max_porc", "rh_min_porc", "rh_mean_porc", "wd_degrees", "ws_gust_m_s", "ws_2_m_s")
 
 
-def read_records(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> DataFrame:
-    """Tables of one or more files, united by column name; the format comes from the extension if not given."""
+#: Names of the months in climate normals, without accents.
+MONTHS = {"janeiro": 1, "fevereiro": 2, "marco": 3, "abril": 4, "maio": 5, "junho": 6, "julho": 7, "agosto": 8, "setembro": 9, "outubro": 10, "novembro": 11, "dezembro": 12}
+
+
+def read_records(spark: SparkSession, paths: str | list[str], kind: str | None = None, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """Tables of one or more files, united by column name; the format comes from the extension if not given.
+
+    CSV columns are text.  ``sep`` is the separator (default comma, a tab for .tsv), ``encoding`` the files' (ISO-8859-1 for Latin-1).
+    """
     frames = []
     for path in [paths] if isinstance(paths, str) else paths:
         end = path.rstrip("/").rpartition(".")[2].lower()
@@ -23,7 +30,7 @@ def read_records(spark: SparkSession, paths: str | list[str], kind: str | None =
             raise ValueError(f"unknown format of {path}")
         reader = spark.read
         if use == "csv":
-            reader = reader.option("header", True).option("sep", "\t" if end == "tsv" else ",").option("inferSchema", False)
+            reader = reader.option("header", True).option("sep", sep or ("\t" if end == "tsv" else ",")).option("encoding", encoding).option("inferSchema", False)
         frames.append(reader.format(use).load(path))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -86,3 +93,12 @@ def normals_long(wide: DataFrame, code: str, variable: str) -> DataFrame:
 def particulate_matter(df: DataFrame) -> DataFrame:
     """PM2.5 in µg/m³ from aerosol mass fractions in kg/m³."""
     return df.withColumn("pm25", (F.col("dust") + F.col("sea_salt") + F.col("black_carbon") + 1.4 * F.col("organic_carbon") + F.col("sulfate")) * 1e9)
+
+
+def numbered_months(normals: DataFrame) -> DataFrame:
+    """Normals (``codigo, mes, decada, valor, var_code``) with the month's number for its name; yearly rows (no month) are left out."""
+    from ..functions.codes import fold
+
+    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    month = F.coalesce(F.col("mes").cast("string").try_cast("int"), F.try_element_at(table, fold(F.col("mes"))))
+    return normals.withColumn("mes", month).where(F.col("mes").isNotNull())
