@@ -10,30 +10,39 @@ from vigia.llm.storage import new_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold; the model learns from the input's labels."""
+    """Documents whose toxicity score stays under the threshold; the model learns from the input's labels.
+
+    Null and empty texts score near 0 and stay; rows with a null id are scored like others; repeated rows stay or go together.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_toxicity(docs, model, "toxicity_score")
     return scored.where(scored["toxicity_score"] < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the line windows that an earlier one (or an earlier place) holds."""
+    """Every document, without the line windows that an earlier one (or an earlier place) holds.
+
+    A null text stays null; a null id comes before all others; rows that repeat an id are ordered by their texts' hash.
+    """
     return linededup.remove_repeated_lines(docs).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows that repeat its id stay with it."""
+    """One document, that of the smallest id, of each group of near duplicates; rows that repeat its id stay with it.
+
+    Texts without words, null ones included, and rows with a null id are near to nothing and stay.
+    """
     gone = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and a null id changes nothing."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, text``: the pieces of each document and the text decoded from them."""
+    """``doc_id, ids, text``: the pieces of each document and the text decoded from them; a null text has no pieces and is read back empty."""
     return pieces.round_trip(docs)
 
 
