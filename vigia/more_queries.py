@@ -253,12 +253,12 @@ def grid_drought(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(grids.drought_severity(cells, weights))
 
 
-@register("grid_daily_reanalysis", """SELECT user_id % 10 AS code_muni, CAST(ts AS DATE) AS date, round(avg(value + 250) - 273.15, 6) AS tair_dry_bulb_c, round(max(value + 255) - 273.15, 6) AS tair_max_c, round(min(value + 245) - 273.15, 6) AS tair_min_c, round(avg(value + 240) - 273.15, 6) AS dew_point_c,
-round(avg(value), 6) AS ws_10m_u_m_s, round(avg(-value), 6) AS ws_10m_v_m_s, round(avg(value * 1000) * 0.01, 6) AS patm_hpa, round(sum(value / 1000) * 1000, 6) AS rainfall_mm FROM events GROUP BY ALL""")
+@register("grid_daily_reanalysis", """SELECT user_id % 10 AS code_muni, CAST(ts AS DATE) AS date, round(avg(value + 250) - 273.15, 9) AS tair_dry_bulb_c, round(max(value + 255) - 273.15, 9) AS tair_max_c, round(min(value + 245) - 273.15, 9) AS tair_min_c, round(avg(value + 240) - 273.15, 9) AS dew_point_c,
+round(avg(value), 9) AS ws_10m_u_m_s, round(avg(-value), 9) AS ws_10m_v_m_s, round(avg(value * 1000) * 0.01, 9) AS patm_hpa, round(sum(value / 1000) * 1000, 9) AS rainfall_mm FROM events GROUP BY ALL""")
 def grid_daily_reanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     raw = {"t2m": v + 250, "t2m_max": v + 255, "t2m_min": v + 245, "td2m": v + 240, "u10": v, "v10": -v, "sp": v * 1000, "tp": v / 1000}
-    return _rounded(grids.daily_reanalysis(table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("code_muni"), "ts", *[x.alias(c) for c, x in raw.items()])))
+    return _rounded(grids.daily_reanalysis(table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("code_muni"), "ts", *[x.alias(c) for c, x in raw.items()])), 9)
 
 
 # --- joins and matches ----------------------------------------------------------------------------
