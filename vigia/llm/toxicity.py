@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import BYTE_CODE, LOWER, SIGNS, U64, slices, span_hashes, text_bytes, words
+from .kernels import BYTE_CODE, LOWER, SIGNS, SLICE_BYTES, U64, slices, span_hashes, text_bytes, words
 
 #: n-gram lengths in bytes, with a mark before and behind each word.
 LENGTHS = (3, 4, 5)
@@ -19,8 +19,10 @@ BUCKET_BITS = 18
 DIMENSIONS = 4
 #: Labelled rows of either label that training takes at most: the documented bound of the fitting sample.
 SAMPLE_EACH = 1500
-#: Of the soft maximum over a text's bags: higher is nearer to the plain maximum.
-SHARPNESS = 4.0
+#: A bag is a passage of so many words; passages begin every STEP words.
+PASSAGE, STEP = 2, 1
+#: How much a text's passages of high score count: a passage weighs exp(SHARPNESS * score).
+SHARPNESS = 8.0
 THRESHOLD = 0.7
 
 _ODD = U64(0xC2B2AE3D27D4EB4F)
@@ -52,16 +54,31 @@ def _grams(marked: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray,
                 yield at, ((folded[at] * U64(0x9E3779B97F4A7C15)) >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _pooled(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A soft maximum of each run of scores; runs start at ``at[:-1]``, and an empty run gets -inf."""
-    out = np.full(len(at) - 1, -np.inf)
-    full = np.flatnonzero(at[1:] > at[:-1])
-    if len(full):
-        first = at[:-1][full]
-        top = np.maximum.reduceat(scores, first)
-        sums = np.add.reduceat(np.exp(SHARPNESS * (scores - np.repeat(top, (at[1:] - at[:-1])[full]))), first)
-        out[full] = top + np.log(sums) / SHARPNESS
-    return out
+def _passages(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word behind the last, and text of each passage; ``at``: where each text's words begin.  Texts without words have none."""
+    n = np.diff(at)
+    count = np.where(n > 0, 1 + -(-np.maximum(n - PASSAGE, 0) // STEP), 0)
+    text = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    first = at[:-1][text] + STEP * nth
+    return first, np.minimum(first + PASSAGE, at[1:][text]), text
+
+
+def _pooled(scores: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of each text's passage scores, weighted by exp(SHARPNESS * score) (-inf for a text without passages), and the weights.
+
+    A mean, so that more passages of the same score don't lift it.
+    """
+    size = np.bincount(text, minlength=n)
+    full = np.flatnonzero(size)
+    out = np.full(n, -np.inf)
+    if not len(full):
+        return out, np.zeros(0)
+    first = (np.cumsum(size) - size)[full]
+    weight = np.exp(SHARPNESS * (scores - np.repeat(np.maximum.reduceat(scores, first), size[full])))
+    weight /= np.repeat(np.add.reduceat(weight, first), size[full])
+    out[full] = np.add.reduceat(weight * scores, first)
+    return out, weight
 
 
 @dataclass
@@ -72,65 +89,79 @@ class Model:
     bias: float
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        n = len(offsets) - 1
         starts, ends, rows = words(data, offsets, SIGNS)
-        at = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))))
         if not len(starts):
-            return np.full(len(offsets) - 1, -np.inf)
+            return np.full(n, -np.inf)
         low = LOWER[data]
         _, one, which = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
         marked, begin, owner = _marked(low, starts[one], ends[one])
-        total, count = np.zeros(len(marked), np.float32), np.zeros(len(marked), np.float32)
+        total, count = np.zeros(len(marked)), np.zeros(len(marked))
         for where, bucket in _grams(marked, owner):
             total[where] += self.weight[bucket]
             count[where] += 1
-        score = (np.add.reduceat(total, begin[:-1]) / np.add.reduceat(count, begin[:-1]))[which]
-        return _pooled(score, at) + self.bias
+        score = np.add.reduceat(total, begin[:-1]) / np.add.reduceat(count, begin[:-1])
+        first, last, text = _passages(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))))
+        run = np.concatenate(([0.0], np.cumsum(score[which])))
+        return _pooled((run[last] - run[first]) / (last - first), text, n)[0] + self.bias
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(data, offsets), -30, 30)))
 
 
-def fit(bags: pa.ListArray, toxic: np.ndarray, steps: int = 60, seed: int = 17, rate: float = 0.15, decay: float = 1e-5) -> Model:
-    """Train embeddings and softmax weights together on texts' distinct words (lists of binary) and their labels."""
-    sizes = np.diff(bags.offsets.to_numpy())
-    labels = toxic[sizes > 0].astype(float)
-    size = 1 << BUCKET_BITS
-    if not len(labels) or labels.min() == labels.max():
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60, seed: int = 17, rate: float = 0.6, decay: float = 1e-5) -> Model:
+    """Train embeddings and softmax weights together on texts and their labels."""
+    size, labels, n = 1 << BUCKET_BITS, toxic.astype(float), len(texts)
+    data, offsets = text_bytes(texts)
+    data = LOWER[data]
+    starts, ends, rows = words(data, offsets, SIGNS)
+    used_rows = np.bincount(rows, minlength=n) > 0
+    if not used_rows.any() or labels[used_rows].min() == labels[used_rows].max():
         return Model(np.zeros(size, np.float32), -30.0)
-    coded = bags.flatten().dictionary_encode()
-    member, at = coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
-    doc = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(at))
-    data, edges = text_bytes(coded.dictionary.cast(pa.large_binary()))
-    n_words = len(edges) - 1
-    marked, _, owner = _marked(data, edges[:-1], edges[1:])
+    code, row = np.empty(len(starts), np.uint64), 0
+    while row < n:  # hashing takes several times a piece's bytes
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        own = slice(*np.searchsorted(rows, [row, stop]))
+        code[own] = span_hashes(data[offsets[row] : offsets[stop]], starts[own] - offsets[row], ends[own] - offsets[row])
+        row = stop
+    _, one, member = np.unique(code, return_index=True, return_inverse=True)
+    member = member.astype(np.int32)
+    first, last, text = _passages(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))))
+    length, n_words = (last - first).astype(float), len(one)
+    marked, _, owner = _marked(data, starts[one], ends[one])
     pairs = [(owner[where].astype(np.int32), bucket.astype(np.int32)) for where, bucket in _grams(marked, owner)]
     word, bucket = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     order = np.argsort(word, kind="stable")
     word, bucket = word[order], bucket[order]
+    del pairs, order, marked, owner, code
     used, bucket = np.unique(bucket, return_inverse=True)
+    bucket = bucket.astype(np.int32)
     grams = np.bincount(word, minlength=n_words)
     start = np.concatenate(([0], np.cumsum(grams)))[:-1]
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, 2), np.float32)
     out[:, 1] = rng.normal(0, 0.3, DIMENSIONS)
-    bias, share = -4.0, np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    toxic_share = labels[used_rows].mean()
+    bias, share = -4.0, np.where(labels == 1, 0.5 / toxic_share, 0.5 / (1 - toxic_share)) * used_rows / used_rows.sum()
     moments = [np.zeros_like(embed), np.zeros_like(embed), np.zeros_like(out), np.zeros_like(out), 0.0, 0.0]
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
     bucket_start = np.concatenate(([0], np.cumsum(np.bincount(bucket))))[:-1]
     for step in range(1, steps + 1):
         average = np.add.reduceat(embed[bucket], start, axis=0) / grams[:, None]
         direction = out[:, 1] - out[:, 0]
-        score = average @ direction
-        pooled = _pooled(score[member].astype(float), at) + bias
-        chance = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
-        error = (chance - labels) * share / len(labels)
-        part = error[doc] * np.exp(SHARPNESS * (score[member] + bias - pooled[doc]))
-        by_word = np.bincount(member, weights=part, minlength=n_words).astype(np.float32)
+        run = np.concatenate(([0.0], np.cumsum((average @ direction)[member], dtype=float)))
+        score = (run[last] - run[first]) / length
+        pooled, weight = _pooled(score, text, n)
+        chance = 1 / (1 + np.exp(-np.clip(pooled + bias, -30, 30)))
+        error = (chance - labels) * share
+        part = error[text] * weight * (1 + SHARPNESS * (score - pooled[text])) / length
+        spread = np.bincount(first, weights=part, minlength=len(member) + 1) - np.bincount(last, weights=part, minlength=len(member) + 1)
+        by_word = np.bincount(member, weights=np.cumsum(spread)[:-1], minlength=n_words).astype(np.float32)
         g_direction = average.T @ by_word
         g_out = np.stack([-g_direction, g_direction], axis=1) + decay * out
-        spread = (by_word / grams)[word][by_bucket]
-        g_embed = np.add.reduceat(spread, bucket_start)[:, None] * direction[None, :] + decay * embed
+        by_gram = (by_word / grams).astype(np.float32)[word][by_bucket]
+        g_embed = np.add.reduceat(by_gram, bucket_start)[:, None] * direction[None, :] + decay * embed
         speed = rate * (1 - step / (steps + 1))
         for k, (value, grad) in enumerate(((embed, g_embed), (out, g_out))):
             m, v = moments[2 * k], moments[2 * k + 1]
@@ -146,16 +177,6 @@ def fit(bags: pa.ListArray, toxic: np.ndarray, steps: int = 60, seed: int = 17,
     return Model(weight, bias)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, data, offsets in slices(batches):
-        low = LOWER[data]
-        starts, ends, rows = words(low, offsets, SIGNS)
-        raw, found = low.tobytes(), [set() for _ in range(part.num_rows)]
-        for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist(), strict=True):
-            found[r].add(raw[s:e])
-        yield pa.RecordBatch.from_arrays([pa.array([sorted(x) for x in found], pa.list_(pa.binary())), part.column("toxic").cast(pa.int32())], names=["words", "toxic"])
-
-
 def in_held_out(doc_id) -> F.Column:
     """Rows that never serve for learning: crc32(doc_id as text) mod 3 is 1; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -165,33 +186,34 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, **
     """Fit on at most ``sample_each`` labelled rows of either label, those with the smallest hash of the id.
 
     Held-out rows are left out.  The sample's ids are chosen from ``labels`` alone, so ``docs`` is read once and
-    only the sample's distinct words reach the one task that fits; the driver gets the weights.  Rows with a null id or label are ignored; a doc_id that
+    only the sample's texts reach the one task that fits; the driver gets the weights.  Rows with a null id or label are ignored; a doc_id that
     repeats in ``labels`` takes its largest label.  Without both labels the model scores every text near 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~in_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample_each).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample_each))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * sample_each rows at most
-    bags = sample.select("text", "toxic").mapInArrow(_bags, "words array<binary>, toxic int").repartition(1).sortWithinPartitions("words", "toxic")
+    sample = sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).repartition(1).sortWithinPartitions("text", "toxic")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        whole = pa.Table.from_batches(held).combine_chunks()
-        model = fit(whole.column("words").chunk(0), whole.column("toxic").to_numpy(), **options)
+        whole = pa.Table.from_batches(held)
+        model = fit(whole.column("text").cast(pa.large_string()).combine_chunks(), whole.column("toxic").to_numpy(), **options)
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
 
-    row = bags.mapInArrow(learn, "weight binary, bias double").first()
+    row = sample.mapInArrow(learn, "weight binary, bias double").first()
     return Model(np.zeros(1 << BUCKET_BITS, np.float32), -30.0) if row is None else Model(np.frombuffer(row["weight"], np.float32), row["bias"])
 
 
 def score_toxicity(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """``docs`` with the model's score of each whole text (0 to 1) in ``column``; every row and column stays.
 
-    A text's words are scored as bags: the mean of a word's n-gram embeddings under the softmax; the text's logit is
-    a soft maximum over them, so that one toxic word counts alike in a short and in a very long text.  Null and
-    empty texts, and texts of signs only, score near 0.  A column that is already called ``column`` is replaced.
+    A bag is a passage of PASSAGE words: the mean of its words' embeddings, which are means of n-gram embeddings, goes into the softmax.
+    The text's logit is the passages' mean, in which those of high score weigh most, so that one toxic passage tells in a
+    short and in a very long text, and clean passages add nothing by their number.  Null and empty texts, and
+    texts of signs only, score near 0.  A column that is already called ``column`` is replaced.
     """
     docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # 1 MB, whatever the input
