@@ -13,6 +13,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 #: The base patterns.  Possessive quantifiers and \G only keep the search linear; the matches are those of the plain
 #: patterns email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+),
 #: card [0-9]([\x20-]?[0-9])+ and phone \+[0-9][\x20().0-9-]+[0-9].
@@ -37,6 +39,19 @@ _ROUNDS, _SMOOTH = 25, 0.5
 LABELERS = ("personal pattern", "secret pattern", "gazetteer", "context", "shape", "base match")
 
 
+#: Matches whose lengths are added up together, and code points of a cell, so that long texts with many matches take no quadratic time.
+RUN, CELL = 64, 4096
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of all elements before each one: of whole runs by one pass over the runs, and of the rest within a run."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(sizes, k * RUN + 1, F.lit(RUN)), F.lit(0), lambda t, x: t + x))
+    before = F.aggregate(runs, F.array(F.lit(0)), lambda t, x: F.concat(t, F.array(F.element_at(t, -1) + x)))
+    held = F.struct(before.alias("before"), sizes.alias("sizes"))
+    one = lambda h: F.transform(h["sizes"], lambda _, i: F.get(h["before"], (i / RUN).cast("int")) + F.aggregate(F.slice(h["sizes"], i - i % RUN + 1, i % RUN), F.lit(0), lambda t, x: t + x))
+    return F.get(F.transform(F.array(held), one), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, hint: str) -> Column:
     """Matches of ``pattern`` as structs s, e (code points), m (match), l (the text before it), r (after it).
 
@@ -44,18 +59,17 @@ def _spans(text: Column, pattern: str, hint: str) -> Column:
     lengths are the positions.
     """
     found = F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("after")))
     empty = F.array().cast("array<struct<s:int,e:int,m:string,l:string,r:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(24)).alias("l"), F.left(x["after"], F.lit(12)).alias("r"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(x: Column) -> Column:
+        pairs = F.transform(x["found"], lambda m, i: F.struct(m.alias("m"), F.get(x["gaps"], i).alias("g"), F.get(x["gaps"], i + 1).alias("after")))
+        at = _running(F.transform(pairs, lambda p: F.length(p["g"]) + F.length(p["m"])))
+        both = F.zip_with(pairs, at, lambda p, t: F.struct(p["m"].alias("m"), p["g"].alias("g"), p["after"].alias("after"), (t + F.length(p["g"])).alias("s")))
+        return F.transform(both, lambda p: F.struct(p["s"].alias("s"), (p["s"] + F.length(p["m"])).alias("e"), p["m"].alias("m"), F.right(p["g"], F.lit(24)).alias("l"), F.left(p["after"], F.lit(12)).alias("r")))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    # a one-element array binds the matches, so that they are made once
+    once = F.array(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")))
+    return F.when(text.rlike(hint), F.get(F.transform(once, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(empty)), F.lit(0))).otherwise(empty)
 
 
 def _digits(text: Column) -> Column:
@@ -82,8 +96,23 @@ def _valid(kind: str):
     return check
 
 
+def _cells(spans: Column, size: Column) -> Column:
+    """For each cell of CELL code points, how many of the (sorted) spans end before it."""
+    ends = F.transform(spans, lambda x: (x["e"] - 1))
+    return F.transform(F.sequence(F.lit(0), F.floor(size / CELL).cast("int")), lambda k: F.size(F.filter(ends, lambda e: e < k * CELL)))
+
+
 def _overlaps(base: list[str], x: Column) -> Column:
-    hits = [F.exists(F.col(c), lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])) for c in base]
+    """If a candidate touches a base span; only spans that lie in the candidate's cells are looked at."""
+
+    def hit(c: str) -> Column:
+        cells = F.col(f"{c}_cells")
+        first = F.get(cells, F.floor(x["s"] / CELL).cast("int"))
+        stop = F.coalesce(F.get(cells, F.floor(x["e"] / CELL).cast("int") + 1) + 1, F.size(F.col(c)))
+        near = F.slice(F.col(c), first + 1, F.greatest(stop - first, F.lit(0)))
+        return (F.size(F.col(c)) > 0) & F.exists(near, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+
+    hits = [hit(c) for c in base]
     return hits[0] | hits[1] | hits[2] | hits[3]
 
 
@@ -119,11 +148,11 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     base = [f"b_{k}" for k in KINDS]
-    rows = rows.select("doc_id", "text", *[F.filter(_spans(F.col("text"), p, HINTS[k]), _valid(k)).alias(f"b_{k}") for k, p in KINDS.items()])
+    slim = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    rows = rows.select("doc_id", "text", *[slim(F.filter(_spans(F.col("text"), p, HINTS[k]), _valid(k))).alias(f"b_{k}") for k, p in KINDS.items()])
     found = _spans(F.col("text"), CANDIDATE, rf"[0-9@]|(?:{SECRET_WORDS})\x20?[=:]")
-    rows = rows.withColumn("found", found)
-    marked = F.transform("found", lambda x: x.withField("base", _overlaps(base, x)))
-    return rows.select("doc_id", *base, F.transform(marked, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r"), x["base"].alias("base"))).alias("found")), base
+    rows = rows.withColumns({"found": found} | {f"{c}_cells": _cells(F.col(c), F.length("text")) for c in base})
+    return rows.select("doc_id", *base, F.transform("found", lambda x: x.withField("base", _overlaps(base, x))).alias("found")), base
 
 
 def _expectation_maximisation(counts: DataFrame) -> DataFrame:
@@ -147,7 +176,10 @@ def train(docs: DataFrame) -> dict[str, float]:
 
     Only counts by votes and feature values, a bounded number of combinations, are shuffled and reach the driver.
     """
-    rows, _ = _prepared(docs)
+    return _fitted(_prepared(docs)[0])
+
+
+def _fitted(rows: DataFrame) -> dict[str, float]:
     seen = rows.select(F.explode("found").alias("x"))
     seen = seen.select(F.array(*_votes(F.col("x"))).alias("v"), F.array(*_shape(F.col("x"))).alias("f"))
     counts = seen.groupBy("v", "f").agg(F.count("*").alias("n")).persist()
@@ -173,8 +205,10 @@ def find_personal_data(docs: DataFrame, model: dict[str, float] | None = None) -
     Null text counts as empty and has no spans; null and repeated doc_ids keep their rows; an empty table gives no
     rows; other columns are ignored.
     """
-    model = train(docs) if model is None else model
     rows, base = _prepared(docs)
+    if model is None:
+        rows = cut(rows)  # spans and candidates, no texts: the patterns run once over the corpus
+        model = _fitted(rows)
     weights = F.create_map(*[F.lit(v) for item in sorted(model.items()) for v in item])
     log_odds = lambda x: sum((F.coalesce(F.try_element_at(weights, F.concat(F.lit(f"{i}:"), f)), F.lit(0.0)) for i, f in enumerate(_shape(x))), F.lit(float(model["prior"])))
     # the closing sign of a sentence is no part of a span
