@@ -157,3 +157,32 @@ def test_rank_pillars(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 5.0), ("c", 2.0, 7.0)], "k string, x double, y double")
     got = {r["k"]: r["p"] for r in models.weighted_pillars(df, "k", {"p": {"x": 1.0, "y": 1.0}}, "rank").collect()}
     assert abs(got["a"] - 1 / 6) < 1e-9 and abs(got["b"] - (2 / 3 + 0.25) / 2) < 1e-9 and abs(got["c"] - (2 / 3 + 0.75) / 2) < 1e-9
+
+
+def test_export_keeps_metadata_and_types_block_stages(spark, tmp_path):
+    from vigia.plans import meta
+    from vigia.sources import tables
+
+    frame = meta.HealthFrame(spark.createDataFrame([(1, "São"), (2, None)], "a int, b string"), meta.Meta(system="SIM"))
+    meta.export(frame, f"file://{tmp_path}/t.json", "json")
+    again = meta.read_export(spark, f"file://{tmp_path}/t.json")
+    assert again.meta == frame.meta and again.df.count() == 2
+    (tmp_path / "l.csv").write_bytes("a;b\n1;São\n".encode("latin-1"))
+    got = meta.read_export(spark, f"file://{tmp_path}/l.csv", sep=";", encoding="ISO-8859-1")
+    assert got.df.first()["b"] == "São" and got.meta == meta.Meta()
+    with pytest.raises(ValueError, match="SIH-SP"):
+        meta.HealthFrame(frame.df, meta.Meta(type="SIH-SP")).step("derive", lambda d: d, meta.Stage.DERIVE)
+    normals = spark.createDataFrame([("s", "Março", 1, 2.0), ("s", "ano", None, 9.0), ("s", "12", 3, 1.0)], "codigo string, mes string, decada int, valor double")
+    assert sorted(r["mes"] for r in tables.numbered_months(normals).collect()) == [3, 12]
+
+
+def test_parallel_ranks(spark):
+    from vigia.functions.stats import with_rank
+
+    rng = np.random.default_rng(4)
+    values = [None if x > 2.2 else round(float(x), 2) for x in rng.normal(size=3000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = {r["i"]: r["r"] for r in with_rank(df, "x", "r", cells=16).collect()}
+    known = sorted(v for v in values if v is not None)
+    for i, v in enumerate(values):
+        assert got[i] == (None if v is None else np.searchsorted(known, v, "left") + (np.searchsorted(known, v, "right") - np.searchsorted(known, v, "left") + 1) / 2)

@@ -342,6 +342,25 @@ def indicator_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(indicators.compute_indicators(df, intervals=False).select("s_suppkey", *indicators.CATALOGUE))
 
 
+@register("indicator_pyramid", """WITH c AS (SELECT CAST(o_custkey % 90 // 10 * 10 AS VARCHAR) || '-' || CAST(o_custkey % 90 // 10 * 10 + 9 AS VARCHAR) AS age_group, CASE o_orderkey % 4 WHEN 1 THEN 'male' WHEN 2 THEN 'female' END AS sex, count(*) AS n FROM orders GROUP BY ALL)
+SELECT age_group, sex, n, round(100.0 * n / sum(n) OVER (PARTITION BY sex), 1) AS pct, CASE WHEN sex = 'male' THEN -n ELSE n END AS n_signed, CAST(regexp_extract(age_group, '^[0-9]+') AS INTEGER) AS position FROM c WHERE sex IS NOT NULL""")
+def indicator_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = (F.floor(F.col("o_custkey") % 90 / 10) * 10).cast("int")
+    df = table(spark, sf_dir, "orders").select(F.concat_ws("-", low.cast("string"), (low + 9).cast("string")).alias("g"), (F.col("o_orderkey") % 4).cast("string").alias("s"))
+    return indicators.pyramid(df, "g", "s")
+
+
+@register("heat_calendar", f"{_WAVES} SELECT flags.station, year(flags.date) AS year, month(flags.date) AS month, count(*) FILTER (WHERE any_method) AS n_days, round(avg(CASE WHEN any_method THEN tmax END), 6) AS mean_value, count(*) AS n_seen FROM flags JOIN days ON days.station = flags.station AND days.date = flags.date GROUP BY ALL")
+def heat_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(indicators.event_calendar(_waves(spark, sf_dir), "any_method", "station", "tmax"))
+
+
+@register("gap_calendar", "SELECT user_id % 10 AS station, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n_values, count(*) FILTER (WHERE event_id % 7 = 0) AS n_imputed, round(avg(CASE WHEN event_id % 7 = 0 THEN value END), 6) AS mean_imputed, round(avg(CASE WHEN event_id % 7 > 0 THEN value END), 6) AS mean_observed FROM events GROUP BY ALL")
+def gap_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("station"), "ts", F.col("value").alias("v"), (F.col("event_id") % 7 == 0).alias("is_imputed_v"))
+    return _rounded(indicators.gap_calendar(df, "station", "ts", "v"))
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 

@@ -98,3 +98,27 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     """Lorenz curve's Gini index of a non-negative value, from ranks."""
     ranked = with_rank(df.where(F.col(value).isNotNull()).select(value), value, "i").groupBy(value, "i").agg(F.count("*").alias("m"))
     return ranked.agg((2 * F.sum(F.col("i") * F.col("m") * F.col(value)) / (F.sum("m") * F.sum(F.col("m") * F.col(value))) - (F.sum("m") + 1) / F.sum("m")).alias("gini"))
+
+
+#: Answers that mean a sex.
+MALE, FEMALE = ("Male", "Masculino", "M", "1", "male", "masculino"), ("Female", "Feminino", "Femenino", "F", "2", "female", "feminino")
+
+
+def pyramid(df: DataFrame, age_group: str, sex: str) -> DataFrame:
+    """Rows of an age-sex pyramid: count, percentage of the sex, and the signed count (men to the left), by the group's first number."""
+    side = F.when(F.col(sex).isin(*MALE), "male").when(F.col(sex).isin(*FEMALE), "female")
+    counts = df.where(F.col(age_group).isNotNull()).groupBy(F.col(age_group).alias("age_group"), side.alias("sex")).agg(F.count("*").alias("n")).where("sex is not null")
+    total = F.sum("n").over(Window.partitionBy("sex"))  # a row a group and sex
+    return counts.select("age_group", "sex", "n", F.round(100 * F.col("n") / total, 1).alias("pct"), F.when(F.col("sex") == "male", -F.col("n")).otherwise(F.col("n")).alias("n_signed"), F.regexp_extract("age_group", "^([0-9]+)", 1).try_cast("int").alias("position"))
+
+
+def event_calendar(flags: DataFrame, method: str, station: str, value: str) -> DataFrame:
+    """Days with the flag, and the mean of ``value`` on them, per station, year and month: what a heat or cold wave calendar shows."""
+    hit = F.coalesce(F.col(method), F.lit(False))
+    return flags.groupBy(station, F.year("date").alias("year"), F.month("date").alias("month")).agg(F.count_if(hit).alias("n_days"), F.avg(F.when(hit, F.col(value))).alias("mean_value"), F.count("*").alias("n_seen"))
+
+
+def gap_calendar(filled: DataFrame, station: str, timestamp: str, value: str) -> DataFrame:
+    """Values, and how many of them were imputed, per station and month: what a gap filling figure shows."""
+    flag = F.col(f"is_imputed_{value}")
+    return filled.groupBy(station, F.trunc(timestamp, "month").alias("month")).agg(F.count(value).alias("n_values"), F.count_if(flag).alias("n_imputed"), F.avg(F.when(flag, F.col(value))).alias("mean_imputed"), F.avg(F.when(~flag, F.col(value))).alias("mean_observed"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from enum import IntEnum
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 SYSTEMS = ("SIM", "SIH", "SIA", "SINAN", "CNES", "SINASC")
@@ -28,6 +29,10 @@ class Stage(IntEnum):
     CLIMATE = 9
 
 
+#: Types of records that a stage can't take.
+UNSUPPORTED = {Stage.DERIVE: ("SIH-SP", "SIH-RJ", "SIH-ER", "CNES", "CNES-LT", "CNES-ST", "CNES-DC", "CNES-EQ", "CNES-SR", "CNES-HB", "CNES-PF", "CNES-EP", "CNES-RC", "CNES-IN", "CNES-EE", "CNES-EF", "CNES-GM")}
+
+
 @dataclass(frozen=True)
 class Meta:
     system: str | None = None
@@ -59,7 +64,9 @@ class HealthFrame:
     meta: Meta = Meta()
 
     def step(self, name: str, make: Callable[[DataFrame], DataFrame], stage: Stage | None = None, **changes) -> HealthFrame:
-        """Apply a step; a stage never goes back."""
+        """Apply a step; a stage never goes back, and some types of records have no columns for some stages."""
+        if stage is not None and self.meta.type in UNSUPPORTED.get(stage, ()):
+            raise ValueError(f"{name}: records of type {self.meta.type} don't have stage {stage.name}")
         if stage is not None and stage < self.meta.stage:
             raise ValueError(f"{name} belongs to stage {stage.name}, but the table is at {self.meta.stage.name}")
         return HealthFrame(make(self.df), replace(self.meta, stage=self.meta.stage if stage is None else stage, history=(*self.meta.history, name), **changes))
@@ -85,3 +92,24 @@ def read(spark, path: str) -> HealthFrame:
     df = spark.read.parquet(path)
     tags = [f.metadata[_KEY] for f in df.schema.fields if _KEY in (f.metadata or {})]
     return HealthFrame(df, Meta.from_json(tags[0]) if tags else Meta())
+
+
+def export(frame: HealthFrame, path: str, kind: str, mode: str = "errorifexists") -> None:
+    """Write as csv, json or orc at ``path``, with the metadata as one JSON line at ``path``_meta."""
+    from ..sources.tables import write_records
+
+    write_records(frame.df, path, kind, mode)
+    spark = frame.df.sparkSession
+    spark.createDataFrame([(frame.meta.to_json(),)], "value string").coalesce(1).write.mode(mode).text(f"{path}_meta")
+
+
+def read_export(spark, path: str, **options) -> HealthFrame:
+    """What ``export`` wrote; a table without metadata gets empty ones."""
+    from ..sources.tables import read_records
+
+    df = read_records(spark, path, **options)
+    try:
+        text = spark.read.text(f"{path}_meta").first()
+    except AnalysisException:  # no such path
+        text = None
+    return HealthFrame(df, Meta.from_json(text[0]) if text else Meta())
