@@ -110,7 +110,10 @@ def exact_groups(docs: DataFrame, history_below: int | None = None, shard_keys:
     history, new = sums(rows.where(old)), sums(rows.where(~old))
     groups = history.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_lookup, "digest binary, winner bigint, n bigint")
     groups = groups.select("digest", F.nullif("winner", F.lit(_NONE)).alias("winner"), "n")
-    out = rows.join(groups, "digest", "left")
+    groups = cut(groups)
+    # texts with over a thousandth of all rows, fewer than a thousand, meet their rows where these lie
+    hot = F.broadcast(groups.where(F.col("n") > span[2] / 1000))
+    out = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(groups, "digest", "left"))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("winner"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
