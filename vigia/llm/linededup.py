@@ -23,7 +23,8 @@ def repeated_positions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Lines to remove: ``doc_id, row, cut`` with the sorted line numbers (from 0) of each text that has any.
 
     A window is ``window`` consecutive lines, equal after each run of white space became one space and the ends
-    were trimmed.  Of equal windows the first by (doc_id, row, line) stays; all lines of the others go.  A
+    were trimmed.  Of equal windows the first by (doc_id, row, line) stays; all lines of the others go, also those that a later
+    one shares with the first where they overlap: of four equal lines only the first is left.  A
     document with fewer lines has no window.  Only the first occurrence of each repeated window
     is joined back, so the shuffled rows are window digests and positions, never text.
     """
@@ -36,6 +37,16 @@ def repeated_positions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return covered.select("doc_id", "row", F.array_sort(F.array_distinct(spread)).alias("cut"))
 
 
+def _free(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, longer where a column has them."""
+    out = []
+    for name in wanted:
+        while name in taken or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated line windows cut out of ``text``; adds ``n_lines`` and ``n_removed``.
 
@@ -45,16 +56,19 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     as one document and lose the same lines.  A null doc_id sorts first.  An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("__row", F.xxhash64("text"))
+    row, key, at, gone = _free(docs.columns, "row", "key", "at", "gone")
+    keyed = docs.withColumn(row, F.xxhash64("text"))
     found = repeated_positions(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), window)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__found_row"), F.col("cut").alias("__cut"))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__row"] == found["__found_row"]), "left")
+    found = found.select(F.col("doc_id").alias(key), F.col("row").alias(at), F.col("cut").alias(gone))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found[key]) & (keyed[row] == found[at]), "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__cut", i)), "\n")
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(left)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    # a one-element array binds the lines, so that the text is split once
+    left = F.array_join(F.get(F.transform(F.array(lines), lambda x: F.transform(kept, lambda i: F.get(x, i))), F.lit(0)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    removed = F.coalesce(F.size("__cut"), F.lit(0)).cast("bigint")
-    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("__cut").isNull(), 0).otherwise(removed).cast("bigint"), "text": text})
+    removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint")
+    out = joined.withColumns({"n_lines": n_lines, "n_removed": removed, "text": text})
     return out.select(*docs.columns, "n_lines", "n_removed")
 
 
