@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import slices
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Tokens of a window, and of the earlier turns that a window repeats.
 BUDGET, HISTORY = 1024, 256
@@ -73,11 +75,22 @@ def _tokens(path: str):
 _WINDOWS = "conv_id bigint, window bigint, first_turn bigint, repeated bigint, kept_system boolean, n_tokens bigint, text string, loss array<struct<start:bigint,end:bigint>>"
 
 
-def _format(path: str, budget: int, history: int):
-    """Sorted turns in, windows out.  Only the current window's and the repeatable turns are held."""
+def _counted(path: str):
+    """Adds the tokens of each rendered turn, where the rows lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _tokens(path)
+        for part, _, _ in slices(batches):
+            tokens = [len(count.encode_ordinary(render(role or "", text or "")[0])) for role, text in zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.int64())], names=[*part.schema.names, "tokens"])
+
+    return run
+
+
+def _format(budget: int, history: int):
+    """Sorted turns in, windows out.  Only the current window's and the repeatable turns are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         conv, system, window, new, past, seen = None, None, 0, [], [], 0
 
@@ -110,15 +123,14 @@ def _format(path: str, budget: int, history: int):
 
         schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("first_turn", pa.int64()), ("repeated", pa.int64()), ("kept_system", pa.bool_()), ("n_tokens", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
         began = False
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]
-            for cid, role, text in zip(*columns, strict=True):
+        for part, _, _ in slices(batches):
+            for cid, role, text, tokens in zip(*(part.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens")), strict=True):
                 if not began or cid != conv:
                     if new:
                         emit()
                     conv, system, window, new, past, seen, began = cid, None, 0, [], [], 0, True
                 role, text = role or "", text or ""
-                turn = (seen, role, text, len(count.encode_ordinary(render(role, text)[0])))
+                turn = (seen, role, text, tokens)
                 base = system[3] if system and window else 0
                 carried = sum(t[3] for t in past) if window else 0
                 if new and base + carried + sum(t[3] for t in new) + turn[3] > budget:
@@ -152,7 +164,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for w in batch.to_pylist():
+        for w in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
             if not began or w["conv_id"] != conv:
                 if began:
                     out.append((conv, n_turns, turns.hexdigest(), n_loss, loss.hexdigest(), n_chars, n_windows))
@@ -184,12 +196,13 @@ def format_conversations(turns: DataFrame, path: str = VOCABULARY, budget: int =
     budget makes a window of its own, and a history that would not fit beside its first turn is shortened.  A later window begins with the conversation's system turn, if its first turn is one, and repeats the last turns
     that fit ``history`` tokens; neither is under the loss mask again, so each assistant text is masked in once.
     ``loss`` holds code point spans of escaped assistant texts.  Null text and role are empty; a null turn comes first; rows of a null conv_id
-    form one conversation; an empty table gives no rows; other columns are ignored.  Turns are streamed in sorted order: a
-    conversation of any length takes the memory of one window.
+    form one conversation; an empty table gives no rows; other columns are ignored.  Tokens are counted where the rows lie; then each conversation's turns are streamed
+    in order through one task, as each window depends on the one before: a conversation of any length takes the memory of one window.
     """
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(_counted(path), "conv_id bigint, turn bigint, role string, text string, tokens bigint")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format(path, budget, history), _WINDOWS)
+    return rows.mapInArrow(_format(budget, history), _WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
