@@ -38,6 +38,41 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def plain_toxicity(model, text):
+    """The score by loops: n-grams of each word, passages of words, weighted mean."""
+    from vigia.llm.kernels import BYTE_CODE
+
+    def bucket(gram):
+        code = 0
+        for k, byte in enumerate(gram):
+            code = int(BYTE_CODE[byte]) if k == 0 else (code * 0xC2B2AE3D27D4EB4F + int(BYTE_CODE[byte])) % (1 << 64)
+        return (code * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.BUCKET_BITS)
+
+    found = re.findall(rb"(?:[0-9a-z]|[\x80-\xff])+", (text or "").encode().lower())
+    scores = []
+    for w in found:
+        marked = b"<" + w + b">"
+        grams = [marked[i : i + n] for n in toxicity.LENGTHS for i in range(len(marked) - n + 1)]
+        scores.append(np.mean([float(model.weight[bucket(g)]) for g in grams]))
+    if not scores:
+        return 0.0
+    bags = np.array([np.mean(scores[i : i + toxicity.PASSAGE]) for i in range(0, max(1, len(scores) - toxicity.PASSAGE + 1), toxicity.STEP)])
+    weight = np.exp(toxicity.SHARPNESS * bags)
+    return 1 / (1 + np.exp(-(float((weight * bags).sum() / weight.sum()) + model.bias)))
+
+
+def test_toxicity_against_loops_and_lengths():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(0, 2, 1 << toxicity.BUCKET_BITS).astype(np.float32), -1.0)
+    texts = ["", "one", "One TWO, three", "a b c d e", "é ñ ß words " * 7, "word " * 10_000, "?! .", "mixed 12 words and signs; more of them here"]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    got = model.scores(np.concatenate(data), offsets)
+    assert np.allclose(got, [plain_toxicity(model, t) for t in texts], atol=1e-6)
+    same = model.scores(np.frombuffer(b"word " * 10_004, np.uint8), np.array([0, 20, 5 * 10_004]))
+    assert abs(same[0] - same[1]) < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
     for labels in ([], [(1, 1)], [(None, 1), (2, None)]):
@@ -99,6 +134,37 @@ def test_personal_data_adds_secrets_and_leaves_plain_numbers(spark, sf_dir):
 ODD = ["", " ", "a  b", " lead", "▁x a▁", "trail  ", "中文字𝔘 日本", "tab\tx\n\r\ny", "   x   y", "ééé" * 40, "a" * 500, "ﬁ ½ \x00", "the quick brown fox"]
 
 
+def test_personal_data_in_a_long_text_of_many_spans(spark):
+    part = "host 10.0.0.1 user a@b.org id 4111 1111 1111 1111 "
+    docs = spark.createDataFrame([(1, part * 3000)], "doc_id bigint, text string")
+    row = pii.find_personal_data(docs, {"prior": -9.0}).first()
+    assert (row["n_ip"], row["n_email"], row["n_phone"]) == (3000, 3000, 0)
+    want = ",".join(sorted(base_spans(part * 3000), key=lambda s: (list(PLAIN).index(s.split(":")[0]), int(s.split(":")[1]))))
+    assert row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and row["spans"] == want
+
+
+def test_expectation_maximisation_against_loops(spark):
+    rng = random.Random(2)
+    votes = [(tuple(rng.choice((-1, 0, 1)) for _ in pii.LABELERS), rng.randrange(1, 50)) for _ in range(40)]
+    votes = list(dict(votes).items())
+    n, k = len(pii.LABELERS), 3
+    pi, p1, p0 = 0.5, [[0.1, 0.4, 0.5] for _ in range(n)], [[0.5, 0.4, 0.1] for _ in range(n)]
+
+    def posterior(v):
+        odds = np.log(pi / (1 - pi)) + sum(np.log(p1[j][x + 1] / p0[j][x + 1]) for j, x in enumerate(v))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(pii._ROUNDS):
+        q = [posterior(v) for v, _ in votes]
+        yes, no = [c * x for (_, c), x in zip(votes, q, strict=True)], [c * (1 - x) for (_, c), x in zip(votes, q, strict=True)]
+        pi = min(0.99, max(0.01, sum(yes) / sum(c for _, c in votes)))
+        share = lambda w: [[(pii._SMOOTH + sum(x for (v, _), x in zip(votes, w, strict=True) if v[j] == c - 1)) / (k * pii._SMOOTH + sum(w)) for c in range(k)] for j in range(n)]  # noqa: B023,E731
+        p1, p0 = share(yes), share(no)
+    counts = spark.createDataFrame([(list(v), c) for v, c in votes], "v array<int>, n bigint")
+    got = {tuple(r["v"]): r["q"] for r in pii._expectation_maximisation(counts).collect()}
+    assert all(abs(got[v] - posterior(v)) < 1e-6 for v, _ in votes)
+
+
 def test_pieces_without_dropout_are_the_models(spark):
     import sentencepiece
 
@@ -290,6 +356,47 @@ def test_decontamination_finds_planted_items(spark, sf_dir):
     assert decontaminate.contamination(docs, spark.createDataFrame([(1, None), (2, ""), (None, "x")], "item_id bigint, text string")).count() == 0
 
 
+def test_decontamination_depends_on_no_other_item(spark, sf_dir):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    matches = lambda: {(r[0], r[1], *(round(x, 9) for x in r[2:])) for r in decontaminate.contamination(docs, bench).collect()}
+    want = matches()
+    assert want
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "INDEX_WORDS", 300)
+        patch.setattr(decontaminate, "PASS_WORDS", 700)
+        assert matches() == want
+        assert len(list(decontaminate._passes(bench))) > 1
+    # a scattered item is no more found because a long item is in the benchmark too
+    rng = random.Random(8)
+    words = lambda n: [f"t{rng.randrange(10**9)}" for _ in range(n)]
+    item, filler = words(30), words(2000)
+    for k, w in enumerate(item):
+        filler[k * 60] = w
+    few = [(1, " ".join(item)), (2, " ".join(words(30)))]
+    text = spark.createDataFrame([(7, " ".join(filler)), (8, " ".join(words(50) + item + words(50)))], "doc_id bigint, text string")
+    for more in ([], [(3, " ".join(words(1500)))]):
+        found = decontaminate.contamination(text, spark.createDataFrame(few + more, "item_id bigint, text string")).collect()
+        assert [(r["doc_id"], r["item_id"]) for r in found] == [(8, 1)]
+    with pytest.raises(ValueError, match="threshold"):
+        decontaminate.search(decontaminate.build_index([(1, "a b", "c")]), *[np.frombuffer(b"a b c", np.uint8), np.array([0, 5])], threshold=0.2)
+
+
+def test_question_and_answer_overlaps():
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"t{rng.randrange(10**9)}" for _ in range(n))
+    q, a = words(20), words(10)
+    index = decontaminate.build_index([(1, q, a), (2, words(20), words(10))])
+    half = lambda s, n: " ".join(s.split()[:n])
+    grams = lambda s: [tuple(s.split()[i : i + 3]) for i in range(len(s.split()) - 2)]
+    for text in (f"{words(9)} {q} {a}", f"{q} {half(a, 7)} {words(5)}", f"{half(q, 15)} {words(4)} {a}", q, f"{half(q, 13)} {a}", f"{q} {half(a, 5)}"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = decontaminate.search(index, data, np.array([0, len(data)]))
+        here = set(grams(text))
+        share = [sum(g in here for g in grams(s)) / len(grams(s)) for s in (q, a)]
+        passes = share[0] >= decontaminate.QUESTION_OVERLAP and share[1] >= decontaminate.ANSWER_OVERLAP
+        assert bool(got) == passes and (not got or np.allclose(got[0][3:], share))
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("", ""), ("<p>", ""), ("just text", "just text"),
     ("<html><body><nav>m</nav><article><h1>T &amp; t</h1><p>One\n two<p>Three<br>four</article><footer>f</footer></body></html>", "T & t\nOne two\nThree\nfour"),
