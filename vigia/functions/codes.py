@@ -190,3 +190,22 @@ def catalogue(language_labels: dict[str, str] | None = None) -> list[tuple[str,
 def groups_of(code: str) -> list[str]:
     """Disease groups that hold a diagnosis code."""
     return [g for g, c in DISEASE_GROUPS.items() if any(code.upper().startswith(x.replace(".", "")) or code.upper().startswith(x) for x in expand(c))]
+
+
+#: Parts of census variables' names that tell their subject; the first subject with a part in the name counts.
+SUBJECTS = {
+    "demographics": ["idade", "age", "edad", "sexo", "sex", "raca", "race", "cor", "color", "nascimento", "birth", "nacimiento", "parentesco", "kinship"],
+    "education": ["escola", "educ", "alfabetiz", "literacy", "instrucao", "instruction", "instruccion", "curso", "course", "serie", "grade", "grado"],
+    "income": ["renda", "income", "ingreso", "salario", "wage", "beneficio", "benefit", "aposentadoria", "pension"],
+    "housing": ["domicilio", "household", "vivienda", "agua", "water", "esgoto", "sewer", "alcantarillado", "energia", "energy", "lixo", "garbage", "basura", "banheiro", "bathroom"],
+    "health": ["saude", "health", "salud", "deficiencia", "disability", "discapacidad", "enxergar", "see", "ver", "ouvir", "hear", "oir", "caminhar", "walk", "caminar", "morte", "death", "muerte", "filho", "child", "hijo"],
+    "migration": ["migracao", "migration", "migracion", "nasceu", "born", "nacio", "residencia", "residence", "moradia", "dwelling", "fixou", "settled"],
+    "geography": ["municipio", "municipality", "uf", "state", "estado", "regiao", "region", "area"],
+    "work": ["trabalho", "work", "trabajo", "ocupacao", "occupation", "ocupacion", "emprego", "employment", "empleo", "profissao", "profession", "profesion"],
+}
+
+
+def subject(name: Column) -> Column:
+    """Subject of a census variable by its name; other, if none fits."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(low.rlike("|".join(parts)), s) for s, parts in SUBJECTS.items()], F.lit("other"))

@@ -342,6 +342,15 @@ def indicator_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(indicators.compute_indicators(df, intervals=False).select("s_suppkey", *indicators.CATALOGUE))
 
 
+_NAMES = ["V01_Idade", "renda_mensal", "household_water", "anos_escola", "ocupacao", "municipio", "V9", "nasceu_aqui", "saude_geral"]
+
+
+@register("census_subjects", f"SELECT p_partkey, name, CASE {' '.join(f"WHEN regexp_matches(lower(name), '{'|'.join(parts)}') THEN '{s}'" for s, parts in codes.SUBJECTS.items())} ELSE 'other' END AS subject FROM (SELECT p_partkey, [{', '.join(repr(n) for n in _NAMES)}][CAST(p_partkey % {len(_NAMES)} AS INTEGER) + 1] AS name FROM part)")
+def census_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int") + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("subject", codes.subject(F.col("name")))
+
+
 @register("indicator_pyramid", """WITH c AS (SELECT CAST(o_custkey % 90 // 10 * 10 AS VARCHAR) || '-' || CAST(o_custkey % 90 // 10 * 10 + 9 AS VARCHAR) AS age_group, CASE o_orderkey % 4 WHEN 1 THEN 'male' WHEN 2 THEN 'female' END AS sex, count(*) AS n FROM orders GROUP BY ALL)
 SELECT age_group, sex, n, round(100.0 * n / sum(n) OVER (PARTITION BY sex), 1) AS pct, CASE WHEN sex = 'male' THEN -n ELSE n END AS n_signed, CAST(regexp_extract(age_group, '^[0-9]+') AS INTEGER) AS position FROM c WHERE sex IS NOT NULL""")
 def indicator_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
