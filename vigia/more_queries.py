@@ -264,7 +264,7 @@ def grid_daily_reanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins and matches ----------------------------------------------------------------------------
 
 
-@register("join_level", "SELECT c_custkey, 'area ' || (c_nationkey % 4) AS area FROM customer WHERE c_nationkey % 3 = 0")
+@register("join_level", "SELECT c_custkey, area FROM customer JOIN (SELECT n_nationkey, 'area ' || (n_nationkey % 4) AS area, CASE n_nationkey % 3 WHEN 0 THEN 'semiarid' END AS level FROM nation) ON n_nationkey = c_nationkey AND level = 'semiarid'")
 def join_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = lambda c: F.concat((F.col(c) + 300000).cast("string"), F.lit("7"))
     health = table(spark, sf_dir, "customer").select("c_custkey", code("c_nationkey").alias("muni"))
