@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_personal_data, op5_pieces, op6_warc, op7_chat, op8_decontamination, op9_near_dedup, op10_html_text)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op2_exact_dedup": exactdedup.SQL, "op6_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op2_exact_dedup": exactdedup.SQL, "op6_warc": warc.SQL, "op9_near_dedup": minhash.SQL}
