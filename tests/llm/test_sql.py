@@ -14,7 +14,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     df, want = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)

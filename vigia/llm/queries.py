@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, and their SQL where SQL can say the same."""
+"""The thirteen operators as registered queries over whole tables, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exactdedup, htmltext, linededup, minhash, pieces, pii, toxicity, warc
+from . import chat, collocations, decontaminate, exactdedup, htmltext, linededup, minhash, pieces, pii, quality, repair, toxicity, warc
 from .storage import new_folder
 
 
@@ -67,8 +67,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.apply_rules(docs, quality.train(docs, _table(spark, sf_dir, "labels")), "q")
+    return judged.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept", "q.score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_personal_data, op5_pieces, op6_warc, op7_chat, op8_decontamination, op9_near_dedup, op10_html_text)
+    f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_personal_data, op5_pieces, op6_warc, op7_chat, op8_decontamination, op9_near_dedup, op10_html_text, op11_quality_rules, op12_collocations, op13_conversation_repair)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op2_exact_dedup": exactdedup.SQL, "op6_warc": warc.SQL, "op9_near_dedup": minhash.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op2_exact_dedup": exactdedup.SQL, "op6_warc": warc.SQL, "op9_near_dedup": minhash.SQL, "op12_collocations": collocations.SQL, "op13_conversation_repair": repair.SQL}
