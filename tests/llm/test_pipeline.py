@@ -43,8 +43,9 @@ def test_toxic_documents_go(stages, spark, sf_dir):
     # clean documents stay; of toxic ones all that were learnt from go, and at larger scales those that were held out too
     assert wrong(rows, 0) <= 0.03
     assert sum((d in left) == bool(y) for d, y in rows) <= (0.1 if len(rows) < 300 else 0.03) * len(rows)
-    if len(rows) >= 10_000:
-        assert wrong(unseen, 1) <= 0.03
+    # held-out toxic rows that stay: the fewer labels there are to learn from, the more
+    bound = next(b for n, b in ((300, 0.6), (1000, 0.35), (10_000, 0.1), (10**12, 0.03)) if len(rows) < n)
+    assert wrong(unseen, 1) <= bound
     model = toxicity.train(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = {r["doc_id"]: r["s"] for r in toxicity.score_toxicity(before, model, "s").collect()}
     assert left == {d for d, s in scores.items() if s < toxicity.THRESHOLD}
@@ -73,12 +74,16 @@ def test_odd_documents_through_all_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
     odd = [(10**6, None), (10**6 + 1, ""), (None, "a null id with some text of its own"), (10**6 + 2, "twice the same row here"), (10**6 + 2, "twice the same row here"), (10**6 + 3, "one id two texts first"), (10**6 + 3, "one id and another text second")]
     docs = docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string")).withColumns({"row": F.lit(1), "component": F.lit("x"), "cut": F.lit(2)})
+    clash = {"toxicity_score": 42.0, "N_Lines": "three", "n_removed": 7, "kept": "no", "score": 5, "item_id": "i", "hash": 1, "n_shingles": 2}
+    docs = docs.withColumns({c: F.lit(v) for c, v in clash.items()})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         got = {(r["doc_id"], r["text"]) for r in out.collect()}
         assert {(10**6 + 1, ""), (None, "a null id with some text of its own"), (10**6 + 2, "twice the same row here")} <= got, name
         assert (10**6, None) in got or (name == "pieces" and (10**6, "") in got), name
         assert {t for d, t in got if d == 10**6 + 3} == {"one id two texts first", "one id and another text second"}, name
+        if name != "pieces":
+            assert out.schema == docs.schema and {tuple(r[c] for c in clash) for r in out.collect()} == {tuple(clash.values())}, name
         docs = out
 
 
@@ -92,5 +97,5 @@ def test_empty_documents_pass(spark, sf_dir):
 def test_registered():
     import __spark_entry__
 
-    assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 10
+    assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 13
     assert "corpus_pipeline" in sys.modules

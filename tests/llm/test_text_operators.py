@@ -356,6 +356,16 @@ def test_decontamination_finds_planted_items(spark, sf_dir):
     assert decontaminate.contamination(docs, spark.createDataFrame([(1, None), (2, ""), (None, "x")], "item_id bigint, text string")).count() == 0
 
 
+def test_decontamination_finds_items_without_id(spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(5)
+    text = bench.first()["text"]
+    docs = spark.createDataFrame([(1, "before it " + text), (2, "nothing of it")], "doc_id bigint, text string")
+    for item in (None, 7):
+        own = spark.createDataFrame([(item, text)], "item_id bigint, text string")
+        assert [tuple(r)[:2] for r in decontaminate.contamination(docs, own).collect()] == [(1, item)]
+        assert [r["doc_id"] for r in decontaminate.remove_contaminated(docs, own).collect()] == [2]
+
+
 def test_decontamination_depends_on_no_other_item(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     matches = lambda: {(r[0], r[1], *(round(x, 9) for x in r[2:])) for r in decontaminate.contamination(docs, bench).collect()}
@@ -468,3 +478,38 @@ def test_html_table(spark):
 
 def test_smoothing_keeps_a_constant():
     assert np.allclose(htmltext.smooth(np.full(9, 3.0)), 3.0)
+
+
+SENTENCES = ("long paragraph words here " * 8 + "end.").strip()
+BODY, READERS = f"<p>{SENTENCES}</p>", "<p>I disagree strongly with this long text, dear author.</p>"
+
+
+@pytest.mark.parametrize("page,lines", [
+    (f"<div class='lead'><p>Short lead words.</p></div><div class='body'>{BODY * 10}</div><div class='tail'><p>Closing remark here.</p></div>", ["Short lead words.", *[SENTENCES] * 10, "Closing remark here."]),
+    (f"<main><p>Intro line.</p><article>{BODY * 3}</article><p>After line.</p><ul>{LINKS}</ul></main>", ["Intro line.", *[SENTENCES] * 3, "After line."]),
+    (f"<article>{BODY * 3}<div class='comment-thread'>{READERS}</div></article>", [SENTENCES] * 3),
+    (f"<article>{BODY * 3}</article><section class='reader-comments'>{READERS * 20}</section>", [SENTENCES] * 3),
+    (f"<div class='story'>{BODY * 3}</div><section class='reader-comments'>{READERS * 20}</section>", [SENTENCES] * 3),
+    (f"<div class='story'>{BODY * 3}</div><div class='ad-slot'>Buy now</div><div class='advert-box'>Buy now</div>", [SENTENCES] * 3),
+    (f"<article>{BODY}<p class='share'>Share prices fell on Monday.</p><div class='search'><p>Search engines changed that.</p></div>{BODY}</article>", [SENTENCES, "Share prices fell on Monday.", "Search engines changed that.", SENTENCES]),
+    (f"<div class='story'>{BODY}</div><div class='share'><a href='/f'>Face</a> <a href='/t'>Bird</a></div>", [SENTENCES]),
+    (f"<form id='page'><div class='menu-page'>{BODY * 3}</div><div class='side'><ul>{LINKS}</ul></div></form>", [SENTENCES] * 3),
+    (f"<article class='teaser'><p>Small teaser.</p></article><div class='story'>{BODY * 9}</div>", [SENTENCES] * 9),
+])
+def test_html_beside_the_core(page, lines):
+    got = htmltext.extract(page).split("\n")
+    assert got == lines or (lines == [SENTENCES] * 9 and got == ["Small teaser.", *lines])
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for tag in ("div", "span", "section class=comment", "article", "li"):
+            htmltext.extract(f"<{tag}>x " * n)
+        htmltext.extract("<p><article>" + "<span>" * n + "</p>" * n)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 16 * took(4_000)

@@ -217,8 +217,8 @@ def _passes(benchmark: DataFrame) -> Iterator[list[Index]]:
     Spark counts items, their mean length and the items of each term over all of the benchmark, and makes the indexes, of INDEX_WORDS words each
     (one longer item is an index of its own), so that no score depends on which other items share an index.
     """
-    items = question_and_answer(benchmark.where("item_id is not null")).withColumn("uid", F.monotonically_increasing_id())
-    items = items.select("uid", F.col("item_id").cast("bigint").alias("item_id"), F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer"))
+    items = question_and_answer(benchmark).withColumn("uid", F.monotonically_increasing_id())
+    items = items.select("uid", F.coalesce(F.col("item_id").cast("bigint"), F.lit(_NO_ID)).alias("item_id"), F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer"))
     coded = cut(items.mapInArrow(_item_codes, "uid bigint, item_id bigint, q array<bigint>, a array<bigint>, words bigint, half bigint"))
     n_items, mean = coded.agg(F.count("*"), F.avg("words")).first()
     if not n_items:
@@ -249,6 +249,8 @@ def _passes(benchmark: DataFrame) -> Iterator[list[Index]]:
         yield held
 
 
+#: Stands for a null item_id inside the indexes.
+_NO_ID = -(1 << 63)
 _MATCHES = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
@@ -259,7 +261,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     against itself.  Words are runs of letters and digits, A-Z lower-cased.  The documents are never shuffled and read once for
     PASS_WORDS words of benchmark items, which is the bound of what goes to the executors at once.  Null and
     empty texts, an empty benchmark and items without words match nothing; a repeated item_id matches once a row; rows
-    with a null doc_id carry it in the result; other columns are ignored.
+    with a null doc_id and items with a null item_id carry it in the result; other columns are ignored.  The matches of one pass are written before
+    the next pass's indexes go out.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
@@ -275,9 +278,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
                         ids = part.column("doc_id").cast(pa.int64()).take(pa.array(row))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(index.ids[list(item)]), *(pa.array(x, pa.float64()) for x in rest)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        return docs.mapInArrow(run, _MATCHES)
+        return docs.mapInArrow(run, _MATCHES).withColumn("item_id", F.nullif("item_id", F.lit(_NO_ID)))
 
-    parts = [one(sc.broadcast(indexes)) for indexes in _passes(benchmark)]
+    parts = []
+    for indexes in _passes(benchmark):
+        shared = sc.broadcast(indexes)
+        parts.append(cut(one(shared)))
+        shared.unpersist()
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _MATCHES)
 
 

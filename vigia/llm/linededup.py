@@ -37,26 +37,27 @@ def repeated_positions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return covered.select("doc_id", "row", F.array_sort(F.array_distinct(spread)).alias("cut"))
 
 
-def _free(taken: list[str], *wanted: str) -> list[str]:
-    """The wanted names, longer where a column has them."""
-    out = []
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, longer where a column has them; Spark takes names that differ in case for one."""
+    out, used = [], {x.lower() for x in taken}
     for name in wanted:
-        while name in taken or name in out:
+        while name.lower() in used:
             name += "_"
+        used.add(name.lower())
         out.append(name)
     return out
 
 
-def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated line windows cut out of ``text``; adds ``n_lines`` and ``n_removed``.
+def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated line windows cut out of ``text``; adds ``n_lines`` and ``n_removed``, or the two names of ``counts``.
 
-    Every row stays, also one whose text becomes empty; other columns pass through (a column named
-    ``n_lines`` or ``n_removed`` is replaced).  Null text stays null and has 0 lines; empty text has one
+    Every row stays, also one whose text becomes empty; other columns pass through (a column that has a name of
+    ``counts`` is replaced).  Null text stays null and has 0 lines; empty text has one
     empty line.  Rows that repeat a doc_id are ordered by the hash of their text; rows equal in both id and text count
     as one document and lose the same lines.  A null doc_id sorts first.  An empty table gives an empty table.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    row, key, at, gone = _free(docs.columns, "row", "key", "at", "gone")
+    docs = docs.drop(*counts)
+    row, key, at, gone = free_names([*docs.columns, *counts], "row", "key", "at", "gone")
     keyed = docs.withColumn(row, F.xxhash64("text"))
     found = repeated_positions(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), window)
     found = found.select(F.col("doc_id").alias(key), F.col("row").alias(at), F.col("cut").alias(gone))
@@ -68,8 +69,8 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint")
-    out = joined.withColumns({"n_lines": n_lines, "n_removed": removed, "text": text})
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    out = joined.withColumns({counts[0]: n_lines, counts[1]: removed, "text": text})
+    return out.select(*docs.columns, *counts)
 
 
 #: DuckDB SQL for the rows of op1_line_dedup over the view ``documents``.
