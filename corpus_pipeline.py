@@ -12,19 +12,23 @@ from vigia.llm.storage import new_folder
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold; the model learns from the input's labels.
 
-    Null and empty texts score near 0 and stay; rows with a null id are scored like others; repeated rows stay or go together.
+    Null and empty texts score near 0 and stay; rows with a null id are scored like others; repeated rows stay or go together.  The score stands in a
+    column of a free name, so that all of the input's columns come out as they are.
     """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_toxicity(docs, model, "toxicity_score")
-    return scored.where(scored["toxicity_score"] < toxicity.THRESHOLD).select(*docs.columns)
+    (score,) = linededup.free_names(docs.columns, "toxicity_score")
+    scored = toxicity.score_toxicity(docs, model, score)
+    return scored.where(scored[score] < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the line windows that an earlier one (or an earlier place) holds.
 
-    A null text stays null; a null id comes before all others; rows that repeat an id are ordered by their texts' hash.
+    A null text stays null; a null id comes before all others; rows that repeat an id are ordered by their texts' hash.  The counts of lines stand in
+    columns of free names, so that all of the input's other columns come out as they are.
     """
-    return linededup.remove_repeated_lines(docs).select(*docs.columns)
+    counts = linededup.free_names(docs.columns, "n_lines", "n_removed")
+    return linededup.remove_repeated_lines(docs, counts=tuple(counts)).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
