@@ -8,7 +8,7 @@ import re
 import duckdb
 import pytest
 
-from vigia import more_queries, queries  # noqa: F401
+from vigia import model_queries, more_queries, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

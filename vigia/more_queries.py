@@ -35,13 +35,16 @@ def chain_clean_to_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.aggregate_series(aggregate.drop_invalid_geo(df, place), resolve.date_column(df.dtypes, "SIM"), "month", "count", [place])
 
 
-for _lang, _male, _female, _unknown, _white, _brown, _day, _race in (("pt", "Masculino", "Feminino", "Ignorado", "Branca", "Parda", "data_obito", "raca"), ("es", "Masculino", "Femenino", "Ignorado", "Blanca", "Parda", "fecha_muerte", "raza")):
+for _lang, _male, _female, _unknown, _races, _day, _race in (
+    ("pt", "Masculino", "Feminino", "Ignorado", ("Branca", "Preta", "Amarela", "Parda", "Indígena"), "data_obito", "raca"),
+    ("es", "Masculino", "Femenino", "Ignorado", ("Blanca", "Negra", "Amarilla", "Parda", "Indígena"), "fecha_muerte", "raza"),
+):
 
     def _standard(spark: SparkSession, sf_dir: str, lang: str = _lang, day: str = _day, race: str = _race) -> DataFrame:
-        return standardize.standardize(_raw_deaths(spark, sf_dir).drop("BAIRRO"), language=lang).where(F.col(race).isin("Branca", "Blanca", "Parda", "6")).select("o_orderkey", "sexo", race, day, "causa_basica")
+        return standardize.standardize(_raw_deaths(spark, sf_dir).drop("BAIRRO"), language=lang).select("o_orderkey", "sexo", race, day, "causa_basica")
 
-    register(f"standardize_{_lang}", f"""SELECT o_orderkey, CASE o_custkey % 4 WHEN 1 THEN '{_male}' WHEN 2 THEN '{_female}' WHEN 0 THEN '{_unknown}' ELSE '3' END AS sexo, CASE o_orderkey % 7 WHEN 1 THEN '{_white}' WHEN 4 THEN '{_brown}' ELSE '6' END AS {_race},
-CAST(o_orderdate AS DATE) AS {_day}, {_ICD_OF} AS causa_basica FROM orders WHERE o_orderkey % 7 IN (1, 4, 6)""")(_standard)
+    register(f"standardize_{_lang}", f"""SELECT o_orderkey, CASE o_custkey % 4 WHEN 1 THEN '{_male}' WHEN 2 THEN '{_female}' WHEN 0 THEN '{_unknown}' ELSE '3' END AS sexo, coalesce(['{"', '".join(_races)}'][(o_orderkey % 7)::INTEGER], CAST(o_orderkey % 7 AS VARCHAR)) AS {_race},
+CAST(o_orderdate AS DATE) AS {_day}, {_ICD_OF} AS causa_basica FROM orders""")(_standard)
 
 
 @register("standardize_dictionary", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'obras' WHEN 'MACHINERY' THEN 'maquinas' ELSE c_mktsegment END AS ramo FROM customer")
@@ -88,7 +91,7 @@ _RUN = lambda m, n: f"({m} AND count(*) OVER (PARTITION BY station, g_{m}) >= {n
 _GROUPED = lambda m: f"sum(new_{m}) OVER (PARTITION BY station ORDER BY date) AS g_{m}"
 _NEW = lambda m: f"CASE WHEN {m} IS DISTINCT FROM lag({m}) OVER w THEN 1 ELSE 0 END AS new_{m}"
 _METHODS = {"WHO": 3, "WMO": 5, "INMET": 5, "EHF": 3, "UTCI": 3, "WBGT": 3, "HI": 3}
-_WAVES = f"""WITH {_MORE_DAYS}, {_SPREAD},
+_waves_sql = lambda spread: f"""WITH {_MORE_DAYS}, {spread},
 base AS (SELECT station, doy, {_P('tmax')} AS tmax_p, CASE WHEN count(tmax) >= 10 THEN quantile_cont(tmin, 0.9) END AS tmin_p, avg(tmax) AS tmax_hist, {_P('utci_max')} AS u, {_P('wbgt_max')} AS b, {_P('hi_max')} AS h FROM spread GROUP BY ALL),
 lim AS (SELECT station, quantile_cont(tmean, 0.95) AS limit95 FROM days GROUP BY 1),
 f AS (SELECT station, date, (t3 - limit95) * greatest(1, t3 - t30) AS factor FROM (SELECT station, date, CASE WHEN count(tmean) OVER a = 3 THEN avg(tmean) OVER a END AS t3, avg(tmean) OVER c AS t30 FROM days WINDOW a AS (PARTITION BY station ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), c AS (PARTITION BY station ORDER BY date ROWS BETWEEN 32 PRECEDING AND 3 PRECEDING)) JOIN lim USING (station)),
@@ -96,12 +99,16 @@ e AS (SELECT station, date, coalesce(max(CASE WHEN factor > 0 THEN 1 ELSE 0 END)
 x AS (SELECT d.station, d.date, coalesce(d.tmax > tmax_p, false) AS WHO, coalesce(d.tmax > tmax_p AND d.tmin > tmin_p, false) AS WMO, coalesce(d.tmax > tmax_hist + 5, false) AS INMET, coalesce(EHF, false) AS EHF, coalesce(d.utci_max > u, false) AS UTCI, coalesce(d.wbgt_max > b, false) AS WBGT, coalesce(d.hi_max > h, false) AS HI
  FROM days d LEFT JOIN base ON base.station = d.station AND base.doy = dayofyear(d.date) LEFT JOIN e ON e.station = d.station AND e.date = d.date),
 n AS (SELECT *, {', '.join(map(_NEW, _METHODS))} FROM x WINDOW w AS (PARTITION BY station ORDER BY date)), g AS (SELECT *, {', '.join(map(_GROUPED, _METHODS))} FROM n),
-k AS (SELECT station, date, {', '.join(f'{_RUN(m, n)} AS {m}' for m, n in _METHODS.items())} FROM g), flags AS (SELECT *, {' OR '.join(_METHODS)} AS any_method FROM k)"""
+k AS (SELECT station, date, {', '.join(f'{_RUN(m, n)} AS {m}' for m, n in _METHODS.items())} FROM g), flags AS (SELECT *, {' OR '.join(_METHODS)} AS any_method FROM k)"""
+_WAVES = _waves_sql(_SPREAD)
 
 
-def _waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _days(spark, sf_dir).withColumns({"utci_max": F.col("tmax") + 2, "wbgt_max": (F.col("tmax") + F.col("tmin")) / 2, "hi_max": F.col("tmean") + 1})
-    return events.waves(days, "station", list(_METHODS)).withColumnRenamed("any", "any_method")
+def _more_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(spark, sf_dir).withColumns({"utci_max": F.col("tmax") + 2, "wbgt_max": (F.col("tmax") + F.col("tmin")) / 2, "hi_max": F.col("tmean") + 1})
+
+
+def _waves(spark: SparkSession, sf_dir: str, **period) -> DataFrame:
+    return events.waves(_more_days(spark, sf_dir), "station", list(_METHODS), **period).withColumnRenamed("any", "any_method")
 
 
 @register("heat_methods", f"{_WAVES} SELECT station, date, {', '.join(_METHODS)}, any_method FROM flags")
@@ -109,6 +116,34 @@ def heat_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _waves(spark, sf_dir).select("station", "date", *_METHODS, "any_method")
 
 
+_PERIOD = {"first": "1996-02-01", "last": "1998-06-30"}
+_OF_PERIOD = _SPREAD.replace("FROM days,", f"FROM (SELECT * FROM days WHERE date BETWEEN DATE '{_PERIOD['first']}' AND DATE '{_PERIOD['last']}'),")
+
+
+@register("heat_baseline_period", f"{_waves_sql(_OF_PERIOD)} SELECT station, date, {', '.join(_METHODS)}, any_method FROM flags")
+def heat_baseline_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _waves(spark, sf_dir, **_PERIOD).select("station", "date", *_METHODS, "any_method")
+
+
+_MEASURED = {"WHO": ("tmax", "tmax_p"), "WMO": ("tmax", "tmax_p"), "INMET": ("tmax", "tmax_hist"), "EHF": ("tmean", "tmean"), "UTCI": ("utci_max", "u"), "WBGT": ("wbgt_max", "b"), "HI": ("hi_max", "h")}
+_EVENT_ROWS = " UNION ALL ".join(
+    f"SELECT k.station, '{m}' AS method, g_{m} AS g, k.date, d.{v} AS value, d.{v} - {'d' if r in ('tmean',) else 'base'}.{r} AS anomaly, {'f.factor' if m == 'EHF' else 'NULL::DOUBLE'} AS factor FROM long k JOIN days d USING (station, date) LEFT JOIN base ON base.station = d.station AND base.doy = dayofyear(d.date) LEFT JOIN f ON f.station = d.station AND f.date = d.date WHERE k.{m}"
+    for m, (v, r) in _MEASURED.items()
+)
+
+
+@register("heat_event_classes", f"""{_waves_sql(_SPREAD).replace('k AS (SELECT station, date,', 'long AS (SELECT station, date, ' + ', '.join(f'g_{m}' for m in _METHODS) + ', ' + ', '.join(f'{_RUN(m, 2)} AS {m}' for m in _METHODS) + ' FROM g), k AS (SELECT station, date,')},
+rows AS ({_EVENT_ROWS}),
+ev AS (SELECT station, method, min(date) AS start_date, max(date) AS end_date, max(date) - min(date) + 1 AS duration_days, avg(value) AS temp_mean, max(value) AS temp_peak, avg(anomaly) AS anomaly_mean, sum(anomaly) AS anomaly_cumulative, max(factor) AS ehf_peak, avg(factor) AS ehf_mean FROM rows GROUP BY station, method, g),
+p AS (SELECT quantile_cont(factor, 0.85) AS p85 FROM f WHERE factor > 0 AND station IN (SELECT station FROM ev WHERE method = 'EHF'))
+SELECT station, method, start_date, end_date, CAST(duration_days AS INTEGER) AS duration_days, round(temp_mean, 6) AS temp_mean, round(temp_peak, 6) AS temp_peak, round(anomaly_mean, 6) AS anomaly_mean, round(anomaly_cumulative, 6) AS anomaly_cumulative, round(ehf_peak, 6) AS ehf_peak, round(ehf_mean, 6) AS ehf_mean,
+ round(duration_days * anomaly_mean, 6) AS severity_index, station || '_' || method || '_' || row_number() OVER (PARTITION BY method ORDER BY start_date, station) AS event_id,
+ CASE WHEN ehf_peak >= 3 * p85 THEN 'Extreme (EHW)' WHEN ehf_peak >= p85 THEN 'Severe (SHW)' WHEN ehf_peak > 0 THEN 'Low Intensity (LIHW)' END AS intensity_class FROM ev, p""")
+def heat_event_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = list(_METHODS)
+    return _rounded(events.method_events(events.wave_days(_more_days(spark, sf_dir), "station", methods, least=2), "station", methods))
+
+
 @register("heat_active_days", f"{_WAVES} SELECT station, year(date) AS year, count(*) AS n_days, min(date) AS first, max(date) AS last FROM flags WHERE any_method GROUP BY ALL")
 def heat_active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.active_days(_waves(spark, sf_dir), "any_method", "station")
@@ -373,10 +408,10 @@ def gap_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models ---------------------------------------------------------------------------------------
 
 
-@register("model_sensitivity", """WITH c AS (SELECT l_linenumber AS k, l_quantity AS x, avg(l_discount + l_quantity / 200) AS y FROM lineitem WHERE l_quantity = floor(l_quantity) GROUP BY ALL), v AS (SELECT k, max(y) FILTER (WHERE x = 45) AS hot, max(y) FILTER (WHERE x = 5) AS cold FROM c GROUP BY 1)
+@register("model_sensitivity", """WITH c AS (SELECT l_linenumber AS k, floor(l_quantity) AS x, avg(l_discount + l_quantity / 200) AS y FROM lineitem GROUP BY ALL), v AS (SELECT k, max(y) FILTER (WHERE x = 45) AS hot, max(y) FILTER (WHERE x = 5) AS cold FROM c GROUP BY 1)
 SELECT k, round(exp(hot), 6) AS hot_rr, round(exp(cold), 6) AS cold_rr, round(hot + cold, 6) AS sensitivity_index, CAST(rank() OVER (ORDER BY hot DESC) AS INTEGER) AS hot_rank, CAST(rank() OVER (ORDER BY cold DESC) AS INTEGER) AS cold_rank FROM v""")
 def model_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = table(spark, sf_dir, "lineitem").where("l_quantity = floor(l_quantity)").groupBy(F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("exposure")).agg(F.avg(F.col("l_discount") + F.col("l_quantity") / 200).alias("log_rr"))
+    curves = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.floor("l_quantity").cast("double").alias("exposure")).agg(F.avg(F.col("l_discount") + F.col("l_quantity") / 200).alias("log_rr"))
     at = lambda x: curves.select("k").distinct().withColumn("point", F.lit(float(x)))
     return _rounded(models.sensitivity_ranking(curves, "k", at(45), at(5)))
 

@@ -19,13 +19,21 @@ def daily_extremes(hourly: DataFrame, station: str, timestamp: str, temperature:
     return hourly.groupBy(station, F.to_date(timestamp).alias("date")).agg(F.max(temperature).alias("tmax"), F.min(temperature).alias("tmin"), F.avg(temperature).alias("tmean"), *more)
 
 
-def day_baseline(days: DataFrame, station: str, percentile: float = 0.9, around: int = 15, least: int = 10, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Percentiles and means per station and day of the year, over the days ``around`` it in all years of the baseline."""
-    base = days.where(F.col("date").between(first, last)) if first and last else days
+def day_baseline(days: DataFrame, station: str, percentile: float = 0.9, around: int = 15, least: int = 10, first: str | None = None, last: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Percentiles and means per station and day of the year, over the days ``around`` it in all years of the baseline.
+
+    ``station, doy, tmax_p, tmin_p, tmax_hist, tmin_hist`` and ``<column>_p`` of each column of ``more``; a percentile needs ``least`` values of its own.
+    The baseline are the days from ``first`` to ``last``, either of them open.  All columns share one explosion and one aggregation.
+    """
+    base = days
+    if first:
+        base = base.where(F.col("date") >= F.lit(first).cast("date"))
+    if last:
+        base = base.where(F.col("date") <= F.lit(last).cast("date"))
+    base = base.select(station, "date", *dict.fromkeys(("tmax", "tmin", *more)))
     spread = base.withColumn("k", F.explode(F.sequence(F.lit(-around), F.lit(around)))).withColumn("doy", F.pmod(F.dayofyear("date") - 1 + F.col("k"), F.lit(366)) + 1)
-    stats = spread.groupBy(station, "doy").agg(F.percentile("tmax", percentile).alias("tmax_p"), F.percentile("tmin", percentile).alias("tmin_p"), F.avg("tmax").alias("tmax_hist"), F.avg("tmin").alias("tmin_hist"), F.count("tmax").alias("n"))
-    enough = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
-    return stats.select(station, "doy", enough("tmax_p"), enough("tmin_p"), "tmax_hist", "tmin_hist")
+    level = lambda c: F.when(F.count(c) >= least, F.percentile(c, percentile)).alias(f"{c}_p")
+    return spread.groupBy(station, "doy").agg(*[level(c) for c in dict.fromkeys(("tmax", "tmin", *more))], F.avg("tmax").alias("tmax_hist"), F.avg("tmin").alias("tmin_hist"))
 
 
 def wave_flags(days: DataFrame, baseline: DataFrame, station: str, cold: bool = False) -> DataFrame:
@@ -71,6 +79,47 @@ def wave_events(flags: DataFrame, method: str, station: str, value: str, least:
     return out.withColumn("event_id", F.concat_ws("_", F.col(station).cast("string"), F.lit(method), n.cast("string"))).drop("run")
 
 
+#: What an event of a method is measured by, and against which column of the baseline.
+MEASURES = {"WHO": ("tmax", "tmax_p"), "WMO": ("tmax", "tmax_p"), "INMET": ("tmax", "tmax_hist"), "EHF": ("tmean", "tmean"), "UTCI": ("utci_max", "utci_max_p"), "WBGT": ("wbgt_max", "wbgt_max_p"), "HI": ("hi_max", "hi_max_p")}
+#: Classes of an event by its peak factor against the 85th percentile of the positive ones.
+INTENSITY = ((3.0, "Extreme (EHW)"), (1.0, "Severe (SHW)"))
+LOW_INTENSITY = "Low Intensity (LIHW)"
+
+
+def method_events(waves: DataFrame, station: str, methods: list[str]) -> DataFrame:
+    """Events of several methods from ``wave_days``, one row each: ``station, method, event_id, start_date, end_date, duration_days, temp_mean,
+    temp_peak, anomaly_mean, anomaly_cumulative, severity_index, ehf_peak, ehf_mean, intensity_class``.
+
+    A run of flagged rows is an event; its anomaly is the method's value less its own level.  Ids number a method's events over all stations by start
+    date and station.  Only EHF events have a peak and mean factor and a class: Extreme from three times the 85th percentile of all positive
+    factors of the stations with events on, Severe from that percentile on, Low Intensity above 0.  Methods without a column give no events.
+    """
+    there = [m for m in methods if MEASURES[m][0] in waves.columns]
+    forth = Window.partitionBy(station).orderBy("date")
+    rows = waves.withColumn("__n", F.row_number().over(forth))
+    rows = rows.withColumns({f"__r_{m}": F.when(~F.col(m).eqNullSafe(F.lag(m).over(forth)) | (F.col("__n") == 1), F.col("__n")) for m in there})
+    rows = rows.withColumns({f"__r_{m}": F.max(f"__r_{m}").over(forth) for m in there})
+    none = F.lit(None).cast("double")
+    one = lambda m: F.struct(F.lit(m).alias("method"), F.col(m).alias("flag"), F.col(f"__r_{m}").alias("run"), F.col(MEASURES[m][0]).cast("double").alias("value"), (F.col(MEASURES[m][0]) - F.col(MEASURES[m][1])).cast("double").alias("anomaly"), (F.col("factor") if m == "EHF" else none).alias("factor"))
+    marked = rows.select(station, "date", F.explode(F.array(*map(one, there))).alias("e")).where("e.flag").select(station, "date", "e.*")
+    out = marked.groupBy(station, "method", "run").agg(
+        F.min("date").alias("start_date"), F.max("date").alias("end_date"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("duration_days"), F.avg("value").alias("temp_mean"), F.max("value").alias("temp_peak"),
+        F.avg("anomaly").alias("anomaly_mean"), F.sum("anomaly").alias("anomaly_cumulative"), F.max("factor").alias("ehf_peak"), F.avg("factor").alias("ehf_mean"),
+    ).withColumn("severity_index", F.col("duration_days") * F.col("anomaly_mean")).drop("run")
+    # the number of a method's events before a day is summed over days, of which there are few, not over events
+    per_day = out.groupBy("method", "start_date").agg(F.count("*").alias("n"))
+    before = per_day.select("method", "start_date", (F.sum("n").over(Window.partitionBy("method").orderBy("start_date")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("method", "start_date").orderBy(station)) + F.col("before")
+    out = out.join(before, ["method", "start_date"]).withColumn("event_id", F.concat_ws("_", F.col(station).cast("string"), "method", nth.cast("string"))).drop("before")
+    if "factor" not in waves.columns:
+        return out.withColumn("intensity_class", F.lit(None).cast("string"))
+    hit = F.max("EHF").over(Window.partitionBy(station))
+    high = waves.select("factor", hit.alias("hit")).where("hit and factor > 0").agg(F.percentile("factor", 0.85).alias("p85"))
+    share = F.col("ehf_peak") / F.col("p85")
+    named = F.when(share >= INTENSITY[0][0], INTENSITY[0][1]).when(share >= INTENSITY[1][0], INTENSITY[1][1]).when(F.col("ehf_peak") > 0, LOW_INTENSITY)
+    return out.join(F.broadcast(high)).withColumn("intensity_class", named).drop("p85")  # one row
+
+
 def wave_summary(events: DataFrame, station: str) -> DataFrame:
     return events.groupBy(station, F.year("start_date").alias("year")).agg(F.count("*").alias("n_events"), F.sum("duration").cast("bigint").alias("total_days"), F.avg("duration").alias("mean_duration"), F.max("peak_value").alias("peak_value"), F.avg("severity").alias("mean_severity"))
 
@@ -108,32 +157,39 @@ def hazen_position(monthly: DataFrame, station: str, rain: str, pet: str, scale:
     return df.withColumn("position", F.when(F.col("rolling").isNotNull(), (F.rank().over(w) - 0.5) / n))
 
 
-def index_flags(days: DataFrame, station: str, index: str, method: str, percentile: float = 0.9, around: int = 15, least: int = 10) -> DataFrame:
-    """``station, date, <method>``: days on which the index's maximum lies over its percentile of that time of the year."""
-    base = days.where(F.col(index).isNotNull()).select(station, F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("k"), "date", index)
-    base = base.withColumn("doy", F.pmod(F.dayofyear("date") - 1 + F.col("k"), F.lit(366)) + 1).groupBy(station, "doy").agg(F.percentile(index, percentile).alias("p"), F.count("*").alias("n"))
-    df = days.withColumn("doy", F.dayofyear("date")).join(base.where(F.col("n") >= least), [station, "doy"], "left")
-    return df.select(station, "date", F.coalesce(F.col(index) > F.col("p"), F.lit(False)).alias(method))
+def _long_runs(df: DataFrame, least: dict[str, int], station: str) -> DataFrame:
+    """Each flag only in runs of enough rows; one pass forth and one back for all flags: a run's first and last row number."""
+    forth, back = Window.partitionBy(station).orderBy("date"), Window.partitionBy(station).orderBy(F.desc("date"))
+    new = lambda m, w: ~F.col(m).eqNullSafe(F.lag(m).over(w)) | (F.row_number().over(w) == 1)
+    df = df.withColumn("__n", F.row_number().over(forth)).withColumns({f"__s_{m}": F.when(new(m, forth), F.col("__n")) for m in least} | {f"__e_{m}": F.when(new(m, back), F.col("__n")) for m in least})
+    df = df.withColumns({f"__s_{m}": F.max(f"__s_{m}").over(forth) for m in least} | {f"__e_{m}": F.min(f"__e_{m}").over(back) for m in least})
+    return df.withColumns({m: F.col(m) & (F.col(f"__e_{m}") - F.col(f"__s_{m}") + 1 >= n) for m, n in least.items()}).drop("__n", *[f"__{k}_{m}" for k in "se" for m in least])
 
 
-def waves(days: DataFrame, station: str, methods: list[str], percentile: float = 0.9, least: int | None = None, cold: bool = False, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Daily flags of several methods in one table, each kept only in runs that are long enough, and ``any`` of them.
+def wave_days(days: DataFrame, station: str, methods: list[str], percentile: float = 0.9, least: int | None = None, cold: bool = False, first: str | None = None, last: str | None = None) -> DataFrame:
+    """``days`` with each method's flag, the levels of the baseline that they are held against, and the factor of EHF or ECF.
 
     ``days``: one row a station and day with tmax, tmin, tmean, and ``utci_max``, ``wbgt_max`` or ``hi_max`` for the methods on
-    these indices; where such a column is missing, its method's flag is null.
+    these indices; where such a column is missing, its method's flag is null.  All levels are taken from the days of the baseline period alone (all days, if none is
+    given), in one aggregation, and meet the days in one join; flags hold only in runs of ``least`` rows, or the method's own number.
     """
-    out = wave_flags(days, day_baseline(days, station, 1 - percentile if cold else percentile, first=first, last=last), station, cold).drop("doy", "tmax_p", "tmin_p", "tmax_hist", "tmin_hist")
+    indices = {m: f"{m.lower()}_max" for m in methods if m in INDEX_METHODS}
+    there = tuple(c for c in indices.values() if c in days.columns)
+    out = wave_flags(days, day_baseline(days, station, 1 - percentile if cold else percentile, first=first, last=last, more=there), station, cold)
     factor = "ECF" if cold else "EHF"
     if factor in methods:
-        out = out.join(excess_heat(days, station, cold).select(station, "date", factor, "factor"), [station, "date"], "left")
-    for method in methods:
-        index = f"{method.lower()}_max"
-        if method in INDEX_METHODS:
-            out = out.join(index_flags(days, station, index, method, percentile), [station, "date"], "left") if index in days.columns else out.withColumn(method, F.lit(None).cast("boolean"))
-        elif method not in out.columns:
-            raise ValueError(f"unknown method: {method}")
-        if method not in INDEX_METHODS or index in days.columns:
-            out = keep_runs(out, method, [station], "date", least or LEAST[method])
+        out = excess_heat(out, station, cold).drop("t3", "t30", "limit")
+    for method, index in indices.items():
+        out = out.withColumn(method, F.coalesce(F.col(index) > F.col(f"{index}_p"), F.lit(False)) if index in there else F.lit(None).cast("boolean"))
+    if unknown := [m for m in methods if m not in out.columns]:
+        raise ValueError(f"unknown methods: {', '.join(unknown)}")
+    return _long_runs(out, {m: least or LEAST[m] for m in methods if indices.get(m, "tmax") in days.columns}, station)
+
+
+def waves(days: DataFrame, station: str, methods: list[str], percentile: float = 0.9, least: int | None = None, cold: bool = False, first: str | None = None, last: str | None = None) -> DataFrame:
+    """``wave_days`` without the baseline's levels, and ``any`` of the methods' flags."""
+    out = wave_days(days, station, methods, percentile, least, cold, first, last)
+    out = out.drop("doy", "tmax_hist", "tmin_hist", *[c for c in out.columns if c.endswith("_p")])
     return out.drop(*[m for m in ("WHO", "WMO", "INMET") if m not in methods]).withColumn("any", F.coalesce(F.array_max(F.array(*methods)), F.lit(False)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,24 +57,34 @@ def cleared_area(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("code_muni", "year", "biome").agg(F.sum("km2").alias("area_km2"), F.countDistinct("uid").alias("n_polygons"))
 
 
+#: Approximate Köppen zones.  States (none: all), bounds of latitude and longitude (over, under; the equator side of -23 and -15 is
+#: included where marked), zone.  The first row that fits counts.
+ZONES = (
+    ((22, 23, 24, 25, 26, 27), {"lat>": -12, "lon>": -45}, "BSh"),
+    ((41, 42, 43), {"lat<": -23}, "Cf"),
+    ((33,), {"lon>": -44}, "Cf"),
+    ((31, 32, 35, 52, 53), {"lat<": -15}, "Cw"),
+    ((41, 42, 43), {"lat>=": -23}, "Cw"),
+    ((11, 12, 14, 17, 21, 50, 51, 52, 53), {}, "Aw"),
+    ((31, 35), {"lat>=": -15}, "Aw"),
+    ((29,), {"lat>": -14}, "Aw"),
+    ((21, 22, 26, 27, 28, 29), {"lon>": -40}, "As"),
+    ((13, 15, 16), {}, "Am"),
+    ((11, 12, 14, 16), {"lat>": -5}, "Af"),
+    ((), {"lat>": -23}, "Aw"),
+    ((), {}, "Cf"),
+)
+
+
 def climate_zone(state: Column, lat: Column, lon: Column) -> Column:
-    """Approximate Köppen zone by state code and coordinates: the first rule that fits."""
-    south = state.isin(41, 42, 43)
-    return (
-        F.when(state.isin(23, 24, 25, 26, 27, 22) & (lat > -12) & (lon > -45), "BSh")
-        .when(south & (lat < -23), "Cf")
-        .when((state == 33) & (lon > -44), "Cf")
-        .when(state.isin(31, 35, 32, 52, 53) & (lat < -15), "Cw")
-        .when(south & (lat >= -23), "Cw")
-        .when(state.isin(51, 50, 52, 53, 11, 12, 14, 17, 21), "Aw")
-        .when(state.isin(31, 35) & (lat >= -15), "Aw")
-        .when((state == 29) & (lat > -14), "Aw")
-        .when(state.isin(21, 22, 26, 27, 28, 29) & (lon > -40), "As")
-        .when(state.isin(13, 16, 15), "Am")
-        .when(state.isin(11, 12, 14, 16) & (lat > -5), "Af")
-        .when(lat > -23, "Aw")
-        .otherwise("Cf")
-    )
+    """Approximate Köppen zone by state code and coordinates: the first row of ZONES that fits; a missing value fits no bound."""
+    value, compare = {"lat": lat, "lon": lon}, {">": operator.gt, "<": operator.lt, ">=": operator.ge}
+    out = F.lit(None).cast("string")
+    for states, bounds, zone in reversed(ZONES):
+        fits = [state.isin(*states)] if states else []
+        fits += [compare[name[3:]](value[name[:3]], bound) for name, bound in bounds.items()]
+        out = F.when(reduce(operator.and_, fits), zone).otherwise(out) if fits else F.lit(zone)
+    return out
 
 
 def zone_by_area(overlaps: DataFrame, key: str = "code_muni") -> DataFrame:

@@ -61,11 +61,21 @@ def gap_segments(df: DataFrame, value: str, keys: list[str], order: str) -> Data
     return runs(df, F.col(value).isNull(), keys, order)
 
 
-def imputation_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    e = F.col(predicted) - F.col(truth)
-    return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).agg(
-        F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.pow(F.corr(truth, predicted), 2).alias("r2"),
-        F.avg(200 * F.abs(e) / F.nullif(F.abs(F.col(truth)) + F.abs(F.col(predicted)), F.lit(0.0))).alias("smape"), F.regr_slope(predicted, truth).alias("slope"),
+def imputation_metrics(df: DataFrame, truth: str, predicted: str, outliers_over: float | None = 3.0) -> DataFrame:
+    """Errors of filled values, one row: n, n_outliers, rmse, mae, bias, r2, smape, slope.
+
+    Rows whose truth lies over ``outliers_over`` standard deviations from the mean of all truths go first (None: none go), then rows
+    without a value on either side.  r2 is 1 - SSE / SST and negative where the mean would do better; null without spread.
+    """
+    level = df.agg(F.avg(truth).alias("__mean"), F.stddev_samp(truth).alias("__sd"))
+    far = F.coalesce(F.abs(F.col(truth) - F.col("__mean")) > F.lit(outliers_over) * F.col("__sd"), F.lit(False)) if outliers_over is not None else F.lit(False)
+    df = df.join(F.broadcast(level)).withColumn("__far", far)  # one row
+    known = ~F.col("__far") & F.col(truth).isNotNull() & F.col(predicted).isNotNull()
+    t, q = F.when(known, F.col(truth)), F.when(known, F.col(predicted))
+    e = q - t
+    return df.agg(
+        F.count(e).alias("n"), F.count_if("__far").alias("n_outliers"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), (1 - F.sum(e * e) / F.nullif(F.var_pop(t) * F.count(e), F.lit(0.0))).alias("r2"),
+        F.avg(200 * F.abs(e) / F.nullif(F.abs(t) + F.abs(q), F.lit(0.0))).alias("smape"), F.regr_slope(q, t).alias("slope"),
     )
 
 
@@ -112,17 +122,61 @@ def weighted_score(parts: dict[str, float | None], weights: dict[str, float] | N
     return sum(weights[k] * v for k, v in there.items()) / mass if mass else None
 
 
-def series_quality(df: DataFrame, key: str, date: str, value: str, max_gap: int = 7) -> DataFrame:
-    """Per series: days seen, completeness of the span, monthly outliers over Q3 + 1.5 IQR, longest run of zeros, and a score."""
-    days = df.groupBy(key).agg(F.countDistinct(F.col(date).cast("date")).alias("n_obs"), (F.datediff(F.max(date), F.min(date)) + 1).alias("span"))
-    months = df.groupBy(key, F.trunc(date, "month").alias("m")).agg(F.sum(value).alias("s"))
-    limits = months.groupBy(key).agg((F.percentile("s", 0.75) + 1.5 * (F.percentile("s", 0.75) - F.percentile("s", 0.25))).alias("limit"))
-    outliers = months.join(limits, key).groupBy(key).agg(F.count_if(F.col("s") > F.col("limit")).alias("n_outliers"))
-    zero = runs(df.withColumn("__z", F.coalesce(F.col(value), F.lit(0.0)) == 0), F.col("__z"), [key], date).groupBy(key).agg(F.max("n_rows").alias("longest_zero_run"))
-    out = reduce(lambda a, b: a.join(b, key, "left"), (days, outliers, zero)).na.fill({"longest_zero_run": 0})
-    share = F.col("n_obs") / F.col("span")
-    score = F.greatest(F.lit(0.0), 100 * share - 5 * F.col("n_outliers") - F.when(F.col("longest_zero_run") > max_gap, 10).otherwise(0))
-    return out.withColumns({"completeness": share, "score": score})
+def kolmogorov_p(x: Column, terms: int = 100) -> Column:
+    """Chance that the largest absolute value of a Brownian bridge passes ``x``: the alternating series, 1 below 0.1 where it is 1 to 16 digits."""
+    k = F.sequence(F.lit(1), F.lit(terms)).cast("array<double>")
+    series = F.aggregate(k, F.lit(0.0), lambda total, i: total + F.when(F.pmod(i, F.lit(2.0)) == 1, 1.0).otherwise(-1.0) * F.exp(-2 * i * i * x * x))
+    return F.when(x < 0.1, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
+
+
+def cusum_break(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """OLS-CUSUM test of a constant mean, one row a series: keys, ``n_values, cusum, break_pval``.
+
+    cusum is the largest absolute prefix sum of the residuals over their standard deviation times sqrt(n); its limit law under no break is that of a
+    Brownian bridge.  Null values are left out; a series without spread has a null statistic.  Rows of equal ``order`` count as
+    one step, so that ties have no order.
+    """
+    known = df.where(F.col(value).isNotNull())
+    level = known.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"), F.count("*").alias("n_values"))
+    steps = known.groupBy(*keys, order).agg(F.sum(value).alias("__sum"), F.count("*").alias("__rows"))
+    steps = steps.join(level, keys).withColumn("__e", F.col("__sum") - F.col("__rows") * F.col("__mean"))
+    path = F.abs(F.sum("__e").over(Window.partitionBy(*keys).orderBy(order)))
+    most = steps.withColumn("__path", path).groupBy(*keys).agg(F.max("n_values").alias("n_values"), (F.max("__path") / F.nullif(F.first("__sd") * F.sqrt(F.first("n_values")), F.lit(0.0))).alias("cusum"))
+    return most.withColumn("break_pval", kolmogorov_p(F.col("cusum")))
+
+
+def series_quality(
+    df: DataFrame, key: str, date: str, value: str, least_complete: float = 0.9, max_gap: int = 7, alpha: float = 0.05, max_outlier_months: int = 3, least_rows: int = 30
+) -> DataFrame:
+    """Whether each daily series is fit for a model: ``key, n_obs, n_expected, completeness, has_break, break_pval, n_outlier_months, n_gaps, score,
+    include, reasons``.
+
+    completeness is rows over days of the span (rounded to 4 digits); a break is an OLS-CUSUM p-value under ``alpha``, tested from ``least_rows`` rows on; an outlier
+    month's sum lies over Q3 + 1.5 IQR; a gap is a run of over ``max_gap`` rows of null or 0.  From 100 the score loses 60 times the missing share if
+    completeness is under ``least_complete``, 25 for a break, 10 for more than ``max_outlier_months``, and 5 a gap, up to two; 0 at least.  A
+    series without any of these is included; ``reasons`` lists what speaks against the others, joined by "; ".
+    """
+    day = F.col(date).cast("date")
+    days = df.groupBy(key).agg(F.count("*").alias("n_obs"), (F.datediff(F.max(day), F.min(day)) + 1).cast("bigint").alias("n_expected"))
+    breaks = cusum_break(df.withColumn("__day", day), [key], "__day", value).select(key, "break_pval")
+    months = df.groupBy(key, F.trunc(day, "month").alias("m")).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("s"))
+    limits = months.groupBy(key).agg((2.5 * F.percentile("s", 0.75) - 1.5 * F.percentile("s", 0.25)).alias("limit"))
+    outliers = months.join(limits, key).groupBy(key).agg(F.count_if(F.col("s") > F.col("limit")).alias("n_outlier_months"))
+    gaps = runs(df, F.col(value).isNull() | (F.col(value) == 0), [key], date, max_gap + 1).groupBy(key).agg(F.count("*").alias("n_gaps"))
+    out = reduce(lambda a, b: a.join(b, key, "left"), (days, breaks, outliers, gaps)).na.fill({"n_gaps": 0})
+    tested = F.when(F.col("n_obs") >= least_rows, F.col("break_pval"))
+    share = F.col("n_obs") / F.col("n_expected")
+    out = out.withColumns({"break_pval": tested, "has_break": tested < alpha})
+    thin, broken, odd = share < least_complete, F.coalesce("has_break", F.lit(False)), F.col("n_outlier_months") > max_outlier_months
+    loss = F.when(thin, F.round((1 - share) * 60)).otherwise(0) + F.when(broken, 25).otherwise(0) + F.when(odd, 10).otherwise(0) + 5 * F.least("n_gaps", F.lit(2))
+    why = F.array_compact(F.array(
+        F.when(thin, F.concat(F.lit("completeness="), F.round(100 * share).cast("int").cast("string"), F.lit("%"))), F.when(broken, F.concat(F.lit("break (p="), F.format_number("break_pval", 3), F.lit(")"))),
+        F.when(odd, F.concat(F.lit("outlier_months="), F.col("n_outlier_months").cast("string"))), F.when(F.col("n_gaps") > 0, F.concat(F.lit(f"gaps>{max_gap}d="), F.col("n_gaps").cast("string"))),
+    ))
+    return out.select(
+        key, "n_obs", "n_expected", F.round(share, 4).alias("completeness"), "has_break", "break_pval", "n_outlier_months", "n_gaps", F.greatest(F.lit(0), 100 - loss).cast("bigint").alias("score"),
+        (~thin & ~broken & ~odd & (F.col("n_gaps") == 0)).alias("include"), F.array_join(why, "; ").alias("reasons"),
+    )
 
 
 def diurnal_range(hourly: DataFrame, station: str, timestamp: str, high: str = "tair_max_c", low: str = "tair_min_c", mean: str = "tair_dry_bulb_c") -> DataFrame:

@@ -409,9 +409,13 @@ def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.gap_segments(_holes(spark, sf_dir), "v", ["user_id"], "event_id").select("user_id", "start", "end", "n_rows")
 
 
-@register("imputation_metrics", "SELECT count(*) AS n, round(sqrt(avg((p - v) * (p - v))), 6) AS rmse, round(avg(abs(p - v)), 6) AS mae, round(avg(p - v), 6) AS bias, round(pow(corr(v, p), 2), 6) AS r2, round(avg(200 * abs(p - v) / nullif(abs(v) + abs(p), 0)), 6) AS smape, round(regr_slope(p, v), 6) AS slope FROM (SELECT value AS v, value * 0.9 + event_id % 11 AS p FROM events)")
+@register("imputation_metrics", """WITH e AS (SELECT CASE WHEN event_id % 13 > 0 THEN value + CASE WHEN event_id % 997 = 0 THEN 5000 ELSE 0 END END AS v, CASE WHEN event_id % 17 > 0 THEN value * 0.5 + event_id % 211 + 40 END AS p FROM events),
+m AS (SELECT avg(v) AS mu, stddev_samp(v) AS sd FROM e), k AS (SELECT v, p FROM e, m WHERE v IS NOT NULL AND p IS NOT NULL AND NOT coalesce(abs(v - mu) > 3 * sd, false))
+SELECT count(*) AS n, (SELECT count(*) FILTER (WHERE abs(v - mu) > 3 * sd) FROM e, m) AS n_outliers, round(sqrt(avg((p - v) * (p - v))), 6) AS rmse, round(avg(abs(p - v)), 6) AS mae, round(avg(p - v), 6) AS bias, round(1 - sum((p - v) * (p - v)) / sum((v - (SELECT avg(v) FROM k)) * (v - (SELECT avg(v) FROM k))), 6) AS r2,
+ round(avg(200 * abs(p - v) / nullif(abs(v) + abs(p), 0)), 6) AS smape, round(regr_slope(p, v), 6) AS slope FROM k""")
 def imputation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").select(F.col("value").alias("v"), (F.col("value") * 0.9 + F.col("event_id") % 11).alias("p"))
+    i, v = F.col("event_id"), F.col("value")
+    df = table(spark, sf_dir, "events").select(F.when(i % 13 > 0, v + F.when(i % 997 == 0, 5000).otherwise(0)).alias("v"), F.when(i % 17 > 0, v * 0.5 + i % 211 + 40).alias("p"))
     return _rounded(quality.imputation_metrics(df, "v", "p"))
 
 
@@ -751,13 +755,25 @@ def grid_climate_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", grids.climate_zone(k % 43 + 11, -33 + k % 38, -73.5 + k % 39).alias("zone"))
 
 
-@register("series_quality", """WITH d AS (SELECT l_linenumber AS k, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_partkey % 3 = 0 THEN l_quantity ELSE 0 END) AS v FROM lineitem GROUP BY ALL),
-c AS (SELECT k, count(DISTINCT date) AS n_obs, max(date) - min(date) + 1 AS span FROM d GROUP BY 1), m AS (SELECT k, date_trunc('month', date) AS m, sum(v) AS s FROM d GROUP BY ALL), l AS (SELECT k, quantile_cont(s, 0.75) + 1.5 * (quantile_cont(s, 0.75) - quantile_cont(s, 0.25)) AS lim FROM m GROUP BY 1),
-o AS (SELECT k, count(*) FILTER (WHERE s > lim) AS n_outliers FROM m JOIN l USING (k) GROUP BY 1), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) - row_number() OVER (PARTITION BY k, v = 0 ORDER BY date) AS g FROM d), z AS (SELECT k, max(n) AS longest_zero_run FROM (SELECT k, count(*) AS n FROM g WHERE v = 0 GROUP BY k, g) GROUP BY 1)
-SELECT k, n_obs, span, n_outliers, coalesce(longest_zero_run, 0) AS longest_zero_run, round(n_obs / span, 6) AS completeness, round(greatest(0, 100 * n_obs / span - 5 * n_outliers - CASE WHEN coalesce(longest_zero_run, 0) > 7 THEN 10 ELSE 0 END), 6) AS score FROM c LEFT JOIN o USING (k) LEFT JOIN z USING (k)""")
+#: Places whose series have holes, breaks, zeros and odd months.
+_QUALITY_SERIES = """SELECT l_suppkey % 40 AS k, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_suppkey % 3 = 0 AND date_trunc('month', l_shipdate) IN (DATE '1996-03-01', DATE '1997-06-01', DATE '1998-01-01', DATE '1999-05-01') THEN 90 * l_quantity WHEN l_suppkey % 40 < 9 AND l_shipdate > DATE '1998-01-01' THEN 2 * l_quantity
+ WHEN l_suppkey % 40 IN (11, 12) AND month(l_shipdate) = 2 THEN 0 WHEN l_partkey % 50 = 0 THEN NULL ELSE 0.001 + l_quantity END) AS v FROM lineitem GROUP BY ALL"""
+
+
+@register("series_quality", f"""WITH d AS ({_QUALITY_SERIES}), c AS (SELECT k, count(*) AS n_obs, max(date) - min(date) + 1 AS n_expected FROM d GROUP BY 1), m AS (SELECT k, date_trunc('month', date) AS m, coalesce(sum(v), 0) AS s FROM d GROUP BY ALL), l AS (SELECT k, quantile_cont(s, 0.75) + 1.5 * (quantile_cont(s, 0.75) - quantile_cont(s, 0.25)) AS lim FROM m GROUP BY 1),
+o AS (SELECT k, count(*) FILTER (WHERE s > lim) AS n_outlier_months FROM m JOIN l USING (k) GROUP BY 1), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) - row_number() OVER (PARTITION BY k, coalesce(v, 0) = 0 ORDER BY date) AS g FROM d),
+z AS (SELECT k, count(*) AS n_gaps FROM (SELECT k, count(*) AS n FROM g WHERE coalesce(v, 0) = 0 GROUP BY k, g) WHERE n > 2 GROUP BY 1), e AS (SELECT k, date, v - avg(v) OVER (PARTITION BY k) AS e, stddev_samp(v) OVER (PARTITION BY k) * sqrt(count(v) OVER (PARTITION BY k)) AS s FROM d WHERE v IS NOT NULL),
+w AS (SELECT k, max(abs(p)) / nullif(first(s), 0) AS x FROM (SELECT k, s, sum(e) OVER (PARTITION BY k ORDER BY date) AS p FROM e) GROUP BY k), b AS (SELECT k, CASE WHEN x < 0.1 THEN 1.0 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * x * x))))) END AS p FROM w),
+q AS (SELECT k, n_obs, n_expected, n_obs / n_expected AS share, CASE WHEN n_obs >= 30 THEN p END AS p, n_outlier_months, coalesce(n_gaps, 0) AS n_gaps FROM c LEFT JOIN o USING (k) LEFT JOIN z USING (k) LEFT JOIN b USING (k))
+SELECT k, n_obs, CAST(n_expected AS BIGINT) AS n_expected, round(share, 4) AS completeness, p < 0.05 AS has_break, round(p, 6) AS break_pval, n_outlier_months, n_gaps,
+ CAST(greatest(0, 100 - CASE WHEN share < 0.9 THEN round((1 - share) * 60) ELSE 0 END - CASE WHEN p < 0.05 THEN 25 ELSE 0 END - CASE WHEN n_outlier_months > 3 THEN 10 ELSE 0 END - 5 * least(n_gaps, 2)) AS BIGINT) AS score, share >= 0.9 AND NOT coalesce(p < 0.05, false) AND n_outlier_months <= 3 AND n_gaps = 0 AS include,
+ concat_ws('; ', CASE WHEN share < 0.9 THEN 'completeness=' || CAST(round(100 * share) AS INTEGER) || '%' END, CASE WHEN p < 0.05 THEN 'break (p=' || printf('%.3f', p) || ')' END, CASE WHEN n_outlier_months > 3 THEN 'outlier_months=' || n_outlier_months END, CASE WHEN n_gaps > 0 THEN 'gaps>2d=' || n_gaps END) AS reasons FROM q""")
 def series_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity")).otherwise(0.0)).alias("v"))
-    return _rounded(quality.series_quality(d, "k", "date", "v"))
+    q, k, date = F.col("l_quantity"), F.col("l_suppkey"), F.to_date("l_shipdate")
+    odd = F.date_format("l_shipdate", "yyyy-MM").isin("1996-03", "1997-06", "1998-01", "1999-05")
+    v = F.when((k % 3 == 0) & odd, 90 * q).when((k % 40 < 9) & (F.col("l_shipdate") > F.lit("1998-01-01").cast("timestamp")), 2 * q).when((k % 40).isin(11, 12) & (F.month("l_shipdate") == 2), 0.0).when(F.col("l_partkey") % 50 == 0, None).otherwise(0.001 + q)
+    d = table(spark, sf_dir, "lineitem").groupBy((k % 40).alias("k"), date.alias("date")).agg(F.sum(v).alias("v"))
+    return _rounded(quality.series_quality(d, "k", "date", "v", max_gap=2))
 
 
 @register("station_missing", "SELECT user_id % 10 AS station, round(avg(CASE WHEN event_id % 7 = 0 THEN 1.0 ELSE 0.0 END), 6) AS missing_v FROM events GROUP BY 1")
