@@ -18,7 +18,7 @@ MAX_N, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 UNKNOWN = "und"
 #: Text that a task combines before its n-grams become rows.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: A filter of frequent n-grams has 16 bits an n-gram, but 32 MB at most; a fuller one lets more rows through and loses none.
 FILTER_BITS = 1 << 28
 #: Parts that a language's ranking is first cut into.
@@ -81,8 +81,9 @@ def _exploded(sizes: tuple[int, ...], found: tuple[int, object] | None):
             names = langs.dictionary
             _, word = np.unique(lang * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
             n_words = int(word.max()) + 1
-            broken = np.concatenate(([0], np.cumsum(_BREAK[data])))
-            piece = np.concatenate(([0], np.cumsum((broken[starts[1:]] > broken[ends[:-1]]) | (rows[1:] != rows[:-1]))))
+            broken = np.concatenate(([0], np.cumsum(_BREAK[data], dtype=np.int32)))
+            piece = np.concatenate(([0], np.cumsum((broken[starts[1:]] > broken[ends[:-1]]) | (rows[1:] != rows[:-1]), dtype=np.int32)))
+            del broken
             # the words with one space behind each: every n-gram is a run of these bytes
             place = at + np.arange(len(at))
             spaced = np.full(place[-1], 0x20, np.uint8)
@@ -115,6 +116,7 @@ def _exploded(sizes: tuple[int, ...], found: tuple[int, object] | None):
                 edge = np.concatenate(([0], np.cumsum(wide)))
                 grams = spaced[np.repeat(begin - edge[:-1], wide) + np.arange(edge[-1])]
                 text = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(grams)).cast(pa.string())
+                del first, ident, edge, begin, wide, grams
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[one])), text, pa.array(count.astype(np.int64))], names=["lang", "gram", "c"])
 
     return run
@@ -155,7 +157,10 @@ def frequent_grams(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> D
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out, found = None, None
     for sizes in [s for s in ((1,), (2,), tuple(range(3, max_n + 1))) if s and s[-1] <= max_n]:
-        level = cut(docs.mapInArrow(_exploded(sizes, found), _GRAMS).groupBy("lang", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least), gather=True)
+        rows = docs.mapInArrow(_exploded(sizes, found), _GRAMS)
+        if sizes[0] > 1:  # mostly rare n-grams, combined by slice: a second table of them before the shuffle takes memory and saves little
+            rows = rows.repartition("lang", "gram")
+        level = cut(rows.groupBy("lang", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least), gather=True)
         out = level if out is None else out.unionByName(level)
         if sizes[-1] < max_n:
             found = (sizes[-1], docs.sparkSession.sparkContext.broadcast(_filter(level.where("gram <> ''"))))
