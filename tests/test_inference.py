@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from vigia.operators import inference, spatial
+from vigia.operators import econometrics, inference, spatial
 
 
 def test_normal_and_exceedance(spark):
@@ -24,7 +24,7 @@ def test_permutations_find_a_gradient(spark):
     cells = [(i, float(i // 6)) for i in range(36)]
     links = [(a, b) for a in range(36) for b in range(36) if a != b and abs(a // 6 - b // 6) + abs(a % 6 - b % 6) == 1]
     w = spatial.row_weights(spark.createDataFrame(links, "src int, dst int"))
-    row = inference.permutation_test(spark.createDataFrame(cells, "k int, v double"), w, "k", "v", 199).first()
+    row = econometrics.permutation_test(spark.createDataFrame(cells, "k int, v double"), w, "k", "v", 199).first()
     assert row["moran_i"] > 0.6 and row["p_value"] == pytest.approx(1 / 200)
 
 

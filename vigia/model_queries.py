@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import geometry
-from .queries import _rounded, register, table
+from .operators import econometrics, geometry, spatial
+from .queries import _AREA, _GRID, _MORAN, _areas, _lattice, _rounded, register, table
 
 # --- polygons -------------------------------------------------------------------------------------
 
@@ -76,3 +78,46 @@ def grid_raster_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice"))
     cells = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 40).alias("col"), (F.col("o_custkey") % 50).alias("row"), F.to_date("o_orderdate").alias("date")).agg(F.avg(value).alias("rain"))
     return _rounded(geometry.raster_zonal_mean(cells, _squares(spark, sf_dir), "k", "rain", ["date"], -1.0, -1.0, 0.75, 0.6))
+
+
+# --- permutation tests and spatial models ---------------------------------------------------------
+
+_KEYED = lambda *parts: "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 13))::BIGINT"
+_AREA_Z = f"a AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM ({_AREA})), e AS (SELECT p.i, q.i AS j, g.w FROM (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM ({_GRID})) g JOIN a p ON p.k = g.src JOIN a q ON q.k = g.dst)"
+
+
+@register("spatial_permutation", f"""WITH {_AREA_Z}, t AS (SELECT a.*, draw FROM a, (SELECT unnest(range(0, 200)) AS draw)), d AS (SELECT draw, z, row_number() OVER (PARTITION BY draw ORDER BY CASE WHEN draw > 0 THEN {_KEYED('42', 'draw', 'i')} ELSE i END, i) - 1 AS i FROM t),
+s AS (SELECT x.draw, sum(x.z * y.z * e.w) AS s FROM d x JOIN e ON e.i = x.i JOIN d y ON y.draw = x.draw AND y.i = e.j GROUP BY x.draw), m AS (SELECT draw, round((SELECT count(*) FROM a) / (SELECT sum(w) FROM e) * s / (SELECT sum(z * z) FROM a), 12) AS m FROM s)
+SELECT round((SELECT m FROM m WHERE draw = 0), 6) AS moran_i, (count(*) FILTER (WHERE m >= (SELECT m FROM m WHERE draw = 0)) + 1) / 200 AS p_value FROM m WHERE draw > 0""")
+def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = econometrics.permutation_test(_areas(spark, sf_dir), spatial.weights(_lattice(spark, sf_dir)), "k", "v", 199)
+    return out.select(F.round("moran_i", 6).alias("moran_i"), "p_value")
+
+
+@register("spatial_lisa_permuted", f"""{_MORAN}, {_AREA_Z}, n AS (SELECT i, list(w ORDER BY j) AS ws, (SELECT count(*) FROM a) AS n FROM e GROUP BY i), b AS (SELECT i, ws, n, draw, list_transform(range(1, len(ws) + 1), lambda t: n - 2 - len(ws) + t) AS tops FROM n, (SELECT unnest(range(1, 100)) AS draw)),
+c AS (SELECT *, list_transform(range(1, len(ws) + 1), lambda t: {_KEYED('1', 'i', 'draw', 't')} % (tops[t] + 1)) AS xs FROM b),
+f AS (SELECT i, draw, ws, list_reduce([[]::BIGINT[]] || list_transform(range(1, len(ws) + 1), lambda t: [tops[t], xs[t]]), lambda got, s: got || [CASE WHEN list_contains(got, s[2]) THEN s[1] ELSE s[2] END]) AS others FROM c),
+u AS (SELECT i, draw, unnest(ws) AS w, unnest(others) AS o FROM f), q AS (SELECT u.i, draw, sum(w * y.z) AS lag FROM u JOIN a y ON y.i = o + CASE WHEN o >= u.i THEN 1 ELSE 0 END GROUP BY u.i, draw),
+p AS (SELECT z.k, z.z, coalesce(l.lag, 0) AS lag, z.z * coalesce(l.lag, 0) AS local_i FROM z LEFT JOIN l USING (k)), r AS (SELECT p.k, avg(p.z * q.lag) AS mean_i, stddev_samp(p.z * q.lag) AS sd_i, count(*) FILTER (WHERE p.z * q.lag >= local_i) AS above, count(*) FILTER (WHERE p.z * q.lag <= local_i) AS below FROM p JOIN a USING (k) JOIN q USING (i) GROUP BY 1)
+SELECT k, round(local_i, 6) AS local_i, round(mean_i, 6) AS mean_i, round(sd_i, 6) AS sd_i, round((local_i - mean_i) / sd_i, 6) AS z_i, CASE WHEN sd_i > 0 THEN (least(above, below) + 1) / 100 END AS p_sim FROM p LEFT JOIN r USING (k)""")
+def spatial_lisa_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = econometrics.local_moran_permuted(_areas(spark, sf_dir), spatial.row_weights(_lattice(spark, sf_dir)), "k", "v", 99)
+    return _rounded(out.select("k", "local_i", "mean_i", "sd_i", "z_i", "p_sim"))
+
+
+def _tracts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as tracts of a grid 20 wide, with neighbours by shared sides."""
+    k = F.col("c_custkey") % 400
+    areas = table(spark, sf_dir, "customer").groupBy(k.alias("k")).agg(F.avg("c_acctbal").alias("y"), F.avg(F.col("c_nationkey").cast("double")).alias("x"), F.avg((F.col("c_custkey") * 37 % 101).cast("double")).alias("v"))
+    x, y = F.col("k") % 20, F.floor(F.col("k") / 20)
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+    near = areas.select("k", x.alias("x"), y.alias("y"), step.alias("s")).where("x + s.a between 0 and 19 and y + s.b between 0 and 19").select(F.col("k").alias("src"), (F.col("x") + F.col("s.a") + 20 * (F.col("y") + F.col("s.b"))).alias("dst"))
+    return areas, spatial.row_weights(near.join(areas.select(F.col("k").alias("dst")), "dst", "left_semi"))
+
+
+@register("spatial_likelihood_models")
+def spatial_likelihood_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas, links = _tracts(spark, sf_dir)
+    traces = econometrics.weight_traces(areas.select(F.col("k").alias("i")), links.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w"), 12, 16)
+    found = [econometrics.spatial_likelihood(areas, links, "k", "y", ["x", "v"], m, traces=traces)[0].withColumn("model", F.lit(m)) for m in econometrics.MODELS]
+    return reduce(DataFrame.unionByName, found)

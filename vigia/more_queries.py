@@ -544,9 +544,3 @@ def spatial_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
     polygons = spark.createDataFrame([("left", [box(0.0, 0.0, 3.0, 3.0), box(1.0, 1.0, 2.0, 2.0)]), ("right", [box(4.0, 0.0, 5.5, 3.0), box(5.5, 0.0, 7.0, 3.0)])], "polygon string, rings array<array<struct<x:double,y:double>>>")
     return spatial.points_in_polygons(points, polygons, "event_id", "polygon")
-
-
-@register("spatial_permutation")
-def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
-    return inference.permutation_test(areas, spatial.weights(_lattice(spark, sf_dir)), "k", "v", 199)

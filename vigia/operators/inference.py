@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .spatial import MOST_AREAS
 
 
 def normal_cdf(x: Column) -> Column:
@@ -41,37 +40,6 @@ def project_risk(last: DataFrame, key: str, log_rr: str, slope: str, variance: s
     return ahead.select(key, "step", F.exp(mu).alias("rr"), F.exp(mu - z * sd).alias("rr_lo"), F.exp(mu + z * sd).alias("rr_hi"))
 
 
-def permutation_test(areas: DataFrame, weights: DataFrame, key: str, value: str, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """Moran's I with a pseudo p-value from permutations, spread over tasks by their number.
-
-    Areas and links are a country's municipalities at most; both are held by each task (the caller's tables are
-    aggregated to a row an area and link).
-    """
-    table = areas.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null").limit(MOST_AREAS + 1).toPandas()
-    links = weights.select("src", "dst", "w").limit(40 * MOST_AREAS + 1).toPandas()
-    if len(table) > MOST_AREAS or len(links) > 40 * MOST_AREAS:
-        raise ValueError(f"the test takes {MOST_AREAS} areas and {40 * MOST_AREAS} links at most")
-    at = {k: i for i, k in enumerate(table["k"])}
-    links = links[links["src"].isin(at) & links["dst"].isin(at)]
-    src, dst, w = links["src"].map(at).to_numpy(int), links["dst"].map(at).to_numpy(int), links["w"].to_numpy(float)
-    z = (table["v"] - table["v"].mean()).to_numpy()
-    scale = len(z) / max(w.sum(), 1e-300) / max(float(z @ z), 1e-300)
-
-    def shuffled(batches):
-        for pdf in batches:
-            rows = []
-            for n in pdf["id"]:
-                p = np.random.default_rng((seed, int(n))).permutation(z) if n else z
-                rows.append((int(n), float(scale * (w * p[src] * p[dst]).sum())))
-            yield pd.DataFrame(rows, columns=["id", "i"])
-
-    spark = areas.sparkSession
-    drawn = spark.range(permutations + 1).mapInPandas(shuffled, "id bigint, i double")
-    own = drawn.where("id = 0").select(F.col("i").alias("moran_i"))
-    rest = drawn.where("id > 0").crossJoin(own).agg(F.count_if(F.col("i") >= F.col("moran_i")).alias("above"))
-    return own.crossJoin(rest).select("moran_i", ((F.col("above") + 1) / (permutations + 1)).alias("p_value"))
-
-
 def meta_regression(effects: DataFrame, group: str, effect: str, se: str, covariates: list[str]) -> DataFrame:
     """Random-effects regression of places' effects on standardised covariates, with Wald tests, per group."""
 

@@ -54,11 +54,11 @@ def contiguity(vertices: DataFrame, key: str, digits: int = 6) -> DataFrame:
 
 def _scores(df: DataFrame, key: str, value: str) -> DataFrame:
     stats = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    return df.select(F.col(key).alias("src"), F.col(value).alias("v")).crossJoin(stats).select("src", ((F.coalesce("v", "m") - F.col("m")) / F.col("s")).alias("z"))
+    return df.select(F.col(key).alias("src"), F.col(value).alias("v")).crossJoin(stats).select("src", ((F.coalesce("v", "m") - F.col("m")) / F.nullif("s", F.lit(0.0))).alias("z"))
 
 
 def local_moran(df: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
-    """z-score, spatial lag, local I and quadrant of each area; areas without neighbours have lag 0."""
+    """z-score, spatial lag, local I and quadrant of each area; areas without neighbours have lag 0, and values without spread null scores."""
     z = _scores(df, key, value)
     lag = weights.join(z.withColumnsRenamed({"src": "dst", "z": "zd"}), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("zd")).alias("lag"))
     out = z.join(lag, "src", "left").withColumn("lag", F.coalesce("lag", F.lit(0.0)))
