@@ -118,10 +118,11 @@ def poisson_regression(x: np.ndarray, y: np.ndarray, quasi: bool = True, offset:
     return Fit(coef, np.linalg.pinv(info) * (phi if quasi else 1.0), mu, phi, deviance)
 
 
-def cross_basis(lagged: np.ndarray, var_df: int = 4, lag_df: int = 3) -> tuple[np.ndarray, dict]:
-    """Distributed-lag basis of a matrix of lagged exposures (rows days, columns lag 0 to L)."""
+def cross_basis(lagged: np.ndarray, var_df: int = 4, lag_df: int = 3, knots: np.ndarray | None = None, bounds: tuple[float, float] | None = None) -> tuple[np.ndarray, dict]:
+    """Distributed-lag basis of a matrix of lagged exposures (rows days, columns lag 0 to L); ``knots`` and ``bounds`` of the exposure from its own values, if not given."""
     known = lagged[~np.isnan(lagged)]
-    spec = {"knots": spline_knots(known, var_df), "low": known.min(), "high": known.max(), "lags": lagged.shape[1]}
+    low, high = bounds or (known.min(), known.max())
+    spec = {"knots": spline_knots(known, var_df) if knots is None else np.asarray(knots, float), "low": low, "high": high, "lags": lagged.shape[1]}
     over_lag = lag_basis(spec["lags"], lag_df)
     spec["lag_basis"] = over_lag
     parts = [natural_spline(lagged[:, k], spec["knots"], spec["low"], spec["high"]) for k in range(lagged.shape[1])]

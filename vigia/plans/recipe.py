@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import itertools
 import json
@@ -9,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..functions.storage import cut
 from ..operators import aggregate, derive, exposure, filters, joins, quality, standardize
 from .meta import HealthFrame, Stage
 
@@ -94,3 +96,40 @@ def branches(recipe: dict, **choices: list) -> list[dict]:
     """One recipe for each combination of parameter values."""
     text = json.dumps(recipe)
     return [loads(text, **dict(zip(choices, values, strict=True))) for values in itertools.product(*choices.values())]
+
+
+def _key(step: dict) -> str:
+    return json.dumps([step["name"], step.get("parameters", {})], sort_keys=True)
+
+
+def run_branches(recipes: list[dict], source: HealthFrame, tables: dict[str, DataFrame] | None = None, store: Callable[[DataFrame], DataFrame] = cut) -> tuple[list[HealthFrame], int]:
+    """The results of several recipes on one source, and how many steps were run: those that recipes begin with in common run once.
+
+    The steps form a tree; a node from which several recipes go on is stored (by default in the checkpoint folder), so that its plan is computed
+    once, and the rest stays lazy.  Equal recipes give equal results from one run.
+    """
+    for n, recipe in enumerate(recipes):
+        if wrong := check(recipe):
+            raise ValueError(f"recipe {n}: " + "; ".join(wrong))
+    results: list[HealthFrame | None] = [None] * len(recipes)
+    ran = 0
+
+    def grow(node: HealthFrame, depth: int, members: list[int]) -> None:
+        nonlocal ran
+        onward: dict[str, list[int]] = {}
+        for k in members:
+            steps = recipes[k]["steps"]
+            if depth == len(steps):
+                results[k] = node
+            else:
+                onward.setdefault(_key(steps[depth]), []).append(k)
+        if depth and len(onward) > 1:
+            node = dataclasses.replace(node, df=store(node.df))
+            for k in members:
+                results[k] = node if results[k] is not None else None
+        for own in onward.values():
+            ran += 1
+            grow(run({"steps": [recipes[own[0]]["steps"][depth]]}, node, tables), depth + 1, own)
+
+    grow(source, 0, list(range(len(recipes))))
+    return results, ran
