@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from vigia.operators import econometrics, inference, spatial
+from vigia.operators import boosting, econometrics, inference, spatial
 
 
 def test_normal_and_exceedance(spark):
@@ -45,7 +45,7 @@ def test_gaps_are_filled_near_the_truth(spark):
     start = datetime.datetime(2020, 1, 1)
     truth = [20 + 8 * math.sin(2 * math.pi * k / 24) for k in range(600)]
     rows = [("s", start + datetime.timedelta(hours=k), None if k % 9 == 4 else truth[k]) for k in range(600)] + [("bad", start + datetime.timedelta(hours=k), None) for k in range(50)]
-    out = inference.fill_gaps(spark.createDataFrame(rows, "s string, t timestamp, v double"), "s", "t", "v").orderBy("t").collect()
+    out = boosting.fill_gaps(spark.createDataFrame(rows, "s string, t timestamp, v double"), "s", "t", "v").orderBy("t").collect()
     assert len(out) == 600
     made = [(r["v"], truth[k]) for k, r in enumerate(out) if r["is_imputed_v"]]
     assert len(made) == 67 and max(abs(a - b) for a, b in made) < 1.0
@@ -54,6 +54,6 @@ def test_gaps_are_filled_near_the_truth(spark):
 def test_boosted_trees_keep_groups_whole(spark):
     rng = np.random.default_rng(0)
     rows = [(int(g), float(x), float(x > 0) * 5) for g in range(12) for x in rng.normal(size=20)]
-    out = inference.boosted_trees(spark.createDataFrame(rows, "g int, x double, y double"), "y", ["x"], "g", folds=2, rounds=3, depth=2)
+    out, _, _ = boosting.out_of_fold(spark.createDataFrame(rows, "g int, x double, y double"), "y", ["x"], "g", folds=2, rounds=30, depth=2)
     got = out.collect()
     assert len(got) == 240 and np.mean([(r["y"] - r["prediction"]) ** 2 for r in got]) < 1.0

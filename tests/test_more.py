@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigia.functions import codes, kernels, resolve
-from vigia.operators import events, exposure, fits, grids, inference, joins, models, quality, spatial, standardize
+from vigia.operators import boosting, events, exposure, fits, grids, joins, models, quality, spatial, standardize
 
 
 def test_resolvers():
@@ -65,7 +65,7 @@ def test_filled_values_see_only_others(spark):
     truth = [10 + 5 * math.sin(2 * math.pi * i / 24) for i in range(240)]
     rows = [(1, i, truth[i] if i % 10 else None) for i in range(240)]
     df = spark.createDataFrame(rows, "s int, h int, v double").select("s", F.timestamp_seconds(F.col("h") * 3600).alias("t"), "v")
-    got = {int(r["t"].timestamp()) // 3600: r["v"] for r in inference.fill_gaps(df, "s", "t", "v").where("is_imputed_v").collect()}
+    got = {int(r["t"].timestamp()) // 3600: r["v"] for r in boosting.fill_gaps(df, "s", "t", "v").where("is_imputed_v").collect()}
     assert len(got) == 24 and all(abs(v - truth[i]) < 0.5 for i, v in got.items() if i)  # the first row has one neighbour only
 
 

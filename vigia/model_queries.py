@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import econometrics, geometry, spatial
-from .queries import _AREA, _GRID, _MORAN, _areas, _lattice, _rounded, register, table
+from .functions import thermal
+from .operators import boosting, econometrics, exposure, fits, geometry, grids, inference, lagmodels, quality, spatial
+from .queries import _AREA, _CLIMATE, _GRID, _MORAN, _areas, _lattice, _rounded, _series, register, table
+from .sources import tables
+from .streaming import series
 
 # --- polygons -------------------------------------------------------------------------------------
 
@@ -58,8 +61,6 @@ def geometry_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("grid_cleared_polygons", f"SELECT k AS code_muni, 1995 + uid % 5 AS year, 'b' || uid % 2 AS biome, round(sum({_OVERLAP}), 6) AS area_km2, count(DISTINCT uid) AS n_polygons FROM ({_RECTANGLES}) r, ({_SQUARES}) s WHERE {_OVERLAP} > 1e-9 GROUP BY ALL")
 def grid_cleared_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators import grids
-
     places = _squares(spark, sf_dir).withColumnRenamed("k", "code_muni")
     return _rounded(grids.cleared_area(geometry.cleared_overlaps(_rectangles(spark, sf_dir), places, "code_muni", 2.0, degrees=False)))
 
@@ -121,3 +122,127 @@ def spatial_likelihood_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     traces = econometrics.weight_traces(areas.select(F.col("k").alias("i")), links.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w"), 12, 16)
     found = [econometrics.spatial_likelihood(areas, links, "k", "y", ["x", "v"], m, traces=traces)[0].withColumn("model", F.lit(m)) for m in econometrics.MODELS]
     return reduce(DataFrame.unionByName, found)
+
+
+# --- lag models, matched sets, boosting -----------------------------------------------------------
+
+
+@register("model_ljung_box", f"""WITH d AS ({_CLIMATE}), e AS (SELECT k, date, x - avg(x) OVER (PARTITION BY k) AS e FROM d), l AS (SELECT k, count(*) OVER (PARTITION BY k) AS n, e, {', '.join(f'e * lag(e, {i}) OVER (PARTITION BY k ORDER BY date) AS p{i}' for i in range(1, 11))} FROM e),
+q AS (SELECT k, max(n) AS n, max(n) * (max(n) + 2.0) * ({' + '.join(f'pow(sum(p{i}) / sum(e * e), 2) / (max(n) - {i})' for i in range(1, 11))}) AS q FROM l GROUP BY k HAVING max(n) > 10)
+SELECT k, n, round(q, 6) AS q, round(exp(-q / 2) * (1 + q / 2 + pow(q / 2, 2) / 2 + pow(q / 2, 3) / 6 + pow(q / 2, 4) / 24), 6) AS p_value FROM q""")
+def model_ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.to_date("l_shipdate").alias("date")).agg(F.avg("l_quantity").alias("x"))
+    return _rounded(lagmodels.ljung_box(days, ["k"], "date", "x", 10))
+
+
+def _lag_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    health, _ = _series(spark, sf_dir)
+    climate = exposure.daily(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("x")), "k", "date", ["x"])
+    return lagmodels.lag_fits(health.groupBy("k", "date").agg(F.count("*").alias("n")), climate, "k", "n", "x", lags=5, knots=[18.0, 25.0, 32.0], bounds=(0.0, 51.0), reference=25.0)
+
+
+@register("fit_lag_surface")
+def fit_lag_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lagmodels.lag_surface(_lag_fits(spark, sf_dir), "k", points=10))
+
+
+@register("fit_lag_pooled")
+def fit_lag_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = lagmodels.pool_vectors(_lag_fits(spark, sf_dir), "k")
+    return _rounded(lagmodels.curve(spark, pooled.mean, pooled.cov, [18.0, 25.0, 32.0], (0.0, 51.0), 25.0, [float(x) for x in range(10, 41, 3)]))
+
+
+@register("fit_conditional_logit")
+def fit_conditional_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("k"), F.to_date("o_orderdate").alias("date")).agg(F.count_if(F.col("o_totalprice") > 420_000).alias("n"), (F.avg("o_totalprice") / 100_000).alias("x"))
+    design = days.withColumn("stratum", F.date_format("date", "yyyy-MM"))
+    return _rounded(lagmodels.conditional_logit(design, "k", "stratum", "n", ["x"]))
+
+
+@register("fit_boosted_folds")
+def fit_boosted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, off, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (price * (1 - off) * (1 + tax)).alias("y"), price.alias("price"), off.alias("off"), tax.alias("tax"), "l_quantity")
+    _, metrics, _ = boosting.out_of_fold(rows, "y", ["price", "off", "tax", "l_quantity"], "l_suppkey", 4, rounds=8, rate=0.4)
+    return _rounded(metrics, 3)
+
+
+# --- sources and small operators ------------------------------------------------------------------
+
+
+@register("source_rain_gauges", "SELECT 'g' || o_custkey % 30 AS gauge_code, 'c' || o_custkey % 30 AS city, 's' || o_custkey % 3 AS state, CAST(o_custkey % 30 AS DOUBLE) AS lat, CAST(-(o_custkey % 30) AS DOUBLE) AS long, date_trunc('month', o_orderdate) AS date, round(sum(o_totalprice / 1000), 6) AS rainfall_mm FROM orders WHERE year(o_orderdate) IN (1996, 1998) AND o_custkey % 3 IN (0, 2) GROUP BY ALL")
+def source_rain_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_custkey") % 30
+    orders = table(spark, sf_dir, "orders")
+    code = F.concat(F.lit("g"), n)
+    gauges = orders.select(code.alias("gauge_code"), F.concat(F.lit("c"), n).alias("city"), F.concat(F.lit("s"), F.col("o_custkey") % 3).alias("state"), n.cast("double").alias("lat"), (-n).cast("double").alias("long")).distinct()
+    return _rounded(tables.rain_gauges(orders.select(code.alias("gauge_code"), F.col("o_orderdate").alias("datetime"), (F.col("o_totalprice") / 1000).alias("rain_mm")), gauges, [1996, 1998], ["s0", "s2"], "month"))
+
+
+@register("source_climate_normals", """WITH w AS (SELECT c_nationkey AS codigo, avg(c_acctbal) AS janeiro_1, max(c_acctbal) AS "março_2", min(c_acctbal) AS dezembro_3 FROM customer GROUP BY 1)
+SELECT codigo, mes, decada, round(valor, 6) AS valor, 'tmed' AS var_code FROM (SELECT codigo, 1 AS mes, 1 AS decada, janeiro_1 AS valor FROM w UNION ALL SELECT codigo, 3, 2, "março_2" FROM w UNION ALL SELECT codigo, 12, 3, dezembro_3 FROM w)""")
+def source_climate_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("janeiro_1"), F.max("c_acctbal").alias("março_2"), F.min("c_acctbal").alias("dezembro_3"))
+    return _rounded(tables.numbered_months(tables.normals_long(wide, "c_nationkey", "tmed")))
+
+
+@register("source_particles", "SELECT event_id, round((value + value / 2 + event_id % 7 + 1.4 * (event_id % 5) + 1) * 1e-9 * 1e9, 6) AS pm25 FROM events")
+def source_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c: (c * 1e-9)
+    e = table(spark, sf_dir, "events").select("event_id", part(F.col("value")).alias("dust"), part(F.col("value") / 2).alias("sea_salt"), part(F.col("event_id") % 7).alias("black_carbon"), part(F.col("event_id") % 5).alias("organic_carbon"), part(F.lit(1.0)).alias("sulfate"))
+    return _rounded(tables.particulate_matter(e).select("event_id", "pm25"))
+
+
+@register("grid_valid_rain", "SELECT o_custkey % 50 AS code_muni, count(CASE WHEN o_orderkey % 9 > 0 THEN 1 END) AS n_known, round(avg(CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice / 1000 END), 6) AS rain FROM orders GROUP BY 1")
+def grid_valid_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rain = grids.valid_rain(F.when(F.col("o_orderkey") % 9 == 0, -9999.0).otherwise(F.col("o_totalprice") / 1000))
+    return _rounded(table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("code_muni")).agg(F.count(rain).alias("n_known"), F.avg(rain).alias("rain")))
+
+
+@register("grid_coverage", "SELECT round(count(DISTINCT CASE WHEN d IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_suppkey % 7 = 3 AND l_linenumber > 3) THEN d END) / count(DISTINCT d), 6) AS coverage FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)")
+def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 = 3 and l_linenumber > 3").select(F.col("l_shipdate").alias("date"))  # noqa: E741
+    return _rounded(grids.coverage_ratio(table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("date")), l))
+
+
+@register("index_confidence", "SELECT event_id, CASE WHEN value >= 95 THEN 'extreme' WHEN value >= 70 THEN 'high' WHEN value <= 10 THEN 'low' ELSE 'normal' END AS flag FROM events")
+def index_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", thermal.confidence_flag(F.col("value"), 10, 70, 95).alias("flag"))
+
+
+@register("model_geometric", "SELECT c_nationkey, c_mktsegment, round(exp(avg(ln(1 + (c_custkey % 100) / 50.0))), 6) AS rr, count(*) AS n FROM customer GROUP BY ALL")
+def model_geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inference.geometric_aggregate(table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", (1 + F.col("c_custkey") % 100 / 50).alias("rr")), ["c_nationkey", "c_mktsegment"], "rr"))
+
+
+@register("quality_stuck_runs", """WITH h AS (SELECT user_id, event_id, floor(value / 20) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, floor(value / 20) ORDER BY event_id) AS g FROM events)
+SELECT user_id, event_id, CASE WHEN count(*) OVER (PARTITION BY user_id, v, g) <= 2 THEN v END AS v FROM h""")
+def quality_stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") / 20).cast("double").alias("v"))
+    return quality.stuck_runs(e, "v", ["user_id"], "event_id", 2)
+
+
+_CURVES = "SELECT l_linenumber AS k, CAST(floor(l_quantity / 10) AS DOUBLE) AS exposure, avg(l_discount) AS log_rr, 0.01 + stddev_samp(l_discount) / sqrt(count(*)) AS se FROM lineitem GROUP BY ALL"
+
+
+@register("model_pooled_curves", f"""WITH c AS ({_CURVES}), a AS (SELECT exposure, count(*) AS n, sum(1 / (se * se)) AS w, sum(1 / pow(se, 4)) AS ww, sum(log_rr / (se * se)) AS wy, sum(log_rr * log_rr / (se * se)) AS wyy FROM c GROUP BY 1),
+t AS (SELECT exposure, n, greatest(wyy - wy * wy / w, 0) AS q, coalesce(greatest((greatest(wyy - wy * wy / w, 0) - (n - 1)) / nullif(w - ww / w, 0), 0), 0) AS tau2 FROM a), e AS (SELECT c.exposure, sum(log_rr / (se * se + tau2)) / sum(1 / (se * se + tau2)) AS effect, 1 / sqrt(sum(1 / (se * se + tau2))) AS se FROM c JOIN t USING (exposure) GROUP BY 1)
+SELECT exposure, n, round(q, 6) AS q, round(tau2, 6) AS tau2, round(effect, 6) AS effect, round(se, 6) AS se, round(CASE WHEN q > 0 THEN greatest((q - (n - 1)) / q, 0) ELSE 0 END, 6) AS i2, round(exp(effect), 6) AS rr, round(exp(effect - 1.96 * se), 6) AS rr_lo, round(exp(effect + 1.96 * se), 6) AS rr_hi FROM t JOIN e USING (exposure)""")
+def model_pooled_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("l_discount")
+    curves = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.floor(F.col("l_quantity") / 10).cast("double").alias("exposure")).agg(F.avg(d).alias("log_rr"), (0.01 + F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"))
+    return _rounded(fits.pooled_curves(curves))
+
+
+@register("stream_daily_series", "SELECT date_trunc('day', ts) AS date, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregation over the whole table at once: a static frame takes the same plan."""
+    e = table(spark, sf_dir, "events").withColumn("one", F.lit(1))
+    out = series.stream_series(e, "ts", ["event_type"], {"n": ("sum", "one"), "total": ("sum", "value")})
+    return _rounded(out.withColumn("n", F.col("n").cast("bigint")), 4)
+
+
+@register("stream_spells", """WITH o AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, event_type, count(*) AS n FROM g GROUP BY user_id, event_type, g""")
+def stream_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.stream_spells(table(spark, sf_dir, "events"), "ts", ["user_id", "event_type"], "6 hours")

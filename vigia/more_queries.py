@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import codes, resolve, thermal
-from .operators import aggregate, events, exposure, filters, fits, grids, indicators, inference, joins, models, quality, spatial, standardize
+from .operators import aggregate, boosting, events, exposure, filters, fits, grids, indicators, inference, joins, models, quality, spatial, standardize
 from .queries import _CLIMATE, _DAYS, _GRID, _HEALTH, _ICD, _KM, _MONTHLY, _days, _diagnoses, _lattice, _monthly, _rounded, _series, register, table
 
 # --- records: from raw columns to a monthly series ------------------------------------------------
@@ -254,7 +254,7 @@ for _mechanism, _depends in (("MCAR", None), ("MAR", ["other"]), ("MNAR", None))
 @register("gap_filling")
 def gap_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("station"), "ts", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("v"))
-    return inference.fill_gaps(df, "station", "ts", "v")
+    return boosting.fill_gaps(df, "station", "ts", "v", rounds=10)
 
 
 @register("gap_time_features", "SELECT event_id, hour(ts) AS hour, isodow(ts) AS day_of_week, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) AS day_cos, hour(ts) >= 18 OR hour(ts) < 6 AS is_night FROM events")

@@ -1,4 +1,4 @@
-"""Inference on fitted or aggregated tables: permutation tests, meta-regression, intervals, gap filling, boosted trees."""
+"""Inference on fitted or aggregated tables: exceedance, projection, meta-regression, intervals."""
 
 from __future__ import annotations
 
@@ -74,53 +74,3 @@ def attributable_interval(df: DataFrame, key: str, cases: str, log_rr: str, se:
     moved = df.join(factor.withColumn("e", normal), key)
     an = moved.groupBy(key, "draw").agg(F.sum(F.col(cases) * (1 - F.exp(-(F.col(log_rr) + F.col("e") * F.col(se))))).alias("an"))
     return an.groupBy(key).agg(F.max(F.when(F.col("draw") == 0, F.col("an"))).alias("an"), F.percentile(F.when(F.col("draw") > 0, F.col("an")), 0.025).alias("an_lo"), F.percentile(F.when(F.col("draw") > 0, F.col("an")), 0.975).alias("an_hi"))
-
-
-def fill_gaps(df: DataFrame, station: str, timestamp: str, value: str, most_missing: float = 0.4, least_rows: int = 30, ridge: float = 1.0) -> DataFrame:
-    """Missing values of each station's series predicted from the hour, the season and interpolated neighbours.
-
-    Stations that miss more than ``most_missing`` are left out, as are those with under ``least_rows`` known rows left as they are.
-    Adds ``is_imputed_<value>``.  A station's series (a few years of hours) is one task's work.
-    """
-    share = df.groupBy(station).agg(F.avg(F.col(value).isNull().cast("double")).alias("__m")).where(F.col("__m") <= most_missing).select(station)
-    rows = df.join(share, station).select(station, timestamp, F.col(value).cast("double").alias(value))
-    flag = f"is_imputed_{value}"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(timestamp).reset_index(drop=True)
-        gap = pdf[value].isna().to_numpy()
-        pdf[flag] = False
-        if gap.any() and (~gap).sum() >= least_rows:
-            t = pd.to_datetime(pdf[timestamp])
-            hour, day = t.dt.hour.to_numpy() / 24, t.dt.dayofyear.to_numpy() / 365.25
-            # the last value strictly before and the first strictly after: a value is never its own predictor
-            before, after = pdf[value].ffill().shift(1), pdf[value].bfill().shift(-1)
-            before, after = before.fillna(after).to_numpy(), after.fillna(before).to_numpy()
-            x = np.column_stack([np.ones(len(pdf)), before, after, *[f(2 * np.pi * k * u) for u in (hour, day) for k in (1, 2) for f in (np.sin, np.cos)]])
-            a = x[~gap]
-            coef = np.linalg.solve(a.T @ a + ridge * np.eye(x.shape[1]), a.T @ pdf[value].to_numpy()[~gap])
-            known = pdf[value].to_numpy()[~gap]
-            pdf.loc[gap, value] = np.clip((x @ coef)[gap], known.min(), known.max())
-            pdf.loc[gap, flag] = True
-        return pdf
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(station).applyInPandas(fit, f"{station} {kinds[station]}, {timestamp} {kinds[timestamp]}, {value} double, {flag} boolean")
-
-
-def boosted_trees(df: DataFrame, outcome: str, features: list[str], group: str, folds: int = 5, rounds: int = 20, depth: int = 4) -> DataFrame:
-    """Out-of-fold predictions of gradient-boosted trees; a group (place) is never split between folds."""
-    from functools import reduce
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    from .models import group_folds
-
-    data = group_folds(df.dropna(subset=[outcome, *features]), group, folds)
-    data = VectorAssembler(inputCols=features, outputCol="__x").transform(data)
-    parts = []
-    for k in range(folds):
-        model = GBTRegressor(featuresCol="__x", labelCol=outcome, predictionCol="prediction", maxIter=rounds, maxDepth=depth, seed=42).fit(data.where(F.col("fold") != k))
-        parts.append(model.transform(data.where(F.col("fold") == k)).drop("__x"))
-    return reduce(DataFrame.unionByName, parts)

@@ -209,7 +209,7 @@ def pool_vectors(fits: DataFrame, key: str, coef: str = "reduced", cov: str = "r
     """Random-effects mean of places' coefficient vectors by restricted maximum likelihood, with each place's best prediction.
 
     y_i ~ N(mean, S_i + Psi), Psi a whole k x k covariance.  Fisher scoring: each round is one pass over the places in Spark, whose tasks add up small matrices; the
-    driver solves for the k (k + 1) / 2 parameters, keeps Psi non-negative, and halves a step that lowers the likelihood.  Places with a null or singular covariance have to be left out
+    driver solves for the k (k + 1) / 2 parameters, keeps Psi non-negative, halves a step that lowers the likelihood, and stops where none is left.  Places with a null or singular covariance have to be left out
     before.  ``blups``: ``key, blup, blup_cov``; with one place it is that place's own vector.
     """
     fits = cut(fits.where(F.col(coef).isNotNull() & F.col(cov).isNotNull()).select(key, F.col(coef).alias("y"), F.col(cov).alias("s")))
@@ -248,12 +248,15 @@ def pool_vectors(fits: DataFrame, key: str, coef: str = "reduced", cov: str = "r
         while True:
             new = positive(psi + size * step)
             then = _sums(fits, "y", "s", new)
-            if level(then) >= here - 1e-12 or size < 1e-4:
+            gain = level(then) - here
+            if gain >= -1e-12 or size < 0.1:
                 break
             size /= 2
+        if gain < -1e-12:  # no step from here goes up: the bound of a covariance, or the highest point within rounding
+            break
         moved = np.abs(new - psi).max()
         psi, now = new, then
-        if moved <= tolerance * (1 + np.abs(psi).max()):
+        if moved <= tolerance * (1 + np.abs(psi).max()) or gain <= tolerance**1.5:
             break
     inverse = np.linalg.inv(now["w"])
     mean = inverse @ now["wy"]
