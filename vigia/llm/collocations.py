@@ -18,7 +18,7 @@ MAX_N, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 UNKNOWN = "und"
 #: Text that a task combines before its n-grams become rows.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: A filter of frequent n-grams has 16 bits an n-gram, but 32 MB at most; a fuller one lets more rows through and loses none.
 FILTER_BITS = 1 << 28
 #: Parts that a language's ranking is first cut into.
@@ -149,22 +149,23 @@ def _filter(grams: DataFrame) -> np.ndarray:
 def frequent_grams(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """``lang, gram, c``: every n-gram of 1 to ``max_n`` words with at least ``least`` occurrences in its language, and all words' number as the empty one.
 
-    Texts are exploded into n-gram rows three times: words, pairs, and longer ones.  An n-gram can't be more frequent than its parts, so
-    the second and third time only n-grams whose parts may be frequent become rows: a filter of at most 32 MB says which, and
+    Texts are exploded into n-gram rows twice: words and pairs, then longer ones.  An n-gram can't be more frequent than its parts, so
+    the second time only n-grams whose pairs may be frequent become rows: a filter of at most 32 MB says which, and
     one that fills up lets rows through that the count drops.  Counts are exact: equal n-grams are combined by value in each
     slice, then by hash aggregation.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out, found = None, None
-    for sizes in [s for s in ((1,), (2,), tuple(range(3, max_n + 1))) if s and s[-1] <= max_n]:
-        rows = docs.mapInArrow(_exploded(sizes, found), _GRAMS)
-        if sizes[0] > 1:  # mostly rare n-grams, combined by slice: a second table of them before the shuffle takes memory and saves little
-            rows = rows.repartition("lang", "gram")
-        level = cut(rows.groupBy("lang", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least), gather=True)
-        out = level if out is None else out.unionByName(level)
-        if sizes[-1] < max_n:
-            found = (sizes[-1], docs.sparkSession.sparkContext.broadcast(_filter(level.where("gram <> ''"))))
-    return out
+    # mostly rare n-grams, combined by slice: a second table of them before the shuffle takes memory and saves little
+    rows = docs.mapInArrow(_exploded((1, 2)[:max_n], None), _GRAMS).repartition("lang", "gram")
+    short = cut(_counted(rows, least), gather=True)
+    if max_n < 3:
+        return short
+    found = docs.sparkSession.sparkContext.broadcast(_filter(short.where("gram like '% %'")))
+    return short.unionByName(cut(_counted(docs.mapInArrow(_exploded(tuple(range(3, max_n + 1)), (2, found)), _GRAMS), least), gather=True))
+
+
+def _counted(rows: DataFrame, least: int) -> DataFrame:
+    return rows.groupBy("lang", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def _joined(parts: F.Column, first: F.Column | int, length: F.Column | int) -> F.Column:
