@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,3 +514,12 @@ def test_html_deep_nesting_is_linear():
 
     took(500)
     assert took(16_000) < 16 * took(4_000)
+
+
+def test_toxicity_choices_by_cross_validation():
+    rng = random.Random(2)
+    clean = [" ".join(rng.choice(["river", "stone", "house", "cloud"]) for _ in range(12)) for _ in range(60)]
+    toxic = [" ".join([*t.split()[:6], rng.choice(["vile", "v1le", "vvile"]), *t.split()[6:]]) for t in clean[:40]]
+    texts = pa.array(clean + toxic, pa.large_string())
+    got = toxicity.cross_validate(texts, np.array([0] * 60 + [1] * 40), [(2, 4.0), (10**6, 4.0)], folds=2)
+    assert [g[:2] for g in got] == [(2, 4.0), (10**6, 4.0)] and got[0][2] > 0.9 and got[0][3] < 0.1
