@@ -195,3 +195,29 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     key = lambda df: sorted((r["date"], r["event_type"], r["n"], round(r["s"], 6)) for r in df.collect())
     assert key(spark.table("series")) == key(batch)
     assert series.stream_spells(events, "ts", ["user_id"]).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_nearest_stations_equal_all_pairs(spark):
+    """Over the whole globe: across the date line, at the poles, in empty oceans."""
+    import random
+
+    from vigia.operators import joins
+
+    rng = random.Random(3)
+    spots = lambda n, ocean: [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(n)] + ocean
+    places = spots(150, [(900, 0.0, 179.99), (901, 90.0, 0.0), (902, -89.9, 10.0), (903, 10.0, -180.0), (904, None, 1.0)])
+    stations = [(i, lat, lon) for i, lat, lon in spots(60, [(800, 0.1, -179.98), (801, 0.0, 178.0), (802, 10.0, 180.0)]) if not (0 < lon < 120 and i < 800)]
+
+    def km(a, b):
+        (x1, y1), (x2, y2) = (map(math.radians, v) for v in (a, b))
+        return 2 * 6371.0 * math.asin(min(1, math.sqrt(math.sin((x2 - x1) / 2) ** 2 + math.cos(x1) * math.cos(x2) * math.sin((y2 - y1) / 2) ** 2)))
+
+    shape = "lat double, lon double"
+    p, s = spark.createDataFrame(places, f"p int, {shape}"), spark.createDataFrame(stations, f"s int, {shape}")
+    got = {(r["p"], r["nth"]): r["s"] for r in joins._nearest(p, s, "p", "s", 3).collect()}
+    for i, lat, lon in places:
+        want = [x[1] for x in sorted((round(km((lat, lon), (a, b)), 4), j) for j, a, b in stations)[:3]] if lat is not None else []
+        assert [got.get((i, n)) for n in (1, 2, 3)] == (want or [None] * 3)
+    assert {r["p"]: r["s"] for r in joins.nearest_station(p, s, "p", "s").collect()} == {i: got[i, 1] for i, lat, _ in places if lat is not None}
+    near = joins._nearest(p, s, "p", "s", 2, within_km=600.0).collect()
+    assert {(r["p"], r["s"]) for r in near} == {(i, j) for i, lat, lon in places if lat is not None for n, (d, j) in enumerate(sorted((km((lat, lon), (a, b)), j) for j, a, b in stations)[:2]) if d <= 600}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import aggregate, haversine_km
+from ..functions.storage import cut
 
 
 def spatial_key_join(df: DataFrame, places: DataFrame, key: str, place_key: str) -> DataFrame:
@@ -48,32 +49,51 @@ def upsert(base: DataFrame, patch: DataFrame, by: list[str], columns: list[str])
     return base.join(new, by, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-#: Cells of the nearest-station search, in degrees, and stations that it takes at most (a world's network has some 100,000).
-CELL, MOST_STATIONS = 5.0, 200_000
+#: Sides in degrees of the cells of the station search, from near to far: the last one's neighbours are the whole globe.
+CELLS = (5, 15, 45, 180)
+_KM_A_DEGREE = 111.19
 
 
-def nearest_station(places: DataFrame, stations: DataFrame, place: str, station: str) -> DataFrame:
-    """Nearest station of each place: ``place, station, distance_km``; both tables have lat and lon, ties go to the smaller key.
+def _nearest(places: DataFrame, stations: DataFrame, place: str, station: str, k: int, within_km: float | None = None) -> DataFrame:
+    """``place, station, distance_km, nth``: the k nearest stations of each place, ties to the smaller key.
 
-    Stations are fewer than places and have a fixed number of fields; a place is held against the stations of its own and
-    the neighbouring cells first, and against all of them only where that can't be shown to be the nearest.
+    Places and stations meet in cells and the eight around them (across the date line too).  A place is done when its k-th station is nearer than anything beyond these cells
+    can be: the cells' side along the meridian, or the arc to the meridian a side away.  Only the others go on to larger cells; each round's result is written to the shared folder.
     """
-    if stations.limit(MOST_STATIONS + 1).count() > MOST_STATIONS:
-        raise ValueError(f"the search takes {MOST_STATIONS} stations at most")
-    s = stations.select(F.col(station), F.col("lat").alias("lat_s"), F.col("lon").alias("lon_s")).withColumns({"cx": F.floor(F.col("lon_s") / CELL), "cy": F.floor(F.col("lat_s") / CELL)})
-    around = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    p = places.select(F.col(place), F.col("lat").alias("lat_p"), F.col("lon").alias("lon_p"))
-    near = p.withColumn("d", F.explode(F.array(*around))).withColumns({"cx": F.floor(F.col("lon_p") / CELL) + F.col("d.dx"), "cy": F.floor(F.col("lat_p") / CELL) + F.col("d.dy")})
-    km = F.round(haversine_km(F.col("lat_p"), F.col("lon_p"), F.col("lat_s"), F.col("lon_s")), 6)
-    best = lambda df: df.withColumn("km", km).groupBy(place, "lat_p", "lon_p").agg(F.min(F.struct("km", station)).alias("m"))
-    first = best(near.join(s, ["cx", "cy"]))
-    # a station outside the nine cells is at least one cell away, measured along the parallel farther from the equator
-    safe = CELL * 111.0 * F.cos(F.radians(F.least(F.abs("lat_p") + CELL, F.lit(89.9))))
-    sure = first.where(F.col("m.km") <= F.least(safe, F.lit(CELL * 111.0)))
-    left = p.join(sure.select(place), place, "left_anti")
-    every = s.agg(F.collect_list(F.struct(F.col(station), "lat_s", "lon_s")).alias("__all"))
-    rest = best(left.crossJoin(every).select(*p.columns, F.explode("__all").alias("__s")).select(*p.columns, "__s.*"))
-    return sure.unionByName(rest).select(place, F.col(f"m.{station}").alias(station), F.col("m.km").alias("distance_km"))
+    s = stations.select(F.col(station).alias("__s"), F.col("lat").cast("double").alias("lat_s"), F.col("lon").cast("double").alias("lon_s"))
+    left = places.select(F.col(place).alias("__p"), F.col("lat").cast("double").alias("lat_p"), F.col("lon").cast("double").alias("lon_p"))
+    key, done = ["__p", "lat_p", "lon_p"], []
+    for side in CELLS:
+        n, last = 360 // side, side == CELLS[-1]
+        column = lambda lon, side=side, n=n: F.pmod(F.floor((F.col(lon) + 180) / side), F.lit(n))
+        around = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in ((-1, 0, 1) if n > 2 else (0, 1)) for y in (-1, 0, 1)]
+        own = s.withColumns({"cx": column("lon_s"), "cy": F.floor((F.col("lat_s") + 90) / side)})
+        near = left.withColumn("d", F.explode(F.array(*around))).withColumns({"cx": F.pmod(column("lon_p") + F.col("d.x"), F.lit(n)), "cy": F.floor((F.col("lat_p") + 90) / side) + F.col("d.y")}).drop("d")
+        pairs = near.join(own, ["cx", "cy"]).withColumn("km", F.round(haversine_km(F.col("lat_p"), F.col("lon_p"), F.col("lat_s"), F.col("lon_s")), 6))
+        if within_km is not None:
+            pairs = pairs.where(F.col("km") <= within_km)
+        best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("km", "__s"))).where(F.col("nth") <= k).select(*key, "__s", "km", "nth")
+        best = cut(best)
+        if last:
+            done.append(best)
+            break
+        arc = F.degrees(F.asin(F.cos(F.radians("lat_p")) * F.sin(F.radians(F.lit(float(side))))))
+        safe = F.least(F.lit(float(side)), arc) * (_KM_A_DEGREE - 0.01)
+        enough = (F.col("nth") == k) & (F.col("km") <= safe)
+        sure = best.where(enough).select(*key)
+        if within_km is not None:
+            sure = sure.unionByName(left.where(safe >= within_km).select(*key))
+        sure = sure.distinct()
+        done.append(best.join(sure, key, "left_semi"))
+        left = cut(left.join(sure, key, "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done).select(F.col("__p").alias(place), F.col("__s").alias(station), F.col("km").alias("distance_km"), "nth")
+
+
+def nearest_station(places: DataFrame, stations: DataFrame, place: str, station: str) -> DataFrame:
+    """Nearest station of each place: ``place, station, distance_km``; both tables have lat and lon, ties go to the smaller key.  Places without coordinates have no row."""
+    return _nearest(places, stations, place, station, 1).drop("nth")
 
 
 def station_missing_share(df: DataFrame, station: str, variables: list[str]) -> DataFrame:
@@ -110,22 +130,15 @@ def station_quality(df: DataFrame, station: str, variables: list[str], how: str
     return df.groupBy(station).agg(rule[how]().alias("quality"))
 
 
-def match_stations(places: DataFrame, stations: DataFrame, quality: DataFrame, place: str, station: str, k: int = 3, least: float = 0.7, within_km: float | None = None, most: int = 50_000) -> DataFrame:
+def match_stations(places: DataFrame, stations: DataFrame, quality: DataFrame, place: str, station: str, k: int = 3, least: float = 0.7, within_km: float | None = None) -> DataFrame:
     """The ``k`` nearest stations of good quality of each place: ``place, station, distance_km, quality, nth``.
 
-    Stations whose share of known values is under ``least`` are left out.  The others (a country's stations, ``most`` at most, else an error) go
-    to every task, and each place keeps its k nearest: no table of pairs is shuffled.
+    Stations whose share of known values is under ``least`` are left out; the others are searched as by ``nearest_station``, so that a place meets the
+    stations near it alone.
     """
-    good = stations.join(quality.where(F.col("quality") >= least), station).select(F.col(station).alias("s"), F.col("lat").cast("double").alias("la"), F.col("lon").cast("double").alias("lo"), "quality")
-    if good.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} stations")
-    listed = good.agg(F.array_sort(F.collect_list(F.struct("s", "la", "lo", "quality"))).alias("__all"))
-    km = lambda x: F.round(haversine_km(F.col("lat"), F.col("lon"), x["la"], x["lo"]), 6)
-    near = F.array_sort(F.transform("__all", lambda x: F.struct(km(x).alias("distance_km"), x["s"].alias("s"), x["quality"].alias("quality"))))
-    if within_km is not None:
-        near = F.filter(near, lambda x: x["distance_km"] <= within_km)
-    out = places.crossJoin(listed).select(place, F.posexplode(F.slice(near, 1, k)).alias("nth", "m"))
-    return out.select(place, F.col("m.s").alias(station), F.col("m.distance_km").alias("distance_km"), F.col("m.quality").alias("quality"), (F.col("nth") + 1).alias("nth"))
+    good = quality.where(F.col("quality") >= least).select(station, "quality")
+    found = _nearest(places, stations.join(good, station, "left_semi"), place, station, k, within_km)
+    return found.join(good, station).select(place, station, "distance_km", "quality", "nth")
 
 
 def recover_coordinates(df: DataFrame, stations: DataFrame, station: str) -> DataFrame:
