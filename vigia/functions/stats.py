@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def safe_sum(x: Column) -> Column:
     """Sum; 0 where every value is missing."""
@@ -72,7 +74,7 @@ def aggregates(wanted: dict[str, tuple[str, str]]) -> tuple[list[Column], dict[s
 def with_rank(df: DataFrame, value: str, name: str, cells: int = 256) -> DataFrame:
     """Average rank (from 1) of each row's ``value``, in parallel: rows are counted by cells between approximate quantiles, and ranked within
     their cell, so that no task sees the whole table.  Rows without a value get null."""
-    known = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__m"))
+    known = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__m")))  # read three times below
     edges = known.agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 10_000).alias("__edges"))
     known = known.crossJoin(edges).withColumn("__cell", F.size(F.filter("__edges", lambda x: x < F.col(value)))).drop("__edges")
     before = known.groupBy("__cell").agg(F.sum("__m").alias("__n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import thermal
-from .operators import boosting, econometrics, exposure, fits, geometry, grids, inference, lagmodels, quality, spatial
+from .operators import boosting, econometrics, exposure, filters, fits, geometry, grids, inference, joins, lagmodels, quality, spatial
 from .queries import _AREA, _CLIMATE, _GRID, _MORAN, _areas, _lattice, _rounded, _series, register, table
 from .sources import tables
 from .streaming import series
@@ -246,3 +246,35 @@ def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, event_type, count(*) AS n FROM g GROUP BY user_id, event_type, g""")
 def stream_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.stream_spells(table(spark, sf_dir, "events"), "ts", ["user_id", "event_type"], "6 hours")
+
+
+# --- places by name -------------------------------------------------------------------------------
+
+_MUNICIPALITIES = "SELECT 350000 + n_nationkey AS code_muni, 'São ' || n_name AS name, 's' || n_regionkey AS state FROM nation UNION ALL SELECT 360000 + n_nationkey, 'São ' || n_name, 's' || (n_regionkey + 1) % 5 FROM nation WHERE n_nationkey % 3 = 0"
+_WANTED = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' sao nation_' WHEN 1 THEN 'SÃO NATION_' ELSE 'São Nation_' END || c_custkey % 28 AS name, CASE WHEN c_custkey % 5 > 0 THEN 'S' || c_custkey % 28 % 5 END AS state FROM customer"
+
+
+def _municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    nation = table(spark, sf_dir, "nation")
+    row = lambda base, state: [(base + n).alias("code_muni"), F.concat(F.lit("São "), "n_name").alias("name"), F.concat(F.lit("s"), state).alias("state")]
+    return nation.select(*row(350000, r)).unionByName(nation.where(n % 3 == 0).select(*row(360000, (r + 1) % 5)))
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    start = F.when(k % 4 == 0, " sao nation_").when(k % 4 == 1, "SÃO NATION_").otherwise("São Nation_")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(start, k % 28).alias("name"), F.when(k % 5 > 0, F.concat(F.lit("S"), k % 28 % 5)).alias("state"))
+
+
+@register("demo_resolve_cities", f"""WITH m AS (SELECT code_muni, lower(strip_accents(trim(name))) AS n, upper(state) AS s FROM ({_MUNICIPALITIES})), w AS (SELECT name, state, lower(strip_accents(trim(name))) AS n, upper(state) AS s FROM ({_WANTED})),
+c AS (SELECT name, state, (SELECT count(*) FROM m WHERE m.n = w.n AND (w.s IS NULL OR m.s = w.s)) AS fits, (SELECT count(*) FROM m WHERE m.n = w.n) AS every, (SELECT min(code_muni) FROM m WHERE m.n = w.n AND (w.s IS NULL OR m.s = w.s)) AS code FROM w)
+SELECT name, state, CASE WHEN fits = 1 THEN code END AS code_muni, CASE WHEN fits > 0 THEN fits ELSE every END AS n_matches, CASE WHEN fits = 1 THEN 'ok' WHEN fits > 1 THEN 'ambiguous' WHEN every > 0 THEN 'other_state' ELSE 'unknown' END AS status FROM c""")
+def demo_resolve_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.resolve_cities(_wanted(spark, sf_dir), _municipalities(spark, sf_dir))
+
+
+@register("level_by_name", f"SELECT c_custkey, w.name, w.state, code_muni FROM ({_WANTED}) w JOIN ({_MUNICIPALITIES}) m ON lower(strip_accents(trim(w.name))) = lower(strip_accents(trim(m.name))) AND upper(w.state) = upper(m.state)")
+def level_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = _municipalities(spark, sf_dir).withColumnsRenamed({"name": "area", "state": "uf"})
+    return joins.level_join_by_name(_wanted(spark, sf_dir), areas, "name", "state", "area", "uf")

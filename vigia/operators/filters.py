@@ -46,3 +46,28 @@ def suggest_names(df: DataFrame, column: str, wanted: str, top: int = 5) -> Data
     distance = F.levenshtein(fold(F.col(column)), key)
     near = df.select(column).distinct().withColumn("distance", distance).where((F.col("distance") <= most) | fold(F.col(column)).startswith(key))
     return near.orderBy("distance", column).limit(top)
+
+
+def resolve_cities(wanted: DataFrame, municipalities: DataFrame) -> DataFrame:
+    """Codes of cities given by name: ``name, state, code_muni, n_matches, status`` for each row of ``wanted`` (``name, state``; a null state is any).
+
+    Names are compared without accents, case and outer blanks, states in upper case; ``municipalities`` has ``code_muni, name, state``.  status: ok (one municipality fits), ambiguous (several
+    do, a state is needed), other_state (the name is known, but not in that state), unknown.  Only ok rows have a code; n_matches counts what fits, in other states for other_state.
+    """
+    clean = lambda c: F.upper(F.trim(c))
+    known = municipalities.select(fold(F.col("name")).alias("__n"), clean("state").alias("__s"), "code_muni")
+    per_state = known.groupBy("__n", "__s").agg(F.count("*").alias("__here"), F.min("code_muni").alias("__code"))
+    per_name = known.groupBy("__n").agg(F.count("*").alias("__all"), F.min("code_muni").alias("__only"))
+    rows = wanted.select("name", "state", fold(F.col("name")).alias("__n"), clean("state").alias("__s"))
+    out = rows.join(per_state, ["__n", "__s"], "left").join(per_name, "__n", "left")
+    fits = F.when(F.col("__s").isNull(), F.col("__all")).otherwise(F.col("__here"))
+    status = F.when(fits == 1, "ok").when(fits > 1, "ambiguous").when(F.col("__all") > 0, "other_state").otherwise("unknown")
+    code = F.when(fits == 1, F.when(F.col("__s").isNull(), F.col("__only")).otherwise(F.col("__code")))
+    return out.select("name", "state", code.alias("code_muni"), F.coalesce(fits, "__all", F.lit(0)).alias("n_matches"), status.alias("status"))
+
+
+def filter_cities(df: DataFrame, resolved: DataFrame, column: str = "code_muni") -> DataFrame:
+    """Rows of the municipalities that ``resolve_cities`` has found, by six digits."""
+    six = lambda c: F.substring(F.col(c).cast("string"), 1, 6)
+    codes = resolved.where("status = 'ok'").select(six("code_muni").alias("__k")).distinct()
+    return df.join(codes, six(column) == codes["__k"], "left_semi")

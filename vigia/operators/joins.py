@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import fold
 from ..functions.stats import aggregate, haversine_km
 from ..functions.storage import cut
 
@@ -112,6 +113,19 @@ def level_join(df: DataFrame, places: DataFrame, levels: DataFrame, key: str, le
     return spatial_key_join(out, wanted.drop("level"), key, "code_muni").drop("code_muni")
 
 
+def level_join_by_name(df: DataFrame, areas: DataFrame, name: str, state: str, area_name: str = "name", area_state: str = "state") -> DataFrame:
+    """Records with the areas (schools, indigenous lands) of their municipality's name and state; inner.
+
+    Names are compared without accents, case and outer blanks, states in upper case.  An area in several municipalities has a row each; columns of the areas that the
+    records have too get the prefix ``area_``.
+    """
+    keys = lambda n, s: {"__n": fold(F.col(n)), "__s": F.upper(F.trim(F.col(s)))}
+    taken = {c.lower() for c in df.columns}
+    own = areas.withColumns(keys(area_name, area_state)).drop(area_name, area_state)
+    own = own.withColumnsRenamed({c: f"area_{c}" for c in own.columns if c.lower() in taken})
+    return df.withColumns(keys(name, state)).join(own, ["__n", "__s"]).drop("__n", "__s")
+
+
 def facility_join(df: DataFrame, facilities: DataFrame, key: str = "facility_code") -> DataFrame:
     """Left join on the seven-digit facility code with the latest row of each facility (by ``update_date`` where there is one)."""
     pad = lambda c: F.lpad(F.regexp_replace(F.col(c).cast("string"), "[^0-9]", ""), 7, "0")
