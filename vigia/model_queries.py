@@ -250,15 +250,15 @@ def stream_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- places by name -------------------------------------------------------------------------------
 
-_MUNICIPALITIES = "SELECT 350000 + n_nationkey AS code_muni, 'São ' || n_name AS name, 's' || n_regionkey AS state FROM nation UNION ALL SELECT 360000 + n_nationkey, 'São ' || n_name, 's' || (n_regionkey + 1) % 5 FROM nation WHERE n_nationkey % 3 = 0"
+_MUNICIPALITIES = "SELECT 350000 + n_nationkey AS code_muni, 'São ' || n_name AS name, 's' || n_regionkey AS state FROM nation UNION ALL SELECT 360000 + n_nationkey, 'São ' || n_name || CASE WHEN n_nationkey % 3 > 0 THEN ' do Sul' ELSE '' END, 's' || (n_regionkey + 1) % 5 FROM nation"
 _WANTED = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' sao nation_' WHEN 1 THEN 'SÃO NATION_' ELSE 'São Nation_' END || c_custkey % 28 AS name, CASE WHEN c_custkey % 5 > 0 THEN 'S' || c_custkey % 28 % 5 END AS state FROM customer"
 
 
 def _municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = F.col("n_nationkey"), F.col("n_regionkey")
     nation = table(spark, sf_dir, "nation")
-    row = lambda base, state: [(base + n).alias("code_muni"), F.concat(F.lit("São "), "n_name").alias("name"), F.concat(F.lit("s"), state).alias("state")]
-    return nation.select(*row(350000, r)).unionByName(nation.where(n % 3 == 0).select(*row(360000, (r + 1) % 5)))
+    row = lambda base, state, more: [(base + n).alias("code_muni"), F.concat(F.lit("São "), "n_name", more).alias("name"), F.concat(F.lit("s"), state).alias("state")]
+    return nation.select(*row(350000, r, F.lit(""))).unionByName(nation.select(*row(360000, (r + 1) % 5, F.when(n % 3 > 0, " do Sul").otherwise(""))))
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
