@@ -221,3 +221,17 @@ def test_nearest_stations_equal_all_pairs(spark):
     assert {r["p"]: r["s"] for r in joins.nearest_station(p, s, "p", "s").collect()} == {i: got[i, 1] for i, lat, _ in places if lat is not None}
     near = joins._nearest(p, s, "p", "s", 2, within_km=600.0).collect()
     assert {(r["p"], r["s"]) for r in near} == {(i, j) for i, lat, lon in places if lat is not None for n, (d, j) in enumerate(sorted((km((lat, lon), (a, b)), j) for j, a, b in stations)[:2]) if d <= 600}
+
+
+def test_cities_by_name(spark):
+    from vigia.operators import filters, joins
+
+    places = spark.createDataFrame([(3550308, "São Paulo", "SP"), (1, "Bom Jesus", "PI"), (2, "Bom Jesus", "SC"), (3, None, "SC")], "code_muni long, name string, state string")
+    wanted = spark.createDataFrame([("sao paulo ", None), ("Bom Jesus", None), ("BOM JESUS", "sc"), ("São Paulo", "RJ"), ("Nowhere", None), (None, "SP")], "name string, state string")
+    got = {(r["name"], r["state"]): (r["code_muni"], r["n_matches"], r["status"]) for r in filters.resolve_cities(wanted, places).collect()}
+    assert got == {("sao paulo ", None): (3550308, 1, "ok"), ("Bom Jesus", None): (None, 2, "ambiguous"), ("BOM JESUS", "sc"): (2, 1, "ok"), ("São Paulo", "RJ"): (None, 1, "other_state"), ("Nowhere", None): (None, 0, "unknown"), (None, "SP"): (None, 0, "unknown")}
+    rows = spark.createDataFrame([(355030, "a"), (3550308, "b"), (9, "c")], "code_muni long, v string")
+    assert {r["v"] for r in filters.filter_cities(rows, filters.resolve_cities(wanted, places)).collect()} == {"a", "b"}
+    areas = spark.createDataFrame([("SAO PAULO", "sp", "school", 7), ("Rio", "RJ", "school", 8)], "name string, state string, kind string, v int")
+    out = joins.level_join_by_name(spark.createDataFrame([("São Paulo", "SP", "x"), ("Rio", "SP", "y")], "city string, uf string, v string"), areas, "city", "uf").collect()
+    assert [(r["city"], r["v"], r["kind"], r["area_v"]) for r in out] == [("São Paulo", "x", "school", 7)]
