@@ -60,18 +60,18 @@ def test_mode_and_spread_equal_a_dense_solve(spark, family):
     trials = e.round() + 60
     areas, links = tables(spark, w, x=x, e=e, y=y if family == "poisson" else np.minimum(y, trials), n=trials)
     options = {"expected": "e"} if family == "poisson" else {"trials": "n"}
-    fit = bayes.car_model(areas, links, "k", "y", ["x"], family=family, rho=0.8, tau2=0.3, draws=400, **options)
+    fit = bayes.car_model(areas, links, "k", "y", ["x"], family=family, rho=0.8, tau2=0.3, draws=200, **options)
     design = np.column_stack((np.ones(len(x)), x))
     at, cov, f = dense(w, design, y if family == "poisson" else np.minimum(y, trials), np.log(e) if family == "poisson" else 0.0, 0.8, 0.3, family, trials)
     fixed = {r["term"]: r for r in fit.fixed.collect()}
     for m, term in enumerate(("intercept", "x")):
         sd = math.sqrt(cov[m, m])
-        assert abs(fixed[term]["mean"] - at[m]) < 0.2 * sd
-        assert abs(fixed[term]["sd"] / sd - 1) < 0.15
+        assert abs(fixed[term]["mean"] - at[m]) < 0.25 * sd
+        assert abs(fixed[term]["sd"] / sd - 1) < 0.2
     sd = np.sqrt(np.diag(cov))[2:]
     for r in fit.areas.collect():
-        assert abs(r["effect"] - at[2 + r["k"]]) < 0.25 * sd[r["k"]]
-        assert abs(r["effect_sd"] / sd[r["k"]] - 1) < 0.2
+        assert abs(r["effect"] - at[2 + r["k"]]) < 0.3 * sd[r["k"]]
+        assert abs(r["effect_sd"] / sd[r["k"]] - 1) < 0.25
         line = f @ at
         assert r["rr_lo"] < math.exp(line[r["k"]]) < r["rr_hi"]
     lines = {}
@@ -79,15 +79,15 @@ def test_mode_and_spread_equal_a_dense_solve(spark, family):
         lines.setdefault(r["k"], {})[r["i"]] = r["eta"]
     drawn = np.array([[v[i] for i in range(len(w))] for v in lines.values()])
     truth = f @ cov @ f.T  # neighbours move together as they should
-    assert abs(np.cov(drawn.T) - truth).max() < 0.2 * np.diag(truth).max()
+    assert abs(np.cov(drawn.T) - truth).max() < 0.3 * np.diag(truth).max()
     model = fit.model.first()
     assert 0 < model["p_d"] < len(w) and model["dic"] > model["deviance"]
 
 
 def test_hyperparameters_meet_the_dense_fixed_point(spark):
-    w, x, e, y = counts(5, 8)
+    w, x, e, y = counts(4, 8)
     areas, links = tables(spark, w, x=x, e=e, y=y)
-    fit = bayes.car_model(areas, links, "k", "y", ["x"], expected="e", draws=150).model.first()
+    fit = bayes.car_model(areas, links, "k", "y", ["x"], expected="e", draws=100, powers=24).model.first()
     n, design = len(y), np.column_stack((np.ones(len(x)), x))
     lap = np.diag(w.sum(1)) - w
     values = np.linalg.eigvalsh(lap)

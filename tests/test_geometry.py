@@ -121,3 +121,24 @@ def test_km_of_degrees(spark):
     got = geometry.polygon_areas(geometry.equal_area(spark.createDataFrame([(1, [ring])], SHAPE), "k"), "k").first()["area"]
     want = geometry.RADIUS_KM**2 * math.radians(1) * (math.sin(math.radians(11)) - math.sin(math.radians(10)))
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_point_on_surface(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        steps = sorted(rng.uniform(0, 2 * math.pi) for _ in range(12))
+        star = [(math.cos(a) * (r := rng.uniform(0.3, 2)), math.sin(a) * r) for a in steps]
+        rows.append((k, [star]))
+    rows.append((90, [[(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)], [(1.0, 1.0), (5.5, 1.0), (5.5, 5.0), (1.0, 5.0)]]))
+    rows += [(91, []), (92, None), (93, [[(0.0, 0.0), (1.0, 0.0)]]), (94, [[(0.0, 1.0), (2.0, 1.0), (4.0, 1.0)]])]
+    df = spark.createDataFrame(rows, SHAPE)
+    found = {r["k"]: (r["x"], r["y"]) for r in geometry.point_on_surface(df, "k").collect()}
+    assert set(found) == {*range(40), 90}  # no area, no point
+
+    def inside(ring, x, y):
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+    assert all(inside(r[1][0], *found[r[0]]) for r in rows[:40])
+    assert found[90] == (0.5, 3.0)  # left of the hole, where the part is wider than on its right
+    assert geometry.point_on_surface(df.where("false"), "k").count() == 0

@@ -174,3 +174,26 @@ def test_branches_run_common_steps_once(spark):
     for r, own in zip(results, recipes, strict=True):
         alone = recipe.run(own, source)
         assert sorted(map(tuple, r.df.collect()), key=repr) == sorted(map(tuple, alone.df.collect()), key=repr) and r.meta == alone.meta
+
+
+def test_counterfactual_of_interruptions(spark):
+    from vigia.operators import fits, models
+
+    days = [(f"2020-{m:02d}-01", k, float(100 + 2 * m - 30 * (m >= 7))) for m in range(1, 13) for k in ("a", "b")]
+    design = models.interrupted_design(spark.createDataFrame(days, "date string, k string, n double"), "date", "2020-07-01", 0)
+    coefs = fits.interrupted_series(design, "k", "n", ["time", "step", "slope"])
+    out = models.interruption_counterfactual(design, coefs, "n", "k")
+    rows = out.collect()
+    assert len(rows) == 24
+    for r in rows:
+        assert abs(r["fitted"] - r["n"]) < 1.5
+        before = r["date"] < "2020-07-01"
+        assert r["segment"] == (0 if before else 1)
+        assert abs(r["counterfactual"] - r["fitted"]) < 1e-9 if before else r["counterfactual"] > r["fitted"] + 20
+    means = {r["segment"]: r for r in models.segment_means(out, "n", "k").where("k = 'a'").collect()}
+    assert means[0]["mean_observed"] == 107 and means[1]["mean_observed"] == 89
+    assert abs(means[0]["change_percent"]) < 0.5 and -30 < means[1]["change_percent"] < -20
+    with pytest.raises(ValueError, match="no column"):
+        models.interruption_counterfactual(design.drop("slope"), coefs, "n", "k")
+    one = models.interruption_counterfactual(design.where("k = 'a'"), coefs.where("k = 'a'").drop("k"), "n")
+    assert one.count() == 12 and models.segment_means(one, "n").count() == 2

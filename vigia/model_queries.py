@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import thermal
-from .operators import boosting, econometrics, exposure, filters, fits, geometry, grids, inference, joins, lagmodels, quality, spatial
+from .operators import aggregate, bayes, boosting, econometrics, exposure, filters, fits, geometry, grids, inference, joins, lagmodels, models, quality, spatial
 from .queries import _AREA, _CLIMATE, _GRID, _MORAN, _areas, _lattice, _rounded, _series, register, table
 from .sources import tables
 from .streaming import series
@@ -278,3 +278,52 @@ def demo_resolve_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def level_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = _municipalities(spark, sf_dir).withColumnsRenamed({"name": "area", "state": "uf"})
     return joins.level_join_by_name(_wanted(spark, sf_dir), areas, "name", "state", "area", "uf")
+
+
+# --- points inside, interruptions, Bayesian maps --------------------------------------------------
+
+
+@register("geometry_point_on_surface", f"SELECT k, CAST(x + CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 2 END AS DOUBLE) AS x, CAST(y + CASE kind WHEN 0 THEN 3 ELSE 2 END AS DOUBLE) AS y FROM ({_SQUARES})")
+def geometry_point_on_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(geometry.point_on_surface(_squares(spark, sf_dir), "k"))
+
+
+_MONTHS = """m AS (SELECT o_orderpriority AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n FROM orders GROUP BY ALL), d AS (SELECT *, date - (SELECT min(date) FROM m) AS time, (date >= DATE '1995-01-01')::INT AS step1, greatest(date - DATE '1995-01-01', 0) AS slope1, (date >= DATE '1997-07-01')::INT AS step2, greatest(date - DATE '1997-07-01', 0) AS slope2 FROM m),
+b AS (SELECT o_orderpriority AS k, ln(avg(o_totalprice) / 10000) AS b0, avg(o_custkey % 3 + 1) / 10000 AS b1, count(*) / (SELECT count(*) FROM orders) AS b2 FROM orders GROUP BY 1),
+f AS (SELECT d.*, step1 + step2 AS segment, exp(b0 + b1 * time) AS c, b2 * step1 - b2 / 2 * step2 + b1 / 3 * slope2 AS g FROM d JOIN b USING (k))"""
+
+
+def _counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months a priority with two interruptions, under coefficients made of the orders' means."""
+    orders = table(spark, sf_dir, "orders")
+    months = aggregate.aggregate_series(orders, "o_orderdate", "month", "count", ["o_orderpriority"]).withColumnRenamed("o_orderpriority", "k")
+    design = models.interrupted_design(months, "date", ["1995-01-01", "1997-07-01"], 0)
+    means = orders.groupBy(F.col("o_orderpriority").alias("k")).agg(F.log(F.avg("o_totalprice") / 10000).alias("b0"), (F.avg(F.col("o_custkey") % 3 + 1) / 10000).alias("b1"), F.count("*").alias("b2"))
+    means = means.crossJoin(F.broadcast(orders.agg(F.count("*").alias("all")))).withColumn("b2", F.col("b2") / F.col("all"))
+    terms = {"intercept": F.col("b0"), "time": F.col("b1"), "step1": F.col("b2"), "step2": -F.col("b2") / 2, "slope2": F.col("b1") / 3}
+    coefs = means.select("k", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), v.cast("double").alias("estimate")) for t, v in terms.items()])).alias("c")).select("k", "c.term", "c.estimate")
+    return models.interruption_counterfactual(design, coefs, "n", "k")
+
+
+@register("model_its_counterfactual", f"WITH {_MONTHS} SELECT k, date, n, segment, round(c * exp(g), 4) AS fitted, round(c, 4) AS counterfactual, round(c - n, 4) AS avoided, round(exp(g), 4) AS ratio FROM f")
+def model_its_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_counterfactual(spark, sf_dir).select("k", "date", "n", "segment", "fitted", "counterfactual", "avoided", "ratio"), 4)
+
+
+@register("model_its_segments", f"WITH {_MONTHS} SELECT k, segment, count(*) AS n, round(avg(n), 4) AS mean_observed, round(avg(c * exp(g)), 4) AS mean_fitted, round(avg(c), 4) AS mean_counterfactual, round(100 * (sum(n) / sum(c) - 1), 4) AS change_percent FROM f GROUP BY ALL")
+def model_its_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(models.segment_means(_counterfactual(spark, sf_dir), "n", "k"), 4)
+
+
+@register("fit_spatial_bayes")
+def fit_spatial_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count_if(F.col("c_acctbal") > 5000).alias("y"), (F.count("*") * 0.45).alias("e"), F.avg((F.col("c_custkey") * 37 % 101) / 100).alias("x"))
+    return _rounded(bayes.car_model(areas, _lattice(spark, sf_dir).withColumn("w", F.lit(1.0)), "k", "y", ["x"], "e", rho=0.9, tau2=0.1).areas, 4)
+
+
+@register("fit_space_time_bayes")
+def fit_space_time_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    panel = orders.groupBy(F.col("c_nationkey").alias("k"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("e"), F.count_if(F.col("o_totalprice") > 150000).alias("y"))
+    fit = bayes.space_time_model(panel, _lattice(spark, sf_dir).withColumn("w", F.lit(1.0)), "k", "year", "y", expected="e", rho=0.9, tau2=0.1)
+    return _rounded(inference.exceedance_probability(fit.areas, "rr", "rr_lo", "rr_hi", [0.5]), 4)

@@ -152,3 +152,23 @@ def cleared_overlaps(cleared: DataFrame, places: DataFrame, place: str, cell: fl
     width = math.radians(cell) * RADIUS_KM if degrees else cell
     found = overlaps(shape(cleared, "uid"), shape(places, place), "uid", place, width)
     return found.join(cleared.select("uid", "year", "biome"), "uid").select(place, "year", "biome", "uid", F.col("area").alias("km2"))
+
+
+def point_on_surface(polygons: DataFrame, key: str) -> DataFrame:
+    """``key, x, y``: a point inside each polygon: the middle of the widest part of a level line that lies in it (of equal ones, the leftmost).
+
+    The line runs halfway between the vertices' heights next above and next below (or at) the middle of the polygon's box, so that it meets no vertex.  Vertices and edges are rows: heights are
+    found by two sums, and only the edges that cross the line are sorted.  Rings of fewer than three vertices count for nothing; a polygon without height or area on the line has no row; repeated keys are
+    one polygon.
+    """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    edges = polygons.select(key, F.explode(F.filter(rings, lambda r: F.size(r) > 2)).alias("r")).select(key, F.explode(_edges_of(F.col("r"))).alias("e")).select(key, *[F.col(f"e.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    box = edges.groupBy(key).agg(((F.min("y1") + F.max("y1")) / 2).alias("mid"))
+    line = edges.join(box, key).groupBy(key).agg(F.max(F.when(F.col("y1") <= F.col("mid"), F.col("y1"))).alias("low"), F.min(F.when(F.col("y1") > F.col("mid"), F.col("y1"))).alias("high"))
+    line = line.select(key, ((F.col("low") + F.col("high")) / 2).alias("y"))
+    met = edges.join(line, key).where((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
+    met = met.select(key, "y", (F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1"))).alias("x"))
+    order = Window.partitionBy(key).orderBy("x")
+    parts = met.select(key, "y", "x", F.row_number().over(order).alias("n"), F.lead("x").over(order).alias("end")).where((F.col("n") % 2 == 1) & (F.col("end") > F.col("x")))
+    best = parts.groupBy(key, "y").agg(F.max_by(F.struct("x", "end"), F.struct(F.col("end") - F.col("x"), -F.col("x"))).alias("p"))
+    return best.select(key, ((F.col("p.x") + F.col("p.end")) / 2).alias("x"), "y")

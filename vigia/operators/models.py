@@ -139,3 +139,31 @@ def weighted_pillars(df: DataFrame, key: str, pillars: dict[str, dict[str, float
         mass = sum((F.when(flip[c].isNotNull(), w).otherwise(0.0) for c, w in group.items()), F.lit(0.0))
         out[name] = top / F.nullif(mass, F.lit(0.0))
     return df.select(key, *[x.alias(n) for n, x in out.items()])
+
+
+def interruption_counterfactual(design: DataFrame, coefs: DataFrame, cases: str, key: str | None = None) -> DataFrame:
+    """The segmented model's fitted cases, and those expected without the interruptions: ``segment, fitted, counterfactual, avoided, ratio`` besides the design.
+
+    ``design`` comes from ``interrupted_design``, ``coefs`` (``[key,] term, estimate``) from ``fits.interrupted_series``: a few rows a key.  The counterfactual leaves out all ``step*`` and ``slope*`` terms;
+    ``segment`` counts the interruptions begun.  Rows of a key without coefficients are left out; a term of the fit that the design lacks is an error, a null term gives nulls.
+    """
+    keys = [key] if key else []
+    terms = [c for c in design.columns if c == "time" or c.rstrip("0123456789") in ("step", "slope", "sin", "cos")]
+    steps = [c for c in terms if c.rstrip("0123456789") == "step"]
+    wide = coefs.groupBy(*keys).agg(F.max(F.when(F.col("term") == "intercept", F.col("estimate"))).alias("__intercept"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("estimate"))), F.lit(0.0)).alias(f"__{t}") for t in terms])
+    strange = coefs.where(~F.col("term").isin("intercept", *terms)).limit(1).collect()
+    if strange:
+        raise ValueError(f"the design has no column {strange[0]['term']}")
+    joined = design.join(F.broadcast(wide), keys) if keys else design.crossJoin(F.broadcast(wide))  # without a key, one row
+    gone = sum((F.col(f"__{t}") * F.col(t) for t in terms if t.startswith(("step", "slope"))), F.lit(0.0))
+    kept = sum((F.col(f"__{t}") * F.col(t) for t in terms if not t.startswith(("step", "slope"))), F.col("__intercept"))
+    out = joined.withColumns({"segment": sum((F.col(s) for s in steps), F.lit(0)), "fitted": F.exp(kept + gone), "counterfactual": F.exp(kept)})
+    out = out.withColumns({"avoided": F.col("counterfactual") - F.col(cases), "ratio": F.exp(gone)})
+    return out.drop("__intercept", *[f"__{t}" for t in terms])
+
+
+def segment_means(counterfactual: DataFrame, cases: str, key: str | None = None) -> DataFrame:
+    """A row a segment (and key): ``n, mean_observed, mean_fitted, mean_counterfactual, change_percent``, the last of observed against counterfactual sums (null where that is 0)."""
+    by = [key, "segment"] if key else ["segment"]
+    change = 100 * (F.sum(cases) / F.nullif(F.sum("counterfactual"), F.lit(0.0)) - 1)
+    return counterfactual.groupBy(*by).agg(F.count("*").alias("n"), F.avg(cases).alias("mean_observed"), F.avg("fitted").alias("mean_fitted"), F.avg("counterfactual").alias("mean_counterfactual"), change.alias("change_percent"))
