@@ -283,9 +283,10 @@ def level_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- points inside, interruptions, Bayesian maps --------------------------------------------------
 
 
-@register("geometry_point_on_surface", f"SELECT k, CAST(x + CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 2 END AS DOUBLE) AS x, CAST(y + CASE kind WHEN 0 THEN 3 ELSE 2 END AS DOUBLE) AS y FROM ({_SQUARES})")
+@register("geometry_point_on_surface", f"SELECT -1 - k AS k, CAST(x + CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 2 END AS DOUBLE) AS x, CAST(y + CASE kind WHEN 0 THEN 3 ELSE 2 END AS DOUBLE) AS y FROM ({_SQUARES}) UNION ALL SELECT uid, round(x + w / 2, 6), round(y + h / 2, 6) FROM ({_RECTANGLES})")
 def geometry_point_on_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(geometry.point_on_surface(_squares(spark, sf_dir), "k"))
+    shapes = _rectangles(spark, sf_dir).select(F.col("uid").cast("bigint").alias("k"), F.array("ring").alias("rings"))
+    return _rounded(geometry.point_on_surface(shapes.unionByName(_squares(spark, sf_dir).select((-1 - F.col("k")).cast("bigint").alias("k"), "rings")), "k"))
 
 
 _MONTHS = """m AS (SELECT o_orderpriority AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n FROM orders GROUP BY ALL), d AS (SELECT *, date - (SELECT min(date) FROM m) AS time, (date >= DATE '1995-01-01')::INT AS step1, greatest(date - DATE '1995-01-01', 0) AS slope1, (date >= DATE '1997-07-01')::INT AS step2, greatest(date - DATE '1997-07-01', 0) AS slope2 FROM m),
