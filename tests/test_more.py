@@ -186,3 +186,21 @@ def test_parallel_ranks(spark):
     known = sorted(v for v in values if v is not None)
     for i, v in enumerate(values):
         assert got[i] == (None if v is None else np.searchsorted(known, v, "left") + (np.searchsorted(known, v, "right") - np.searchsorted(known, v, "left") + 1) / 2)
+
+
+def test_interval_draws_once_a_row_and_matches_plain_percentiles(spark, sf_dir):
+    from statistics import NormalDist
+
+    import __spark_entry__
+    from vigia.functions import thermal
+
+    plan = __spark_entry__.queries()["index_interval"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "array_sort" not in plan
+    df = spark.createDataFrame([(20.0,), (35.25,), (None,)], "t double")
+    got = df.select("t", thermal.interval(thermal.cooling_degrees, {"t": F.col("t")}, {"t": 0.5}).alias("i")).select("t", "i.low", "i.high").collect()
+    for t, low, high in got:
+        if t is None:
+            assert low == high == 0.0  # greatest() passes over nulls, in SQL too
+            continue
+        s = sorted(max(t + 0.5 * NormalDist().inv_cdf((0.5 + i * 0.6180339887498949) % 1.0 * 0.999999 + 5e-7) - 18, 0) for i in range(1, 201))
+        assert abs(low - (s[4] * 0.025 + s[5] * 0.975)) < 0.06 and abs(high - (s[194] * 0.975 + s[195] * 0.025)) < 0.06

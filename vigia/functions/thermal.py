@@ -106,26 +106,33 @@ def confidence_flag(x: Column, low: float, high: float, extreme: float) -> Colum
     return F.when(x >= extreme, "extreme").when(x >= high, "high").when(x <= low, "low").otherwise("normal")
 
 
-def uncertainty(index, values: dict[str, Column], spread: dict[str, float], draws: int = 200) -> tuple[Column, Column]:
-    """2.5 and 97.5 percentiles of ``index(**values)`` under normal errors of the inputs.
+def interval(index, values: dict[str, Column], spread: dict[str, float], draws: int = 200) -> Column:
+    """A struct of ``low`` and ``high``, the 2.5 and 97.5 percentiles of ``index(**values)`` under normal errors of the inputs.
 
     ``spread``: standard deviation of each uncertain input; draws of the inputs follow the golden-ratio sequence (a fixed
-    set that covers the normal distribution evenly), so that the interval is the same in every run.  All draws of a row stay in that row.
+    set that covers the normal distribution evenly), so that the interval is the same in every run.  All draws of a row stay in that row; their errors are constants of the
+    plan, and a row draws and sorts once.
     """
-    from ..operators.events import normal_quantile
+    from ..operators.events import normal_quantile_of
 
     names = [n for n in values if spread.get(n)]
     step = {n: (0.6180339887498949, 0.7548776662466927, 0.5698402909980532, 0.8191725133961645)[k] for k, n in enumerate(names)}
+    errors = [F.lit([spread[n] * normal_quantile_of((0.5 + i * step[n]) % 1.0 * 0.999999 + 5e-7) for i in range(1, draws + 1)]).alias(n) for n in names]
+    if names:
+        drawn = F.transform(F.arrays_zip(*errors), lambda e: index(**{n: v + e[n] if n in step else v for n, v in values.items()}))
+    else:
+        drawn = F.array_repeat(index(**values), draws)
 
-    def one(i: Column) -> Column:
-        moved = {n: v + spread[n] * normal_quantile(F.pmod(0.5 + i * step[n], F.lit(1.0)) * 0.999999 + 5e-7) if n in step else v for n, v in values.items()}
-        return index(**moved)
-
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: one(i.cast("double"))))
-
-    def at(p: float) -> Column:
+    def at(ordered: Column, p: float) -> Column:
         place = p * (draws - 1)
         k, part = int(place), place - int(place)
-        return F.round(F.get(drawn, F.lit(k)) * (1 - part) + F.get(drawn, F.lit(min(k + 1, draws - 1))) * part, 2)
+        return F.round(F.get(ordered, F.lit(k)) * (1 - part) + F.get(ordered, F.lit(min(k + 1, draws - 1))) * part, 2)
 
-    return at(0.025), at(0.975)
+    once = F.array(F.sort_array(F.array_compact(drawn)))  # nulls count as last
+    return F.get(F.transform(once, lambda s: F.struct(at(s, 0.025).alias("low"), at(s, 0.975).alias("high"))), F.lit(0))
+
+
+def uncertainty(index, values: dict[str, Column], spread: dict[str, float], draws: int = 200) -> tuple[Column, Column]:
+    """The two ends of ``interval`` as columns; each draws anew, so select the struct first where both are needed."""
+    both = interval(index, values, spread, draws)
+    return both["low"], both["high"]

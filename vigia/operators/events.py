@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,23 +200,39 @@ def active_days(flags: DataFrame, method: str, station: str) -> DataFrame:
     return flags.where(F.col(method)).groupBy(station, F.year("date").alias("year")).agg(F.count("*").alias("n_days"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-def normal_quantile(p: Column) -> Column:
-    """Standard normal quantile by a rational approximation (relative error under 1.2e-9)."""
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+#: Coefficients of the normal quantile's rational approximation.
+_QUANTILE = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+
+
+def _poly(k: tuple[float, ...], x):
+    out = F.lit(k[0]) if isinstance(x, Column) else k[0]
+    for v in k[1:]:
+        out = out * x + v
+    return out
 
-    def poly(k: tuple[float, ...], x: Column) -> Column:
-        out = F.lit(k[0])
-        for v in k[1:]:
-            out = out * x + v
-        return out
 
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile by a rational approximation (relative error under 1.2e-9)."""
+    a, b, c, d = _QUANTILE
     q = p - 0.5
     r = q * q
     low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
-    return F.when(p < 0.02425, poly(c, low) / poly(d, low)).when(p <= 1 - 0.02425, q * poly(a, r) / poly(b, r)).otherwise(-poly(c, high) / poly(d, high))
+    return F.when(p < 0.02425, _poly(c, low) / _poly(d, low)).when(p <= 1 - 0.02425, q * _poly(a, r) / _poly(b, r)).otherwise(-_poly(c, high) / _poly(d, high))
+
+
+def normal_quantile_of(p: float) -> float:
+    """``normal_quantile`` of a number."""
+    a, b, c, d = _QUANTILE
+    if 0.02425 <= p <= 1 - 0.02425:
+        q = p - 0.5
+        return q * _poly(a, q * q) / _poly(b, q * q)
+    tail = math.sqrt(-2 * math.log(p if p < 0.5 else 1 - p))
+    return (1 if p < 0.5 else -1) * _poly(c, tail) / _poly(d, tail)
 
 
 def drought_spei(monthly: DataFrame, station: str, rain: str, pet: str, scale: int = 3, first: str | None = None, last: str | None = None, least: int = 24) -> DataFrame:
