@@ -197,3 +197,15 @@ def test_counterfactual_of_interruptions(spark):
         models.interruption_counterfactual(design.drop("slope"), coefs, "n", "k")
     one = models.interruption_counterfactual(design.where("k = 'a'"), coefs.where("k = 'a'").drop("k"), "n")
     assert one.count() == 12 and models.segment_means(one, "n").count() == 2
+
+
+def test_matched_set_of_risks_far_apart_is_finite():
+    x, y = np.array([[0.0], [1.0], [2.0], [5.0]]), np.array([0.0, 1.0, 0.0, 1.0])
+    level, slope, info = lagmodels._stratum(x, y, np.array([-900.0]))
+    assert level == pytest.approx(-900 * 5) and slope == pytest.approx([5.0]) and info == pytest.approx(np.zeros((1, 1)), abs=1e-9)
+    beta = 0.7
+    sums = np.array([x[list(pair), 0].sum() for pair in combinations(range(4), 2)])
+    share = np.exp(beta * sums) / np.exp(beta * sums).sum()
+    level, slope, info = lagmodels._stratum(x, y, np.array([beta]))
+    assert level == pytest.approx(beta * 6 - np.log(np.exp(beta * sums).sum()))
+    assert slope == pytest.approx([6 - share @ sums]) and info[0, 0] == pytest.approx(share @ sums**2 - (share @ sums) ** 2)

@@ -294,26 +294,23 @@ def curve(spark, coef: np.ndarray, cov: np.ndarray, knots: list[float], bounds:
 def _stratum(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Exact conditional log-likelihood of one matched set with d cases, its slope and curvature.
 
-    The denominator sums the products of risks over all sets of d rows: elementary symmetric polynomials, built row by row, with their derivatives.
+    The denominator sums the products of risks over all sets of d rows: elementary symmetric polynomials, built row by row.  Each order keeps its logarithm and, in place of
+    its derivatives, the mean sum of x and the mean square of that sum over its sets, so that none under- or overflows, however far risks lie apart.
     """
     d, p = int(y.sum()), x.shape[1]
     x = x - x.mean(axis=0)
     eta = x @ beta
-    shift = eta.max()
-    risk = np.exp(eta - shift)
-    b, g, h, scale = np.zeros(d + 1), np.zeros((d + 1, p)), np.zeros((d + 1, p, p)), 0.0
-    b[0] = 1.0
-    for r, v in zip(risk, x, strict=True):
-        vv = np.outer(v, v)
+    b, g, h = np.full(d + 1, -np.inf), np.zeros((d + 1, p)), np.zeros((d + 1, p, p))
+    b[0] = 0.0
+    for e, v in zip(eta, x, strict=True):
+        taken = b[:-1] + e
+        total = np.logaddexp(b[1:], taken)
+        share = np.exp(taken - np.where(np.isfinite(total), total, 0.0))  # of the sets that hold this row
         gv = np.einsum("ja,b->jab", g[:-1], v)
-        h[1:] = h[1:] + r * (h[:-1] + gv + gv.transpose(0, 2, 1) + b[:-1, None, None] * vv)
-        g[1:] = g[1:] + r * (g[:-1] + b[:-1, None] * v)
-        b[1:] = b[1:] + r * b[:-1]
-        top = b.max()
-        if top > 1e100:
-            b, g, h, scale = b / top, g / top, h / top, scale + math.log(top)
-    slope = g[d] / b[d]
-    return float(eta[y > 0].sum() - d * shift - math.log(b[d]) - scale), x[y > 0].sum(axis=0) - slope, h[d] / b[d] - np.outer(slope, slope)
+        h[1:] += share[:, None, None] * (h[:-1] + gv + gv.transpose(0, 2, 1) + np.outer(v, v) - h[1:])
+        g[1:] += share[:, None] * (g[:-1] + v - g[1:])
+        b[1:] = total
+    return float(eta[y > 0].sum() - b[d]), x[y > 0].sum(axis=0) - g[d], h[d] - np.outer(g[d], g[d])
 
 
 def conditional_logit(design: DataFrame, key: str, stratum: str, case: str, terms: list[str], rounds: int = 25) -> DataFrame:
