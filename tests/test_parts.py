@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigia.functions import codes, dates, kernels
-from vigia.operators import aggregate, exposure, fits, joins, models, quality, spatial, standardize
+from vigia.functions import codes, dates, kernels, stats
+from vigia.operators import aggregate, events, exposure, fits, joins, models, quality, spatial, standardize
 from vigia.plans import meta, recipe
 from vigia.sources import tables
 from vigia.streaming import series
@@ -138,6 +138,26 @@ def test_stuck_sensor_and_score(spark):
     assert quality.weighted_score({"completeness": 100.0, "dates": 50.0, "diagnosis": None}) == pytest.approx(250 / 3)
 
 
+def test_daily_mean_does_not_depend_on_row_order(spark):
+    # a day whose mean is its station's level must not pass it by a last bit when the rows come in another order
+    values = [(i * 7919 % 4850 + 97) / 97.0 for i in range(1000)]
+    means = []
+    for some in (values, values[::-1], sorted(values)):
+        hourly = spark.createDataFrame([(1, datetime.datetime(2020, 1, 1), v) for v in some], "s int, ts timestamp, t double").coalesce(1)
+        means.append(events.daily_extremes(hourly, "s", "ts", "t").first()["tmean"])
+    assert means[0] == means[1] == means[2] == pytest.approx(math.fsum(values) / 1000, rel=1e-15)
+
+
+def test_exact_mean(spark):
+    groups = {"plain": [0.1, 0.2, -0.3, 21.7], "negative": [-3e-9, -1e-9], "some": [None, 2.0, 0.5], "wide": [1e12, 2.5], "none": [None], "infinite": [float("inf"), 1.0]}
+    df = spark.createDataFrame([(k, v) for k, some in groups.items() for v in some], "k string, v double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(stats.exact_mean(F.col("v")).alias("m")).collect()}
+    for k, some in groups.items():
+        known = [v for v in some if v is not None]
+        assert got[k] == (pytest.approx(math.fsum(known) / len(known), rel=1e-12) if known else None)
+    assert math.isnan(spark.createDataFrame([(float("nan"),), (1.0,)], "v double").agg(stats.exact_mean(F.col("v"))).first()[0])
+
+
 def test_zonal_mean(spark):
     cells = spark.createDataFrame([(1, 0, 2.0), (2, 0, 4.0), (3, 0, None)], "cell int, t int, v double")
     weights = spark.createDataFrame([(1, "z", 0.25), (2, "z", 0.75), (3, "z", 1.0)], "cell int, zone string, w double")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_mean
 from ..functions.windows import complete_rolling_sum, run_ids
 
 #: Rows that a run needs, by method.
@@ -16,9 +17,9 @@ INDEX_METHODS = ("UTCI", "WBGT", "HI")
 
 
 def daily_extremes(hourly: DataFrame, station: str, timestamp: str, temperature: str, index: str | None = None) -> DataFrame:
-    """tmax, tmin, tmean (and the index's maximum) per station and day."""
+    """tmax, tmin, tmean (and the index's maximum) per station and day; tmean is the same to the last bit each time that it is computed."""
     more = [F.max(index).alias("index_max")] if index else []
-    return hourly.groupBy(station, F.to_date(timestamp).alias("date")).agg(F.max(temperature).alias("tmax"), F.min(temperature).alias("tmin"), F.avg(temperature).alias("tmean"), *more)
+    return hourly.groupBy(station, F.to_date(timestamp).alias("date")).agg(F.max(temperature).alias("tmax"), F.min(temperature).alias("tmin"), exact_mean(F.col(temperature)).alias("tmean"), *more)
 
 
 def day_baseline(days: DataFrame, station: str, percentile: float = 0.9, around: int = 15, least: int = 10, first: str | None = None, last: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
@@ -35,7 +36,7 @@ def day_baseline(days: DataFrame, station: str, percentile: float = 0.9, around:
     base = base.select(station, "date", *dict.fromkeys(("tmax", "tmin", *more)))
     spread = base.withColumn("k", F.explode(F.sequence(F.lit(-around), F.lit(around)))).withColumn("doy", F.pmod(F.dayofyear("date") - 1 + F.col("k"), F.lit(366)) + 1)
     level = lambda c: F.when(F.count(c) >= least, F.percentile(c, percentile)).alias(f"{c}_p")
-    return spread.groupBy(station, "doy").agg(*[level(c) for c in dict.fromkeys(("tmax", "tmin", *more))], F.avg("tmax").alias("tmax_hist"), F.avg("tmin").alias("tmin_hist"))
+    return spread.groupBy(station, "doy").agg(*[level(c) for c in dict.fromkeys(("tmax", "tmin", *more))], exact_mean(F.col("tmax")).alias("tmax_hist"), exact_mean(F.col("tmin")).alias("tmin_hist"))
 
 
 def wave_flags(days: DataFrame, baseline: DataFrame, station: str, cold: bool = False) -> DataFrame:
