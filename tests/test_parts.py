@@ -1,6 +1,8 @@
 import datetime
 import math
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +160,24 @@ def test_exact_mean(spark):
     assert math.isnan(spark.createDataFrame([(float("nan"),), (1.0,)], "v double").agg(stats.exact_mean(F.col("v"))).first()[0])
 
 
+def test_levels_equal_the_quantiles_of_sql(spark):
+    # sums of 97ths that should be equal differ in their last bit; a level between two of them falls on one side or the other
+    con = duckdb.connect()
+    con.sql("create table d as select s, date '1997-01-01' + i::int as date, 50 + (s * 7 + i * 31) % 3 / 97.0 + (1 + (96 - (s * 7 + i * 31) % 3) / 97.0) as tmax, (s * 13 + i * 17) % 89 / 97.0 - 2 as tmin from range(40) a(s), range(400) b(i)")
+    want = con.sql("select s, doy, quantile_cont(tmax, 0.9), quantile_cont(tmin, 0.9) from (select s, ((dayofyear(date) - 1 + k) % 366 + 366) % 366 + 1 as doy, tmax, tmin from d, (select unnest(range(-15, 16)) as k)) group by all").fetchall()
+    days = spark.createDataFrame(con.sql("select * from d").fetchall(), "s long, date date, tmax double, tmin double")
+    got = {(r["s"], r["doy"]): (r["tmax_p"], r["tmin_p"]) for r in events.day_baseline(days, "s").collect()}
+    assert got == {(s, doy): (a, b) for s, doy, a, b in want}
+    assert events.day_baseline(days, "s", least=1000).where("tmax_p is not null").count() == 0
+
+
+def test_fused_rounds_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(float, r)) for r in np.column_stack([rng.uniform(-60, 60, 3000), rng.uniform(0, 1, 3000), rng.uniform(-60, 60, 3000)])]
+    got = spark.createDataFrame(rows, "a double, b double, c double").select("a", "b", "c", stats.fused(F.col("a"), F.col("b"), F.col("c")).alias("f")).collect()
+    assert [r["f"] for r in got] == [float(Fraction(r["a"]) * Fraction(r["b"]) + Fraction(r["c"])) for r in got]
+
+
 def test_zonal_mean(spark):
     cells = spark.createDataFrame([(1, 0, 2.0), (2, 0, 4.0), (3, 0, None)], "cell int, t int, v double")
     weights = spark.createDataFrame([(1, "z", 0.25), (2, "z", 0.75), (3, "z", 1.0)], "cell int, zone string, w double")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_mean
+from ..functions.stats import exact_mean, fused
 from ..functions.windows import complete_rolling_sum, run_ids
 
 #: Rows that a run needs, by method.
@@ -27,16 +27,24 @@ def day_baseline(days: DataFrame, station: str, percentile: float = 0.9, around:
 
     ``station, doy, tmax_p, tmin_p, tmax_hist, tmin_hist`` and ``<column>_p`` of each column of ``more``; a percentile needs ``least`` values of its own.
     The baseline are the days from ``first`` to ``last``, either of them open.  All columns share one explosion and one aggregation.
+    A level between two values that differ in their last bit is one of the two; it is interpolated with one rounding, so that it is the one that the SQL finds.
     """
     base = days
     if first:
         base = base.where(F.col("date") >= F.lit(first).cast("date"))
     if last:
         base = base.where(F.col("date") <= F.lit(last).cast("date"))
-    base = base.select(station, "date", *dict.fromkeys(("tmax", "tmin", *more)))
+    levels = list(dict.fromkeys(("tmax", "tmin", *more)))
+    base = base.select(station, "date", *levels)
     spread = base.withColumn("k", F.explode(F.sequence(F.lit(-around), F.lit(around)))).withColumn("doy", F.pmod(F.dayofyear("date") - 1 + F.col("k"), F.lit(366)) + 1)
-    level = lambda c: F.when(F.count(c) >= least, F.percentile(c, percentile)).alias(f"{c}_p")
-    return spread.groupBy(station, "doy").agg(*[level(c) for c in dict.fromkeys(("tmax", "tmin", *more))], exact_mean(F.col("tmax")).alias("tmax_hist"), exact_mean(F.col("tmin")).alias("tmin_hist"))
+    # a list holds a day of the year's own values: those of the days around it
+    out = spread.groupBy(station, "doy").agg(*[F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"__{c}") for c in levels], exact_mean(F.col("tmax")).alias("tmax_hist"), exact_mean(F.col("tmin")).alias("tmin_hist"))
+    out = out.withColumns({f"__at_{c}": percentile * (F.size(f"__{c}") - 1) for c in levels})
+    near = lambda c, side: F.get(f"__{c}", side(f"__at_{c}").cast("int"))
+    out = out.withColumns({f"__lo_{c}": near(c, F.floor) for c in levels} | {f"__hi_{c}": near(c, F.ceil) for c in levels} | {f"__part_{c}": F.col(f"__at_{c}") - F.floor(f"__at_{c}") for c in levels})
+    lo, hi, part = (lambda c, k=k: F.col(f"__{k}_{c}") for k in ("lo", "hi", "part"))
+    level = lambda c: F.when(F.size(f"__{c}") >= least, F.when(lo(c) == hi(c), lo(c)).otherwise(fused(lo(c), 1 - part(c), hi(c) * part(c)))).alias(f"{c}_p")
+    return out.select(station, "doy", *map(level, levels), "tmax_hist", "tmin_hist")
 
 
 def wave_flags(days: DataFrame, baseline: DataFrame, station: str, cold: bool = False) -> DataFrame:
