@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import re
 from itertools import combinations
 
 import numpy as np
@@ -209,3 +210,27 @@ def test_matched_set_of_risks_far_apart_is_finite():
     level, slope, info = lagmodels._stratum(x, y, np.array([beta]))
     assert level == pytest.approx(beta * 6 - np.log(np.exp(beta * sums).sum()))
     assert slope == pytest.approx([6 - share @ sums]) and info[0, 0] == pytest.approx(share @ sums**2 - (share @ sums) ** 2)
+
+
+def test_separated_sets_take_all_rounds_on_plans_of_one_size(spark, capsys):
+    """Cases that x tells from their controls have no finite estimate, so no round is the last; the planner's size of the state was squared by each, 38,855 digits after eleven."""
+    sets = {("a", s): [(int(i == 2), i + s * 0.1) for i in range(3)] for s in range(3)} | {("b", s): [(int(i == s % 2), i + s * 0.1) for i in range(3)] for s in range(5)}
+    design = spark.createDataFrame([(*k, *row) for k, rows in sets.items() for row in rows], "k string, stratum int, n int, x double")
+    found = lagmodels.conditional_logit(design, "k", "stratum", "n", ["x"], rounds=11)
+    capsys.readouterr()
+    found.explain("cost")
+    sizes = re.findall(r"sizeInBytes=[\d.]+(?:E\+(\d+))?", capsys.readouterr().out)
+    assert sizes and max(int(x or 0) for x in sizes) < 1000
+    got = {r["k"]: r for r in found.collect()}
+    for key in "ab":
+        own = [np.array(rows, float) for (k, _), rows in sets.items() if k == key]
+        beta = np.zeros(1)
+        for _ in range(11):
+            parts = [lagmodels._stratum(x[:, 1:], x[:, 0], beta) for x in own]
+            slope, info = sum(p[1] for p in parts), sum(p[2] for p in parts)
+            scale = math.sqrt(info[0, 0] / len(own))
+            step = slope[0] / info[0, 0]
+            beta = beta + step * min(1.0, 2.0 / abs(step * scale))
+        assert got[key]["estimate"] == pytest.approx(beta[0]) and got[key]["se"] == pytest.approx(1 / math.sqrt(info[0, 0]))
+        assert got[key]["n_cases"] == got[key]["n_strata"] == len(own)
+    assert got["a"]["estimate"] > 8

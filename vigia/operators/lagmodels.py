@@ -317,20 +317,20 @@ def conditional_logit(design: DataFrame, key: str, stratum: str, case: str, term
     """Conditional logistic regression of matched sets, with the exact likelihood: ``key, term, estimate, se, z, odds_ratio, lo, hi, n_cases, n_strata``.
 
     A row is a case where ``case`` > 0.  Rows with a null in any column are left out; sets without a case or without a control say nothing.  Sets are dealt over tasks by (key, stratum); a round of Newton's method is
-    one pass in which tasks add up the sets' slopes and curvatures per key, for all keys at once.  A set (a month's days) is one task's work.
+    one pass in which tasks add up the sets' slopes and curvatures per key, for all keys at once.  A set (a month's days) is one task's work.  What a key keeps from round to round goes along
+    with the sums: the planner's size of a join is the product of both sides', so a second join to the state would square that number each round.
     """
     p = len(terms)
     rows = design.select(key, stratum, (F.col(case) > 0).cast("double").alias("__y"), *[F.col(t).cast("double").alias(f"__x{k}") for k, t in enumerate(terms)]).dropna()
     told = rows.groupBy(key, stratum).agg(F.sum("__y").alias("__d"), F.count("*").alias("__n")).where("__d > 0 and __d < __n").select(key, stratum)
     rows = cut(rows.join(told, [key, stratum]).repartition(key, stratum).sortWithinPartitions(key, stratum))
-    kind, xs = dict(design.dtypes)[key], [f"__x{k}" for k in range(p)]
+    kind, xs, kept = dict(design.dtypes)[key], [f"__x{k}" for k in range(p)], [key, "n_cases", "n_strata", "beta"]
     state = rows.groupBy(key).agg(F.sum("__y").cast("bigint").alias("n_cases"), F.countDistinct(stratum).alias("n_strata")).withColumn("beta", F.array(*[F.lit(0.0)] * p))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(group: pd.DataFrame) -> pd.DataFrame:
             level, slope, info = _stratum(group[xs].to_numpy(), group["__y"].to_numpy(), np.asarray(group["beta"].iloc[0], float))
-            flat = np.concatenate(([level], slope, info.ravel()))
-            return pd.DataFrame({key: group[key].iloc[0], "at": np.arange(len(flat)), "v": flat})
+            return group[kept].head(1).assign(flat=[np.concatenate(([level], slope, info.ravel()))])
 
         left: pd.DataFrame | None = None
         for pdf in batches:
@@ -351,10 +351,11 @@ def conditional_logit(design: DataFrame, key: str, stratum: str, case: str, term
         beta = np.asarray(pdf["beta"].iloc[0], float) + step
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n_cases": [int(pdf["n_cases"].iloc[0])], "n_strata": [int(pdf["n_strata"].iloc[0])], "beta": [beta], "cov": [np.linalg.pinv(info).ravel()], "moved": [float(np.abs(step * scale).max())]})
 
-    shape = f"{key} {kind}, n_cases bigint, n_strata bigint, beta array<double>, cov array<double>, moved double"
+    shape = f"{key} {kind}, n_cases bigint, n_strata bigint, beta array<double>"
     for _ in range(rounds):
-        added = rows.join(state.select(key, "beta"), key).sortWithinPartitions(key, stratum).mapInPandas(sums, f"{key} {kind}, at int, v double").groupBy(key, "at").agg(F.sum("v").alias("v"))
-        state = cut(added.join(state.select(key, "n_cases", "n_strata", "beta"), key).groupBy(key).applyInPandas(move, shape))
+        found = rows.join(state.select(*kept), key).sortWithinPartitions(key, stratum).mapInPandas(sums, f"{shape}, flat array<double>")
+        added = found.select(*kept, F.posexplode("flat").alias("at", "v")).groupBy(*kept, "at").agg(F.sum("v").alias("v"))
+        state = cut(added.groupBy(key).applyInPandas(move, f"{shape}, cov array<double>, moved double"))
         most = state.agg(F.max("moved")).first()[0]
         if most is None or most < 1e-9:
             break
